@@ -90,3 +90,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+def _secrets_sql() -> str:
+    """Positions from the lengths of what lies between and within matches, for each rule."""
+    from emberlog.llm.secrets import BASE_KINDS, RULES
+
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(RULES):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""
+        SELECT doc_id, {rank} AS rank, '{kind}' AS kind, gap_sum + found_sum - len(found) AS b, gap_sum + found_sum AS e, measured FROM (
+          SELECT doc_id, found, measured, sum(len(gap)) OVER w AS gap_sum, sum(len(found)) OVER w AS found_sum FROM (
+            SELECT doc_id, unnest(f) AS found, unnest(g) AS measured, unnest(regexp_split_to_array(text, '{quoted}')[:len(f)]) AS gap, generate_subscripts(f, 1) AS k
+            FROM (SELECT doc_id, text, regexp_extract_all(text, '{quoted}') AS f, regexp_extract_all(text, '{quoted}', {group}) AS g FROM d) WHERE len(f) > 0)
+          WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WHERE len(measured) >= {least}""")
+    counts = ", ".join(f"count(*) FILTER (rank = {k}) AS n_{RULES[k][0]}" for k in range(BASE_KINDS))
+    names = ", ".join(f"coalesce(n_{RULES[k][0]}, 0) AS n_{RULES[k][0]}" for k in range(BASE_KINDS))
+    one = "kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, rank"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(parts)}),
+    a AS (SELECT doc_id, {counts}, string_agg({one}) FILTER (rank < {BASE_KINDS}) AS base, string_agg({one}) AS spans FROM s GROUP BY doc_id)
+    SELECT d.doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+    """
+
+
+@query("op7_secret_scans", _secrets_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")))

@@ -120,3 +120,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.secrets import digest, find_secrets
 
     return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def _licenses_sql() -> str:
+    """Phrases by the words' places; templates by the overlap of sets for every line."""
+    from emberlog.llm.licenses import CONTAINMENT, LOWER, PHRASES, TEMPLATES, UPPER, WORD, needed, words_of
+
+    lists = "[" + ", ".join("[" + ", ".join(f"'{w}'" for w in p.split()) + "]" for p, _ in PHRASES) + "]"
+    labels = "[" + ", ".join(f"'{x}'" for _, x in PHRASES) + "]"
+    rows = []
+    for label, text in TEMPLATES:
+        words = sorted(set(words_of(text)))
+        rows.append(f"('{label}', [{', '.join(repr(w) for w in words)}], {needed(len(words), CONTAINMENT)})")
+    return rf"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS words FROM d),
+    p AS (SELECT unnest({lists}) AS phrase, unnest({labels}) AS label),
+    h AS (SELECT doc_id, label, unnest(list_filter(range(1, len(words) + 1), lambda i: words[i:i + len(phrase) - 1] = phrase)) - 1 AS place FROM w, p),
+    b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM h GROUP BY doc_id),
+    t(label, words, least) AS (VALUES {", ".join(rows)}),
+    l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+    m AS (SELECT doc_id, t.label, len(list_intersect(l.words, t.words)) AS overlap, len(t.words) AS n FROM l, t WHERE len(l.words) >= t.least AND len(list_intersect(l.words, t.words)) >= t.least),
+    g AS (SELECT doc_id, list(DISTINCT label) AS more, max(CAST(overlap AS DOUBLE) / n) AS share FROM m GROUP BY doc_id)
+    SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+      array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels,
+      CASE WHEN n_base > 0 THEN 1.0 :: DOUBLE ELSE coalesce(share, 0.0 :: DOUBLE) END AS score
+    FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id
+    """
+
+
+@query("op6_license_scans", _licenses_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")

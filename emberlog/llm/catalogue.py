@@ -155,3 +155,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+@query(
+    "op2_line_dedup",
+    """
+    WITH l AS (SELECT doc_id, md5(text) AS th, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT *, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) AS stop FROM l),
+    q AS (SELECT *, stop - len(line) - 1 AS start FROM s),
+    f AS (SELECT doc_id, min(p) OVER w AS first, max(p) OVER w AS last, list(line) OVER w AS run, max(stop) OVER w - min(start) OVER w AS chars FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 99 FOLLOWING)),
+    b AS (SELECT doc_id, min(p) OVER w AS first, max(p) OVER w AS last, list(line) OVER w AS run, max(stop) OVER w - min(start) OVER w AS chars FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)),
+    w AS (SELECT DISTINCT doc_id, first, last, run FROM (FROM f UNION ALL FROM b) WHERE chars >= 100),
+    r AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS k FROM w) WHERE k > 1),
+    g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS p FROM r),
+    k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_deleted,
+      coalesce(string_agg(line, chr(10) ORDER BY l.p) FILTER (g.p IS NULL), '') AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from emberlog.llm.linededup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = dedup_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")))
+    deleted = F.aggregate(F.coalesce("_runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return done.select("doc_id", "n_lines", deleted.alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

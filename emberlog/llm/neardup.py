@@ -145,7 +145,7 @@ def _links(nodes: list[int], groups: list[int], sets: list, stretches: list[int]
     return out
 
 
-def _compare(percent: int, across: bool):
+def _compare(percent: int, across: bool, most: int = STRETCH):
     """A stream over rows sorted by prefix: links, and the stretch of each row of a prefix that has several."""
 
     def run(batches: Iterator) -> Iterator:
@@ -178,7 +178,7 @@ def _compare(percent: int, across: bool):
                 if key != state["key"]:
                     close(True)
                     state["key"] = key
-                elif not across and (len(state["rows"]) >= STRETCH or state["bytes"] >= STRETCH_BYTES):
+                elif not across and (len(state["rows"]) >= most or state["bytes"] >= STRETCH_BYTES):
                     close(False)
                 wide = np.zeros((len(raw) // WIDTH, 8), "uint8")
                 wide[:, :WIDTH] = np.frombuffer(raw, "uint8").reshape(-1, WIDTH)
@@ -196,7 +196,7 @@ def _compare(percent: int, across: bool):
 FOUND = "a long, b long, t int, k long, stretch int, d1 long"
 
 
-def _wave(rows: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+def _wave(rows: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, stretch: int) -> DataFrame:
     """Compares the classes of each prefix (t, k) that belong to different components."""
     if labels is None:
         named = rows.withColumn("component", F.col("node"))
@@ -205,10 +205,10 @@ def _wave(rows: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: i
     open_prefixes = named.groupBy("t", "k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "k")
     live = named.join(open_prefixes, ["t", "k"], "left_semi").join(sets, ["node", "d1"])
     ordered = live.repartition("t", "k").sortWithinPartitions("t", "k", "next", "node", "d1")
-    return materialize(ordered.select("t", "k", "node", "component", "d1", "stretch", "shingles").mapInArrow(_compare(percent, False), FOUND))
+    return materialize(ordered.select("t", "k", "node", "component", "d1", "stretch", "shingles").mapInArrow(_compare(percent, False, stretch), FOUND))
 
 
-def near_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+def near_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, stretch: int = STRETCH) -> DataFrame | None:
     """node, component for all classes that link with another; None without any candidates."""
     keys = F.col("keys")
     order = F.transform(keys, lambda x, i: F.struct(x.alias("k"), F.coalesce(F.get(keys, i + 1), F.get(keys, F.lit(0))).alias("next")))
@@ -219,7 +219,7 @@ def near_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
     edges, labels = None, None
     for wave in WAVES:
         own = rows.where(F.col("t").isin(list(wave)))
-        found = _wave(own, sets, labels, percent)
+        found = _wave(own, sets, labels, percent, stretch)
         edges = found.where("b IS NOT NULL").select("a", "b") if edges is None else edges.union(found.where("b IS NOT NULL").select("a", "b"))
         labels = components(edges)
         parts = found.where("b IS NULL").select(F.col("a").alias("node"), "d1", "t", "k", "stretch")
@@ -245,12 +245,12 @@ def _across(paired: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
     return found.where("b IS NOT NULL").select("a", "b")
 
 
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, stretch: int = STRETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: k words a shingle, similarity of percent/100 or more."""
     sketched = materialize(sketches(docs, k))
     classes = sketched.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     classes = materialize(classes)
-    labels = near_links(docs, classes, k, percent)
+    labels = near_links(docs, classes, k, percent, stretch)
     named = classes.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("class_id"))
     # Where a text has no words the row stays alone, and the join finds nothing for it.
     rows = sketched.select("doc_id", "n_shingles", "d1", "d2")

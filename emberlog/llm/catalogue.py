@@ -202,3 +202,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.neardup import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"), k=2)
+
+
+@query(
+    "op5_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+    r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+    m AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id)
+    SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN m ON m.vec_id = v.vec_id
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.covertree import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))

@@ -48,7 +48,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int
     sized = docs.withColumn("size", F.size(word_array(F.col("text"))).cast("long"))
     # Without texts the rows are few bytes each, so they are written and the texts are read once.
     rows = sized if keep_text else materialize(sized.select("doc_id", "source", "size"))
-    rates = source_rates(rows.select("source", "size"), weights, max_rate).withColumnRenamed("source", "of_source")
+    # Written, so that its true size decides whether the rows need a shuffle.
+    rates = materialize(source_rates(rows.select("source", "size"), weights, max_rate).withColumnRenamed("source", "of_source"))
     joined = rows.join(rates, rows["source"].eqNullSafe(rates["of_source"])).drop("of_source")
     return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed))
 

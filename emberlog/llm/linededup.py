@@ -90,6 +90,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows and columns of docs with text rebuilt, and a column _runs: what was deleted, null where nothing was."""
     runs = materialize(deleted_runs(docs, least_chars)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
     rows = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(runs, rows["doc_id"].eqNullSafe(runs["_id"]) & (rows["_of"] == runs["_th"]), "left")
+    # One plan at every size: runs are a share of the documents, so they are never broadcast.
+    joined = rows.join(runs.hint("merge"), rows["doc_id"].eqNullSafe(runs["_id"]) & (rows["_of"] == runs["_th"]), "left")
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("_runs")))
     return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], "_runs")

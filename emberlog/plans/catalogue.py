@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions import levels
+from emberlog.operators import alerts, browse, correlate, reports
+from emberlog.operators.schema import bridge, number_lines
 from emberlog.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,17 +26,337 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+
+#: The bridge of emberlog.operators.schema, in SQL.
+EV = """
+ev AS (SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS seq, 'f' || (user_id % 3) AS file_name, 'b0' AS batch_id, date_trunc('second', ts) AS ts_utc,
+  CASE WHEN event_type = 'error' AND value >= 100 THEN 'CRITICAL' WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'purchase' THEN 'WARN' WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
+  'svc_' || (user_id % 5) AS source_system, event_type AS component, props AS message, props AS attributes, CAST(user_id AS VARCHAR) AS correlation_id,
+  CASE event_type WHEN 'click' THEN 'input' WHEN 'purchase' THEN 'response' END AS role, value,
+  row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS line_no FROM events)
+"""
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge(table(spark, sf_dir, "events"))
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_lines(events(spark, sf_dir))
+
+
+def text_time(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+def time_text(c: str, name: str | None = None):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name or c)
+
+
+@query("severity_counts", f"WITH {EV} SELECT level, count(*) AS n FROM ev GROUP BY level")
+def _(s, d):
+    return browse.count_by(events(s, d), "level")
+
+
+@query("source_distribution", f"WITH {EV} SELECT source_system, count(*) AS n FROM ev GROUP BY 1")
+def _(s, d):
+    return browse.count_by(events(s, d), "source_system")
+
+
+@query("component_error_counts", f"WITH {EV} SELECT coalesce(component, 'unknown') AS component, count(*) AS n FROM ev WHERE level IN ('ERROR', 'CRITICAL') GROUP BY 1")
+def _(s, d):
+    return browse.component_errors(events(s, d))
+
+
+@query("hourly_level", f"WITH {EV} SELECT strftime(ts_utc, '%Y-%m-%d %H:00') AS hour, level, count(*) AS n FROM ev WHERE ts_utc IS NOT NULL GROUP BY 1, 2")
+def _(s, d):
+    return browse.hourly_levels(events(s, d))
+
+
+@query("hourly_totals", f"WITH {EV} SELECT strftime(ts_utc, '%Y-%m-%d %H:00') AS hour, count(*) AS n FROM ev GROUP BY 1")
+def _(s, d):
+    return browse.hourly_totals(events(s, d))
+
+
+@query("error_ratio", f"WITH {EV} SELECT count(*) AS total, count(*) FILTER (level IN ('ERROR', 'CRITICAL')) AS errors, round(count(*) FILTER (level IN ('ERROR', 'CRITICAL')) / count(*), 4) AS error_ratio FROM ev")
+def _(s, d):
+    return browse.error_ratio(events(s, d))
+
+
 @query(
     "zscore_hours",
-    """
-    WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1),
-    s AS (SELECT avg(n) AS m, stddev_samp(n) AS sd, count(*) AS groups FROM h)
-    SELECT strftime(hour, '%Y-%m-%d %H:00') AS hour, n, round((n - m) / sd, 2) AS z
-    FROM h, s WHERE groups >= 3 AND sd > 0 AND (n - m) / sd >= 2.0
-    """,
-)
-def zscore_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
-    stats = hours.agg(F.avg("n").alias("m"), F.stddev_samp("n").alias("sd"), F.count("*").alias("groups"))
-    z = (F.col("n") - F.col("m")) / F.col("sd")
-    return hours.join(F.broadcast(stats)).where((F.col("groups") >= 3) & (F.col("sd") > 0) & (z >= 2.0)).select(F.date_format("hour", "yyyy-MM-dd HH:00").alias("hour"), "n", F.round(z, 2).alias("z"))
+    f"""WITH {EV}, h AS (SELECT strftime(ts_utc, '%Y-%m-%d %H:00') AS hour, count(*) AS n FROM ev GROUP BY 1),
+    s AS (SELECT avg(n) AS m, stddev_samp(n) AS sd, count(*) AS g FROM h)
+    SELECT hour, n, round((n - m) / sd, 2) AS z FROM h, s WHERE g >= 3 AND sd > 0 AND (n - m) / sd >= 2.0""",
+)
+def _(s, d):
+    return browse.outliers(browse.hourly_totals(events(s, d)))
+
+
+@query(
+    "zscore_components",
+    f"""WITH {EV}, h AS (SELECT correlation_id, count(*) AS n FROM ev WHERE level IN ('ERROR', 'CRITICAL') GROUP BY 1),
+    s AS (SELECT avg(n) AS m, stddev_samp(n) AS sd, count(*) AS g FROM h)
+    SELECT correlation_id, n, round((n - m) / sd, 2) AS z FROM h, s WHERE g >= 3 AND sd > 0 AND (n - m) / sd >= 2.0""",
+)
+def _(s, d):
+    bad = events(s, d).where(F.col("level").isin("ERROR", "CRITICAL"))
+    return browse.outliers(browse.count_by(bad, "correlation_id"))
+
+
+@query(
+    "anomaly_report",
+    f"""WITH {EV}, h AS (SELECT 'hour' AS kind, strftime(ts_utc, '%Y-%m-%d %H:00') AS name, count(*) AS n FROM ev GROUP BY 2
+      UNION ALL SELECT 'component', component, count(*) FROM ev WHERE level IN ('ERROR', 'CRITICAL') GROUP BY 2),
+    s AS (SELECT kind, avg(n) AS m, stddev_samp(n) AS sd, count(*) AS g FROM h GROUP BY kind)
+    SELECT kind, name, n, round((n - m) / sd, 2) AS z FROM h JOIN s USING (kind) WHERE g >= 3 AND sd > 0 AND (n - m) / sd >= 2.0""",
+)
+def _(s, d):
+    return browse.anomaly_report(events(s, d))
+
+
+@query("events_page", f"WITH {EV} SELECT event_id, {text_time('ts_utc')} AS ts_utc, line_no, level FROM ev WHERE level = 'ERROR' ORDER BY ev.ts_utc DESC NULLS LAST, line_no, event_id LIMIT 200 OFFSET 200")
+def _(s, d):
+    return browse.page(browse.matching(numbered(s, d), level="ERROR"), 2, 200).select("event_id", time_text("ts_utc"), "line_no", "level")
+
+
+@query("event_lookup", f"WITH {EV} SELECT event_id, level, component, correlation_id FROM ev WHERE event_id = '42'")
+def _(s, d):
+    return browse.by_id(events(s, d), "42").select("event_id", "level", "component", "correlation_id")
+
+
+@query("text_search", f"WITH {EV} SELECT event_id, message, component FROM ev WHERE message ILIKE '%\"K\": 7%' OR component ILIKE '%\"K\": 7%'")
+def _(s, d):
+    return browse.matching(events(s, d), search='"K": 7').select("event_id", "message", "component")
+
+
+@query("date_range", f"WITH {EV}, m AS (SELECT min(ts_utc) AS a FROM ev) SELECT event_id, level FROM ev, m WHERE ts_utc BETWEEN date_trunc('day', a) + INTERVAL 1 DAY AND date_trunc('day', a) + INTERVAL 2 DAY AND source_system = 'svc_1'")
+def _(s, d):
+    e = events(s, d)
+    first = e.agg(F.date_trunc("day", F.min("ts_utc")).alias("a")).first()["a"]
+    import datetime as dt
+
+    return browse.matching(e, source_system="svc_1", since=first + dt.timedelta(days=1), until=first + dt.timedelta(days=2)).select("event_id", "level")
+
+
+@query("level_threshold", f"WITH {EV} SELECT event_id, level FROM ev WHERE level IN ('WARN', 'ERROR', 'CRITICAL')")
+def _(s, d):
+    return events(s, d).where(levels.reaches(F.col("level"), F.lit("WARN"))).select("event_id", "level")
+
+
+@query("distinct_values", f"WITH {EV} SELECT DISTINCT component AS value FROM ev WHERE component IS NOT NULL")
+def _(s, d):
+    return browse.distinct_values(events(s, d), "component")
+
+
+@query("count_matching", f"WITH {EV} SELECT count(*) AS total, CAST(ceil(count(*) / 200.0) AS BIGINT) AS pages FROM ev WHERE component = 'click'")
+def _(s, d):
+    found = browse.matching(events(s, d), component="click").agg(F.count("*").alias("total"))
+    return found.select("total", F.ceil(F.col("total") / 200).alias("pages"))
+
+
+@query(
+    "surrounding_context",
+    f"""WITH {EV}, t AS (SELECT event_id AS target_id, file_name AS f, line_no AS l FROM ev WHERE level = 'CRITICAL')
+    SELECT target_id, event_id, line_no, event_id = target_id AS is_target FROM ev JOIN t ON file_name = f AND line_no BETWEEN l - 5 AND l + 5""",
+)
+def _(s, d):
+    e = numbered(s, d)
+    return browse.surroundings(e, e.where("level = 'CRITICAL'")).select("target_id", "event_id", "line_no", "is_target")
+
+
+@query("first_per_correlation", f"WITH {EV} SELECT correlation_id, arg_min(event_id, (ts_utc, line_no, event_id)) AS event_id FROM ev GROUP BY 1")
+def _(s, d):
+    return correlate.first_of_each(numbered(s, d)).select("correlation_id", "event_id")
+
+
+PAIRS = """
+q AS (SELECT i.*, (SELECT min(r.ts_utc) FROM ev r WHERE r.role = 'response' AND r.correlation_id = i.correlation_id AND r.ts_utc >= i.ts_utc) AS response_time FROM ev i WHERE role = 'input'),
+now AS (SELECT max(ts_utc) AS t FROM ev),
+p AS (SELECT q.*, CASE WHEN response_time IS NOT NULL THEN 'responded' WHEN epoch_ms(t) - epoch_ms(ts_utc) >= 5000 THEN 'unresponded' ELSE 'pending' END AS status,
+  CAST(epoch_ms(response_time) - epoch_ms(ts_utc) AS DOUBLE) AS response_ms FROM q, now)
+"""
+
+
+def pairs(s, d):
+    e = events(s, d)
+    now = e.agg(F.max("ts_utc").alias("t")).first()["t"]
+    return correlate.response_pairs(e, F.col("role") == "input", F.col("role") == "response", now=F.lit(now))
+
+
+@query("asof_response_pairs", f"WITH {EV}, {PAIRS} SELECT event_id, status, response_ms, coalesce(response_ms > 1000, false) AS is_delayed FROM p")
+def _(s, d):
+    return pairs(s, d).select("event_id", F.col("status"), "response_ms", "is_delayed")
+
+
+@query(
+    "availability_counters",
+    f"""WITH {EV}, {PAIRS} SELECT count(*) AS inputs, count(*) FILTER (status = 'responded') AS responded, count(*) FILTER (status = 'unresponded') AS unresponded,
+    count(*) FILTER (response_ms > 1000) AS delayed, round(100 * count(*) FILTER (status = 'unresponded') / count(*), 1) AS unresponded_pct, round(100 * count(*) FILTER (response_ms > 1000) / count(*) FILTER (status = 'responded'), 1) AS delayed_pct FROM p""",
+)
+def _(s, d):
+    return reports.availability_counters(pairs(s, d))
+
+
+@query("unresponded_inputs", f"WITH {EV}, {PAIRS} SELECT event_id, correlation_id FROM p WHERE status = 'unresponded' ORDER BY ts_utc, event_id LIMIT 50")
+def _(s, d):
+    return pairs(s, d).where("status = 'unresponded'").orderBy("ts_utc", "event_id").limit(50).select("event_id", "correlation_id")
+
+
+@query(
+    "downtime_islands",
+    f"""WITH {EV}, {PAIRS},
+    n AS (SELECT *, lag(status) OVER w AS ps, lag(ts_utc) OVER w AS pt, lead(status) OVER w AS ns, lead(ts_utc) OVER w AS nt FROM p WINDOW w AS (ORDER BY ts_utc, event_id)),
+    r AS (SELECT *, sum(CASE WHEN status = 'unresponded' AND (ps IS NULL OR ps <> 'unresponded' OR floor(epoch(ts_utc)) - floor(epoch(pt)) > 600) THEN 1 ELSE 0 END) OVER (ORDER BY ts_utc, event_id) AS run FROM n),
+    g AS (SELECT min(ts_utc) AS a, arg_max(struct_pack(t := CASE WHEN ns <> 'unresponded' THEN nt END), (ts_utc, event_id)).t AS b, count(*) AS n, arg_min(event_id, (ts_utc, event_id)) AS e FROM r WHERE status = 'unresponded' GROUP BY run)
+    SELECT {text_time('a')} AS down_since, {text_time('b')} AS recovered_at, round((floor(epoch(b)) - floor(epoch(a))) / 60, 1) AS duration_minutes, n AS unresponded_count, e AS first_event FROM g""",
+)
+def _(s, d):
+    return correlate.downtime_islands(pairs(s, d)).select(time_text("down_since"), time_text("recovered_at"), "duration_minutes", "unresponded_count", "first_event")
+
+
+HEADS = """
+i AS (SELECT correlation_id, min(ts_utc) AS input_time FROM ev WHERE role = 'input' GROUP BY 1),
+h AS (SELECT i.correlation_id, input_time, min(ts_utc) AS response_time FROM i JOIN ev r ON r.correlation_id = i.correlation_id AND r.role = 'response' AND r.ts_utc >= input_time GROUP BY 1, 2),
+m AS (SELECT *, CAST(epoch_ms(response_time) - epoch_ms(input_time) AS DOUBLE) AS response_ms FROM h)
+"""
+
+
+@query(
+    "response_time_stats",
+    f"""WITH {EV}, {HEADS} SELECT count(*) AS pairs, round(sum(response_ms), 1) AS total_ms, round(avg(response_ms), 1) AS avg_ms, min(response_ms) AS min_ms, max(response_ms) AS max_ms,
+    count(*) FILTER (response_ms > 1000) AS delayed, round(100 * count(*) FILTER (response_ms > 1000) / count(*), 1) AS delayed_pct FROM m""",
+)
+def _(s, d):
+    return correlate.response_stats(correlate.head_pairs(events(s, d), F.col("role") == "input", F.col("role") == "response"))
+
+
+@query("worst_delays", f"WITH {EV}, {HEADS} SELECT correlation_id, response_ms FROM m WHERE response_ms > 1000 ORDER BY response_ms DESC, correlation_id LIMIT 50")
+def _(s, d):
+    heads = correlate.head_pairs(events(s, d), F.col("role") == "input", F.col("role") == "response")
+    return heads.where("response_ms > 1000").orderBy(F.desc("response_ms"), "correlation_id").limit(50).select("correlation_id", "response_ms")
+
+
+FLOWS = """
+k AS (SELECT correlation_id, min(ts_utc) FILTER (component = 'click') AS a, min(ts_utc) FILTER (component = 'signup') AS b, min(ts_utc) FILTER (component = 'purchase') AS c FROM ev GROUP BY 1),
+f AS (SELECT *, CASE WHEN b >= a THEN CAST(epoch_ms(b) - epoch_ms(a) AS DOUBLE) END AS queue_ms, CASE WHEN c >= b THEN CAST(epoch_ms(c) - epoch_ms(b) AS DOUBLE) END AS completion_ms,
+  CASE WHEN c IS NOT NULL THEN 'otp_confirmed' WHEN b IS NOT NULL THEN 'queued_no_confirmation' ELSE 'queue_failed' END AS outcome FROM k WHERE a IS NOT NULL)
+"""
+
+
+def flows(s, d):
+    c = F.col("component")
+    return correlate.delivery_flows(events(s, d), c == "click", c == "signup", c == "purchase")
+
+
+@query("sms_flow_outcomes", f"WITH {EV}, {FLOWS} SELECT correlation_id, queue_ms, coalesce(queue_ms > 30000, false) AS is_queue_delayed, completion_ms, outcome FROM f")
+def _(s, d):
+    return flows(s, d).select("correlation_id", "queue_ms", "is_queue_delayed", "completion_ms", "outcome")
+
+
+@query("outcome_counts", f"WITH {EV}, {FLOWS} SELECT outcome, count(*) AS n, round(avg(queue_ms), 1) AS avg_queue_ms, min(queue_ms) AS min_queue_ms, max(queue_ms) AS max_queue_ms FROM f GROUP BY outcome")
+def _(s, d):
+    return flows(s, d).groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.avg("queue_ms"), 1).alias("avg_queue_ms"), F.min("queue_ms").alias("min_queue_ms"), F.max("queue_ms").alias("max_queue_ms"))
+
+
+@query("top_k_messages", f"WITH {EV} SELECT message AS value, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
+def _(s, d):
+    return browse.top(events(s, d), F.col("message"), 15)
+
+
+@query("failure_reasons", f"WITH {EV} SELECT left(coalesce(nullif(message, ''), 'Error event'), 120) AS reason, count(*) AS n FROM ev WHERE level IN ('ERROR', 'CRITICAL') GROUP BY 1 ORDER BY n DESC, reason LIMIT 10")
+def _(s, d):
+    return reports.failure_reasons(events(s, d).where(F.col("level").isin("ERROR", "CRITICAL")))
+
+
+@query("five_minute_timeline", f"WITH {EV} SELECT strftime(time_bucket(INTERVAL 5 MINUTES, ts_utc), '%Y-%m-%d %H:%M') AS bucket, count(*) AS n, count(*) FILTER (level IN ('ERROR', 'CRITICAL')) AS errors FROM ev GROUP BY 1")
+def _(s, d):
+    return browse.timeline(events(s, d))
+
+
+@query(
+    "minute_resample",
+    f"""WITH {EV}, m AS (SELECT date_trunc('minute', ts_utc) AS minute, count(*) AS n, count(*) FILTER (level IN ('ERROR', 'CRITICAL')) AS errors, count(*) FILTER (level = 'WARN') AS warnings, count(DISTINCT correlation_id) AS correlations FROM ev GROUP BY 1),
+    a AS (SELECT unnest(generate_series(min(minute), max(minute), INTERVAL 1 MINUTE)) AS minute FROM m)
+    SELECT {text_time('minute')} AS minute, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(correlations, 0) AS correlations,
+      round(coalesce(errors / n, 0), 4) AS error_ratio, round(sin(hour(minute) * (2 * 3.141592653589793 / 24)), 6) + 0.0 AS hour_sin, round(cos(hour(minute) * (2 * 3.141592653589793 / 24)), 6) + 0.0 AS hour_cos FROM a LEFT JOIN m USING (minute)""",
+)
+def _(s, d):
+    return browse.minute_features(events(s, d)).withColumn("minute", time_text("minute"))
+
+
+@query("severity_share", f"WITH {EV} SELECT level, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM ev GROUP BY level")
+def _(s, d):
+    return browse.severity_share(events(s, d))
+
+
+@query("first_nonempty_merge", f"WITH {EV} SELECT correlation_id, arg_min(message, seq) FILTER (nullif(CASE WHEN component = 'click' THEN '' ELSE message END, '') IS NOT NULL) AS first_message, bool_or(level = 'CRITICAL') AS any_critical FROM ev GROUP BY 1")
+def _(s, d):
+    value = F.when(F.col("component") == "click", "").otherwise(F.col("message"))
+    return events(s, d).groupBy("correlation_id").agg(correlate.first_nonempty(value, F.col("seq")).alias("first_message"), F.bool_or(F.col("level") == "CRITICAL").alias("any_critical"))
+
+
+@query("last_wins_merge", f"WITH {EV} SELECT correlation_id, arg_max(component, seq) AS last_component, {text_time('min(ts_utc)')} AS first_time, {text_time('max(ts_utc)')} AS last_time FROM ev GROUP BY 1")
+def _(s, d):
+    return events(s, d).groupBy("correlation_id").agg(correlate.last_nonempty(F.col("component"), F.col("seq")).alias("last_component"), F.min("ts_utc").alias("a"), F.max("ts_utc").alias("b")).select("correlation_id", "last_component", time_text("a", "first_time"), time_text("b", "last_time"))
+
+
+@query("ordered_distinct", f"WITH {EV}, o AS (SELECT correlation_id, component, min(seq) AS k FROM ev GROUP BY 1, 2) SELECT correlation_id, string_agg(component, ',' ORDER BY k) AS components FROM o GROUP BY 1")
+def _(s, d):
+    return events(s, d).groupBy("correlation_id").agg(F.array_join(correlate.ordered_distinct(F.col("component"), F.col("seq")), ",").alias("components"))
+
+
+@query("forward_fill", f"WITH {EV} SELECT event_id, last_value(CASE WHEN component = 'signup' THEN correlation_id END IGNORE NULLS) OVER (PARTITION BY file_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM ev")
+def _(s, d):
+    return events(s, d).select("event_id", correlate.carried(F.when(F.col("component") == "signup", F.col("correlation_id")), "seq", within=("file_name",), before=True).alias("pending"))
+
+
+@query("sha_dedup_key", f"WITH {EV} SELECT event_id, sha256(concat_ws('|', 'r', source_system, component, left(message, 100))) AS dedup_key FROM ev")
+def _(s, d):
+    return events(s, d).select("event_id", alerts.dedup_key(F.lit("r"), F.col("source_system"), F.col("component"), F.substring("message", 1, 100)).alias("dedup_key"))
+
+
+#: Rules of the queries below.
+RULES = (
+    alerts.Rule("errors", "ERROR", dedup_window_minutes=60),
+    alerts.Rule("clicks", "INFO", component_filter="CLICK", message_contains='": 7', dedup_window_minutes=0),
+    alerts.Rule("digest", "WARN", "digest", source_system_filter="svc_1"),
+    alerts.Rule("all errors", "ERROR", "digest"),
+)
+MATCHED = """
+x AS (SELECT 'errors' AS rule, 'immediate' AS mode, 60 AS win, ev.* FROM ev WHERE level IN ('ERROR', 'CRITICAL')
+  UNION ALL SELECT 'clicks', 'immediate', 0, ev.* FROM ev WHERE level IN ('INFO', 'WARN', 'ERROR', 'CRITICAL') AND contains(lower(component), 'click') AND contains(lower(message), '": 7')
+  UNION ALL SELECT 'digest', 'digest', 15, ev.* FROM ev WHERE level IN ('WARN', 'ERROR', 'CRITICAL') AND contains(source_system, 'svc_1')
+  UNION ALL SELECT 'all errors', 'digest', 15, ev.* FROM ev WHERE level IN ('ERROR', 'CRITICAL'))
+"""
+
+
+def matched(s, d):
+    return alerts.matches(numbered(s, d), alerts.rules_frame(s, RULES))
+
+
+@query("rule_matches", f"WITH {EV}, {MATCHED} SELECT rule, event_id FROM x")
+def _(s, d):
+    return matched(s, d).select("rule", "event_id")
+
+
+@query(
+    "alert_digest",
+    f"""WITH {EV}, {MATCHED}, r AS (SELECT *, count(*) OVER (PARTITION BY rule, batch_id) AS n, row_number() OVER (PARTITION BY rule, batch_id ORDER BY ts_utc DESC, line_no, event_id) AS k FROM x WHERE mode = 'digest')
+    SELECT rule, batch_id, n, arg_min(source_system, k) AS source_system, string_agg('[' || level || '] ' || component || ' ' || left(message, 120), chr(10) ORDER BY k) AS lines, sha256(rule || '|digest|' || n) AS dedup_key FROM r WHERE k <= 5 GROUP BY rule, batch_id, n""",
+)
+def _(s, d):
+    return alerts.digests(matched(s, d)).select("rule", "batch_id", "n", "source_system", F.array_join("lines", "\n").alias("lines"), "dedup_key")
+
+
+@query(
+    "alert_dedup",
+    f"""WITH RECURSIVE {EV}, {MATCHED},
+    y AS (SELECT rule, win, event_id, ts_utc, sha256(concat_ws('|', rule, source_system, component, left(message, 100))) AS k FROM x WHERE mode = 'immediate'),
+    z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts_utc, event_id) AS i FROM y),
+    f(rule, win, event_id, k, i, fired, last) AS (SELECT rule, win, event_id, k, i, true, ts_utc FROM z WHERE i = 1
+      UNION ALL SELECT z.rule, z.win, z.event_id, z.k, z.i, epoch_us(z.ts_utc) - epoch_us(f.last) >= z.win * 60000000::BIGINT, CASE WHEN epoch_us(z.ts_utc) - epoch_us(f.last) >= z.win * 60000000::BIGINT THEN z.ts_utc ELSE f.last END FROM f JOIN z ON z.k = f.k AND z.i = f.i + 1)
+    SELECT rule, event_id FROM f WHERE fired""",
+)
+def _(s, d):
+    return alerts.suppress(alerts.immediate(matched(s, d))).select("rule", "event_id")

@@ -6,13 +6,15 @@ takes can go through `fuzzy`, an Arrow function, with the ingestion day as the d
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rungs with an offset or zone of their own, then those without.
-ZONED = ("dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss.SSS Z", "yyyy-MM-dd HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss Z")
+ZONED = ("dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss.SSS Z", "yyyy-MM-dd HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z")
 LOCAL = (
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd HH:mm:ss.SSS",
@@ -23,25 +25,19 @@ LOCAL = (
     "M/d/yyyy h:mm:ss a",
     "M/d/yyyy HH:mm:ss",
     "dd/MMM/yyyy:HH:mm:ss",
-    "EEE MMM d HH:mm:ss yyyy",
-    "EEE MMM d HH:mm:ss.SSSSSS yyyy",
+    "MMM d HH:mm:ss yyyy",
+    "MMM d HH:mm:ss.SSSSSS yyyy",
     "d MMM yyyy HH:mm:ss",
     "yyyy-MM-dd",
 )
 #: Directives of strptime and the letters that mean the same here.
-_STRPTIME = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%y": "yy", "%z": "Z", "%j": "D"}
+_STRPTIME = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "", "%y": "yy", "%z": "Z", "%j": "D"}
 
 
 def from_strptime(fmt: str) -> str:
     """A strptime format as a datetime pattern; literal letters are quoted."""
-    out, at = "", 0
-    while at < len(fmt):
-        two = fmt[at : at + 2]
-        if two in _STRPTIME:
-            out, at = out + _STRPTIME[two], at + 2
-        else:
-            out, at = out + (f"'{fmt[at]}'" if fmt[at].isalpha() else fmt[at]), at + 1
-    return out.replace("''", "") if "''" in out and "'''" not in out else out
+    parts = re.findall(r"%.|[A-Za-z]+|[^%A-Za-z]+", fmt)
+    return "".join(_STRPTIME.get(p, "") if p[0] == "%" else f"'{p}'" if p.isalpha() else p for p in parts).strip()
 
 
 @F.pandas_udf(T.TimestampType())
@@ -64,7 +60,8 @@ def parse_time(raw: Column, ingested: Column, zone: str | None = "UTC", fmt: str
 
     parsed: the text has an offset, or the profile a zone; assumed_utc: neither; unparseable: no rung takes the text.
     """
-    text = F.regexp_replace(F.trim(raw), r"\s+", " ")
+    # A weekday adds nothing to a date.
+    text = F.regexp_replace(F.regexp_replace(F.trim(raw), r"\s+", " "), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
     year = F.date_format(ingested, "yyyy")
     has_zone = text.rlike(r"(?i)([+-]\d{2}:?\d{2}|Z|UTC|GMT)$") & text.rlike(r"\d{1,2}:\d{2}")
     zoned = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ZONED], F.expr("CAST(NULL AS TIMESTAMP)"), _iso(text))

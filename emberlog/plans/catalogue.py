@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions import levels
-from emberlog.operators import alerts, browse, correlate, reports
+from emberlog.functions import levels, text
+from emberlog.functions.times import parse_time
+from emberlog.operators import alerts, browse, correlate, grouping, profiles, reports
+from emberlog.operators.formats import by_key, canonical
 from emberlog.operators.schema import bridge, number_lines
+from emberlog.plans import adhoc
 from emberlog.session import table
+from emberlog.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -360,3 +364,197 @@ def _(s, d):
 )
 def _(s, d):
     return alerts.suppress(alerts.immediate(matched(s, d))).select("rule", "event_id")
+
+
+@query("multiline_group", "WITH c AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS u FROM conversations), r AS (SELECT conv_id, g, min(turn) AS line_no, count(*) AS n_lines, string_agg(regexp_replace(role || ' ' || text, '\\n', ' ', 'g'), chr(10) ORDER BY turn) AS raw FROM c GROUP BY 1, 2) SELECT CAST(conv_id AS VARCHAR) AS file_name, line_no, n_lines, sha256(raw) AS raw_sha FROM r")
+def _(s, d):
+    line = F.regexp_replace(F.concat_ws(" ", "role", "text"), "\n", " ")
+    lines = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("file_name"), F.col("turn").alias("line_no"), line.alias("line"))
+    records = grouping.group_lines(lines, F.col("line").rlike("^user "))
+    return records.select("file_name", "line_no", (F.size("continuation") + 1).cast("long").alias("n_lines"), F.sha2("raw", 256).alias("raw_sha"))
+
+
+def rendered(s, d, pattern: str = "yyyy-MM-dd HH:mm:ss"):
+    """Lines of the bracket format, one for each event; every seventh is followed by an indented line."""
+    e = numbered(s, d)
+    head = F.concat(F.lit("["), F.date_format("ts_utc", pattern), F.lit("] ["), "level", F.lit("] ["), "component", F.lit("] "), "message")
+    lines = e.select("file_name", (F.col("line_no") * 2).alias("line_no"), head.alias("line"))
+    more = e.where("seq % 7 = 0").select("file_name", (F.col("line_no") * 2 + 1).alias("line_no"), F.concat(F.lit("\tat frame "), F.col("correlation_id")).alias("line"))
+    return lines.unionByName(more)
+
+
+EPOCH = "2026-01-01 00:00:00"
+BRACKET = next(p for p in profiles.DEFAULTS if p.name.startswith("Standard Bracket"))
+
+
+@query(
+    "regex_profile_parse",
+    f"""WITH {EV} SELECT file_name, line_no * 2 AS line_no, {text_time('ts_utc')} AS ts_utc, 'parsed' AS ts_confidence, level, component, 'generic_app' AS source_system,
+    message || CASE WHEN seq % 7 = 0 THEN chr(10) || chr(9) || 'at frame ' || correlation_id ELSE '' END AS message, true AS parsed FROM ev""",
+)
+def _(s, d):
+    ingested = F.lit(EPOCH).cast("timestamp")
+    parsed = profiles.parse(profiles.records_of(rendered(s, d), BRACKET), BRACKET, ingested)
+    return parsed.select("file_name", F.col("line_no").cast("long").alias("line_no"), time_text("ts_utc"), "ts_confidence", "level", "component", "source_system", "message", "parsed")
+
+
+@query("json_extract", f"WITH {EV} SELECT event_id, CAST(attributes ->> '$.k' AS BIGINT) AS k, attributes ->> '$.nothing' AS nothing FROM ev")
+def _(s, d):
+    doc = F.parse_json("attributes")
+    return events(s, d).select("event_id", F.try_variant_get(doc, "$.k", "bigint").alias("k"), F.try_variant_get(doc, "$.nothing", "string").alias("nothing"))
+
+
+@query(
+    "json_profile_parse",
+    f"""WITH {EV} SELECT file_name, line_no, {text_time('ts_utc')} AS ts_utc, level, component, CASE WHEN seq % 5 = 0 THEN 'app_backend' ELSE 'app_backend' END AS source_system, message FROM ev""",
+)
+def _(s, d):
+    p = next(p for p in profiles.DEFAULTS if p.type == "json")
+    line = F.to_json(F.struct(F.date_format("ts_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "level", F.col("component").alias("service"), "message"))
+    lines = numbered(s, d).select("file_name", "line_no", line.alias("line"))
+    parsed = profiles.parse(profiles.records_of(lines, p), p, F.lit(EPOCH).cast("timestamp"))
+    return parsed.select("file_name", "line_no", time_text("ts_utc"), "level", "component", "source_system", "message")
+
+
+@query("csv_parse", f"WITH {EV} SELECT file_name, line_no, {text_time('ts_utc')} AS ts_utc, level, component, message FROM ev")
+def _(s, d):
+    p = next(p for p in profiles.DEFAULTS if p.type == "delimited")
+    quoted = F.concat(F.lit('"'), F.replace("message", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.date_format("ts_utc", "yyyy-MM-dd HH:mm:ss"), "level", "component", quoted)
+    parsed = profiles.parse(profiles.records_of(numbered(s, d).select("file_name", "line_no", line.alias("line")), p), p, F.lit(EPOCH).cast("timestamp"))
+    return parsed.select("file_name", "line_no", time_text("ts_utc"), "level", "component", "message")
+
+
+@query(
+    "level_normalise",
+    """SELECT event_id, CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'click' THEN 'WARN' WHEN 'view' THEN 'ERROR' WHEN 'signup' THEN 'UNKNOWN' ELSE 'DEBUG' END AS level FROM events""",
+)
+def _(s, d):
+    raw = F.expr("CASE event_type WHEN 'error' THEN ' fatal ' WHEN 'click' THEN 'Warning!' WHEN 'view' THEN 'my_error' WHEN 'signup' THEN 'other' ELSE 'custom' END")
+    return table(s, d, "events").select("event_id", levels.normalize_level(raw, {"CUSTOM": "debug"}).alias("level"))
+
+
+@query(
+    "timestamp_ladder",
+    f"""WITH {EV} SELECT event_id, {text_time('ts_utc')} AS ts, CASE seq % 6 WHEN 5 THEN 'unparseable' ELSE 'parsed' END AS confidence FROM (SELECT * REPLACE (CASE WHEN seq % 6 = 5 THEN TIMESTAMP '{EPOCH}' ELSE ts_utc END AS ts_utc) FROM ev)""",
+)
+def _(s, d):
+    t = F.col("ts_utc")
+    forms = ["yyyy-MM-dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss '+0000'", "M/d/yyyy  h:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss.SSS '+00:00'"]
+    raw = F.when(F.col("seq") % 6 == 5, F.lit("no time here"))
+    for k, f in enumerate(forms):
+        raw = raw.when(F.col("seq") % 6 == k, F.date_format(t, f))
+    got = parse_time(raw, F.lit(EPOCH).cast("timestamp"))
+    return events(s, d).select("event_id", got.alias("x")).select("event_id", time_text("x.ts", "ts"), F.col("x.confidence").alias("confidence"))
+
+
+@query(
+    "observables",
+    r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'))) AS n_emails, len(list_distinct(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'))) AS n_ips, len(list_distinct(regexp_extract_all(text, 'https?://[^\s<>"'']+'))) AS n_urls FROM documents""",
+)
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text.observables(F.col("text")).alias("o")).select("doc_id", *[F.size(f"o.{c}").cast("long").alias(f"n_{c}") for c in ("emails", "ips", "urls")])
+
+
+@query("html_unescape", "SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS sha FROM pages")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", F.sha2(text.unescape_entities(F.col("html")), 256).alias("sha"))
+
+
+@query("mask_value", "SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN repeat('*', length(c_name)) ELSE left(c_name, 4) || repeat('*', length(c_name) - 8) || right(c_name, 4) END AS masked FROM customer")
+def _(s, d):
+    return table(s, d, "customer").select("c_custkey", text.mask(F.col("c_name")).alias("masked"))
+
+
+@query("key_value_pairs", f"WITH {EV} SELECT event_id, component AS a, correlation_id AS b FROM ev")
+def _(s, d):
+    rows = events(s, d).select("event_id", text.parameters(F.concat(F.lit("a=x, a = "), "component", F.lit(" ,b="), "correlation_id")).alias("m"))
+    return rows.select("event_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+
+
+@query("adhoc_sql", f"WITH {EV} SELECT level, count(*) AS n FROM ev GROUP BY level")
+def _(s, d):
+    return adhoc.run(s, "```sql\nWITH x AS (SELECT level FROM events) SELECT level, count(*) AS n FROM x GROUP BY level;\n```", {"events": events(s, d)})
+
+
+@query("stream_hourly", f"WITH {EV} SELECT strftime(ts_utc, '%Y-%m-%d %H:00') AS hour, level, count(*) AS n FROM ev GROUP BY 1, 2")
+def _(s, d):
+    import tempfile
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    name = f"hourly_{uuid.uuid4().hex}"
+    source = s.readStream.schema(table(s, d, "events").schema).parquet(d if "://" in d else f"file://{d}", pathGlobFilter="events.parquet")
+    q = live.hourly(bridge(source)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name)
+
+
+@query("batch_union", f"WITH {EV} SELECT file_name, count(*) AS n, count(DISTINCT correlation_id) AS correlations FROM ev GROUP BY 1")
+def _(s, d):
+    e = events(s, d)
+    parts = [e.where(F.col("file_name") == f"f{k}") for k in range(3)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return whole.groupBy("file_name").agg(F.count("*").alias("n"), F.count_distinct("correlation_id").alias("correlations"))
+
+
+@query(
+    "entity_enrichment",
+    "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus = 'F'",
+)
+def _(s, d):
+    o = table(s, d, "orders").where("o_orderstatus = 'F'")
+    c, n, r = (table(s, d, x) for x in ("customer", "nation", "region"))
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"], "left")
+    return joined.select("o_orderkey", "c_name", "n_name", "r_name")
+
+
+@query(
+    "last_mapping_wins",
+    "WITH m AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS last_priority FROM orders GROUP BY 1) SELECT l_orderkey, l_linenumber, last_priority FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN m USING (o_custkey) WHERE l_quantity > 45",
+)
+def _(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    last = o.groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("last_priority"))
+    lines = table(s, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber")
+    return lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).join(last, "o_custkey", "left").select("l_orderkey", "l_linenumber", "last_priority")
+
+
+@query("top_of_each_dimension", f"WITH {EV}, x AS (SELECT 'level' AS dimension, level AS value, count(*) AS n FROM ev GROUP BY 2 UNION ALL SELECT 'source', source_system, count(*) FROM ev GROUP BY 2 UNION ALL SELECT 'component', component, count(*) FROM ev GROUP BY 2), r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS place FROM x) SELECT * FROM r WHERE place <= 3")
+def _(s, d):
+    return reports.top_of_each(reports.breakdown(events(s, d), level=F.col("level"), source=F.col("source_system"), component=F.col("component")), 3)
+
+
+def _parsed_format(key: str):
+    def run(s, d):
+        """A format's own records, rendered from events: each user is a transaction in the file f0, f1 or f2."""
+        e = numbered(s, d)
+        at = F.date_format("ts_utc", "M/d/yyyy h:mm:ss a")
+        body = F.when(F.col("component") == "click", F.concat(F.lit('Request Body {"TransactionId": "X'), "correlation_id", F.lit('", "IssuerId": "'), "source_system", F.lit('", "MerchantInfo": {"MerchantName": "m1"}}')))
+        body = body.when(F.col("component") == "purchase", F.lit("OTP processed successfully")).when(F.col("component") == "error", F.lit("gateway timeout")).otherwise(F.lit("StepUpCall V+ Input Message out-of-band"))
+        line = F.concat(at, F.lit(" Log Tracker No: SU"), F.lpad("correlation_id", 6, "0"), F.lit(" => "), body)
+        fmt = by_key(key)
+        lines = e.select("file_name", "line_no", line.alias("line"))
+        done = canonical(fmt.records(lines), fmt, F.lit(EPOCH).cast("timestamp"))
+        return done.select("file_name", "line_no", time_text("ts_utc"), "level", "component", "correlation_id")
+
+    return run
+
+
+def _format_sql(kinds: dict[str, str], levels_of: dict[str, str], linked: bool) -> str:
+    """What the rendered lines must become: classes by event type, levels by class, and the transaction of a tracker."""
+    tracker = "'SU' || lpad(correlation_id, 6, '0')"
+    kind = "CASE component " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items() if k) + f" ELSE '{kinds['']}' END"
+    level = "CASE " + " ".join(f"WHEN component = '{k}' THEN '{v}'" for k, v in levels_of.items() if k) + f" ELSE '{levels_of['']}' END" if len(levels_of) > 1 else f"'{levels_of['']}'"
+    correlation = f"CASE WHEN known THEN 'X' || correlation_id ELSE {tracker} END" if linked else tracker
+    return f"""WITH {EV}, t AS (SELECT file_name, correlation_id, bool_or(component = 'click') AS known FROM ev GROUP BY 1, 2)
+    SELECT file_name, line_no, {text_time('ts_utc')} AS ts_utc, {level} AS level, {kind} AS component, {correlation} AS correlation_id FROM ev JOIN t USING (file_name, correlation_id)"""
+
+
+SUCCESS = {"purchase": "otp_success"}
+query("custom_parsers_afs_netcetera", _format_sql(SUCCESS | {"click": "request_body", "error": "error", "": "vplus_input"}, {"error": "ERROR", "": "INFO"}, True))(_parsed_format("afs_netcetera"))
+query("custom_parsers_cardinal", _format_sql(SUCCESS | {"click": "request_body", "error": "message", "": "vplus_input"}, {"": "INFO"}, True))(_parsed_format("cardinal"))
+query("custom_parsers_debit_portal", _format_sql(SUCCESS | {"click": "request_body_json", "error": "error", "": "key_value"}, {"error": "ERROR", "": "INFO"}, True))(_parsed_format("debit_portal_log"))
+query("custom_parsers_vflex", _format_sql(SUCCESS | {"click": "request_body", "error": "error", "": "message"}, {"error": "ERROR", "": "INFO"}, True))(_parsed_format("vflex"))
+query("custom_parsers_otp_processor", _format_sql(SUCCESS | {"": "other"}, {"purchase": "INFO", "": "WARN"}, False))(_parsed_format("otp_processor"))
+query("custom_parsers_abce_credit", _format_sql({"purchase": "INFO", "": "INFO"}, {"": "INFO"}, False))(_parsed_format("abce_credit"))

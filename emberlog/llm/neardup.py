@@ -32,7 +32,7 @@ WAVES = (range(0, 2), range(2, 8), range(8, 32))
 #: Values of a prefix (its depth) and their number in a signature.
 DEPTH, TREES = 4, 32
 #: What a task compares at once, in classes and in bytes of their sets.
-STRETCH, STRETCH_BYTES = 4096, 64 << 20
+STRETCH, STRETCH_BYTES = 4096, 24 << 20
 #: Bits of the filter that keeps most other documents from being shingled twice. Its size is fixed; with more
 #: candidates it lets more documents pass, which changes no result.
 FILTER_BITS = 1 << 22

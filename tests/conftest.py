@@ -7,7 +7,8 @@ from emberlog.session import session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    made = session("local[4]", 4, **{"spark.driver.memory": "4g", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
+    # Small inputs: compiling each plan would take most of the time.
+    made = session("local[4]", 2, **{"spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     yield made
     made.stop()
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import SPACES, materialize
-from emberlog.llm.linededup import dedup_lines
+from emberlog.llm.linededup import LINE_CHARS, dedup_lines
 from emberlog.llm.mixing import mix
 from emberlog.llm.neardup import first_of_group
 from emberlog.llm.packing import best_fit
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs of lines; n_chars follows. Documents of which no word is left go."""
-    done = dedup_lines(docs)
+    """Texts without later copies of repeated runs of lines and of repeated single lines; n_chars follows. Documents of which no word is left go."""
+    done = dedup_lines(docs, line_chars=LINE_CHARS)
     emptied = F.col("_runs").isNotNull() & (F.trim("text", F.lit(SPACES)) == "")
     return done.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

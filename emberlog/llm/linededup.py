@@ -11,6 +11,9 @@ place of a window, by document and line, stays; a line is deleted when it lies i
 run is the union of its windows, so runs are found to their full length, against any earlier place, and no two places
 are paired: windows meet in an aggregate with a map-side part, and rows that share a key only look up its first place.
 
+With `line_chars`, a line of so many characters is a window by itself too, forward and backward, beside the longer
+ones: boilerplate of one line goes although its neighbours differ, while shorter lines go with their neighbours only.
+
 What is shuffled are numbers for each line; texts are joined once with the deleted runs, to be rebuilt.
 
 Defined cases: order is by doc_id (nulls first), then by a hash of the text, then by line; rows that repeat both are
@@ -26,13 +29,15 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import materialize
 
 LEAST_CHARS = 100
+#: A line of so many characters, its newline not counted, is enough to be a repeat where single lines are asked for.
+LINE_CHARS = 30
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
 
-def windows(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def windows(docs: DataFrame, least_chars: int = LEAST_CHARS, line_chars: int | None = None) -> DataFrame:
     """doc_id, th, first, last, content, fingerprint, at (its line): forward and backward windows. Positions count lines from 0."""
     whole = F.split("text", "\n")
     # Two rows with equal id and text are one document, so its lines count once.
@@ -52,12 +57,17 @@ def windows(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
         return w.select("doc_id", "th", F.col("run")[0]["p"].alias("first"), F.element_at("run", -1)["p"].alias("last"), F.xxhash64(hashes, F.size("run")).alias("content"), F.array_min(F.transform("run", lambda x: F.struct(x["h"].alias("h"), (-x["p"]).alias("p")))).alias("least")).select("*", F.col("least.h").alias("fingerprint"), (-F.col("least.p")).alias("at")).drop("least")
 
     # A line that is a window alone is one in both directions.
-    return made(ahead).unionByName(made(behind).where("first < last"))
+    found = made(ahead).unionByName(made(behind).where("first < last"))
+    if line_chars is None:
+        return found
+    # Lines of least_chars are windows already.
+    alone = placed.where((F.col("n") > line_chars) & (F.col("n") < least_chars))
+    return found.unionByName(alone.select("doc_id", "th", F.col("p").alias("first"), F.col("p").alias("last"), F.xxhash64(F.array("h"), F.lit(1)).alias("content"), F.col("h").alias("fingerprint"), F.col("p").alias("at")))
 
 
-def deleted_runs(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def deleted_runs(docs: DataFrame, least_chars: int = LEAST_CHARS, line_chars: int | None = None) -> DataFrame:
     """doc_id, th, runs: for each document with repeats its deleted runs as (first, last), in order and apart."""
-    all_windows = materialize(windows(docs, least_chars))
+    all_windows = materialize(windows(docs, least_chars, line_chars))
     # Many windows share a minimum at one place; what counts is another place with the same hash.
     where = F.struct("doc_id", "th", "at")
     repeated = all_windows.groupBy("fingerprint").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo != hi").select("fingerprint")
@@ -86,9 +96,9 @@ def _kept_text(text: Column, runs: Column) -> Column:
     return F.element_at(F.transform(F.array(lines), build), 1)
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, line_chars: int | None = None) -> DataFrame:
     """The rows and columns of docs with text rebuilt, and a column _runs: what was deleted, null where nothing was."""
-    runs = materialize(deleted_runs(docs, least_chars)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
+    runs = materialize(deleted_runs(docs, least_chars, line_chars)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
     rows = docs.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
     # One plan at every size: runs are a share of the documents, so they are never broadcast.
     joined = rows.join(runs.hint("merge"), rows["doc_id"].eqNullSafe(runs["_id"]) & (rows["_of"] == runs["_th"]), "left")

@@ -139,6 +139,21 @@ def test_line_dedup_takes_whole_passages(spark):
     assert got == {1: rows[0][1], 2: "other", 3: "more", 4: "short line\nend"}
 
 
+def test_line_dedup_takes_single_lines(spark):
+    """Lines of 30 characters go whatever stands beside them; shorter ones stay."""
+    import corpus_pipeline
+    from emberlog.llm.linededup import dedup_lines
+
+    notice, edge, short = "Subscribe to our letter and never miss any news!!!", "e" * 30, "s" * 29
+    assert len(notice) == 50
+    rows = [(k, f"{notice}\nown {k}\n{edge}\nmine {k}\n{short}\nlast {k}\n{notice if k % 2 else k}") for k in range(1, 6)] + [(9, notice)]
+    df = docs(spark, rows, extra=False)
+    want = {1: "\n".join(rows[0][1].split("\n")[:-1])} | {k: f"own {k}\nmine {k}\n{short}\nlast {k}" + ("" if k % 2 else f"\n{k}") for k in range(2, 6)} | {9: ""}
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(df, line_chars=30).collect()} == want
+    del want[9]
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == want
+
+
 # Mixing
 
 

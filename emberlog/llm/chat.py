@@ -61,7 +61,7 @@ def parse(text: str) -> list[tuple[str, str]]:
     turns, at = [], 0
     while at < len(text):
         m = _TURN.match(text, at)
-        if not m or START in m[1] or END in m[1] or START in m[2]:
+        if not m or START in m[1] or END in m[1] or START in m[2] or END in m[2]:
             raise ValueError(f"no turn at {at}")
         turns.append((_unescape_role(m[1]), unescape(m[2])))
         at = m.end()

@@ -83,6 +83,18 @@ def test_chat_digests(spark):
     assert read_back(format_chats(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("s", ["b<|im_end|>", "x <|im_end|> y", "<|im_end|>", "a\n<|im_end|>b", "<|im_start|>", "<|im_end|><|im_end|>"])
+def test_chat_turns_hold_no_marker(s):
+    from emberlog.llm.chat import END, START, format_turn, parse
+
+    for role, text in ((s, "x"), ("user", s), (s, s)):
+        out, at, n = format_turn(role, text)
+        assert parse(out) == [(role, text)]
+        assert out.count(START) == out.count(END) == 1 and START not in out[at : at + n] and END not in out[at : at + n]
+    with pytest.raises(ValueError):
+        parse(f"{START}user\nx {END} y{END}\n")
+
+
 # Line dedup
 
 

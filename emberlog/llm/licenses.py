@@ -1,12 +1,17 @@
 """Operator 6: license texts, by an exact set-similarity join of text blocks with templates.
 
-A block is a line; it matches a template when it holds at least `containment` of the template's distinct words.
+A block is a line, or a window of consecutive words over several lines; it matches a template when it holds at least
+`containment` of the template's distinct words. Windows are for texts that are wrapped: they are as long as the
+template, and longer by the share that may be missing, so that as many words may stand between as may be left out.
+Lines count first: a window counts where it doesn't touch a line that matches the template alone.
 The words of all templates are put into one global order by how many documents hold them, rarest first; those
 frequencies are counted over all documents and there are only as many as the templates have words. Then
   length filter    a block with fewer distinct words than the template needs is left at once;
   prefix filter    of a template with n words that needs m, one of the n - m + 1 rarest must be in the block;
   positional       a template first met at its word number i can match in n - i words at most;
 and the few candidates that are left are verified on the full sets. So nothing above the threshold is missed.
+The same filters on a whole document's words tell which templates its windows can match; for these two pointers go
+over the places of the template's words.
 Templates are a parameter and bounded; documents stream through, with no shuffle but that of the word counts.
 
 Beside this, each place where a phrase's words stand consecutively counts for the phrase's label.
@@ -18,6 +23,7 @@ of the input are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -78,12 +84,13 @@ class TemplateIndex:
     """Prefix index of the templates under a global order of words."""
 
     def __init__(self, templates, frequency: dict[str, int], containment: float):
-        self.sets, self.least, self.prefix = [], [], defaultdict(list)
+        self.sets, self.least, self.width, self.prefix = [], [], [], defaultdict(list)
         for t, (_, text) in enumerate(templates):
             ordered = sorted(set(words_of(text)), key=lambda w: (frequency.get(w, 0), w))
             need = needed(len(ordered), containment)
             self.sets.append(frozenset(ordered))
             self.least.append(need)
+            self.width.append(-(-len(words_of(text)) * 10**6 // round(containment * 10**6)))
             for i, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix[w].append((t, i))
         self.rare = frozenset(self.prefix)
@@ -104,11 +111,49 @@ class TemplateIndex:
                     out.append((t, overlap))
         return sorted(out)
 
+    def windows(self, words: list[str], ends: list[int], alone: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Line, template and overlap of each window over several lines that matches; apart, the best of those that overlap.
+
+        ends has the number of words up to the end of each line, alone the lines and templates that match already.
+        """
+        out = []
+        for t, _ in self.matches(set(words)):
+            own, width = self.sets[t], self.width[t]
+            taken = sorted(line for line, other in alone if other == t)
+            places = [(i, bisect_right(ends, i)) for i, w in enumerate(words) if w in own]
+            places = [(i, line) for i, line in places if (line, t) not in alone]
+            inside: Counter = Counter()
+            low, passed, found = 0, 0, []
+            for k, (last, line) in enumerate(places):
+                if (before := bisect_right(taken, line)) != passed:
+                    inside.clear()
+                    low, passed = k, before
+                inside[words[last]] += 1
+                while last - places[low][0] >= width:
+                    w = words[places[low][0]]
+                    inside[w] -= 1
+                    if not inside[w]:
+                        del inside[w]
+                    low += 1
+                if len(inside) >= self.least[t]:
+                    found.append((places[low][0], last, places[low][1], len(inside)))
+            k = 0
+            while k < len(found):
+                reach = found[k][0] + width
+                best = found[k]
+                while k < len(found) and found[k][1] < reach:
+                    best = max(best, found[k], key=lambda x: x[3])
+                    k += 1
+                out.append((best[2], t, best[3]))
+                while k < len(found) and found[k][0] <= best[1]:
+                    k += 1
+        return out
+
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the matched blocks.
 
-    blocks holds line, label and overlap as a share of the template's words; score is the best share, 1 where a phrase stands.
+    blocks holds line (the first one), label and overlap as a share of the template's words; score is the best share, 1 where a phrase stands.
     """
     vocabulary = sorted({w for _, text in templates for w in words_of(text)})
     index = TemplateIndex(templates, word_frequencies(docs, vocabulary), containment)
@@ -129,11 +174,19 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contain
                 for text in part.column(1).to_pylist():
                     n, places, base, blocks = 0, [], set(), []
                     words: list[str] = []
+                    ends: list[int] = []
+                    alone: set[tuple[int, int]] = set()
                     for number, line in enumerate((text or "").split("\n")):
                         own = words_of(line)
                         words += own
+                        ends.append(len(words))
                         for t, overlap in index.matches(set(own)):
                             blocks.append({"line": number, "label": templates[t][0], "share": overlap / len(index.sets[t])})
+                            alone.add((number, t))
+                    wrapped = index.windows(words, ends, alone)
+                    if wrapped:
+                        blocks += [{"line": number, "label": templates[t][0], "share": overlap / len(index.sets[t])} for number, t, overlap in wrapped]
+                        blocks.sort(key=lambda b: b["line"])
                     n = len(words)
                     joined = f" {' '.join(words)} "
                     for needle, phrase, label in spaced:

@@ -347,6 +347,49 @@ def test_licenses(spark):
         assert index.matches(block) == want
 
 
+MIT = """/*
+ * Copyright (c) 2020 Somebody
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ */
+int main;"""
+
+
+def test_wrapped_licenses(spark):
+    from emberlog.llm.licenses import CONTAINMENT, TEMPLATES, needed, scan_licenses, words_of
+
+    short = "x y\nReleased under\nthe MIT License.\nz"
+    rows = [(1, MIT), (2, short), (3, MIT + "\n" + "filler words\n" * 30 + MIT), (4, MIT.replace(" free of charge, to any person obtaining", " " + "x " * 40)), (5, "Released under the MIT License.\n" + "filler words\n" * 9 + short), (6, "Released under the MIT License.\n" + short[4:] + "\nReleased under the MIT License.")]
+    rows += [(100 + k, "\n".join(words_of(text))) for k, (_, text) in enumerate(TEMPLATES)]
+    got = {r["doc_id"]: r for r in scan_licenses(docs(spark, rows)).collect()}
+    blocks = {i: [(b["line"], b["label"]) for b in r["blocks"]] for i, r in got.items()}
+    assert "grant-mit" in got[1]["labels"] and blocks[1] == [(3, "grant-mit")] and 0.8 <= got[1]["score"] <= 1
+    assert blocks[2] == [(1, "notice-mit")] and got[2]["score"] == 1.0
+    assert blocks[3] == [(3, "grant-mit"), (42, "grant-mit")] and blocks[4] == []
+    assert blocks[5] == [(0, "notice-mit"), (11, "notice-mit")]
+    assert blocks[6] == [(0, "notice-mit"), (1, "notice-mit"), (4, "notice-mit")]
+    for k, (label, _) in enumerate(TEMPLATES):
+        assert label in got[100 + k]["labels"].split(",")
+    # Labels of scattered words, against each window of each template's width over two lines or more.
+    rng = random.Random(3)
+    pool = sorted({w for _, t in TEMPLATES for w in words_of(t)}) + ["filler"] * 20
+    rows = []
+    for i in range(150):
+        words = [w for _ in range(3) for w in [*rng.choices(pool, k=rng.randrange(30)), *(w for w in words_of(rng.choice(TEMPLATES)[1]) if rng.random() < 0.9)]]
+        rows.append((i, "".join(w + rng.choice(" \n") for w in words)))
+    for r in scan_licenses(docs(spark, rows)).collect():
+        text, want = rows[r["doc_id"]][1], set()
+        words, lines = words_of(text), [set(words_of(x)) for x in text.split("\n")]
+        for label, t in TEMPLATES:
+            own, width = set(words_of(t)), -(-len(words_of(t)) * 10 // round(CONTAINMENT * 10))
+            if any(len(own & set(b)) >= needed(len(own), CONTAINMENT) for b in [*lines, *(words[k : k + width] for k in range(len(words)))]):
+                want.add(label)
+        assert {b["label"] for b in r["blocks"]} == want
+
+
 # Secrets
 
 

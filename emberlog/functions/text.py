@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberlog.functions.payloads import unescape_html
+
 #: What is picked out of any message, by name.
 OBSERVABLES = {
     "urls": r"https?://[^\s<>\"']+",
@@ -46,6 +48,11 @@ def unescape_entities(text: Column) -> Column:
     return out
 
 
+def unescape_all(text: Column) -> Column:
+    """All references of HTML, named and numeric; the non-breaking blank becomes a usual one, as patterns take it for a blank."""
+    return F.translate(unescape_html(text), "\u00a0", " ")
+
+
 def repair_ampersands(xml: Column) -> Column:
     """Naked ampersands as entities."""
     return F.regexp_replace(xml, r"&(?!amp;|lt;|gt;|quot;|apos;|#\d+;|#x[0-9A-Fa-f]+;)", "&amp;")
@@ -53,7 +60,7 @@ def repair_ampersands(xml: Column) -> Column:
 
 def tag(xml: Column, name: str) -> Column:
     """The text of the first such element; null where there is none or it is empty."""
-    return F.nullif(clean(unescape_entities(F.regexp_extract(xml, rf"(?is)<{name}>(.*?)</{name}>", 1))), F.lit(""))
+    return F.nullif(clean(unescape_all(F.regexp_extract(xml, rf"(?is)<{name}>(.*?)</{name}>", 1))), F.lit(""))
 
 
 def last_pairs(keys: Column, values: Column) -> Column:

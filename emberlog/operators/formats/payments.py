@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.payloads import payload
-from emberlog.functions.text import base64_text, clean, contains_any, observables, otp_message, phase, repair_ampersands, tag, unescape_entities
+from emberlog.functions.text import base64_text, clean, contains_any, observables, otp_message, phase, repair_ampersands, tag, unescape_all
 from emberlog.operators.correlate import carried, first_nonempty, last_nonempty, ordered_distinct, resolve_aliases, truthy
 from emberlog.operators.formats import US_TIME, Format, classify, split_records
 
@@ -158,7 +158,7 @@ class Payment:
 
 def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
     """Classes, payloads and identifiers of events with file_name, ordinal, ts_raw, tracker, message, raw."""
-    text = unescape_entities(F.col("message"))
+    text = unescape_all(F.col("message"))
     rows = rows.withColumn("text", text).withColumn("event_type", classify(F.col("text"), kind.classes, kind.otherwise)).withColumn("p", payload("text"))
     xml = repair_ampersands(F.regexp_extract("text", r"(?s)(<Msg>.*?(?:</Msg>|$)|<EmailMsg>.*?(?:</EmailMsg>|$))", 1))
     rows = rows.withColumn("xml", F.nullif(xml, F.lit("")))
@@ -292,7 +292,7 @@ OTP = Payment(OTP_CLASSES, "other", (), ("sms_queue_msg_id",), (), True, "record
 def otp_processor(lines: DataFrame) -> DataFrame:
     """Events at timestamps anywhere; lines without a tracker take the pending one; updates count after the first XML of a tracker."""
     rows = split_records(lines, US_TIME, anywhere=True).withColumn("message", clean(F.regexp_replace("body", r"^\s*:\s*", "")))
-    plain = unescape_entities(F.col("message"))
+    plain = unescape_all(F.col("message"))
     own = F.coalesce(F.nullif(F.upper(F.regexp_extract(plain, r"(?i)Log Tracker No:\s*([A-Z]{2}\d+)", 1)), F.lit("")), tag(plain, "mtrackingid"))
     base = rows.select("file_name", "ordinal", F.col("header").alias("ts_raw"), own.alias("own"), "message", F.concat_ws(" ", "header", "message").alias("raw")).withColumn("tracker", F.col("own"))
     events = read_events(base, OTP).withColumn("own", F.col("tracker"))

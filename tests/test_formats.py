@@ -140,6 +140,18 @@ def test_vflex(lines):
     assert tx["bank_api"]["success"] is True and tx["otp_state"]["processed_successfully"] and "OTP value was not extracted" in tx["warnings"]
 
 
+def test_payloads_with_any_reference(lines):
+    """Numeric references, and named ones beyond XML's, as html.unescape() reads them."""
+    for key, quote in (("afs_netcetera", "&#34;"), ("vflex", "&#x22;"), ("debit_portal_log", "&#X22;")):
+        plain = f'{US} Log Tracker No: SU1 => Request Body {{"TransactionId": "X1", "IssuerId": "Caf&eacute;", "MerchantInfo":&#10;{{"MerchantName": "m"}}}}'
+        head, body = plain.split("{", 1)
+        got = rows(key, lines(head + "{" + body.replace('"', quote)))
+        assert got[0][0]["correlation_id"] == "X1" and json.dumps(got[0][1], ensure_ascii=False).count("Café"), key
+    xml = "<Msg><Header><mtrackingid>IA77</mtrackingid></Header><Body><MerchantName>Caf&eacute; &amp;#38; Co</MerchantName></Body></Msg>"
+    got = rows("otp_processor", lines(f"{US} : Msg Received-- " + xml.replace("<", "&#60;").replace(">", "&#x3e;")))
+    assert got[0][0]["log_type"] == "msg_received_sms_xml" and got[0][0]["correlation_id"] == "IA77" and got[0][1]["record"]["merchant"]["name"] == "Café & Co"
+
+
 @pytest.mark.parametrize("key", ["abce_credit", "abce_debit", "asbb_debit", "asbb_mw_credit", "afs_netcetera", "otp_processor", "debit_portal_log", "cardinal", "vflex"])
 def test_empty_files(lines, key):
     assert by_key(key).records(lines("")).count() == 0

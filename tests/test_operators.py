@@ -71,6 +71,15 @@ def test_texts(spark):
     assert one(spark, text.observables(F.col("a")), a="x@y.com 10.0.0.1 x@y.com")["emails"] == ["x@y.com"]
 
 
+def test_all_references_of_html(spark):
+    import html
+
+    for s in ["&#34;&#x22;&#X22;&#10;", "&eacute;&copy;&middot;&copy=1", "&amp;lt; &amp;amp;", "&lt &notit; &nosuch; & &#;", "&#128;&#0;&#xD800;", "", "{&quot;a&quot;: &#39;b&#39;}"]:
+        assert one(spark, text.unescape_all(F.col("a")), a=s) == html.unescape(s)
+    assert one(spark, text.unescape_all(F.col("a")), a=None) is None and one(spark, text.unescape_all(F.col("a")), a="a&nbsp;b&#160;c") == "a b c"
+    assert one(spark, text.tag(F.col("a"), "x"), a="<x>Caf&eacute; &#38;</x>") == "Café &"
+
+
 def test_payloads(spark):
     got = one(spark, payloads.payload(F.col("a")), a='x {"A": {"b": "}"}, "C": [{"Type": "SMS", "Text": "+49"}]} y {"D": 1')
     assert [o["status"] for o in got["objects"]] == ["parsed", "incomplete"] and got["status"] == "incomplete"

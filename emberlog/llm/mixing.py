@@ -6,11 +6,13 @@ max_rate * size / weight this has a closed form: the first ones stop at their li
 The rate is target / size; a document is taken floor(rate) times, and once more where a hash of its id, uniform in
 [0, 1), is below the fraction. So a rerun takes the same copies, and no row depends on another.
 
-Only one row for each source is ever ordered in one place. The join back to the documents is by Spark's choice: it
+One row for each source, three numbers and its name, is ordered in one place: that holds for sources by the million,
+which is more than a mixture with weights by source can mean; nothing that grows with the documents is. The join back to the documents is by Spark's choice: it
 broadcasts the sources' table only where its size is below the session's threshold, else it splits skewed sources.
 
 Defined cases: null and blank texts have size 0; a null source is a source, last in order; a source of size 0 has
-target 0; rows that repeat a doc_id draw alike; a null doc_id draws as the text "null"; an empty table gives no rows.
+target 0; rows that repeat a doc_id draw alike; a null doc_id draws as the text "null"; an empty table gives no rows. Other columns
+are kept by mix(), whatever their names are, and ignored by plan_mix().
 """
 
 from __future__ import annotations
@@ -43,21 +45,29 @@ def copies(rate: Column, key: Column, seed: str) -> Column:
     return (F.floor(rate) + F.when(unit_hash(seed, key) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = 3, seed: str = "mix", keep_text: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies for each row, with all other columns if keep_text."""
-    sized = docs.withColumn("size", F.size(word_array(F.col("text"))).cast("long"))
-    # Without texts the rows are few bytes each, so they are written and the texts are read once.
-    rows = sized if keep_text else materialize(sized.select("doc_id", "source", "size"))
+def _size(text: Column) -> Column:
+    return F.size(word_array(text)).cast("long")
+
+
+def _rated(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], max_rate: int, seed: str) -> DataFrame:
+    """rows (doc_id, source and others) with source_size, target, rate and copies, from the sizes of `sized`."""
     # Written, so that its true size decides whether the rows need a shuffle.
-    rates = materialize(source_rates(rows.select("source", "size"), weights, max_rate).withColumnRenamed("source", "of_source"))
-    joined = rows.join(rates, rows["source"].eqNullSafe(rates["of_source"])).drop("of_source")
+    rates = materialize(source_rates(sized, weights, max_rate)).select(F.struct("source").alias("of"), "source_size", "target", "rate")
+    joined = rows.withColumn("of", F.struct("source")).join(rates, "of").drop("of")
     return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = 3, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies for each row."""
+    # Without texts the rows are few bytes each, so they are written and the texts are read once.
+    rows = materialize(docs.select("doc_id", "source", _size(F.col("text")).alias("size")))
+    return _rated(rows, rows.select("source", "size"), weights, max_rate, seed)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = 3, seed: str = "mix") -> DataFrame:
     """The documents, each as often as it is taken, in the columns of docs."""
-    clash = {"size", "source_size", "target", "rate", "copies"} & set(docs.columns)
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"_{c}" if c in clash else c) for c in docs.columns])
-    taken = plan_mix(plain, keep_text=True, **options).where("copies > 0")
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.select(*[F.col(f"`_{c}`" if c in clash else f"`{c}`").alias(c) for c in docs.columns])
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sized = docs.select("source", _size(F.col("text")).alias("size"))
+    taken = _rated(rows, sized, weights, max_rate, seed).where("copies > 0")
+    repeated = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])

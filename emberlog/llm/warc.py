@@ -27,6 +27,8 @@ from emberlog.llm.common import materialize, own_columns, shared_dir
 FILE_BYTES = 128 << 20
 #: Ranges with a smaller gap are read at once, up to so many bytes.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Archive bytes that a reading task gets, where there are enough of them for all cores.
+TASK_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -107,7 +109,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, file_b
 
 
 def read_records(selected: DataFrame, folder: str) -> DataFrame:
-    """page_id, record_type, refers_to, digest (as the record states), payload: the records of the selected index rows."""
+    """page_id, record_type, refers_to, digest (as the record states), payload: the records of the selected index rows.
+
+    Index rows are few bytes for each record, so tasks are dealt by what they will read: ranges of file and offset, as
+    many as the records' lengths ask for.
+    """
+    total = selected.agg(F.sum("length").alias("n")).first()["n"] or 0
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-total // TASK_BYTES), min(cores, -(-total // READ_BYTES * 4)), 1)
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -138,7 +147,7 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
         if source:
             source.close()
 
-    ranges = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    ranges = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(read, "page_id long, record_type string, refers_to long, digest string, payload binary")
 
 

@@ -38,7 +38,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     hostile = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(format_chats(rows.unionByName(hostile)))
+    return read_back(format_chats(rows.unionByName(hostile)), ordered=True)
 
 
 @query(

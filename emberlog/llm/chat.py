@@ -117,9 +117,12 @@ def format_chats(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     return ordered.mapInArrow(positions, f"conv_id {kind}, position long, formatted string, start long, loss_start long, loss_chars long")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """A digest of each conversation, from the output of format_chats alone, in its order and partitions.
+def read_back(formatted: DataFrame, ordered: bool = False) -> DataFrame:
+    """A digest of each conversation, from the output of format_chats alone, in any order and partitions of its rows.
 
+    The parser reads the conversation on from turn to turn: each row must go on where the last one ended and be whole
+    turns of the grammar, so that the parts' turns are the whole's. ordered: the rows lie as format_chats() left them, so
+    they needn't be dealt and sorted again; where they don't, the check fails.
     n_turns, turns_sha256 over role, newline, text, newline of each parsed turn, loss_chars and loss_sha256 over the
     unescaped text under the mask, formatted_chars.
     """
@@ -142,10 +145,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
         ids = pa.int64()
         for batch in batches:
             ids = batch.schema.field(0).type
-            for conv, _, text, start, loss_start, loss_chars in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for conv, position, text, start, loss_start, loss_chars in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if conv != now:
                     close()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if (position, start) != (state[5], state[4]):
+                    raise ValueError(f"conversation {conv}: turn {position} doesn't follow")
+                state[5] += 1
                 for role, body in parse(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{body}\n".encode())
@@ -161,4 +167,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if done:
             yield flush()
 
-    return formatted.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted if ordered else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return rows.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,8 +1,9 @@
 """Connected components of an edge table, by contraction.
 
-In each round every node is contracted into the member of its closed neighbourhood with the smallest hash, drawn anew
-for the round; edges follow, loops and doubles go. Rounds grow as the logarithm of the nodes, whatever the shape: a
-long chain and a star alike. Minima are aggregated before the shuffle, and tables are written between rounds, so a
+In each round every node is contracted into the first member of its closed neighbourhood; edges follow, loops and
+doubles go. In the first round the smallest node is the first, so stars around their smallest node go at once; later on
+it is that with the smallest hash, drawn anew for the round. Rounds grow as the logarithm of the nodes, whatever the
+shape. Minima are aggregated before the shuffle, and tables are written between rounds, so a
 lost executor repeats a round at most. Nothing but a count reaches the driver.
 """
 
@@ -15,14 +16,14 @@ from emberlog.llm.common import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) for each node of the edges (a, b). Nulls and loops are left out."""
+    """node, component (its smallest reachable node) for each node of the edges (a, b), of any type that has an order. Nulls and loops are left out."""
     left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     maps: list[DataFrame] = []
     while not left.isEmpty():
         seed = F.lit(len(maps))
 
         def ranked(name: str):
-            return F.struct(F.xxhash64(name, seed).alias("h"), F.col(name).alias("x"))
+            return F.struct((F.xxhash64(name, seed) if maps else F.lit(0).cast("long")).alias("h"), F.col(name).alias("x"))
 
         arcs = left.select("a", "b").union(left.select("b", "a"))
         best = arcs.groupBy("a").agg(F.min(ranked("b")).alias("near"))

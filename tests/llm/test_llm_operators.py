@@ -81,6 +81,11 @@ def test_chat_digests(spark):
         assert got[k]["n_turns"] == len(turns) and got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[k]["loss_chars"] == len(loss) and got[k]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert read_back(format_chats(df.limit(0))).count() == 0
+    # Written and read in any order, it is the same; a missing turn is an error.
+    shuffled = format_chats(df).repartition(5, "start", "conv_id").cache()
+    assert {r["conv_id"]: r for r in read_back(shuffled).collect()} == got == {r["conv_id"]: r for r in read_back(format_chats(df), ordered=True).collect()}
+    with pytest.raises(Exception, match="doesn't follow"):
+        read_back(shuffled.where("position != 1")).collect()
 
 
 @pytest.mark.parametrize("s", ["b<|im_end|>", "x <|im_end|> y", "<|im_end|>", "a\n<|im_end|>b", "<|im_start|>", "<|im_end|><|im_end|>"])
@@ -166,6 +171,21 @@ def test_line_dedup_takes_single_lines(spark):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == want
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    """Null ids, a very long text, and columns that are called as the operator's own are."""
+    from emberlog.llm.linededup import dedup_lines
+
+    passage, long = "\n".join(f"p{k} " + "x" * 40 for k in range(3)), "\n".join(f"line {k} of many that differ" for k in range(30000))
+    rows = [(None, passage), (1, passage + "\nown"), (None, "alone"), (2, long), (3, long + "\n" + passage)]
+    names = ["_id", "_th", "_of", "_runs", "key", "runs", "row", "th", "start", "h"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(f"is {c}") for c in names})
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "__runs"]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(None, passage), (1, "own"), (None, "alone"), (2, long), (3, "")])
+    assert all(r[c] == f"is {c}" for r in got for c in names)
+
+
 # Mixing
 
 
@@ -210,6 +230,11 @@ def test_mixing(spark):
         assert sum(r["size"] * r["copies"] for r in own) == pytest.approx(own[0]["target"], rel=0.1)
     mixed = mix(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in plan)
+    names = ["_copy", "of_source", "size", "_size", "copies", "of", "row", "col"]
+    clash = df.withColumns({c: F.lit(f"is {c}") for c in names})
+    mixed = mix(clash)
+    assert mixed.columns == clash.columns and mixed.count() == sum(r["copies"] for r in plan) == mixed.where(" AND ".join(f"`{c}` = 'is {c}'" for c in names)).count()
+    assert plan_mix(clash).count() == len(plan)
     assert mix(df.limit(0)).count() == 0
 
 
@@ -258,6 +283,45 @@ def test_near_duplicates_hard_rows(spark):
     assert link_documents(docs(spark, [(1, None)]), 2).first()["kept"]
 
 
+def test_repeated_ids_and_null_ids_keep_one_row_of_each_group(spark):
+    from emberlog.llm.neardup import first_of_group, link_documents
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (3, b), (5, b), (7, c), (7, c), (None, c), (None, a + " more"), (None, "x y"), (None, "x y"), (8, None), (8, None), (9, "")]
+    want = Counter([(5, a), (3, b), (7, c), (None, a + " more"), (None, "x y"), (8, None), (8, None), (9, "")])
+    for stretch in (4096, 2):
+        kept = first_of_group(docs(spark, rows).withColumn("key", F.lit(1)).withColumn("th", F.lit("x")), 2, stretch=stretch)
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    got = Counter((r["doc_id"], r["component_id"]) for r in link_documents(docs(spark, rows), 2).collect())
+    assert got == Counter([(5, 5), (3, 3), (5, 3), (7, 7), (7, 7), (None, 7), (None, None), (None, None), (None, None), (8, 8), (8, 8), (9, 9)])
+    assert first_of_group(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_unrelated_long_documents_share_no_prefix(spark):
+    """A prefix keeps all of its bits, however long a text is."""
+    from emberlog.llm.neardup import sketches
+
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(20000)), lambda x: F.concat_ws("_", "id", x.cast("string")))).alias("text"))
+    rows = sketches(df, 2).select(F.posexplode("keys").alias("t", "k"))
+    assert rows.groupBy("t", "k").count().where("count > 1").count() == 0
+
+
+def test_regions_of_one_group_and_of_many(spark):
+    """A dense prefix is cut into stretches: a big group becomes one component, and groups apart stay apart."""
+    from emberlog.llm.neardup import link_documents
+
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(300)]
+    rows = []
+    for i in range(120):
+        own = [f"g{i % 4}_{k}" for k in range(90 if i % 4 else 0)]
+        w = shared + own
+        w[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    want = components_of([i for i, _ in rows], similar(rows, 2)[1])
+    assert {r["doc_id"]: r["component_id"] for r in link_documents(docs(spark, rows), 2, stretch=10).collect()} == want
+
+
 def test_star_of_copies_is_one_component(spark):
     """Copies that are similar to the original alone must all be found, however many they are."""
     from emberlog.llm.neardup import link_documents
@@ -430,6 +494,18 @@ def test_warc(spark, tmp_path):
     chosen = read_records(index.where("page_id IN (1, 4)"), folder).collect()
     assert {r["page_id"]: bytes(r["payload"]) for r in chosen} == {1: html[1], 4: html[4]}
     assert archived_pages(df.limit(0)).count() == 0
+    assert [r["record_type"] for r in archived_pages(spark.createDataFrame([(None, None, big), (None, "u", big)], "page_id long, url string, html string")).collect()] == ["response"] * 2
+
+
+def test_warc_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    from emberlog.llm import warc
+
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    rng = random.Random(1)
+    rows = [(k, "u", "".join(rng.choice("abcdefgh") for _ in range(900))) for k in range(60)]
+    folder = f"file://{tmp_path}/w"
+    read = warc.read_records(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), folder)
+    assert read.rdd.getNumPartitions() > 8 and {r["page_id"]: bytes(r["payload"]).decode() for r in read.collect()} == {i: h for i, _, h in rows}
 
 
 # Quality
@@ -522,6 +598,23 @@ def test_packing(spark):
     assert best_fit(docs(spark, HARD).limit(0)).count() == 0
 
 
+def test_ids_of_the_given_documents(spark):
+    """The faster encoder gives the tokenizer's own ids."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from emberlog.llm.packing import WordEncoder
+    from emberlog.session import table
+
+    texts = [r["text"] or "" for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice("ab \n\t'é日.,1 ​\u3000\x85") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    json_path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(json_path)
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert WordEncoder(json_path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(texts) == want
+
+
 def test_open_bins_close_the_fullest():
     from emberlog.llm.packing import OpenBins
 

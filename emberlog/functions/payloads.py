@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+import html
 import json
 import re
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: What matters for balance: a whole string, or its beginning where the text ends, and braces.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[{}]', re.S)
+
+
 def balanced(text: str) -> Iterator[tuple[str, bool]]:
     """Each outermost {...} of a text, and whether it is closed; braces in strings don't count."""
     at = text.find("{")
     while at != -1:
-        depth, quoted, skip, end = 0, False, False, None
-        for i in range(at, len(text)):
-            c = text[i]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
+        depth, end = 0, None
+        for token in _TOKEN.finditer(text, at):
+            if token[0] == "{":
+                depth += 1
+            elif token[0] == "}":
+                depth -= 1
                 if not depth:
-                    end = i + 1
+                    end = token.end()
                     break
         yield text[at:end], end is not None
         at = text.find("{", end) if end else -1
@@ -51,9 +52,49 @@ def leaves(value, found: dict[str, str]) -> None:
 _PAIR = re.compile(r'"(\w+)"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?[\w.]+))')
 
 
-def _scan(text: str | None) -> tuple:
+_MESSAGE = re.compile(r"<(Msg|EmailMsg)>.*?(?:</\1>|$)", re.S)
+_NAKED = re.compile(r"&(?!amp;|lt;|gt;|quot;|apos;|#\d+;|#x[0-9A-Fa-f]+;)")
+_ELEMENT = re.compile(r"<(\w+)>([^<]*)</\1>", re.I)
+
+
+def tree(element) -> object:
+    """An element's text, or its children by tag; a tag that repeats has a list."""
+    if not len(element):
+        return (element.text or "").strip()
+    out: dict = {}
+    for child in element:
+        if child.tag not in out:
+            out[child.tag] = tree(child)
+        elif isinstance(out[child.tag], list):
+            out[child.tag].append(tree(child))
+        else:
+            out[child.tag] = [out[child.tag], tree(child)]
+    return out
+
+
+def read_xml(text: str) -> tuple[str | None, str | None, dict[str, str]]:
+    """How the first message in a text was read (xml, regex or None), its tree as JSON, and texts by lower-cased tag, the first of each."""
+    found = _MESSAGE.search(text)
+    if not found:
+        return None, None, {}
+    raw, tags = _NAKED.sub("&amp;", found[0]), {}
+    try:
+        root = ElementTree.fromstring(raw)
+        for e in root.iter():
+            if not len(e) and (e.text or "").strip():
+                tags.setdefault(e.tag.lower(), e.text.strip())
+        return "xml", json.dumps(tree(root), ensure_ascii=False), tags
+    except ElementTree.ParseError:
+        for name, value in _ELEMENT.findall(raw):
+            if value.strip():
+                tags.setdefault(name.lower(), html.unescape(value).strip())
+        return "regex", None, tags
+
+
+def _scan(message: str | None) -> dict:
+    text = html.unescape(message or "").replace("\u00a0", " ")
     objects, fields, status = [], {}, None
-    for raw, closed in balanced(text or ""):
+    for raw, closed in balanced(text):
         try:
             leaves(json.loads(raw), fields)
             kind = "parsed"
@@ -62,30 +103,38 @@ def _scan(text: str | None) -> tuple:
             for k, quoted, bare in _PAIR.findall(raw):
                 if (v := quoted or bare) and v != "null":
                     fields.setdefault(k.lower(), v)
-        objects.append((kind, raw))
+        objects.append({"status": kind, "raw": raw})
         status = kind if status in (None, "parsed") else status
-    return status, objects, fields
+    method, document, tags = read_xml(text)
+    return {"text": None if message is None else text, "status": status, "objects": objects, "fields": fields, "method": method, "document": document, "tags": tags}
 
 
+_TEXT, _MAP = T.StringType(), T.MapType(T.StringType(), T.StringType())
+_OBJECT = T.StructType([T.StructField("status", _TEXT), T.StructField("raw", _TEXT)])
 PAYLOAD = T.StructType(
     [
-        T.StructField("status", T.StringType()),
-        T.StructField("objects", T.ArrayType(T.StructType([T.StructField("status", T.StringType()), T.StructField("raw", T.StringType())]))),
-        T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("text", _TEXT),
+        T.StructField("status", _TEXT),
+        T.StructField("objects", T.ArrayType(_OBJECT)),
+        T.StructField("fields", _MAP),
+        T.StructField("method", _TEXT),
+        T.StructField("document", _TEXT),
+        T.StructField("tags", _MAP),
     ]
 )
 
 
 @F.pandas_udf(PAYLOAD)
 def payload(text: pd.Series) -> pd.DataFrame:
-    """All objects of a message with their status, and scalars by lower-cased key; from broken ones by pattern."""
-    made = [_scan(t) for t in text]
-    return pd.DataFrame({"status": [m[0] for m in made], "objects": [[{"status": s, "raw": r} for s, r in m[1]] for m in made], "fields": [m[2] for m in made]})
+    """A message without references of HTML, and all that is in it.
+
+    Its objects with their status, scalars by lower-cased key (of broken objects by pattern), and of its XML message how it
+    was read, the tree as JSON, and texts by lower-cased tag.
+    """
+    return pd.DataFrame([_scan(t) for t in text], columns=["text", "status", "objects", "fields", "method", "document", "tags"])
 
 
 @F.pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """All named and numeric entities of HTML, for texts beyond the five of XML."""
-    import html
-
     return text.map(lambda t: None if t is None else html.unescape(t))

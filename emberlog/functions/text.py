@@ -109,6 +109,43 @@ def contains_any(text: Column, *parts: str) -> Column:
     return out
 
 
+#: What a URL's path says about the operation that it calls.
+OPERATIONS = (("setup-request", "SETUP_REQUEST"), ("otp-request", "OTP_REQUEST"))
+
+
+def operation(url: Column) -> Column:
+    """The operation that a URL calls; UNKNOWN for others, null without a URL."""
+    out = F.when(url.isNull() | (url == ""), F.lit(None).cast("string"))
+    for part, name in OPERATIONS:
+        out = out.when(F.contains(F.lower(url), F.lit(part)), name)
+    return out.otherwise("UNKNOWN")
+
+
+#: A frame of a stack trace: method, and file and line where they are known.
+_FRAME = r"^\s*at\s+(.+?)(?:\s+in\s+(.+?):line\s+(\d+))?\s*$"
+_EXCEPTION = r"((?:System\.)?[A-Za-z][A-Za-z0-9_.]*(?:Exception|Error))\s*:\s*([^\n]+)"
+
+
+def exception(text: Column) -> Column:
+    """Type, message, frames (method, file, line) and the lines that are no frames; null where there is neither type nor frame."""
+    follows = F.split(text, "\n")
+    part = lambda x, i: F.nullif(F.trim(F.regexp_extract(x, _FRAME, i)), F.lit(""))
+    frames = F.transform(F.filter(follows, lambda x: x.rlike(_FRAME)), lambda x: F.struct(part(x, 1).alias("method"), part(x, 2).alias("file"), part(x, 3).try_cast("int").alias("line")))
+    kind = F.nullif(F.regexp_extract(text, _EXCEPTION, 1), F.lit(""))
+    said = F.nullif(F.trim(F.regexp_extract(text, _EXCEPTION, 2)), F.lit(""))
+    others = F.filter(F.slice(follows, 2, F.greatest(F.size(follows) - 1, F.lit(0))), lambda x: ~x.rlike(_FRAME))
+    found = text.rlike(_EXCEPTION) | F.exists(follows, lambda x: x.rlike(_FRAME))
+    return F.when(found, F.struct(kind.alias("type"), said.alias("message"), frames.alias("frames"), others.alias("additional_lines")))
+
+
+def plain_escapes(text: Column) -> Column:
+    """Escapes that loggers add: \\> and \\< as the signs, \\" as the quote, \\n, \\r and \\t as white space."""
+    out = text
+    for escaped, char in (("\\>", ">"), ("\\<", "<"), ('\\"', '"'), ("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", "\t")):
+        out = F.replace(out, F.lit(escaped), F.lit(char))
+    return out
+
+
 def phase(tracker: Column) -> Column:
     """The step that a tracker's prefix stands for."""
     prefix = F.upper(F.left(tracker, F.lit(2)))

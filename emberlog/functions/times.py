@@ -13,23 +13,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rungs with an offset or zone of their own, then those without.
-ZONED = ("dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss.SSS Z", "yyyy-MM-dd HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z")
+from emberlog.functions.once import once
+
+#: Rungs: what a text looks like, and the formats that such a text may have. A format that doesn't fit costs an exception
+#: inside Spark, so only formats of the text's own shape are tried. ISO texts are cast, which costs none.
+ZONED = (
+    (r"^\d{2}/[A-Za-z]{3}/\d{4}:", ("dd/MMM/yyyy:HH:mm:ss Z",)),
+    (r"^\d{4}-\d{2}-\d{2} .*\.", ("yyyy-MM-dd HH:mm:ss.SSS Z",)),
+    (r"^\d{4}-\d{2}-\d{2} ", ("yyyy-MM-dd HH:mm:ss Z",)),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} ", ("d MMM yyyy HH:mm:ss Z",)),
+)
 LOCAL = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd HH:mm:ss,SSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "yyyy/MM/dd HH:mm:ss",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy HH:mm:ss",
-    "dd/MMM/yyyy:HH:mm:ss",
-    "MMM d HH:mm:ss yyyy",
-    "MMM d HH:mm:ss.SSSSSS yyyy",
-    "d MMM yyyy HH:mm:ss",
-    "yyyy-MM-dd",
+    (r"^\d{4}-\d{2}-\d{2}$", ("yyyy-MM-dd",)),
+    (r"^\d{4}-\d{2}-\d{2} .*,\d+$", ("yyyy-MM-dd HH:mm:ss,SSS",)),
+    (r"^\d{4}/\d{2}/\d{2} ", ("yyyy/MM/dd HH:mm:ss",)),
+    (r"(?i)^\d{1,2}/\d{1,2}/\d{4} .*[ap]m$", ("M/d/yyyy h:mm:ss a",)),
+    (r"^\d{1,2}/\d{1,2}/\d{4} ", ("M/d/yyyy HH:mm:ss",)),
+    (r"^\d{2}/[A-Za-z]{3}/\d{4}:", ("dd/MMM/yyyy:HH:mm:ss",)),
+    (r"^[A-Za-z]{3} \d{1,2} [\d:]+\.\d+ \d{4}$", ("MMM d HH:mm:ss.SSSSSS yyyy",)),
+    (r"^[A-Za-z]{3} \d{1,2} [\d:]+ \d{4}$", ("MMM d HH:mm:ss yyyy",)),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} ", ("d MMM yyyy HH:mm:ss",)),
 )
+#: Dates without a year take that of the ingestion.
+SYSLOG = r"^[A-Za-z]{3} \d{1,2} [\d:]+$"
 #: Directives of strptime and the letters that mean the same here.
 _STRPTIME = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "", "%y": "yy", "%z": "Z", "%j": "D"}
 
@@ -62,19 +68,36 @@ def parse_time(raw: Column, ingested: Column, zone: str | None = "UTC", fmt: str
     """
     # A weekday adds nothing to a date.
     text = F.regexp_replace(F.regexp_replace(F.trim(raw), r"\s+", " "), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
-    year = F.date_format(ingested, "yyyy")
-    has_zone = text.rlike(r"(?i)([+-]\d{2}:?\d{2}|Z|UTC|GMT)$") & text.rlike(r"\d{1,2}:\d{2}")
-    zoned = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ZONED], F.expr("CAST(NULL AS TIMESTAMP)"), _iso(text))
-    formats = ([from_strptime(fmt)] if fmt else []) + list(LOCAL)
-    syslog = F.try_to_timestamp(F.concat_ws(" ", year, text), F.lit("yyyy MMM d HH:mm:ss"))
-    local = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], syslog, _iso(text))
-    if lenient:
-        local = F.coalesce(local, fuzzy(raw, ingested))
     known = bool(zone) and _is_zone(zone)
-    in_zone = F.to_utc_timestamp(local, zone) if known else local
-    ts = F.when(has_zone, F.coalesce(zoned, in_zone)).otherwise(in_zone)
-    confidence = F.when(text.isNull() | (text == "") | ts.isNull(), "unparseable").when(has_zone & zoned.isNotNull(), "parsed").otherwise("parsed" if known else "assumed_utc")
-    return F.struct(F.date_trunc("second", F.coalesce(F.when(text != "", ts), ingested)).alias("ts"), confidence.alias("confidence"))
+
+    def in_zone(ts: Column) -> Column:
+        return F.to_utc_timestamp(ts, zone) if known else ts
+
+    def rungs(text: Column, steps) -> Column:
+        out = F.when(text.rlike(SYSLOG), F.try_to_timestamp(F.concat_ws(" ", F.date_format(ingested, "yyyy"), text), F.lit("yyyy MMM d HH:mm:ss")))
+        for shape, formats in steps:
+            out = out.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.expr("CAST(NULL AS TIMESTAMP)")))
+        return out
+
+    def local(text: Column) -> Column:
+        own = [F.try_to_timestamp(text, F.lit(from_strptime(fmt)))] if fmt else []
+        return in_zone(F.coalesce(*own, _iso(text), rungs(text, LOCAL)))
+
+    def read(text: Column) -> Column:
+        has_zone = text.rlike(r"(?i)([+-]\d{2}:?\d{2}|Z|UTC|GMT)$") & text.rlike(r"\d{1,2}:\d{2}")
+        zoned = F.when(has_zone, F.coalesce(_iso(text), rungs(text, ZONED)))
+        found = F.when(text != "", F.struct(text.alias("text"), zoned.alias("zoned")))
+        return once(found, lambda x: F.struct(x["zoned"].alias("zoned"), F.when(x["zoned"].isNull(), local(x["text"])).alias("local")))
+
+    def judge(x: Column) -> Column:
+        ts = F.coalesce(x["zoned"], x["local"])
+        confidence = F.when(ts.isNull(), "unparseable").when(x["zoned"].isNotNull(), "parsed").otherwise("parsed" if known else "assumed_utc")
+        return F.struct(F.date_trunc("second", F.coalesce(ts, ingested)).alias("ts"), confidence.alias("confidence"))
+
+    found = once(text, read)
+    if lenient:  # a Python function can't stand inside the lambda
+        found = F.when(found.isNotNull(), F.struct(found["zoned"].alias("zoned"), F.coalesce(found["local"], in_zone(fuzzy(raw, ingested))).alias("local")))
+    return once(found, judge)
 
 
 def _iso(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.payloads import payload
-from emberlog.functions.text import base64_text, clean, contains_any, observables, otp_message, phase, repair_ampersands, tag, unescape_all
+from emberlog.functions.text import base64_text, clean, contains_any, exception, observables, operation, otp_message, phase, unescape_all
 from emberlog.operators.correlate import carried, first_nonempty, last_nonempty, ordered_distinct, resolve_aliases, truthy
 from emberlog.operators.formats import US_TIME, Format, classify, split_records
 
@@ -142,6 +142,32 @@ FIELDS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 
 
+#: What is wrong with an event or an entity, in the words that reports quote.
+WARNINGS = {
+    "no time": "Timestamp was not found",
+    "no tracker": "Tracker number was not found",
+    "no object": "JSON marker found but no JSON object was recovered",
+    "broken object": "One or more JSON objects required fallback parsing",
+    "broken xml": "XML required fallback parsing",
+    "no tracker in xml": "no tracker in XML",
+    "flow without transaction": "No TransactionId found",
+    "flow without tracker": "No tracker found",
+    "otp without queue": "OTP flow has no SMS queue confirmation",
+    "otp without success": "OTP flow has no processed-success confirmation",
+    "oob pending": "OOB flow remains pending in the captured log",
+    "flow with errors": "Flow contains one or more errors",
+    "step-up without transaction": "Step-up flow has no TransactionId",
+    "step-up without bank": "Step-up flow has no successful bank API confirmation",
+    "step-up without response": "Step-up flow has no successful Netcetera response",
+    "no otp": "OTP value was not extracted",
+    "no queue": "No SMS queue confirmation",
+    "no success": "No OTP processed-success confirmation",
+    "no bank otp": "No successful bank OTP API confirmation",
+    "bank refused": "Bank API explicitly returned success=false",
+    "response error": "Netcetera response contains error information",
+}
+
+
 @dataclass(frozen=True)
 class Payment:
     """What sets a format apart: its classes, its events that are successes, errors and responses, and its warnings."""
@@ -158,13 +184,23 @@ class Payment:
 
 def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
     """Classes, payloads and identifiers of events with file_name, ordinal, ts_raw, tracker, message, raw."""
-    text = unescape_all(F.col("message"))
-    rows = rows.withColumn("text", text).withColumn("event_type", classify(F.col("text"), kind.classes, kind.otherwise)).withColumn("p", payload("text"))
-    xml = repair_ampersands(F.regexp_extract("text", r"(?s)(<Msg>.*?(?:</Msg>|$)|<EmailMsg>.*?(?:</EmailMsg>|$))", 1))
-    rows = rows.withColumn("xml", F.nullif(xml, F.lit("")))
+    # One Python function reads all of a message, references, objects and XML.
+    rows = rows.withColumn("p", payload("message")).withColumn("text", F.col("p.text"))
+    rows = rows.withColumn("event_type", classify(F.col("text"), kind.classes, kind.otherwise))
     f = lambda key: F.try_element_at(F.col("p.fields"), F.lit(key))
-    named = [F.coalesce(truthy(f(key)), *[tag(F.col("xml"), t) for t in tags]).alias(name) for name, key, tags in FIELDS]
+    element = lambda name: F.try_element_at(F.col("p.tags"), F.lit(name.lower()))
     find = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    named = [F.coalesce(truthy(f(key)), *[truthy(element(t)) for t in tags]).alias(name) for name, key, tags in FIELDS]
+    broken = F.col("p.status").isin("invalid", "incomplete")
+    warnings = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.trim("ts_raw"), F.lit("")) == "", WARNINGS["no time"]),
+            F.when(F.col("tracker").isNull(), WARNINGS["no tracker"]),
+            F.when(F.contains("text", F.lit("{")) & (F.size("p.objects") == 0), WARNINGS["no object"]),
+            F.when(broken, WARNINGS["broken object"]),
+            F.when(F.col("p.method") == "regex", WARNINGS["broken xml"]),
+        )
+    )
     return rows.select(
         "file_name",
         "ordinal",
@@ -173,9 +209,14 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
         "message",
         "raw",
         "event_type",
-        "xml",
         F.col("p.objects").alias("objects"),
-        F.when(F.col("p.status").isin("invalid", "incomplete"), "partial").otherwise("parsed").alias("parse_status"),
+        F.col("p.method").alias("parse_method"),
+        F.col("p.document").alias("document"),
+        F.when(broken, "partial").otherwise("parsed").alias("parse_status"),
+        warnings.alias("event_warnings"),
+        exception(F.col("text")).alias("exception"),
+        truthy(f("channel")).alias("channel"),
+        operation(F.when(F.col("event_type") == "bank_api_url", find(r"(?i)(https?://[^\s<>\"']+)"))).alias("bank_operation"),
         truthy(f("transactionid")).alias("txid"),
         F.when(F.col("event_type").isin(*kind.responses), truthy(f("status"))).alias("status"),
         F.when(F.col("event_type").isin(*kind.responses), F.coalesce(truthy(f("description")), truthy(f("referencenumber")))).alias("error_text"),
@@ -209,6 +250,8 @@ def merge(events: DataFrame, kind: Payment, key: str = "key") -> DataFrame:
         F.bool_or(name == "otp_success").alias("otp_processed"),
         F.bool_or(name.isin(*kind.queued)).alias("sms_queued"),
         F.bool_or(name == "force_verify_by_mobile").alias("force_verify_by_mobile"),
+        first_nonempty(F.col("bank_operation"), at).alias("bank_operation"),
+        first_nonempty(F.col("channel"), at).alias("channel"),
         F.max_by(F.lower("success"), F.when(name.isin("bank_api_success_response", "bank_api_error_response") & F.col("success").isNotNull(), at)).alias("bank_success"),
         ordered_distinct(F.col("tracker"), at).alias("trackers"),
         ordered_distinct(F.col("oob_status"), at).alias("oob_history"),
@@ -238,7 +281,8 @@ def _snapshot() -> Column:
         F.struct("card_number", "expiry_month", "expiry_year").alias("payment"),
         F.struct(F.col("auth_type").alias("type"), "status", "otp_processed", "sms_queued").alias("authentication"),
         F.struct(F.col("oob_history").alias("status_history")).alias("oob"),
-        F.struct(F.col("bank_success").cast("boolean").alias("success")).alias("bank_api"),
+        F.struct(F.col("bank_operation").alias("operation"), F.col("bank_success").cast("boolean").alias("success")).alias("bank_api"),
+        F.struct(F.col("channel"), F.col("otp").alias("value"), F.col("otp_processed").alias("processed_successfully")).alias("otp"),
         F.struct(F.col("otp").alias("value"), F.col("otp_processed").alias("processed_successfully")).alias("otp_state"),
         "bank_org",
         "org",
@@ -257,7 +301,7 @@ def _emit(events: DataFrame, kind: Payment, correlation: Column, level: Column)
     """Records of keyed events with their entity joined back."""
     entities = merge(events, kind).select("file_name", "key", _snapshot().alias("entity"))
     joined = events.join(entities, ["file_name", "key"], "left")
-    details = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "sms", "observables", F.col("entity").alias(kind.entity)))
+    details = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "parse_method", "document", "exception", F.col("event_warnings").alias("warnings"), "sms", "observables", F.col("entity").alias(kind.entity)))
     return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), correlation.alias("correlation_id"), F.col("event_type").alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
 
 
@@ -293,7 +337,11 @@ def otp_processor(lines: DataFrame) -> DataFrame:
     """Events at timestamps anywhere; lines without a tracker take the pending one; updates count after the first XML of a tracker."""
     rows = split_records(lines, US_TIME, anywhere=True).withColumn("message", clean(F.regexp_replace("body", r"^\s*:\s*", "")))
     plain = unescape_all(F.col("message"))
-    own = F.coalesce(F.nullif(F.upper(F.regexp_extract(plain, r"(?i)Log Tracker No:\s*([A-Z]{2}\d+)", 1)), F.lit("")), tag(plain, "mtrackingid"))
+    rows = rows.withColumn("plain", plain)
+    own = F.coalesce(
+        F.nullif(F.upper(F.regexp_extract("plain", r"(?i)Log Tracker No:\s*([A-Z]{2}\d+)", 1)), F.lit("")),
+        F.nullif(clean(F.regexp_extract("plain", r"(?is)<mtrackingid>(.*?)</mtrackingid>", 1)), F.lit("")),
+    )
     base = rows.select("file_name", "ordinal", F.col("header").alias("ts_raw"), own.alias("own"), "message", F.concat_ws(" ", "header", "message").alias("raw")).withColumn("tracker", F.col("own"))
     events = read_events(base, OTP).withColumn("own", F.col("tracker"))
     name = F.col("event_type")
@@ -308,7 +356,7 @@ def otp_processor(lines: DataFrame) -> DataFrame:
     entities = merge(reach, OTP).select("file_name", F.col("key").alias("tracker"), _snapshot().alias("entity"))
     joined = keyed.join(entities, ["file_name", "tracker"], "left")
     failed = sms & F.col("own").isNull()
-    details = F.to_json(F.struct("event_type", F.col("tracker").alias("tracker_no"), "queue", "msg_id", F.when(failed, "no tracker in XML").alias("parse_error"), F.col("entity").alias("record")))
+    details = F.to_json(F.struct("event_type", F.col("tracker").alias("tracker_no"), "queue", "msg_id", F.when(failed, WARNINGS["no tracker in xml"]).alias("parse_error"), "parse_method", "document", "exception", F.col("event_warnings").alias("warnings"), F.col("entity").alias("record")))
     level = F.when((name == "other") | failed, "WARN").otherwise("INFO")
     return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), F.col("tracker").alias("correlation_id"), name.alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
 
@@ -335,12 +383,12 @@ def debit_portal(lines: DataFrame) -> DataFrame:
 def _cardinal_warnings() -> list[tuple[Column, str]]:
     otp = F.coalesce(F.upper("auth_type") == "OTP", F.lit(False))
     return [
-        (F.col("transaction_id").isNull(), "No TransactionId found"),
-        (F.size("trackers") == 0, "No tracker found"),
-        (otp & ~F.col("sms_queued"), "OTP flow has no SMS queue confirmation"),
-        (otp & ~F.col("otp_processed"), "OTP flow has no processed-success confirmation"),
-        (F.try_element_at("oob_history", F.lit(-1)) == "PENDING", "OOB flow remains pending in the captured log"),
-        (F.col("has_errors"), "Flow contains one or more errors"),
+        (F.col("transaction_id").isNull(), WARNINGS["flow without transaction"]),
+        (F.size("trackers") == 0, WARNINGS["flow without tracker"]),
+        (otp & ~F.col("sms_queued"), WARNINGS["otp without queue"]),
+        (otp & ~F.col("otp_processed"), WARNINGS["otp without success"]),
+        (F.try_element_at("oob_history", F.lit(-1)) == "PENDING", WARNINGS["oob pending"]),
+        (F.col("has_errors"), WARNINGS["flow with errors"]),
     ]
 
 
@@ -366,15 +414,15 @@ def _vflex_warnings() -> list[tuple[Column, str]]:
     up, act = step == "STEP_UP", step == "INITIATE_ACTION"
     confirmed = F.coalesce(F.col("bank_success") == "true", F.lit(False))
     return [
-        (up & F.col("transaction_id").isNull(), "Step-up flow has no TransactionId"),
-        (up & ~confirmed, "Step-up flow has no successful bank API confirmation"),
-        (up & (F.coalesce("status", F.lit("")) != "SUCCESS"), "Step-up flow has no successful Netcetera response"),
-        (act & F.col("otp").isNull(), "OTP value was not extracted"),
-        (act & ~F.col("sms_queued"), "No SMS queue confirmation"),
-        (act & ~F.col("otp_processed"), "No OTP processed-success confirmation"),
-        (act & ~confirmed, "No successful bank OTP API confirmation"),
-        (F.col("bank_success") == "false", "Bank API explicitly returned success=false"),
-        (F.col("error").isNotNull(), "Netcetera response contains error information"),
+        (up & F.col("transaction_id").isNull(), WARNINGS["step-up without transaction"]),
+        (up & ~confirmed, WARNINGS["step-up without bank"]),
+        (up & (F.coalesce("status", F.lit("")) != "SUCCESS"), WARNINGS["step-up without response"]),
+        (act & F.col("otp").isNull(), WARNINGS["no otp"]),
+        (act & ~F.col("sms_queued"), WARNINGS["no queue"]),
+        (act & ~F.col("otp_processed"), WARNINGS["no success"]),
+        (act & ~confirmed, WARNINGS["no bank otp"]),
+        (F.col("bank_success") == "false", WARNINGS["bank refused"]),
+        (F.col("error").isNotNull(), WARNINGS["response error"]),
     ]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import normalize_level
+from emberlog.functions.once import once
 from emberlog.functions.times import parse_time
 from emberlog.operators.grouping import group_lines, opens_record
 
@@ -60,43 +61,81 @@ def java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
     return f"(?U)(?d){plain}", groups
 
 
-def _fields(profile: Profile, header: Column) -> tuple[Column, dict[str, Column], Column]:
-    """Whether the header fits, its fields as text, and all of them as JSON text."""
+#: Separates the groups of a match; log lines are read without it.
+_NUL = "\x00"
+
+
+def _read(profile: Profile, header: Column) -> Column:
+    """What a profile makes of a header, each part computed once: fits, fields (map of texts), attributes (JSON text)."""
+
+    def result(fits: Column, fields: Column, attributes: Column) -> Column:
+        nothing = F.create_map().cast("map<string,string>")
+        return F.struct(fits.alias("fits"), F.when(fits, fields).otherwise(nothing).alias("fields"), F.when(fits, attributes).otherwise("{}").alias("attributes"))
+
     if profile.type == "regex":
         pattern, groups = java_pattern(profile.pattern)
-        fits = F.coalesce(header.rlike(pattern), F.lit(False))
-        values = {g: F.when(fits, F.regexp_extract(header, pattern, i)) for g, i in groups.items()}
-        return fits, values, F.to_json(F.struct(*[v.alias(g) for g, v in values.items()])) if values else F.lit("{}")
+        flags, plain = pattern[:8], pattern[8:]
+        # One match for all groups: the whole line is replaced by them.
+        whole = f"{flags}^(?s:.*?)(?:{plain})(?s:.*)$"
+        bare = F.translate(header, _NUL, "")
+        parts = F.when(bare.rlike(pattern), F.split(F.regexp_replace(bare, whole, _NUL.join(f"${i}" for i in groups.values())), _NUL, -1))
+        names = F.array(*[F.lit(g) for g in groups]) if groups else F.array().cast("array<string>")
+
+        def of(parts: Column) -> Column:
+            return once(F.map_from_arrays(names, F.slice(parts, 1, max(1, len(groups)))) if groups else F.create_map().cast("map<string,string>"), lambda m: result(parts.isNotNull(), m, F.to_json(m)))
+
+        return once(parts, of)
     if profile.type == "json":
-        doc = F.try_parse_json(header)
-        fits = F.coalesce(doc.isNotNull() & header.rlike(r"^\s*\{"), F.lit(False))
-        wanted = {f for f in (profile.timestamp_field, profile.level_field, profile.component_field, profile.message_field, profile.source_system_field) if f}
-        values = {f: F.try_variant_get(doc, f'$["{f}"]', "string") for f in wanted}
-        return fits, values, F.when(fits, header).otherwise("{}")
+        wanted = sorted({f for f in (profile.timestamp_field, profile.level_field, profile.component_field, profile.message_field, profile.source_system_field) if f})
+
+        def of_doc(doc: Column) -> Column:
+            pairs = [x for f in wanted for x in (F.lit(f), F.try_variant_get(doc, f'$["{f}"]', "string"))]
+            return result(doc.isNotNull(), F.create_map(*pairs), header)
+
+        return once(F.when(header.rlike(r"^\s*\{"), F.try_parse_json(header)), of_doc)
+
+    def of_cells(cells: Column) -> Column:
+        names = profile.delimiter_fields
+        keys = F.array(*[F.lit(n) for n in names]) if names else F.transform(F.sequence(F.lit(0), F.size(cells) - 1), lambda i: F.concat(F.lit("col_"), i.cast("string")))
+        fits = ~header.rlike(r"^\s*[\[{]") & (F.size(cells) == len(names) if names else F.size(cells) > 0)
+        pairs = F.map_from_arrays(keys, F.when(F.size(cells) == F.size(keys), cells))
+        return once(F.when(fits, pairs), lambda m: result(F.coalesce(fits, F.lit(False)), m, F.to_json(m)))
+
+    return once(_cells(profile, header), of_cells)
+
+
+def _cells(profile: Profile, line: Column) -> Column:
+    """The cells of a delimited row, as many as it has. Within quotes a delimiter is text and two quotes are one."""
     delimiter = profile.pattern if profile.pattern in (",", "\t", "|", ";") else ","
-    quoted = re.escape(delimiter)
-    width = F.size(F.split(F.regexp_replace(header, r'"(?:[^"]|"")*"', ""), quoted, -1))
-    names = profile.delimiter_fields
-    fits = ~header.rlike(r"^\s*[\[{]") & ((width == len(names)) if names else (width > 0))
-    names = names or tuple(f"col_{i}" for i in range(64))
-    row = F.from_csv(header, ", ".join(f"`{n}` string" for n in names), {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'})
-    return F.coalesce(fits, F.lit(False)), {n: row[n] for n in names}, F.to_json(row)
+    d = re.escape(delimiter)
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf'(?s){d}("(?:[^"]|"")*"[^{d}]*|[^{d}]*)'), F.lit(1))
+
+    def bare(c: Column) -> Column:
+        return F.when(c.rlike(r'(?s)^".*"$'), F.replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))).otherwise(F.nullif(c, F.lit("")))
+
+    return F.transform(cells, bare)
 
 
 def parse(records: DataFrame, profile: Profile, ingested: Column, lenient: bool = False) -> DataFrame:
     """Canonical columns for each record, and parsed: whether the profile fits and the time is known. No record is dropped."""
-    fits, values, attributes = _fields(profile, F.col("header"))
+    groups = list(java_pattern(profile.pattern)[1]) if profile.type == "regex" else None
     raw, none = F.col("raw"), F.lit(None).cast("string")
 
     def value(name: str | None) -> Column:
-        return F.when(fits, values[name]) if name in values else none
+        return F.try_element_at(F.col("_f.fields"), F.lit(name)) if name else none
+
+    def given(name: str) -> bool:
+        """Whether records of this profile can have the field at all."""
+        return name in (groups if groups is not None else profile.delimiter_fields or (name,))
 
+    fits = F.col("_f.fits")
+    read = records.withColumn("_f", _read(profile, F.col("header")))
     ts_raw = F.coalesce(value(profile.timestamp_field), F.lit(""))
-    rows = records.withColumn("_time", parse_time(ts_raw, ingested, profile.timezone, profile.timestamp_format, lenient))
+    rows = read.withColumn("_time", parse_time(ts_raw, ingested, profile.timezone, profile.timestamp_format, lenient))
     message = F.coalesce(value(profile.message_field), raw)
     if profile.type != "delimited":
         follows = F.when(fits & (F.size("continuation") > 0), F.concat(F.lit("\n"), F.array_join("continuation", "\n"))).otherwise("")
-        message = F.concat(message, follows) if profile.message_field in values else F.when(fits, F.concat(raw, follows)).otherwise(raw)
+        message = F.concat(message, follows) if given(profile.message_field) else F.when(fits, F.concat(raw, follows)).otherwise(raw)
     component = F.coalesce(value(profile.component_field), F.when(fits & F.lit(profile.type != "regex"), "")) if profile.component_field else none
     return rows.select(
         "file_name",
@@ -109,7 +148,7 @@ def parse(records: DataFrame, profile: Profile, ingested: Column, lenient: bool
         component.alias("component"),
         message.alias("message"),
         raw.alias("raw"),
-        F.when(fits, attributes).otherwise("{}").alias("attributes"),
+        F.col("_f.attributes").alias("attributes"),
         (fits & (F.col("_time.confidence") != "unparseable")).alias("parsed"),
     )
 
@@ -121,7 +160,7 @@ def records_of(lines: DataFrame, profile: Profile | None, compat: bool = False)
     own = java_pattern(profile.pattern)[0] if profile.type == "regex" and not compat else (r"^\s*\{" if profile.type == "json" and not compat else None)
     start = opens_record(F.col("line"), profile.multiline_mode, profile.multiline_pattern, own)
     if profile.type == "delimited" and not compat:
-        start = start | _fields(profile, F.col("line"))[0]
+        start = start | _read(profile, F.col("line"))["fits"]
     return group_lines(lines, start, 1000 if compat else None)
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import RANKS, reaches
 
+#: So many rules are a configuration; beyond that they are data and would need a join of another kind.
+MOST_RULES = 10_000
 RULE_SCHEMA = "rule string, min_level string, mode string, source_system_filter string, component_filter string, message_contains string, dedup_window_minutes int"
 
 
@@ -45,7 +49,9 @@ def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
 
 
 def matches(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Events by the rules that they match. The rules' size is bounded by configuration, so they are broadcast."""
+    """Events by the rules that they match. Rules are configuration: MOST_RULES at most, so they are broadcast."""
+    if len(rules.take(MOST_RULES + 1)) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
 
     def has(value: str, part: str) -> Column:
         wanted = F.coalesce(F.lower(part), F.lit(""))
@@ -68,14 +74,16 @@ def immediate(matched: DataFrame) -> DataFrame:
 def digests(matched: DataFrame, samples: int = 5) -> DataFrame:
     """One row for each digest rule and batch: count, the newest sample lines, the newest event's source, and a key with the count.
 
-    The newest few are merged from partial lists: no group is gathered whole.
+    Counts are aggregated with a map-side part; the newest few come from a rank with a bound, which Spark applies
+    before the shuffle as well. So no group is gathered whole.
     """
     order = F.struct((-F.unix_micros("ts_utc")).alias("age"), "line_no", "event_id")
     line = F.concat_ws(" ", F.concat(F.lit("["), F.col("level"), F.lit("]")), F.col("component"), F.substring("message", 1, 120))
-    from pyspark.sql import Window
-
-    ranked = matched.where("mode = 'digest'").withColumn("_n", F.count("*").over(Window.partitionBy("rule", "batch_id"))).withColumn("_k", F.row_number().over(Window.partitionBy("rule", "batch_id").orderBy(order))).where(F.col("_k") <= samples)
-    out = ranked.groupBy("rule", "batch_id", F.col("_n").alias("n")).agg(F.min_by("source_system", "_k").alias("source_system"), F.transform(F.array_sort(F.collect_list(F.struct("_k", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    found = matched.where("mode = 'digest'").select("rule", "batch_id", "source_system", line.alias("line"), order.alias("order"))
+    counts = found.groupBy("rule", "batch_id").agg(F.count("*").alias("n"))
+    ranked = found.withColumn("_k", F.row_number().over(Window.partitionBy("rule", "batch_id").orderBy("order"))).where(F.col("_k") <= samples)
+    newest = ranked.groupBy("rule", "batch_id").agg(F.min_by("source_system", "_k").alias("source_system"), F.transform(F.array_sort(F.collect_list(F.struct("_k", "line"))), lambda x: x["line"]).alias("lines"))
+    out = counts.join(newest, ["rule", "batch_id"])
     return out.withColumn("dedup_key", dedup_key(F.col("rule"), F.lit("digest"), F.col("n").cast("string")))
 
 
@@ -105,3 +113,79 @@ def suppress(alerts: DataFrame, at: str = "ts_utc") -> DataFrame:
     rows = alerts.withColumn("_micros", F.unix_micros(at))
     ordered = rows.repartition("dedup_key").sortWithinPartitions("dedup_key", "_micros", "event_id") if "event_id" in alerts.columns else rows.repartition("dedup_key").sortWithinPartitions("dedup_key", "_micros")
     return ordered.mapInArrow(fold, ordered.schema).drop("_micros")
+
+
+#: The rules that a new store starts with.
+SEEDS = (Rule("CRITICAL immediate", "CRITICAL", "immediate", dedup_window_minutes=15), Rule("ERROR digest", "ERROR", "digest", dedup_window_minutes=60))
+
+
+class RuleStore:
+    """Rules as a small table of versions: each change writes all rules anew under the next number, and the last one counts.
+
+    A store is seeded when it has no version yet, so seeds that were deleted don't come back.
+    """
+
+    SCHEMA = f"rule_id string, {RULE_SCHEMA}, enabled boolean, created int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        if self._version() is None:
+            self._write(0, [self._row(r, i) for i, r in enumerate(SEEDS)])
+
+    def _version(self) -> int | None:
+        try:
+            return self.spark.read.parquet(self.path).agg(F.max("version").alias("v")).first()["v"]
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    def _write(self, version: int, rows: list[dict]) -> None:
+        # A row of its own stands for the version where no rule is left.
+        made = [*rows, dict.fromkeys(self.SCHEMA.replace(",", "").split()[::2])]
+        self.spark.createDataFrame(made, self.SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/version={version}")
+
+    @staticmethod
+    def _row(rule: Rule, created: int, enabled: bool = True, rule_id: str | None = None) -> dict:
+        return {"rule_id": rule_id or uuid.uuid4().hex, **asdict(rule), "enabled": enabled, "created": created}
+
+    def frame(self, enabled_only: bool = False) -> DataFrame:
+        """The rules, oldest first."""
+        rows = self.spark.read.schema(f"{self.SCHEMA}, version int").parquet(self.path).where(F.col("version") == self._version()).where("rule_id IS NOT NULL").drop("version")
+        return (rows.where("enabled") if enabled_only else rows).orderBy("created", "rule_id")
+
+    def _rows(self) -> list[dict]:
+        return [r.asDict() for r in self.frame().collect()]
+
+    def get(self, rule_id: str) -> dict:
+        found = [r for r in self._rows() if r["rule_id"] == rule_id]
+        if not found:
+            raise KeyError(rule_id)
+        return found[0]
+
+    def _save(self, rows: list[dict]) -> None:
+        names = [r["rule"] for r in rows]
+        if len(set(names)) < len(names):
+            raise ValueError("two rules have one name")
+        self._write(self._version() + 1, rows)
+
+    def create(self, rule: Rule) -> dict:
+        """A rule under a name that no other has."""
+        rows = self._rows()
+        made = self._row(rule, max((r["created"] for r in rows), default=-1) + 1)
+        self._save([*rows, made])
+        return made
+
+    def update(self, rule_id: str, **fields) -> dict:
+        """Changes the given fields: None leaves one as it is, but empties a filter, as the empty text does."""
+        rows, old = self._rows(), self.get(rule_id)
+        filters = ("source_system_filter", "component_filter", "message_contains")
+        changed = {k: (v or None) if k in filters else v for k, v in fields.items() if k in filters or v is not None}
+        enabled = changed.pop("enabled", old["enabled"])
+        own = {k: old[k] for k in asdict(SEEDS[0])} | changed
+        new = self._row(Rule(**own), old["created"], enabled, rule_id)
+        self._save([new if r["rule_id"] == rule_id else r for r in rows])
+        return new
+
+    def delete(self, rule_id: str) -> None:
+        self._save([r for r in self._rows() if r["rule_id"] != rule_id])

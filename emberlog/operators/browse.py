@@ -95,13 +95,13 @@ def error_ratio(events: DataFrame) -> DataFrame:
 
 
 def outliers(counts: DataFrame, value: str = "n", least: float = 2.0, groups: int = 3) -> DataFrame:
-    """Rows whose value lies `least` sample deviations or more above the mean, with z to two places.
+    """Rows whose value lies `least` sample deviations or more above the mean, with z to two places, the furthest first.
 
     The statistics are one row, so the join with them is a broadcast of one row.
     """
     stats = counts.agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count("*").alias("_g"))
     z = (F.col(value) - F.col("_m")) / F.col("_s")
-    return counts.join(F.broadcast(stats)).where((F.col("_g") >= groups) & (F.col("_s") > 0)).where(z >= least).select(*counts.columns, F.round(z, 2).alias("z"))
+    return counts.join(F.broadcast(stats)).where((F.col("_g") >= groups) & (F.col("_s") > 0)).where(z >= least).select(*counts.columns, F.round(z, 2).alias("z")).orderBy(F.desc("z"), *counts.columns)
 
 
 def anomaly_report(events: DataFrame) -> DataFrame:
@@ -155,5 +155,22 @@ def resolve_range(now: dt.datetime, hours: int = 24, since: dt.datetime | None =
     return now - dt.timedelta(hours=hours), now
 
 
+def for_analysis(events: DataFrame, since: dt.datetime, until: dt.datetime, most: int | None = None, **filters) -> DataFrame:
+    """Events of a window, oldest first, by line and id where times are equal. All of them, or the oldest `most`."""
+    found = matching(events, since=since, until=until, **filters).orderBy("ts_utc", "line_no", "event_id")
+    return found.limit(most) if most else found
+
+
+def in_time(events: DataFrame) -> DataFrame:
+    """Events with a time, in its order."""
+    return events.where("ts_utc IS NOT NULL").orderBy("ts_utc", "event_id")
+
+
+def flat(rows: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
+    """The other columns, and a text column for each path into a column of JSON text."""
+    doc = rows.withColumn("_doc", F.try_parse_json(column))
+    return doc.select(*[F.col(f"`{c}`") for c in rows.columns if c != column], *[F.try_variant_get("_doc", p, "string").alias(n) for n, p in paths.items()])
+
+
 def by_severity(events: DataFrame) -> Column:
     return F.coalesce(rank(F.col("level")), F.lit(-1))

@@ -30,12 +30,26 @@ def downtime_islands(pairs: DataFrame, gap_minutes: int = 10, by: tuple[str, ...
 
     A run ends at an input of another status, whose time is the recovery, or where the next one is more than
     gap_minutes later. Without `by` all inputs are one sequence, as for a single service; pass its column for several.
+    No sequence is one task: hours are, and one row for each hour ties them together.
     """
-    order = Window.partitionBy(*by).orderBy("ts_utc", "event_id")
-    bad = F.col("status") == "unresponded"
-    gap = F.unix_timestamp("ts_utc") - F.unix_timestamp(F.lag("ts_utc").over(order)) > gap_minutes * 60
-    starts = bad & F.coalesce((F.lag("status").over(order) != "unresponded") | gap, F.lit(True))
-    rows = pairs.withColumn("_next_status", F.lead("status").over(order)).withColumn("_next_time", F.lead("ts_utc").over(order)).withColumn("_run", F.sum(starts.cast("int")).over(order))
+    bad, at = F.col("status") == "unresponded", F.struct("ts_utc", "event_id")
+    rows = pairs.withColumn("_block", F.date_trunc("hour", "ts_utc"))
+    inside = Window.partitionBy(*by, "_block").orderBy("ts_utc", "event_id")
+    across = Window.partitionBy(*by).orderBy("_block")
+    # Hours are looked at apart; what an hour must know of those beside it is its neighbours' first and last input.
+    own = F.struct("status", "ts_utc")
+    ends = rows.groupBy(*by, "_block").agg(F.min_by(own, at).alias("_first"), F.max_by(own, at).alias("_last"))
+    edges = ends.select(*by, "_block", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    rows = rows.join(edges, [*by, "_block"])
+    before, after = F.coalesce(F.lag(own).over(inside), F.col("_before")), F.coalesce(F.lead(own).over(inside), F.col("_after"))
+    rows = rows.withColumn("_p", before).withColumn("_n", after)
+    gap = F.unix_timestamp("ts_utc") - F.unix_timestamp("_p.ts_utc") > gap_minutes * 60
+    starts = bad & F.coalesce((F.col("_p.status") != "unresponded") | gap, F.lit(True))
+    rows = rows.where(bad).withColumn("_start", F.when(starts, at)).withColumn("_next_status", F.col("_n.status")).withColumn("_next_time", F.col("_n.ts_utc"))
+    last = rows.groupBy(*by, "_block").agg(F.max("_start").alias("_own"))
+    carry = last.select(*by, "_block", F.last_value("_own", ignoreNulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    latest = F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.join(carry, [*by, "_block"]).withColumn("_run", F.coalesce(latest, F.col("_open")))
     runs = rows.where(bad).groupBy(*by, "_run").agg(
         F.min("ts_utc").alias("down_since"),
         F.max_by(F.when(F.col("_next_status") != "unresponded", F.col("_next_time")), F.struct("ts_utc", "event_id")).alias("recovered_at"),
@@ -98,10 +112,22 @@ def ordered_distinct(value: Column, order: Column) -> Column:
     return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
 
 
-def carried(value: Column, *order: str, within: tuple[str, ...] = ("batch_id",), before: bool = False) -> Column:
-    """Window: the last non-null value up to this row, or strictly before it."""
-    frame = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
-    return F.last_value(value, ignoreNulls=True).over(frame)
+#: Rows of a file whose values are carried together.
+CARRY_ROWS = 1 << 14
+
+
+def carried(rows: DataFrame, name: str, value: Column, order: str, within: tuple[str, ...] = ("batch_id",), before: bool = False) -> DataFrame:
+    """Adds a column: the last non-null value up to this row, or strictly before it, by a whole-numbered order.
+
+    Ranges of the order are looked at apart; what a range takes over from those before is one row for each range.
+    """
+    whole = rows.withColumn("_value", value).withColumn("_range", F.floor(F.col(order) / CARRY_ROWS))
+    frame = Window.partitionBy(*within, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    inside = whole.withColumn("_own", F.last_value("_value", ignoreNulls=True).over(frame))
+    ends = whole.groupBy(*within, "_range").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    taken = ends.select(*within, "_range", F.last_value("_last", ignoreNulls=True).over(earlier).alias("_taken"))
+    return inside.join(taken, [*within, "_range"]).withColumn(name, F.coalesce("_own", "_taken")).drop("_value", "_range", "_own", "_taken")
 
 
 def first_of_each(events: DataFrame, key: str = "correlation_id", latest: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.levels import normalize_level
 from emberlog.functions.text import clean
 from emberlog.functions.times import parse_time
-from emberlog.sources.files import blockwise
+from emberlog.sources.files import BLOCK_LINES, blockwise
 
 #: Fixed value: the timestamp of most of these formats.
 US_TIME = r"\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2}\s+[AP]M"
@@ -35,7 +35,8 @@ def split_records(lines: DataFrame, header: str, anywhere: bool = False) -> Data
 
     What comes before a file's first match is dropped. Files are counted by block, and a record is one row.
     """
-    rows = lines.select("file_name", *(["block"] if "block" in lines.columns else []), "line_no", "line")
+    block = F.col("block") if "block" in lines.columns else F.floor(F.col("line_no") / BLOCK_LINES)
+    rows = lines.select("file_name", block.alias("block"), "line_no", "line")
     if anywhere:
         pieces = F.filter(F.split("line", f"(?={header})"), lambda x: x != "")
         rows = rows.select(*[c for c in rows.columns if c not in ("line_no", "line")], "line_no", F.posexplode_outer(pieces).alias("_k", "line"))

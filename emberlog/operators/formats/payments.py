@@ -347,7 +347,7 @@ def otp_processor(lines: DataFrame) -> DataFrame:
     name = F.col("event_type")
     sms = name.isin("msg_received_sms_xml", "sms_input_xml")
     sets = F.when(sms & F.col("own").isNotNull(), F.col("own")).when(name.isin("sms_queue_msg_id", "otp_success", "force_verify_by_mobile"), F.col("own"))
-    events = events.withColumn("pending", carried(sets, "ordinal", within=("file_name",), before=True))
+    events = carried(events, "pending", sets, "ordinal", within=("file_name",), before=True)
     events = events.withColumn("tracker", F.when(name == "other", F.col("own")).otherwise(F.coalesce("own", "pending")))
     begun = events.where(sms & F.col("own").isNotNull()).groupBy("file_name", F.col("own").alias("tracker")).agg(F.min("ordinal").alias("begun"))
     keyed = events.join(begun, ["file_name", "tracker"], "left").withColumn("late", F.col("ordinal") < F.col("begun"))
@@ -373,7 +373,7 @@ def debit_portal(lines: DataFrame) -> DataFrame:
     rows = split_records(lines, US_TIME, anywhere=True).withColumn("message", clean(F.regexp_replace("body", r"^\s*(?:->|:)\s*", "")))
     own = F.nullif(F.upper(F.regexp_extract("message", r"(?i)Log Tracker No:\s*([A-Z]{2}\d+)", 1)), F.lit(""))
     events = read_events(rows.select("file_name", "ordinal", F.col("header").alias("ts_raw"), own.alias("tracker"), "message", F.concat_ws(" ", "header", "message").alias("raw")), DEBIT)
-    events = events.join(_tx_of_tracker(events), ["file_name", "tracker"], "left").withColumn("effective", carried(F.col("tracker"), "ordinal", within=("file_name",)))
+    events = carried(events.join(_tx_of_tracker(events), ["file_name", "tracker"], "left"), "effective", F.col("tracker"), "ordinal", within=("file_name",))
     known = _tx_of_tracker(events).select("file_name", F.col("tracker").alias("effective"), F.col("tracker_tx").alias("effective_tx"))
     keyed = events.join(known, ["file_name", "effective"], "left").withColumn("key", F.coalesce("txid", "effective_tx", F.concat(F.lit("tracker:"), "effective"), F.concat(F.lit("event_"), "ordinal")))
     level = F.when(F.col("parse_status") == "partial", "WARN").when(F.col("event_type") == "error", "ERROR").otherwise("INFO")

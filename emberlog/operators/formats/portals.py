@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.text import clean, pairs_of, parameters
 from emberlog.operators.formats import US_TIME, Format, multiline, split_records
 
+#: How records of these portals begin, what names them, and how inputs are written.
 ISO_TIME = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?\s+[+\-]\d{2}:\d{2}"
 
 

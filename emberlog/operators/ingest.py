@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from emberlog.operators import formats, profiles
 from emberlog.operators.formats import Format
 from emberlog.operators.profiles import Profile
-from emberlog.sources.files import EventStore, read_lines
+from emberlog.sources.files import MAX_BYTES, EventStore, read_lines, scan_directory
 
 #: Lines and records that a choice looks at; both are bounded, whatever the file's size.
 SAMPLE_LINES, SAMPLE_RECORDS = 500, 200
 
 
+class FileTooLarge(ValueError):
+    """A file is above the limit."""
+
+
 @dataclass
 class Summary:
     """What became of a file."""
@@ -44,11 +48,13 @@ def choose(lines: DataFrame, known: Iterable[Profile], ingested: Column, forced:
         if found is None:
             raise KeyError(f"no profile or format is called {forced}")
         return found, 0.0, []
-    head = sample(lines)
+    # Read once; what follows looks at these few lines alone.
+    taken = sample(lines.select("file_name", "line_no", "line")).collect()
+    head = lines.sparkSession.createDataFrame(taken, "file_name string, line_no int, line string")
     best, ratio = profiles.best_profile(head, known, ingested, SAMPLE_LINES)
     if best:
         return best, ratio, []
-    text = "\n".join(r["line"] for r in head.collect())
+    text = "\n".join(r["line"] for r in taken)
     fmt, warnings = formats.detect_format(text, formats.score_on(head))
     if fmt:
         return fmt, formats.score_on(head)(fmt), warnings
@@ -62,8 +68,11 @@ def parse_file(lines: DataFrame, by: Profile | Format, ingested: Column) -> Data
     return formats.canonical(by.records(lines), by, ingested).withColumn("parsed", F.col("ts_confidence") != "unparseable")
 
 
-def ingest(spark: SparkSession, store: EventStore, path: str, known: Iterable[Profile] = profiles.DEFAULTS, forced: str | None = None, now: dt.datetime | None = None, on_batch: Callable[[DataFrame], None] | None = None) -> Summary:
-    """Reads a file into the store. An empty file makes no batch. on_batch gets the stored events, for alerts."""
+def ingest(spark: SparkSession, store: EventStore, path: str, known: Iterable[Profile] = profiles.DEFAULTS, forced: str | None = None, now: dt.datetime | None = None, on_batch: Callable[[DataFrame], None] | None = None, max_bytes: int | None = MAX_BYTES) -> Summary:
+    """Reads a file into the store. An empty file makes no batch, one above max_bytes is an error. on_batch gets the stored events, for alerts."""
+    size = spark.read.format("binaryFile").load(path).select("length").first()["length"]
+    if max_bytes is not None and size > max_bytes:
+        raise FileTooLarge(f"{path} has {size} bytes, more than {max_bytes}")
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     lines = read_lines(spark, path)
     name = path.rsplit("/", 1)[-1]
@@ -75,13 +84,48 @@ def ingest(spark: SparkSession, store: EventStore, path: str, known: Iterable[Pr
     if by is None:
         raise ValueError("there are no profiles")
     events = parse_file(lines, by, ingested)
-    size = spark.read.format("binaryFile").load(path).select("length").first()["length"]
     batch = store.add(events.drop("parsed", "correlation_id"), name, size, by.name, ratio, at=now)
-    stored = store.events().where(F.col("batch_id") == batch)
-    counts = stored.agg(F.count("*").alias("n"), F.count_if(F.col("ts_confidence") != "unparseable").alias("p")).first()
+    counts = store.counts[batch]
     if on_batch:
-        on_batch(stored)
-    return Summary(batch, name, total, counts["n"], counts["p"], by.name, round(ratio, 3), warnings)
+        on_batch(store.events(batch))
+    return Summary(batch, name, total, counts["events"], counts["timed"], by.name, round(ratio, 3), warnings)
+
+
+@dataclass
+class DirectorySummary:
+    """What became of the files below a folder, in order of path."""
+
+    ingested: list[Summary] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
+    skipped: list[str] = field(default_factory=list)
+
+
+def ingest_directory(spark: SparkSession, store: EventStore, path: str, recursive: bool = True, max_bytes: int = MAX_BYTES, **options) -> DirectorySummary:
+    """Reads each file of a folder whose extension is known. A file that fails or is too large doesn't stop the others.
+
+    FileNotFoundError where nothing below the path has a known extension. The loop is over files, each a job of its own.
+    """
+    out = DirectorySummary()
+    for f in scan_directory(spark, path, recursive, max_bytes).toLocalIterator():
+        if f["verdict"] == "skipped":
+            out.skipped.append(f["path"])
+            continue
+        try:
+            out.ingested.append(ingest(spark, store, f["path"], max_bytes=max_bytes, **options))
+        except Exception as e:  # reported, as one file must not hide the others
+            out.errors.append(f"{f['path']}: {e}".splitlines()[0])
+    if not out.ingested and not out.errors:
+        raise FileNotFoundError(f"no file that can be read below {path}")
+    return out
+
+
+def ingest_samples(spark: SparkSession, store: EventStore, folder: str, **options) -> list[Summary]:
+    """The sample files of a folder: JSON lines first, then logs, each by name. No alerts are evaluated."""
+    files = [r["path"] for r in scan_directory(spark, folder, recursive=False).collect()]
+    ordered = [f for e in (".jsonl", ".log") for f in files if f.endswith(e)]
+    if not ordered:
+        raise FileNotFoundError(f"no samples in {folder}")
+    return [ingest(spark, store, f, **(options | {"on_batch": None})) for f in ordered]
 
 
 def profile_sample(lines: DataFrame, head: int = 20, tail: int = 20, some: int = 10, seed: int = 7) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers of seq that are numbered together.
+RANGE = 1 << 14
 EVENT_SCHEMA = "event_id string, batch_id string, file_name string, line_no int, ts_utc timestamp, ts_raw string, ts_confidence string, level string, source_system string, component string, message string, raw string, attributes string"
 BATCH_SCHEMA = "batch_id string, file_name string, file_size_bytes long, total_events long, matched_profile string, match_ratio double, uploaded_at timestamp"
 EVENT_COLUMNS = [x.split()[0] for x in EVENT_SCHEMA.split(", ")]
@@ -36,5 +38,11 @@ def bridge(events: DataFrame) -> DataFrame:
 
 
 def number_lines(events: DataFrame) -> DataFrame:
-    """Adds line_no, from 1 within a file."""
-    return events.withColumn("line_no", F.row_number().over(Window.partitionBy("file_name").orderBy("seq")))
+    """Adds line_no, from 1 within a file. Ranges of seq are numbered apart; what lies before one is a row for each."""
+    rows = events.withColumn("_range", F.floor(F.col("seq") / RANGE))
+    counts = rows.groupBy("file_name", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file_name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file_name", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_k", F.row_number().over(Window.partitionBy("file_name", "_range").orderBy("seq")))
+    numbered = inside.join(starts, ["file_name", "_range"])
+    return numbered.select(*events.columns, (F.col("_before") + F.col("_k")).cast("int").alias("line_no"))

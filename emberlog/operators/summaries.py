@@ -25,7 +25,7 @@ def entities(events: DataFrame, kind: str, latest: bool = False) -> DataFrame:
 
 
 def by_dimension(found: DataFrame, kind: str, most: int | None = None) -> DataFrame:
-    """dimension, value, n for all dimensions of a format, in one pass over the entities."""
+    """dimension, value, n for all dimensions of a format, in one pass over the entities; `most` values of merchants alone."""
     doc = F.parse_json("entity")
 
     def value(paths: tuple[str, ...]) -> Column:
@@ -35,7 +35,25 @@ def by_dimension(found: DataFrame, kind: str, most: int | None = None) -> DataFr
     flags = {name: F.coalesce(F.try_variant_get(doc, p, "boolean"), F.lit(False)).cast("string") for name, p in (("otp_processed", "$.otp_processed"), ("bank_success", "$.bank_api.success"), ("force_verify", "$.force_verify_by_mobile"))}
     flags["check"] = (F.coalesce(F.try_variant_get(doc, "$.integrity_status", "string"), F.lit("")) == "CHECK").cast("string")
     counts = reports.breakdown(found, **columns, **flags)
-    return reports.top_of_each(counts, most).drop("place") if most else counts
+    merchants = F.col("dimension") == "merchant"
+    return counts.where(~merchants).unionByName(reports.top_of_each(counts.where(merchants), most).drop("place")) if most else counts
+
+
+def record_summary(records: DataFrame, merchants: int = 30) -> DataFrame:
+    """dimension, value, n over a format's records: type, level, parse status, phase, and of their entities issuer, currency, channel, merchant.
+
+    Events are counted in the first four, entities (the first event of each correlation that has one) in the others.
+    """
+    doc = F.try_parse_json(F.coalesce("details", F.lit("{}")))
+    get = lambda c, path: truthy(F.try_variant_get(F.col(c), path, "string"))
+    rows = records.select("file_name", "ordinal", "log_type", "correlation_id", F.coalesce("log_level", F.lit("INFO")).alias("level"), doc.alias("doc"))
+    events = reports.breakdown(rows, event_type=F.col("log_type"), level=F.col("level"), parse_status=get("doc", "$.parse_status"), phase=get("doc", "$.phase"))
+    entity = F.coalesce(*[F.try_variant_get("doc", f"$.{name}", "string") for name in ("transaction", "flow", "record")])
+    first = rows.where("correlation_id IS NOT NULL").withColumn("entity", entity).where("entity IS NOT NULL").groupBy("file_name", "correlation_id").agg(F.min_by("entity", "ordinal").alias("entity"))
+    first = first.withColumn("doc", F.parse_json("entity"))
+    parts = reports.breakdown(first, issuer=get("doc", "$.issuer_id"), currency=get("doc", "$.transaction.currency"), channel=get("doc", "$.otp.channel"), merchant=get("doc", "$.merchant.name"))
+    top = reports.top_of_each(parts.where("dimension = 'merchant'"), merchants).drop("place")
+    return events.unionByName(parts.where("dimension <> 'merchant'")).unionByName(top)
 
 
 def oob_statuses(found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,29 +22,60 @@ def strip_fences(text: str) -> str:
     return (found[1] if found else text).strip().rstrip(";").strip()
 
 
+#: Functions that reach beyond the data, and plans that run programs.
+_FORBIDDEN = ("java_method", "reflect", "try_reflect", "ScriptTransformation", "ScriptInputOutput")
+#: Table functions that make rows from their arguments alone.
+_GENERATORS = ("range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack")
+
+
 def parsed_plan(spark: SparkSession, text: str):
     """Spark's own parse of one statement; two statements are a syntax error to it."""
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
 
 
-def read_only(spark: SparkSession, text: str) -> str:
-    """The statement, if Spark parses it as one query. Keywords inside literals don't matter, as the plan decides."""
+def _described(spark: SparkSession, plan) -> str:
+    """The whole plan as text, with the plans inside expressions and common tables, nothing cut off."""
+    setting = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1000000")
+    try:
+        return plan.treeString()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def read_only(spark: SparkSession, text: str, views: Iterable[str] = ()) -> str:
+    """The statement, if Spark parses it as one query over the given views. Keywords inside literals don't matter, as the plan decides.
+
+    Refused: commands, other tables, files by path, functions that call methods of the JVM, and programs.
+    """
     sql = strip_fences(text)
     if not re.match(r"(?i)\s*\(*\s*(select|with)\b", sql):
         raise NotReadOnly("only SELECT and WITH queries are run")
     try:
         plan = parsed_plan(spark, sql)
+        told = _described(spark, plan)
     except Exception as e:
         raise NotReadOnly(str(e).splitlines()[0]) from e
     root = plan.getClass().getSimpleName()
     if any(c in root for c in _COMMANDS):
         raise NotReadOnly(f"not a query: {root}")
+    for name in _FORBIDDEN:
+        if re.search(rf"'?\b{name}\b\s*[(,]?", told) and re.search(rf"(?i)\b(?:{name}|transform|map|reduce)\b", sql):
+            raise NotReadOnly(f"not allowed: {name}")
+    own = {x.strip().lower() for found in re.findall(r"CTE \[([^\]]*)\]", told) for x in found.split(",")} | {v.lower() for v in views}
+    for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", told):
+        if found.strip().lower() not in own:
+            raise NotReadOnly(f"no such view: {found}")
+    for found in re.findall(r"UnresolvedTableValuedFunction \[([^\]]*)\]", told):
+        if found.strip().lower() not in _GENERATORS:
+            raise NotReadOnly(f"not allowed: {found}")
     return sql
 
 
 def run(spark: SparkSession, text: str, views: dict[str, DataFrame] | None = None, most: int = MAX_ROWS) -> DataFrame:
     """The query's first rows, `most` at most, over the given views (events, batches)."""
-    sql = read_only(spark, text)
+    sql = read_only(spark, text, views or ())
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     return spark.sql(sql).limit(most)

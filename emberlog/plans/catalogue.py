@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels, text
 from emberlog.functions.times import parse_time
-from emberlog.operators import alerts, browse, correlate, grouping, profiles, reports
+from emberlog.operators import alerts, browse, correlate, grouping, profiles, reports, summaries
 from emberlog.operators.formats import by_key, canonical
 from emberlog.operators.schema import bridge, number_lines
 from emberlog.plans import adhoc
-from emberlog.session import table
+from emberlog.session import shared, table
 from emberlog.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,7 +312,8 @@ def _(s, d):
 
 @query("forward_fill", f"WITH {EV} SELECT event_id, last_value(CASE WHEN component = 'signup' THEN correlation_id END IGNORE NULLS) OVER (PARTITION BY file_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM ev")
 def _(s, d):
-    return events(s, d).select("event_id", correlate.carried(F.when(F.col("component") == "signup", F.col("correlation_id")), "seq", within=("file_name",), before=True).alias("pending"))
+    value = F.when(F.col("component") == "signup", F.col("correlation_id"))
+    return correlate.carried(events(s, d), "pending", value, "seq", within=("file_name",), before=True).select("event_id", "pending")
 
 
 @query("sha_dedup_key", f"WITH {EV} SELECT event_id, sha256(concat_ws('|', 'r', source_system, component, left(message, 100))) AS dedup_key FROM ev")
@@ -479,15 +480,13 @@ def _(s, d):
 
 @query("stream_hourly", f"WITH {EV} SELECT strftime(ts_utc, '%Y-%m-%d %H:00') AS hour, level, count(*) AS n FROM ev GROUP BY 1, 2")
 def _(s, d):
-    import tempfile
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    name = f"hourly_{uuid.uuid4().hex}"
+    base = f"{shared(s)}/hourly_{uuid.uuid4().hex}"
     source = s.readStream.schema(table(s, d, "events").schema).parquet(d if "://" in d else f"file://{d}", pathGlobFilter="events.parquet")
-    q = live.hourly(bridge(source)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name)
+    counts = live.hourly(bridge(source)).writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out"))
+    counts.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out")
 
 
 @query("batch_union", f"WITH {EV} SELECT file_name, count(*) AS n, count(DISTINCT correlation_id) AS correlations FROM ev GROUP BY 1")
@@ -500,10 +499,10 @@ def _(s, d):
 
 @query(
     "entity_enrichment",
-    "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus = 'F'",
+    "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
 )
 def _(s, d):
-    o = table(s, d, "orders").where("o_orderstatus = 'F'")
+    o = table(s, d, "orders")
     c, n, r = (table(s, d, x) for x in ("customer", "nation", "region"))
     joined = o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"], "left")
     return joined.select("o_orderkey", "c_name", "n_name", "r_name")
@@ -511,12 +510,12 @@ def _(s, d):
 
 @query(
     "last_mapping_wins",
-    "WITH m AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS last_priority FROM orders GROUP BY 1) SELECT l_orderkey, l_linenumber, last_priority FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN m USING (o_custkey) WHERE l_quantity > 45",
+    "WITH m AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS last_priority FROM orders GROUP BY 1) SELECT l_orderkey, l_linenumber, last_priority FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN m USING (o_custkey)",
 )
 def _(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     last = o.groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("last_priority"))
-    lines = table(s, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber")
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber")
     return lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).join(last, "o_custkey", "left").select("l_orderkey", "l_linenumber", "last_priority")
 
 
@@ -558,3 +557,184 @@ query("custom_parsers_debit_portal", _format_sql(SUCCESS | {"click": "request_bo
 query("custom_parsers_vflex", _format_sql(SUCCESS | {"click": "request_body", "error": "error", "": "message"}, {"error": "ERROR", "": "INFO"}, True))(_parsed_format("vflex"))
 query("custom_parsers_otp_processor", _format_sql(SUCCESS | {"": "other"}, {"purchase": "INFO", "": "WARN"}, False))(_parsed_format("otp_processor"))
 query("custom_parsers_abce_credit", _format_sql({"purchase": "INFO", "": "INFO"}, {"": "INFO"}, False))(_parsed_format("abce_credit"))
+
+
+def _portal(key: str, head: str, body: str):
+    """Records of a portal's format from rendered lines, one for each event: expressions of what a line begins with and says."""
+
+    def run(s, d):
+        e = numbered(s, d)
+        line = F.concat(F.expr(head), F.expr(body))
+        fmt = by_key(key)
+        done = canonical(fmt.records(e.select("file_name", "line_no", line.alias("line"))), fmt, F.lit(EPOCH).cast("timestamp"))
+        parameter = F.try_variant_get(F.parse_json("attributes"), "$.details.parameters.Id", "string")
+        return done.select("file_name", "line_no", time_text("ts_utc"), "level", "component", "message", "correlation_id", parameter.alias("parameter"))
+
+    return run
+
+
+def _portal_sql(level: str, kind: str, message: str, correlation: str) -> str:
+    return f"""WITH {EV} SELECT file_name, line_no, {text_time('ts_utc')} AS ts_utc, {level} AS level, {kind} AS component, {message} AS message, {correlation} AS correlation_id,
+    CASE WHEN component = 'click' THEN correlation_id END AS parameter FROM ev"""
+
+
+_ARROW_BODY = "correlation_id || '---' || CASE component WHEN 'click' THEN concat('Inputs in GetCards(Id=', correlation_id, ', Kind=x)') WHEN 'error' THEN 'A Warning came' WHEN 'view' THEN 'New Request' ELSE 'plain text' END"
+_ARROW_TIME = "date_format(ts_utc, 'M/d/yyyy h:mm:ss a') || ' ->'"
+_ARROW_TEXT = "CASE component WHEN 'click' THEN 'GetCards' WHEN 'error' THEN 'A Warning came' WHEN 'view' THEN 'New Request' ELSE 'plain text' END"
+_ARROW_LEVEL = "CASE component WHEN 'error' THEN 'WARN' ELSE 'INFO' END"
+
+
+query("custom_parsers_abce_debit", _portal_sql(_ARROW_LEVEL, "CASE component WHEN 'click' THEN 'FUNCTION_INPUT' WHEN 'error' THEN 'WARNING' WHEN 'view' THEN 'STEP_EVENT' ELSE 'INFO' END", _ARROW_TEXT, "correlation_id"))(_portal("abce_debit", _ARROW_TIME, _ARROW_BODY))
+query("custom_parsers_asbb_debit", _portal_sql(_ARROW_LEVEL, "CASE component WHEN 'click' THEN 'FUNCTION_INPUT' WHEN 'error' THEN 'WARNING' ELSE 'INFO' END", _ARROW_TEXT, "correlation_id"))(_portal("asbb_debit", _ARROW_TIME, _ARROW_BODY))
+query("custom_parsers_asbb_mw_credit", _portal_sql("CASE level WHEN 'CRITICAL' THEN 'ERROR' ELSE level END", "CASE component WHEN 'click' THEN 'FUNCTION_INPUT' ELSE 'INFO' END", "CASE component WHEN 'click' THEN 'CC_Enquiry' ELSE 'plain text' END", "'M' || correlation_id"))(
+    _portal(
+        "asbb_mw_credit",
+        "date_format(ts_utc, 'yyyy-MM-dd HH:mm:ss.SSS') || ' +00:00 [' || CASE level WHEN 'CRITICAL' THEN 'ERROR' ELSE level END || '] '",
+        "'Log Tracker No: M' || correlation_id || ' => ' || CASE component WHEN 'click' THEN concat('Inputs : CC_Enquiry (Id=', correlation_id, ', Kind=x)') ELSE 'plain text' END",
+    )
+)
+
+
+def payment_lines(s, d):
+    """Payment messages, one for each event: a request with an issuer, a bank URL, a bank response, a success, an exception with a frame."""
+    at = F.date_format("ts_utc", "M/d/yyyy h:mm:ss a")
+    body = F.expr("""CASE component
+      WHEN 'click' THEN concat('Request Body {"TransactionId": "X', correlation_id, '", "IssuerId": "', source_system, '", "channel": "c', seq % 2, '", "MerchantInfo": {"MerchantName": "m', user % 40, '"}}')
+      WHEN 'view' THEN concat('Bank API URL https://bank/', CASE WHEN seq % 2 = 0 THEN 'setup-request' ELSE 'otp-request' END)
+      WHEN 'purchase' THEN 'Success Response from Bank API call {"success": true}'
+      WHEN 'error' THEN 'System.Net.WebException: host unreachable' ELSE 'OTP processed successfully' END""")
+    e = numbered(s, d).withColumn("user", F.col("correlation_id").cast("long"))
+    head = e.select("file_name", (F.col("line_no") * 2).cast("int").alias("line_no"), F.concat(at, F.lit(" Log Tracker No: SU"), F.lpad("correlation_id", 6, "0"), F.lit(" => "), body).alias("line"))
+    frame = F.concat(F.lit("   at Bank.Call(Int32 id) in C:\\src\\bank.cs:line "), F.col("line_no").cast("string"))
+    return head.unionByName(e.where("component = 'error'").select("file_name", (F.col("line_no") * 2 + 1).cast("int").alias("line_no"), frame.alias("line")))
+
+
+def _parsed(s, d, key: str):
+    fmt = by_key(key)
+    return canonical(fmt.records(payment_lines(s, d)), fmt, F.lit(EPOCH).cast("timestamp"))
+
+
+#: The entity of each tracker over the lines above: first values in the order of lines, flags over all.
+ENTITY = """
+u AS (SELECT file_name, correlation_id, arg_min(source_system, line_no) FILTER (component = 'click') AS issuer, arg_min('c' || (seq % 2), line_no) FILTER (component = 'click') AS channel,
+  arg_min(CASE WHEN seq % 2 = 0 THEN 'SETUP_REQUEST' ELSE 'OTP_REQUEST' END, line_no) FILTER (component = 'view') AS operation,
+  bool_or(component = 'purchase') AS bank, bool_or(component = 'signup') AS otp, bool_or(component = 'click') AS named, bool_or(component = 'error') AS errors FROM ev GROUP BY 1, 2)
+"""
+
+
+@query(
+    "vflex_summary",
+    f"""WITH {EV}, {ENTITY},
+    k AS (SELECT coalesce(issuer, 'UNKNOWN') AS issuer, 'CHECK' AS status, coalesce(operation, 'UNKNOWN') AS operation, coalesce(channel, 'UNKNOWN') AS channel, CASE WHEN named THEN 'm' || (CAST(correlation_id AS BIGINT) % 40) ELSE 'UNKNOWN' END AS merchant,
+      CAST(otp AS VARCHAR) AS otp_processed, CAST(bank AS VARCHAR) AS bank_success FROM u),
+    x AS (SELECT dimension, value, count(*) AS n FROM (UNPIVOT k ON issuer, status, operation, channel, merchant, otp_processed, bank_success INTO NAME dimension VALUE value) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS place FROM x)
+    SELECT dimension, value, n FROM r WHERE dimension <> 'merchant' OR place <= 15""",
+)
+def _(s, d):
+    found = summaries.by_dimension(summaries.entities(_parsed(s, d, "vflex").withColumn("event_id", F.col("line_no").cast("string")), "vflex"), "vflex", 15)
+    return found.where(F.col("dimension").isin("issuer", "status", "operation", "channel", "merchant", "otp_processed", "bank_success"))
+
+
+@query(
+    "payment_exceptions",
+    f"""WITH {EV} SELECT file_name, line_no, 'System.Net.WebException' AS type, 'host unreachable' AS said, 'Bank.Call(Int32 id)' AS method, 'C:\\src\\bank.cs' AS file, line_no AS at_line FROM ev WHERE component = 'error'""",
+)
+def _(s, d):
+    doc = browse.flat(
+        _parsed(s, d, "vflex").select("file_name", "line_no", "attributes"),
+        "attributes",
+        {"type": "$.details.exception.type", "said": "$.details.exception.message", "method": "$.details.exception.frames[0].method", "file": "$.details.exception.frames[0].file", "at_line": "$.details.exception.frames[0].line"},
+    )
+    return doc.where("type IS NOT NULL").withColumn("at_line", F.col("at_line").cast("long"))
+
+
+@query(
+    "record_summary",
+    f"""WITH {EV}, {ENTITY},
+    t AS (SELECT CASE component WHEN 'click' THEN 'request_body' WHEN 'view' THEN 'bank_api_url' WHEN 'purchase' THEN 'bank_api_success_response' WHEN 'error' THEN 'error' ELSE 'otp_success' END AS event_type,
+      CASE component WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'parsed' AS parse_status, 'STEP_UP' AS phase FROM ev),
+    k AS (SELECT issuer, channel, CASE WHEN named THEN 'm' || (CAST(correlation_id AS BIGINT) % 40) END AS merchant FROM u),
+    x AS (SELECT dimension, value, count(*) AS n FROM (UNPIVOT t ON event_type, level, parse_status, phase INTO NAME dimension VALUE value) GROUP BY 1, 2
+      UNION ALL SELECT dimension, value, count(*) FROM (UNPIVOT k ON issuer, channel, merchant INTO NAME dimension VALUE value) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS place FROM x)
+    SELECT dimension, value, n FROM r WHERE dimension <> 'merchant' OR place <= 30""",
+)
+def _(s, d):
+    return summaries.record_summary(by_key("vflex").records(payment_lines(s, d)))
+
+
+@query(
+    "integrity_warnings",
+    f"""WITH {EV}, {ENTITY}, w AS (SELECT unnest(list_filter([
+      CASE WHEN NOT named THEN 'Step-up flow has no TransactionId' END, CASE WHEN NOT bank THEN 'Step-up flow has no successful bank API confirmation' END, 'Step-up flow has no successful Netcetera response'], lambda x: x IS NOT NULL)) AS warning FROM u)
+    SELECT warning, count(*) AS n FROM w GROUP BY 1""",
+)
+def _(s, d):
+    found = summaries.entities(_parsed(s, d, "vflex").withColumn("event_id", F.col("line_no").cast("string")), "vflex")
+    texts = F.from_json(F.try_variant_get(F.parse_json("entity"), "$.warnings", "string"), "array<string>")
+    return found.select(F.explode(texts).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+
+
+@query(
+    "failed_events",
+    f"""WITH {EV} SELECT 'System.Net.WebException: host unreachable' || chr(10) || 'at Bank.Call(Int32 id) in C:\\src\\bank.cs:line ' AS reason, count(*) AS n FROM ev WHERE component = 'error'""",
+)
+def _(s, d):
+    found = summaries.failed(_parsed(s, d, "vflex"), "vflex")
+    reason = F.regexp_replace(F.regexp_replace("message", r"line \d+$", "line "), r"\n\s+", "\n")
+    return found.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("analysis_fetch", f"WITH {EV}, m AS (SELECT date_trunc('day', min(ts_utc)) AS a FROM ev) SELECT event_id, line_no FROM ev, m WHERE ts_utc BETWEEN a AND a + INTERVAL 10 DAY")
+def _(s, d):
+    import datetime as dt
+
+    e = numbered(s, d)
+    first = e.agg(F.date_trunc("day", F.min("ts_utc")).alias("a")).first()["a"]
+    return browse.for_analysis(e, first, first + dt.timedelta(days=10)).select("event_id", "line_no")
+
+
+@query(
+    "profile_match_ratio",
+    f"""WITH {EV}, p(profile, ratio) AS (VALUES ('Standard Bracket [TIMESTAMP] [LEVEL]', 1.0 :: DOUBLE), ('Application JSON Log', 0.0 :: DOUBLE), ('Standard Syslog', 0.0 :: DOUBLE)) SELECT profile, ratio FROM p""",
+)
+def _(s, d):
+    ingested, rows = F.lit(EPOCH).cast("timestamp"), rendered(s, d)
+    named = [p for p in profiles.DEFAULTS if p.name in (BRACKET.name, "Application JSON Log", "Standard Syslog")]
+    found = None
+    for p in named:
+        parsed = profiles.parse(profiles.records_of(rows, p), p, ingested).agg(F.avg(F.col("parsed").cast("int")).alias("ratio")).select(F.lit(p.name).alias("profile"), "ratio")
+        found = parsed if found is None else found.unionByName(parsed)
+    return found
+
+
+@query("last_of_each", f"WITH {EV} SELECT correlation_id, arg_max(event_id, (ts_utc, line_no, event_id)) AS event_id FROM ev GROUP BY 1")
+def _(s, d):
+    return correlate.first_of_each(numbered(s, d), latest=True).select("correlation_id", "event_id")
+
+
+@query(
+    "islands_by_service",
+    f"""WITH {EV}, {PAIRS},
+    n AS (SELECT *, lag(status) OVER w AS ps, lag(ts_utc) OVER w AS pt, lead(status) OVER w AS ns, lead(ts_utc) OVER w AS nt FROM p WINDOW w AS (PARTITION BY source_system ORDER BY ts_utc, event_id)),
+    r AS (SELECT *, sum(CASE WHEN status = 'unresponded' AND (ps IS NULL OR ps <> 'unresponded' OR floor(epoch(ts_utc)) - floor(epoch(pt)) > 600) THEN 1 ELSE 0 END) OVER (PARTITION BY source_system ORDER BY ts_utc, event_id) AS run FROM n),
+    g AS (SELECT source_system, min(ts_utc) AS a, count(*) AS n, arg_min(event_id, (ts_utc, event_id)) AS e FROM r WHERE status = 'unresponded' GROUP BY source_system, run)
+    SELECT source_system, {text_time('a')} AS down_since, n AS unresponded_count, e AS first_event FROM g""",
+)
+def _(s, d):
+    return correlate.downtime_islands(pairs(s, d), by=("source_system",)).select("source_system", time_text("down_since"), "unresponded_count", "first_event")
+
+
+@query("stored_events", f"WITH {EV} SELECT batch_id, count(*) AS events, max(line_no) AS last_line FROM (SELECT CASE WHEN seq % 2 = 0 THEN 'even' ELSE 'odd' END AS batch_id, line_no FROM ev) GROUP BY 1")
+def _(s, d):
+    import uuid
+
+    from emberlog.sources.files import EventStore
+
+    store, rows = EventStore(s, f"{shared(s)}/store_{uuid.uuid4().hex}"), numbered(s, d)
+    none = F.lit(None).cast("string")
+    canon = rows.withColumns({"ts_raw": none, "ts_confidence": F.lit("parsed"), "raw": F.col("message")})
+    store.add(canon.where("seq % 2 = 0"), "even.log", 1, None, 1.0, "even")
+    store.add(canon.where("seq % 2 <> 0"), "odd.log", 1, None, 1.0, "odd")
+    return store.events().groupBy("batch_id").agg(F.count("*").alias("events"), F.max("line_no").alias("last_line"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators.schema import BATCH_SCHEMA, EVENT_COLUMNS, EVENT_SCHEMA
@@ -14,7 +15,7 @@ from emberlog.operators.schema import BATCH_SCHEMA, EVENT_COLUMNS, EVENT_SCHEMA
 EXTENSIONS = (".log", ".txt", ".jsonl", ".csv", ".tsv")
 MAX_BYTES = 500 << 20
 #: Lines of a block of blockwise() where the lines come from elsewhere than a file.
-BLOCK_LINES = 100_000
+BLOCK_LINES = 1 << 14
 
 
 def read_lines(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
@@ -57,33 +58,73 @@ def scan_directory(spark: SparkSession, path: str, recursive: bool = True, max_b
 class EventStore:
     """Events and batches as Parquet; events by source and day, so that filters prune folders.
 
-    A batch row is written after its events and is the commit: events of a batch without one are never read.
+    Each attempt to store a batch has a name of its own, in its events and in the batch row, which is written after them and
+    is the commit: events of other attempts are never read. A batch that is stored already isn't stored again.
     """
 
+    STORED = f"{EVENT_SCHEMA}, attempt string, event_date date"
+    COMMITS = f"{BATCH_SCHEMA}, attempt string"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.events_path, self.batches_path = spark, f"{path}/events", f"{path}/batches"
+        self.counts: dict[str, dict[str, int]] = {}
 
     def add(self, events: DataFrame, file_name: str, size: int, profile: str | None, ratio: float, batch_id: str | None = None, at: dt.datetime | None = None) -> str:
-        """Stores a batch of events; event ids follow from batch and line, so a repeated attempt makes the same ones."""
-        batch_id = batch_id or uuid.uuid4().hex
+        """Stores a batch of events; event ids follow from batch and line, so a repeated attempt makes the same ones.
+
+        The numbers of events, and of those whose time is known, are counted by the write itself (see `counts`).
+        """
+        batch_id, attempt = batch_id or uuid.uuid4().hex, uuid.uuid4().hex
+        if not self._commits().where(F.col("batch_id") == batch_id).isEmpty():
+            return batch_id
+        seen = Observation()
         rows = events.withColumn("batch_id", F.lit(batch_id)).withColumn("event_id", F.sha2(F.concat_ws(":", F.lit(batch_id), "file_name", "line_no"), 256))
-        rows.select(*EVENT_COLUMNS, F.coalesce(F.to_date("ts_utc"), F.lit("1970-01-01").cast("date")).alias("event_date")).write.mode("append").partitionBy("source_system", "event_date").parquet(self.events_path)
-        n = self.spark.read.parquet(self.events_path).where(F.col("batch_id") == batch_id).count()
-        self.spark.createDataFrame([(batch_id, file_name, size, n, profile, round(ratio, 3), at or dt.datetime.now(dt.timezone.utc))], BATCH_SCHEMA).coalesce(1).write.mode("append").parquet(self.batches_path)
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("events"), F.count_if(F.col("ts_confidence") != "unparseable").alias("timed"))
+        day = F.coalesce(F.to_date("ts_utc"), F.lit("1970-01-01").cast("date")).alias("event_date")
+        rows.select(*EVENT_COLUMNS, F.lit(attempt).alias("attempt"), day).write.mode("append").partitionBy("source_system", "event_date").parquet(self.events_path)
+        self.counts[batch_id] = seen.get
+        self._commit((batch_id, file_name, size, seen.get["events"], profile, round(ratio, 3), at or dt.datetime.now(dt.timezone.utc), attempt))
         return batch_id
 
-    def events(self) -> DataFrame:
-        stored = self.spark.read.schema(f"{EVENT_SCHEMA}, event_date date").parquet(self.events_path)
-        return stored.join(self.batches().select("batch_id"), "batch_id", "left_semi")
+    def _commit(self, row: tuple) -> None:
+        self.spark.createDataFrame([row], self.COMMITS).coalesce(1).write.mode("append").parquet(self.batches_path)
+
+    def _commits(self) -> DataFrame:
+        """One row for each batch: of two attempts that both committed the first counts."""
+        try:
+            rows = self.spark.read.schema(self.COMMITS).parquet(self.batches_path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.COMMITS)
+        names = [c for c in rows.columns if c != "batch_id"]
+        return rows.groupBy("batch_id").agg(F.min_by(F.struct(*names), F.struct("uploaded_at", "attempt")).alias("x")).select("batch_id", "x.*")
+
+    def events(self, batch_id: str | None = None) -> DataFrame:
+        """The events of all batches, or of one."""
+        stored, commits = self.spark.read.schema(self.STORED).parquet(self.events_path), self._commits()
+        if batch_id is not None:
+            stored, commits = stored.where(F.col("batch_id") == batch_id), commits.where(F.col("batch_id") == batch_id)
+        return stored.join(commits.select("batch_id", "attempt"), ["batch_id", "attempt"], "left_semi").drop("attempt")
 
     def batches(self) -> DataFrame:
         """All batches, newest first."""
-        return self.spark.read.schema(BATCH_SCHEMA).parquet(self.batches_path).orderBy(F.desc("uploaded_at"), "batch_id")
+        return self._commits().drop("attempt").orderBy(F.desc("uploaded_at"), "batch_id")
 
     def clear(self) -> None:
         """Leaves an empty store."""
-        self.spark.createDataFrame([], f"{EVENT_SCHEMA}, event_date date").write.mode("overwrite").partitionBy("source_system", "event_date").parquet(self.events_path)
-        self.spark.createDataFrame([], BATCH_SCHEMA).write.mode("overwrite").parquet(self.batches_path)
+        self.spark.createDataFrame([], self.STORED).write.mode("overwrite").partitionBy("source_system", "event_date").parquet(self.events_path)
+        self.spark.createDataFrame([], self.COMMITS).write.mode("overwrite").parquet(self.batches_path)
+
+
+def write_json(records: DataFrame, path: str) -> None:
+    """A parser's records as JSON lines, in as many files as there are partitions."""
+    records.write.mode("overwrite").json(path)
+
+
+def write_csv(features: DataFrame, path: str) -> None:
+    """A flat table, such as the minutes' features with their scores, as CSV with a header."""
+    features.write.mode("overwrite").option("header", True).csv(path)
 
 
 def rollup(batches: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from emberlog.functions.times import hour_label
 
 
+#: What is logged of an attempt to notify.
+LOG = "rule string, dedup_key string, status string, triggered_at timestamp"
+
+
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Counts by hour and level; an hour is final once the watermark has passed it."""
     return events.withWatermark("ts_utc", late).groupBy(F.window("ts_utc", "1 hour").alias("w"), "level").agg(F.count("*").alias("n")).select(hour_label(F.col("w.start")).alias("hour"), "level", "n")
@@ -22,9 +27,13 @@ def suppress(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
     """Alerts (dedup_key, dedup_window_minutes, ts_utc, ...) that fire, by event time within a key.
 
     State of a key: when it last fired. Rows of a micro-batch are taken in time; suppressed ones don't prolong the window.
+    Once the watermark has passed a key's window its state goes, as nothing that may still come would be suppressed by it.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values("ts_utc", kind="stable")
         keep = []
@@ -33,9 +42,55 @@ def suppress(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
             keep.append(last is None or micros - last >= w * 60_000_000)
             last = micros if keep[-1] else last
         state.update((last,))
+        over = last // 1000 + 60_000 * int(rows["dedup_window_minutes"].max()) + 1
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         yield rows[keep]
 
-    return alerts.withWatermark("ts_utc", late).groupBy("dedup_key").applyInPandasWithState(fold, alerts.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return alerts.withWatermark("ts_utc", late).groupBy("dedup_key").applyInPandasWithState(fold, alerts.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def unanswered(events: DataFrame, grace_ms: int = 5000, late: str = "10 seconds") -> DataFrame:
+    """correlation_id, ts_utc of each request that had no response within its grace, once the watermark has passed it.
+
+    events: correlation_id, ts_utc, role (input or response). State of a transaction: its open requests. A response
+    closes those at or before it that it still reaches in time.
+    """
+
+    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ms, seen = (list(x) for x in state.get) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                for t, role in zip(rows["ts_utc"], rows["role"]):
+                    (open_ms if role == "input" else seen).append(int(t.value // 1_000_000))
+        now = state.getCurrentWatermarkMs()
+        open_ms = sorted(a for a in open_ms if not any(a <= b <= a + grace_ms for b in seen))
+        lost = [a for a in open_ms if a + grace_ms < now]
+        open_ms = [a for a in open_ms if a + grace_ms >= now]
+        seen = [b for b in seen if b >= now - grace_ms]
+        if open_ms or seen:
+            state.update((open_ms, seen))
+            state.setTimeoutTimestamp(max(min(open_ms + seen) + grace_ms + 1, now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"correlation_id": [key[0]] * len(lost), "ts_utc": pd.to_datetime(lost, unit="ms")})
+
+    rows = events.select("correlation_id", "ts_utc", "role").where("role IN ('input', 'response') AND ts_utc IS NOT NULL").withWatermark("ts_utc", late)
+    return rows.groupBy("correlation_id").applyInPandasWithState(walk, "correlation_id string, ts_utc timestamp", "waiting array<long>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def every(spark: SparkSession, seconds: int, check: Callable[[SparkSession], None], checkpoint: str):
+    """A query that runs a check at a fixed interval, never two at once: a check that takes longer delays the next."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: check(batch.sparkSession))
+
+
+def poll(sources: dict[str, tuple[DataFrame, int]], write: Callable[[str], Callable[[DataFrame, int], None]], folder: str) -> dict:
+    """Starts a query for each source by its own interval in minutes; sources don't wait for each other. Returns the queries by name."""
+    started = {}
+    for name, (lines, minutes) in sources.items():
+        query = lines.writeStream.foreachBatch(write(name)).option("checkpointLocation", f"{folder}/{name}").trigger(processingTime=f"{minutes} minutes")
+        started[name] = query.queryName(name).start()
+    return started
 
 
 def transitions(checks: DataFrame) -> DataFrame:
@@ -56,22 +111,47 @@ def transitions(checks: DataFrame) -> DataFrame:
 
 
 def to_notifier(alerts: DataFrame, notify: Callable[[list[dict]], list[str]], log_path: str, checkpoint: str, most: int = 1000):
-    """A query that hands alerts to a notifier, `most` rows a call, and logs every attempt under its batch; a repeated batch overwrites its log."""
+    """A query that hands alerts to a notifier, `most` rows a call, and logs every attempt under its batch and call.
+
+    A repeated batch overwrites its log. The driver holds the rows of one call.
+    """
 
     def send(batch: DataFrame, number: int) -> None:
-        tried, part = [], []
+        def call(k: int, part: list[dict]) -> None:
+            at = dt.datetime.now(dt.timezone.utc)
+            rows = [(str(a.get("rule")), str(a.get("dedup_key")), status, at) for a, status in zip(part, notify(part))]
+            batch.sparkSession.createDataFrame(rows, LOG).coalesce(1).write.mode("overwrite").parquet(f"{log_path}/batch={number}/call={k}")
+
+        part: list[dict] = []
+        calls = 0
         for row in batch.toLocalIterator():
             part.append(row.asDict())
             if len(part) >= most:
-                tried += zip(part, notify(part))
-                part = []
-        tried += zip(part, notify(part)) if part else []
-        rows = [(str(a.get("rule")), str(a.get("dedup_key")), status) for a, status in tried]
-        batch.sparkSession.createDataFrame(rows, "rule string, dedup_key string, status string").write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+                call(calls, part)
+                part, calls = [], calls + 1
+        if part:
+            call(calls, part)
 
     return alerts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
 
 
+def dispatches(spark: SparkSession, log_path: str, page: int = 1, size: int = 50) -> tuple[int, DataFrame]:
+    """How many attempts there were, and a page of them, newest first."""
+    rows = spark.read.schema(f"{LOG}, batch long, call int").parquet(log_path)
+    newest = rows.orderBy(F.desc("triggered_at"), F.desc("batch"), F.desc("call"), "rule", "dedup_key")
+    return rows.count(), newest.offset((page - 1) * size).limit(size)
+
+
+def simulated(prefix: str = "", send: Callable[[str, dict], str] | None = None) -> Callable[[list[dict]], list[str]]:
+    """A notifier: a subject with the prefix for each alert. Without a way to send, every attempt counts as a simulated success."""
+
+    def notify(alerts: list[dict]) -> list[str]:
+        subjects = [f"{prefix}{a.get('rule')}: {str(a.get('message') or '')[:100]}" for a in alerts]
+        return [send(s, a) if send else f"simulated: {s}" for s, a in zip(subjects, alerts)]
+
+    return notify
+
+
 class _Tail(InputPartition):
     def __init__(self, path: str, start: int, end: int, first_line: int):
         self.path, self.start, self.end, self.first_line = path, start, end, first_line

@@ -132,8 +132,10 @@ def carried(rows: DataFrame, name: str, value: Column, order: str, within: tuple
 
 def first_of_each(events: DataFrame, key: str = "correlation_id", latest: bool = False) -> DataFrame:
     """One event for each key: the earliest by time, line and id, or the latest."""
-    order = [c.desc() if latest else c.asc() for c in (F.col("ts_utc"), F.col("line_no"), F.col("event_id"))]
-    return events.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    order, whole = F.struct("ts_utc", "line_no", "event_id"), F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    chosen = (F.max_by if latest else F.min_by)(whole, order)
+    # An aggregate with a map-side part: a key with many events costs a row for each task.
+    return events.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(chosen.alias("_row")).select("_row.*")
 
 
 def resolve_aliases(records: DataFrame, within: str = "batch_id") -> DataFrame:

@@ -60,7 +60,9 @@ def canonical(records: DataFrame, fmt: Format, ingested: Column) -> DataFrame:
     """Records as canonical events. Without a level of its own, WARNING records are WARN and all others INFO."""
     level = F.when(F.col("log_level").isNotNull(), normalize_level(F.col("log_level"))).when(F.col("log_type") == "WARNING", "WARN").otherwise("INFO")
     rows = records.withColumn("_time", parse_time(F.col("ts_raw"), ingested))
-    attributes = F.to_json(F.struct("correlation_id", F.parse_json(F.coalesce("details", F.lit("{}"))).alias("details")))
+    # Details are JSON already, so they are put in as they are.
+    head = F.to_json(F.struct("correlation_id"))
+    attributes = F.concat(F.left(head, F.length(head) - 1), F.when(F.col("correlation_id").isNotNull(), ",").otherwise(""), F.lit('"details":'), F.coalesce("details", F.lit("{}")), F.lit("}"))
     return rows.select(
         "file_name",
         F.col("ordinal").cast("int").alias("line_no"),

@@ -18,6 +18,7 @@ from emberlog.functions.payloads import payload
 from emberlog.functions.text import base64_text, clean, contains_any, exception, observables, operation, otp_message, phase, unescape_all
 from emberlog.operators.correlate import carried, first_nonempty, last_nonempty, ordered_distinct, resolve_aliases, truthy
 from emberlog.operators.formats import US_TIME, Format, classify, split_records
+from emberlog.session import written
 
 TRACKED = rf"{US_TIME}\s+Log Tracker No:\s*[A-Z]{{2}}\d+\s*(?:=>|=\\>|=&gt;)\s*"
 
@@ -183,7 +184,10 @@ class Payment:
 
 
 def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
-    """Classes, payloads and identifiers of events with file_name, ordinal, ts_raw, tracker, message, raw."""
+    """Classes, payloads and identifiers of events with file_name, ordinal, ts_raw, tracker, message, raw.
+
+    The result is written: messages are read once, and keys, merges and the join of entities go over what was found.
+    """
     # One Python function reads all of a message, references, objects and XML.
     rows = rows.withColumn("p", payload("message")).withColumn("text", F.col("p.text"))
     rows = rows.withColumn("event_type", classify(F.col("text"), kind.classes, kind.otherwise))
@@ -201,7 +205,7 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
             F.when(F.col("p.method") == "regex", WARNINGS["broken xml"]),
         )
     )
-    return rows.select(
+    found = rows.select(
         "file_name",
         "ordinal",
         "ts_raw",
@@ -230,6 +234,7 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
         observables(F.col("text")).alias("observables"),
         *named,
     )
+    return written(found)
 
 
 def merge(events: DataFrame, kind: Payment, key: str = "key") -> DataFrame:

@@ -30,10 +30,10 @@ def breakdown(entities: DataFrame, **dimensions: Column) -> DataFrame:
     return entities.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
-def top_of_each(counts: DataFrame, k: int = 15) -> DataFrame:
-    """The k most frequent values of each dimension; ties by value."""
+def top_of_each(counts: DataFrame, k: int = 15, of: tuple[str, ...] | None = None) -> DataFrame:
+    """The k most frequent values of each dimension, or of the named ones with all values of the others; ties by value."""
     order = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
-    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return counts.withColumn("place", F.row_number().over(order)).where((F.col("place") <= k) | (~F.col("dimension").isin(*of) if of else F.lit(False)))
 
 
 def envelope(events: DataFrame) -> dict:

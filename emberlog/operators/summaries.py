@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import correlate, reports
 from emberlog.operators.correlate import truthy
+from emberlog.session import written
 
 #: Where an entity lies in an event's details, and what its summary counts.
 SHAPES: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = {
@@ -20,13 +21,16 @@ SHAPES: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = {
 def entities(events: DataFrame, kind: str, latest: bool = False) -> DataFrame:
     """One entity for each correlation id, from its first event that has one: correlation_id and the entity as JSON text."""
     name, _ = SHAPES[kind]
-    rows = events.withColumn("entity", F.try_variant_get(F.parse_json("attributes"), f"$.details.{name}", "string")).where("entity IS NOT NULL AND entity <> '{}'")
+    entity = F.try_variant_get(F.parse_json("attributes"), f"$.details.{name}", "string").alias("entity")
+    # Written before it is filtered: the filter would read every document once more.
+    rows = written(events.select("correlation_id", "ts_utc", "line_no", "event_id", entity)).where("entity IS NOT NULL AND entity <> '{}'")
     return correlate.first_of_each(rows, latest=latest).select("correlation_id", "entity")
 
 
 def by_dimension(found: DataFrame, kind: str, most: int | None = None) -> DataFrame:
     """dimension, value, n for all dimensions of a format, in one pass over the entities; `most` values of merchants alone."""
-    doc = F.parse_json("entity")
+    found = found.withColumn("_doc", F.parse_json("entity"))
+    doc = F.col("_doc")
 
     def value(paths: tuple[str, ...]) -> Column:
         return F.coalesce(*[truthy(F.try_variant_get(doc, p, "string")) for p in paths], F.lit("UNKNOWN"))
@@ -35,8 +39,7 @@ def by_dimension(found: DataFrame, kind: str, most: int | None = None) -> DataFr
     flags = {name: F.coalesce(F.try_variant_get(doc, p, "boolean"), F.lit(False)).cast("string") for name, p in (("otp_processed", "$.otp_processed"), ("bank_success", "$.bank_api.success"), ("force_verify", "$.force_verify_by_mobile"))}
     flags["check"] = (F.coalesce(F.try_variant_get(doc, "$.integrity_status", "string"), F.lit("")) == "CHECK").cast("string")
     counts = reports.breakdown(found, **columns, **flags)
-    merchants = F.col("dimension") == "merchant"
-    return counts.where(~merchants).unionByName(reports.top_of_each(counts.where(merchants), most).drop("place")) if most else counts
+    return reports.top_of_each(counts, most, of=("merchant",)).drop("place") if most else counts
 
 
 def record_summary(records: DataFrame, merchants: int = 30) -> DataFrame:
@@ -46,14 +49,14 @@ def record_summary(records: DataFrame, merchants: int = 30) -> DataFrame:
     """
     doc = F.try_parse_json(F.coalesce("details", F.lit("{}")))
     get = lambda c, path: truthy(F.try_variant_get(F.col(c), path, "string"))
-    rows = records.select("file_name", "ordinal", "log_type", "correlation_id", F.coalesce("log_level", F.lit("INFO")).alias("level"), doc.alias("doc"))
+    whole = records.select("file_name", "ordinal", "log_type", "correlation_id", F.coalesce("log_level", F.lit("INFO")).alias("level"), "details")
+    rows = written(whole).withColumn("doc", doc)
     events = reports.breakdown(rows, event_type=F.col("log_type"), level=F.col("level"), parse_status=get("doc", "$.parse_status"), phase=get("doc", "$.phase"))
     entity = F.coalesce(*[F.try_variant_get("doc", f"$.{name}", "string") for name in ("transaction", "flow", "record")])
     first = rows.where("correlation_id IS NOT NULL").withColumn("entity", entity).where("entity IS NOT NULL").groupBy("file_name", "correlation_id").agg(F.min_by("entity", "ordinal").alias("entity"))
     first = first.withColumn("doc", F.parse_json("entity"))
     parts = reports.breakdown(first, issuer=get("doc", "$.issuer_id"), currency=get("doc", "$.transaction.currency"), channel=get("doc", "$.otp.channel"), merchant=get("doc", "$.merchant.name"))
-    top = reports.top_of_each(parts.where("dimension = 'merchant'"), merchants).drop("place")
-    return events.unionByName(parts.where("dimension <> 'merchant'")).unionByName(top)
+    return events.unionByName(reports.top_of_each(parts, merchants, of=("merchant",)).drop("place"))
 
 
 def oob_statuses(found: DataFrame) -> DataFrame:

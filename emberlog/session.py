@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
@@ -72,6 +73,13 @@ def shared(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: what several later steps need is computed once and outlives executors."""
+    path = f"{shared(df.sparkSession)}/emberlog/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. The path goes to Spark's reader only, whatever its scheme is."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

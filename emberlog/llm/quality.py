@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import SPACES, materialize, word_array
 
 SYMBOLS = "#*$%&|<>"
-#: Up to so many repeated windows of a text are looked up one by one; beyond it all its windows are sorted.
-LOOKED_UP = 24
 
 
 def _repeat_words(words: Column) -> Column:
@@ -36,14 +34,12 @@ def _repeat_words(words: Column) -> Column:
         return _with(windows, of_windows)
 
     def of_windows(w: Column) -> Column:
-        return F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(_with(F.sort_array(w), lambda s: _with(F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))), lambda twice: covered(w, twice))))
-
-    def covered(w: Column, twice: Column) -> Column:
-        few = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
         ordered = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        many = _with(ordered, lambda s: F.transform(F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])), lambda x: x["i"]))
-        starts = F.when(F.size(twice) <= LOOKED_UP, few).otherwise(many)
-        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+        return F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(_with(ordered, covered))
+
+    def covered(s: Column) -> Column:
+        alike = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(alike, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     return _with(hashes, of_hashes)
 
@@ -156,8 +152,17 @@ def judge(docs: DataFrame, rules=RULES, least: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, rules=RULES, least: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, in the columns of docs.
 
-    A first pass counts patterns over all documents; the second decides row by row, with no join or shuffle.
+    Texts are counted once: what the base rules pass is written with its pattern, beside the number of all documents
+    for each pattern, and the posteriors then decide on what was written. No document is joined or shuffled.
     """
-    counted = docs.select(_counts(F.col("text")).alias("counts")).select(vote_pattern(lambda n: F.col(f"counts.{n}"), rules).alias("pattern"))
-    by_pattern = F.lit(_fit(counted, rules))
-    return docs.where(_with(_counts(F.col("text")), lambda c: ~base_failed(lambda n: c[n]) & (F.get(by_pattern, vote_pattern(lambda n: c[n], rules)) >= least)))
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _counts(F.col("text")).alias("counts"))
+
+    def count(name: str) -> Column:
+        return F.col(f"counts.{name}")
+
+    # Rows that fail anyhow are written without their columns: they count in the pattern alone.
+    row = F.when(~base_failed(count), F.col("row"))
+    judged = materialize(counted.select(row.alias("row"), vote_pattern(count, rules).alias("pattern")))
+    by_pattern = F.lit(_fit(judged.select("pattern"), rules))
+    kept = judged.where(F.col("row").isNotNull() & (F.get(by_pattern, F.col("pattern")) >= least))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,105 @@ def test_files_and_store(spark, tmp_path):
     assert files.rollup(store.batches()).first()["files"] == 1
     store.clear()
     assert store.events().count() == 0
+
+
+def test_summaries_cap_merchants_alone(spark):
+    rows = [(json.dumps({"issuer_id": f"i{k}", "merchant": {"name": f"m{k}"}}),) for k in range(20)]
+    found = spark.createDataFrame(rows, "entity string")
+    got = summaries.by_dimension(found, "debit", 15).groupBy("dimension").count().collect()
+    assert {r["dimension"]: r["count"] for r in got if r["dimension"] in ("issuer", "merchant")} == {"issuer": 20, "merchant": 15}
+
+
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT * FROM text.`/etc/hostname`", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'nanoTime')", "SELECT * FROM other", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "WITH a AS (SELECT * FROM parquet.`/x`) SELECT * FROM a", "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM events"],
+)
+def test_guard_walks_the_whole_plan(spark, sql):
+    with pytest.raises(adhoc.NotReadOnly):
+        adhoc.read_only(spark, sql, ["events"])
+
+
+def test_guard_lets_queries_pass(spark):
+    view = spark.range(5).withColumn("text", F.lit("reflect( java_method"))
+    many = ", ".join(f"id + {k} AS c{k}" for k in range(60))
+    assert adhoc.run(spark, f"SELECT {many} FROM events WHERE id IN (SELECT id FROM Events WHERE text LIKE '%reflect(%')", {"events": view}).count() == 5
+    with pytest.raises(adhoc.NotReadOnly):
+        adhoc.read_only(spark, f"SELECT {many}, reflect('java.lang.System', 'nanoTime') FROM events", ["events"])
+
+
+def test_rule_store(spark, tmp_path):
+    store = alerts.RuleStore(spark, f"file://{tmp_path}/rules")
+    seeds = [r["rule_id"] for r in store.frame().collect()]
+    assert len(seeds) == len(alerts.SEEDS)
+    made = store.create(alerts.Rule("mine", "WARN", component_filter="x"))
+    with pytest.raises(ValueError, match="one name"):
+        store.create(alerts.Rule("mine"))
+    new = store.update(made["rule_id"], component_filter="", dedup_window_minutes=5, min_level=None, enabled=False)
+    assert (new["component_filter"], new["dedup_window_minutes"], new["min_level"], new["enabled"]) == (None, 5, "WARN", False)
+    with pytest.raises(ValueError):
+        store.update(made["rule_id"], min_level="LOUD")
+    assert store.frame(enabled_only=True).count() == len(seeds) and [r["rule"] for r in store.frame().collect()][-1] == "mine"
+    for i in (*seeds, made["rule_id"]):
+        store.delete(i)
+    assert alerts.RuleStore(spark, f"file://{tmp_path}/rules").frame().count() == 0
+    with pytest.raises(KeyError):
+        store.get(made["rule_id"])
+
+
+def test_islands_over_hours(spark):
+    """Blocks by hour give what one ordered sequence gives."""
+    rng = random.Random(4)
+    rows, t = [], T0
+    for k in range(400):
+        t += dt.timedelta(minutes=rng.choice((0, 1, 3, 9, 40, 200)))
+        rows.append((f"{k:04d}", t, rng.choice(("unresponded", "unresponded", "responded", "pending"))))
+    want, run = [], None
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for k, (i, at, status) in enumerate(ordered):
+        if status != "unresponded":
+            continue
+        before = ordered[k - 1] if k else None
+        if run is None or before[2] != "unresponded" or at - before[1] > dt.timedelta(minutes=10):
+            run = [i, at, None, 0]
+            want.append(run)
+        run[3] += 1
+        after = ordered[k + 1] if k + 1 < len(ordered) else None
+        run[2] = after[1] if after and after[2] != "unresponded" else None
+    got = correlate.downtime_islands(spark.createDataFrame(rows, "event_id string, ts_utc timestamp, status string")).orderBy("down_since", "first_event").collect()
+    assert [(r["first_event"], r["recovered_at"], r["unresponded_count"]) for r in got] == [(i, b, n) for i, _, b, n in want]
+
+
+def test_exceptions_and_operations(spark):
+    said = "System.Net.WebException: host down\n   at A.B(Int32 x) in C:\\src\\a.cs:line 12\n   at C.D()\nmore"
+    got = one(spark, text.exception(F.col("a")), a=said)
+    assert got["type"] == "System.Net.WebException" and got["message"] == "host down" and got["additional_lines"] == ["more"]
+    assert [(f["method"], f["file"], f["line"]) for f in got["frames"]] == [("A.B(Int32 x)", "C:\\src\\a.cs", 12), ("C.D()", None, None)]
+    assert one(spark, text.exception(F.col("a")), a="all is well") is None
+    assert [one(spark, text.operation(F.col("a")), a=u) for u in ("https://b/OTP-request", "https://b/setup-request/1", "https://b", None)] == ["OTP_REQUEST", "SETUP_REQUEST", "UNKNOWN", None]
+    assert one(spark, text.plain_escapes(F.col("a")), a='=\\> \\"x\\"\\n') == '=> "x"\n'
+
+
+def test_xml_trees():
+    from emberlog.functions import payloads
+
+    method, document, tags = payloads.read_xml("x <Msg><A>1</A><A>2</A><B><C>a & b</C></B></Msg> y")
+    assert method == "xml" and json.loads(document) == {"A": ["1", "2"], "B": {"C": "a & b"}} and tags == {"a": "1", "c": "a & b"}
+    method, document, tags = payloads.read_xml("<Msg><A>1</A><B>caf&eacute;</Msg><C>no</C>")
+    assert method == "regex" and document is None and tags == {"a": "1"}
+    assert payloads.read_xml("none") == (None, None, {})
+    assert list(payloads.balanced('a {"x": "}\\"{"} b {"y": {') ) == [('{"x": "}\\"{"}', True), ('{"y": {', False)]
+
+
+def test_outliers_come_furthest_first(spark):
+    from emberlog.operators import browse
+
+    counts = spark.createDataFrame([(f"h{k}", 10) for k in range(60)] + [("a", 60), ("b", 90)], "hour string, n long")
+    assert [r["hour"] for r in browse.outliers(counts).collect()] == ["b", "a"]
+
+
+def test_config(tmp_path):
+    from emberlog.session import Config
+
+    (tmp_path / "c.json").write_text(json.dumps({"store": "s", "grace_ms": 7}))
+    got = Config.load(f"{tmp_path}/c.json", {"EMBERLOG_GRACE_MS": "9", "EMBERLOG_PROFILES": "hdfs://p"})
+    assert (got.store, got.grace_ms, got.profiles, got.poll_seconds) == (f"{tmp_path}/s", 9, "hdfs://p", 60)

@@ -61,3 +61,22 @@ def test_notifier(spark, tmp_path):
 
     live.to_notifier(df, notify, f"{tmp_path}/log", f"{tmp_path}/cn").trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 1 and spark.read.parquet(f"{tmp_path}/log").first()["status"] == "sent"
+
+
+def test_unanswered(spark, tmp_path):
+    """Requests count as lost once their grace is over for the watermark, which a later event moves."""
+    s = lambda n: T0 + dt.timedelta(seconds=n)
+    first = [("a", s(0), "input"), ("a", s(2), "response"), ("b", s(1), "input"), ("c", s(3), "input"), ("c", s(20), "response"), ("z", s(100), "other"), ("z", s(90), "input"), ("z", s(91), "response")]
+    df = source(spark, tmp_path, "asked", first, "correlation_id string, ts_utc timestamp, role string")
+    got = drain(live.unanswered(df), "lost", tmp_path).orderBy("correlation_id").collect()
+    assert [(r["correlation_id"], r["ts_utc"]) for r in got] == [("b", s(1)), ("c", s(3))]
+
+
+def test_dispatches(spark, tmp_path):
+    df = source(spark, tmp_path, "d", [(f"r{k}", "k") for k in range(5)], "rule string, dedup_key string")
+    notify = live.simulated("[x] ")
+    live.to_notifier(df, notify, f"{tmp_path}/log", f"{tmp_path}/cd", most=2).trigger(availableNow=True).start().awaitTermination()
+    total, page = live.dispatches(spark, f"{tmp_path}/log", 1, 3)
+    rows = page.collect()
+    assert total == 5 and len(rows) == 3 and rows[0]["call"] == 2 and rows[0]["status"].startswith("simulated: [x] r")
+    assert live.dispatches(spark, f"{tmp_path}/log", 2, 3)[1].count() == 2

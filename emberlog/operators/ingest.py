@@ -70,7 +70,8 @@ def parse_file(lines: DataFrame, by: Profile | Format, ingested: Column) -> Data
 
 def ingest(spark: SparkSession, store: EventStore, path: str, known: Iterable[Profile] = profiles.DEFAULTS, forced: str | None = None, now: dt.datetime | None = None, on_batch: Callable[[DataFrame], None] | None = None, max_bytes: int | None = MAX_BYTES) -> Summary:
     """Reads a file into the store. An empty file makes no batch, one above max_bytes is an error. on_batch gets the stored events, for alerts."""
-    size = spark.read.format("binaryFile").load(path).select("length").first()["length"]
+    found = spark.read.format("binaryFile").load(path).select("length").first()
+    size = found["length"] if found else 0  # an empty file makes no row
     if max_bytes is not None and size > max_bytes:
         raise FileTooLarge(f"{path} has {size} bytes, more than {max_bytes}")
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

@@ -1,17 +1,20 @@
 """Operator 5: all pairs of vectors above a cosine, by dual traversal of cover trees.
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c), so the threshold is a radius and the triangle inequality
-holds. The upper nodes of the tree are centers found on a bounded sample by farthest-first traversal, whose prefixes are
-nested nets: each halving of the insertion distance is a level. Every vector goes to its nearest center; a node's covering
-radius is measured on all its vectors, not on the sample, so bounds are exact. Nodes with more than BLOCK vectors are
-dealt in several parts. Pairs of nodes whose centers are further apart than the threshold and both covering radii are
-never brought together. For each pair that is left one task descends both nodes' trees at once, built as far as
-needed with halving radii: it prunes, or takes a pair of nodes whole where even the furthest members must link, or
-compares leaves by a matrix product in double precision.
+holds. The upper tree is built level by level over all vectors. A cell with more than BLOCK vectors gets up to FAN
+children: its own center and those that a farthest-first traversal of a bounded sample of the cell adds, whose prefixes are
+nested nets with halving radii. Every vector of the cell goes to the nearest of them, and a child's covering radius is
+measured on all its vectors, not on the sample, so bounds are exact. Both sides of the pairs of cells descend together: a
+pair goes on to its children's pairs only where centers and covering radii allow a link. A cell that fits a task, or
+whose members must all link, rests.
+
+Pairs whose furthest members must link are taken whole, from one row for each cell, however many vectors they
+hold. For each pair that is left one task descends both cells' lower trees at once, built as far as
+needed with halving radii: it prunes, takes whole, or compares leaves by a matrix product in double precision.
 
 A task returns a count for each vector and the links of a forest, never pairs; equal vectors are one with a weight.
 Where vectors have no structure at the threshold's scale no bound can prune, and exact results take all products of
-BLOCK x BLOCK; that is so for any exact method.
+BLOCK x BLOCK; that is so for any exact method. A cell that is still too large after DEPTH levels is dealt in parts by hash.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; of vectors
 of different length the shorter ends in zeros; repeated rows are vectors of their own; a null id counts as a link of
@@ -21,17 +24,18 @@ others and has none to name; an empty table gives no rows. Other columns of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import materialize, own_columns
 from emberlog.llm.components import components
 
-#: Vectors on which centers are fitted, at most; those with the smallest hashes of their ids.
+#: Vectors of a cell on which its children's centers are fitted, about; those with the smallest hashes.
 SAMPLE = 4096
-#: Vectors of a node part, and nodes at most.
-BLOCK, NODES = 8192, 512
+#: Vectors of a cell that fits a task, children of a cell at most, levels of the upper tree at most.
+BLOCK, FAN, DEPTH = 8192, 256, 8
 #: Rounding that bounds on distances are kept away from.
 SLACK = 1e-7
 
@@ -73,7 +77,7 @@ def _matrix(raws: list[bytes], width: int):
 
 
 def fit_centers(sample, most: int):
-    """The first of a farthest-first traversal: each next one is furthest from those before."""
+    """The start of a farthest-first traversal: each next one is furthest from those before."""
     import numpy as np
 
     chosen, far = [0], np.full(len(sample), np.inf)
@@ -230,92 +234,192 @@ class DualTraversal:
             self.links += [(of_rows, a), (label, b)]
 
 
+def _by_key(batches: Iterator, columns: int) -> Iterator:
+    """The rows of a sorted stream, by their first columns."""
+    rows = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches)
+    return groupby(rows, key=lambda row: row[:columns])
+
+
 def _compare(cosine: float, width: int):
-    """A stream over the vectors of node pairs, sorted by pair: counts by vector, and links."""
+    """A stream over the vectors of pairs of cells, sorted by pair: counts by vector, and links."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["node", "other", "n"]
-
-        def work(rows: list[tuple]) -> pa.RecordBatch:
-            sides = [[r for r in rows if r[1] == s] for s in (0, 1)]
-            x, w = [_matrix([r[2] for r in s], width) for s in sides], [np.array([r[3] for r in s], "int64") for s in sides]
+        for _, found in _by_key(batches, 4):
+            rows = list(found)
+            sides = [[r for r in rows if r[4] == s] for s in (0, 1)]
+            x = [_matrix([r[6] for r in s], width) for s in sides]
+            w = [np.array([r[7] for r in s], "int64") for s in sides]
             pair = DualTraversal(cosine, x[0], w[0], *((x[1], w[1]) if sides[1] else ()))
-            ids = np.array([r[0] for r in sides[0] + sides[1]], "int64")
+            names = pa.array([r[5] for r in sides[0] + sides[1]], "binary")
             counts = np.concatenate(pair.counts)
             some = np.flatnonzero(counts)
-            a = [ids[some]] + [ids[u] for u, _ in pair.links]
-            b = [np.full(len(some), -1)] + [ids[v] for _, v in pair.links]
-            n = np.concatenate([counts[some], np.zeros(sum(len(u) for u, _ in pair.links), "int64")])
-            a, b = np.concatenate(a), np.concatenate(b)
+            a = np.concatenate([some] + [u for u, _ in pair.links])
+            b = np.concatenate([some] + [v for _, v in pair.links])
+            n = np.concatenate([counts[some], np.zeros(len(a) - len(some), "int64")])
             keep = (n > 0) | (a != b)
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep], mask=n[keep] > 0), pa.array(n[keep])], names)
-
-        key, rows = None, []
-        for batch in batches:
-            for i, ci, j, cj, side, node, unit, weight in zip(*(batch.column(k).to_pylist() for k in range(8))):
-                if (i, ci, j, cj) != key:
-                    if rows:
-                        yield work(rows)
-                    key, rows = (i, ci, j, cj), []
-                rows.append((node, side, unit, weight))
-        if rows:
-            yield work(rows)
+            a, b, n = a[keep], pa.array(b[keep], mask=n[keep] > 0), n[keep]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(b), pa.array(n)], ["node", "other", "n"])
 
     return run
 
 
-def link_vectors(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
-    spark = rows.sparkSession
-    named = materialize(_named(rows))
-    # Equal vectors are one node, called by a number of its own: ids may be null or repeat.
-    nodes = named.where("name IS NOT NULL").groupBy("name").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
-    nodes = materialize(nodes.withColumn("node", F.xxhash64("name")))
-    size = nodes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes")).first()
-    if not size["n"]:
-        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = size["bytes"] // 8
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("unit").collect()
-    centers = fit_centers(_matrix([bytes(r["unit"]) for r in sample], width), min(NODES, -(-size["n"] // BLOCK)))
+def _children(rows: DataFrame, cells: DataFrame, level: int, width: int) -> DataFrame:
+    """parent, cell, unit, center (the unit's numbers): the cells below `cells`, from samples of their rows."""
+
+    def fit(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for (parent,), found in _by_key(batches, 1):
+            sample = list(found)
+            centers = fit_centers(_matrix([r[2] for r in sample], width), sample[0][3])
+            names = [f"{parent}.{k}" for k in range(len(centers))]
+            arrays = [[parent] * len(centers), names, [c.tobytes() for c in centers], centers.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2], "binary"), pa.array(arrays[3], pa.list_(pa.float64()))],
+                ["parent", "cell", "unit", "center"],
+            )
+
+    part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.join(cells.select("cell", "n"), "cell").where(part * F.col("n") < SAMPLE)
+    most = F.least(F.lit(FAN), F.greatest(F.lit(2 if level else 1), F.ceil(F.col("n") / BLOCK))).cast("int")
+    own = cells.select("cell", F.lit(0).alias("side"), "unit", most.alias("most"))
+    both = own.union(sample.select("cell", F.lit(1), "unit", F.lit(0)))
+    dealt = both.repartition("cell").sortWithinPartitions("cell", "side", "unit")
+    return materialize(dealt.mapInArrow(fit, "parent string, cell string, unit binary, center array<double>"))
+
+
+def _assigned(rows: DataFrame, cells: DataFrame, children: DataFrame, width: int) -> DataFrame:
+    """node, unit, weight, cell (the nearest child), far (the distance from its center). A cell's rows are dealt by hash; its children go to each part."""
 
     def assign(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            dots = _matrix(batch.column(1).to_pylist(), width) @ centers.T
-            cell = dots.argmax(axis=1)
-            far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(cell)), cell]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype("int32")), pa.array(far)], ["node", "unit", "weight", "cell", "far"])
-
-    placed = materialize(nodes.select("node", "unit", "weight").mapInArrow(assign, "node long, unit binary, weight long, cell int, far double"))
-    # At most NODES rows.
-    stats = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    reach = (2 - 2 * cosine) ** 0.5
-    parts = {c: -(-n // BLOCK) for c, (n, _) in stats.items()}
-    near = []
-    for i in stats:
-        for j in stats:
-            apart = max(0.0, 2 - 2 * float(centers[i] @ centers[j])) ** 0.5
-            if i == j or apart <= reach + stats[i][1] + stats[j][1] + 4 * SLACK:
-                near.append((i, parts[i], j, parts[j]))
-    # At most NODES**2 rows of four numbers: which nodes each node meets.
-    meets = spark.createDataFrame(near, "cell int, parts int, other int, other_parts int")
-    part = placed.join(meets, "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        for _, found in _by_key(batches, 2):
+            mixed = list(found)
+            centers, members = [r for r in mixed if r[2] == 0], [r for r in mixed if r[2] == 1]
+            if not members:
+                continue
+            dots = _matrix([r[5] for r in members], width) @ _matrix([r[5] for r in centers], width).T
+            near = dots.argmax(axis=1)
+            far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(near)), near]))
+            columns = [pa.array([r[4] for r in members], "binary"), pa.array([r[5] for r in members], "binary"), pa.array([r[6] for r in members], "int64")]
+            columns += [pa.array([centers[k][3] for k in near]), pa.array(far)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "unit", "weight", "cell", "far"])
+
+    parts = cells.select(F.col("cell").alias("parent"), F.ceil(F.col("n") / (4 * BLOCK)).cast("int").alias("parts"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    none = F.lit(None)
+    centers = children.join(parts, "parent").select(
+        "parent", each, F.lit(0).alias("side"), "cell", none.cast("binary").alias("node"), "unit", none.cast("long").alias("weight")
+    )
+    dealt = rows.withColumnRenamed("cell", "parent").join(parts, "parent")
+    members = dealt.select("parent", F.pmod(F.xxhash64("node"), "parts").cast("int"), F.lit(1), none.cast("string"), "node", "unit", "weight")
+    both = centers.union(members).repartition("parent", "part").sortWithinPartitions("parent", "part", "side", "cell", "node")
+    return materialize(both.mapInArrow(assign, "node binary, unit binary, weight long, cell string, far double"))
+
+
+def _descended(pairs: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
+    """i, j, whole: pairs of the cells below each pair that may hold a link, and whether all their members must link. `cells` names a resting cell as its own parent."""
+
+    def side(name: str, parent: str) -> DataFrame:
+        return cells.select(F.col("parent").alias(parent), F.struct("cell", "center", "radius").alias(name))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+    a, b = F.col("a"), F.col("b")
+    met = pairs.select("i", "j").join(side("a", "i"), "i").join(side("b", "j"), "j").where((F.col("i") != F.col("j")) | (a["cell"] <= b["cell"]))
+    same = a["cell"] == b["cell"]
+    apart = F.when(same, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(a["center"], b["center"]))))
+    measured = met.select(F.least(a["cell"], b["cell"]).alias("i"), F.greatest(a["cell"], b["cell"]).alias("j"), same.alias("same"), apart.alias("apart"), (a["radius"] + b["radius"]).alias("radii"))
+    near = measured.where(F.col("same") | (F.col("apart") <= reach + F.col("radii") + 4 * SLACK))
+    return materialize(near.select("i", "j", (F.col("apart") + F.col("radii") <= reach - 4 * SLACK).alias("whole")))
+
+
+def _upper_tree(nodes: DataFrame, n: int, first: bytes, width: int, reach: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors (node, unit, weight, cell), the resting cells (cell, n, total weight, first member) and their pairs (i, j, whole)."""
+    spark = nodes.sparkSession
+    rows = nodes.withColumn("cell", F.lit("r"))
+    cells = spark.createDataFrame([("r", bytearray(first), n)], "cell string, unit binary, n long")
+    pairs = spark.createDataFrame([("r", "r")], "i string, j string")
+    placed, resting = [], []
+    for level in range(DEPTH):
+        children = _children(rows, cells, level, width)
+        below = _assigned(rows, cells, children, width)
+        stats = below.groupBy("cell").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("far").alias("radius"), F.min("node").alias("first"))
+        below_cells = materialize(children.join(stats, "cell"))
+        rests = F.lit(level == DEPTH - 1) | (F.col("n") <= BLOCK) | (2 * F.col("radius") <= reach - 4 * SLACK)
+        known = below_cells.select("parent", "cell", "center", "radius")
+        for earlier in resting:
+            known = known.union(earlier.select("cell", "cell", "center", "radius"))
+        pairs = _descended(pairs, known, reach)
+        resting.append(below_cells.where(rests))
+        placed.append(below.join(resting[-1].select("cell"), "cell", "left_semi").select("node", "unit", "weight", "cell"))
+        cells = below_cells.where(~rests).select("cell", "unit", "n")
+        if cells.isEmpty():
+            break
+        rows = below.join(cells.select("cell"), "cell", "left_semi").select("node", "unit", "weight", "cell")
+    vectors, found = placed[0], resting[0].select("cell", "n", "total", "first")
+    for more, others in zip(placed[1:], resting[1:]):
+        vectors, found = vectors.union(more), found.union(others.select("cell", "n", "total", "first"))
+    return vectors, found, pairs
+
+
+def _both_ways(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell, n, other, other_n, total and first of the other: each pair from both its sides, a cell with itself once."""
+    ways = pairs.select(F.col("i").alias("cell"), F.col("j").alias("other")).union(pairs.where("i != j").select("j", "i"))
+    other = cells.select(F.col("cell").alias("other"), F.col("n").alias("other_n"), "total", "first")
+    return ways.join(cells.select("cell", "n"), "cell").join(other, "other")
+
+
+def _taken_whole(vectors: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, other, n of the pairs that are whole: each member counts all of the other cell and links with one of it; so do the cells' first members."""
+    ways = _both_ways(pairs.where("whole"), cells)
+    gains = ways.groupBy("cell").agg(F.sum("total").alias("gain"), F.max(F.col("cell") == F.col("other")).alias("itself"), F.min("first").alias("hub"))
+    own = F.when(F.col("itself"), F.col("weight")).otherwise(0)
+    members = vectors.join(gains, "cell").select("node", F.col("hub").alias("other"), (F.col("gain") - own).alias("n"))
+    firsts = ways.where("cell != other").join(cells.select("cell", F.col("first").alias("node")), "cell")
+    return members.union(firsts.select("node", F.col("first").alias("other"), F.lit(0).cast("long").alias("n")))
+
+
+def _compared(vectors: DataFrame, cells: DataFrame, pairs: DataFrame, cosine: float, width: int) -> DataFrame:
+    """node, other, n of the pairs that aren't whole, each in a task of its own; cells of more than BLOCK vectors in parts."""
+    ways = _both_ways(pairs.where("NOT whole"), cells)
+    meets = ways.select("cell", "other", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(p) for c, p in (("n", "parts"), ("other_n", "other_parts"))])
+    part = vectors.join(meets, "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     each = part.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     own, other = F.struct(F.col("cell").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("other_part").alias("p"))
     low, high = F.least(own, other), F.greatest(own, other)
-    keyed = each.select(low["c"].alias("i"), low["p"].alias("ci"), high["c"].alias("j"), high["p"].alias("cj"), F.when(own <= other, 0).otherwise(1).alias("side"), "node", "unit", "weight")
+    side = F.when(own <= other, 0).otherwise(1).alias("side")
+    keyed = each.select(low["c"].alias("i"), low["p"].alias("ci"), high["c"].alias("j"), high["p"].alias("cj"), side, "node", "unit", "weight")
     pair = ["i", "ci", "j", "cj"]
-    found = materialize(keyed.repartition(*pair).sortWithinPartitions(*pair, "side", "node").mapInArrow(_compare(cosine, width), "node long, other long, n long"))
+    dealt = keyed.repartition(*pair).sortWithinPartitions(*pair, "side", "node")
+    return dealt.mapInArrow(_compare(cosine, width), "node binary, other binary, n long")
+
+
+def link_vectors(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row."""
+    named = materialize(_named(rows))
+    # Equal vectors are one node, called by their digest: ids may be null or repeat.
+    known = named.where("name IS NOT NULL").withColumnRenamed("name", "node")
+    nodes = materialize(known.groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("unit").alias("unit")))
+    size = nodes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes"), F.min_by("unit", "node").alias("unit")).first()
+    if not size["n"]:
+        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    width = size["bytes"] // 8
+    vectors, cells, pairs = _upper_tree(nodes.select("node", "unit", "weight"), size["n"], size["unit"], width, (2 - 2 * cosine) ** 0.5)
+    found = materialize(_compared(vectors, cells, pairs, cosine, width).union(_taken_whole(vectors, cells, pairs)))
     counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
-    labels = components(found.where("n = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    labels = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     grouped = nodes.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = grouped.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    known = grouped.join(least, "group").join(counts, "node", "left").select("name", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    joined = named.select("vec_id", "name").join(known, "name", "left")
+    total = F.coalesce("n", F.lit(0)) + F.col("weight") - 1
+    linked = grouped.join(least, "group").join(counts, "node", "left").select(F.col("node").alias("name"), "component_id", total.alias("n_links"))
+    joined = named.select("vec_id", "name").join(linked, "name", "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(True))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))

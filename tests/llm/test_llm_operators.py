@@ -373,6 +373,44 @@ def test_cover_tree(spark):
     assert link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block,fan,depth", [(20, 3, 8), (20, 3, 2), (50, 256, 8), (10000, 4, 8)])
+def test_cover_tree_levels(spark, monkeypatch, block, fan, depth):
+    """Cells within cells, cells cut by hash at the last level, tight cells and pairs that are taken whole: all links of brute force."""
+    from emberlog.llm import covertree
+
+    for name, value in (("BLOCK", block), ("FAN", fan), ("DEPTH", depth)):
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(6, 12))
+    tight = centers[0] + rng.normal(size=(150, 12)) * 0.003
+    wider = np.repeat(centers[1:], 40, axis=0) + rng.normal(size=(200, 12)) * rng.choice((0.05, 0.2), size=(200, 1))
+    x = np.concatenate([tight, wider, rng.normal(size=(100, 12)), tight[:30]])
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    want = components_of(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(hit)))])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.link_vectors(df).collect()}
+    assert got == {7 * i: (hit[i].sum(), 7 * want[i]) for i in range(len(x))}
+
+
+def test_cover_tree_copies_are_bounded(spark, monkeypatch):
+    """Vectors along a circle: a vector goes to cells around it alone, and those of one tight group meet in no task."""
+    from emberlog.llm import covertree
+
+    monkeypatch.setattr(covertree, "BLOCK", 20)
+    monkeypatch.setattr(covertree, "FAN", 8)
+    turn = np.concatenate([np.arange(1200) * 2 * np.pi / 1200, 1 + np.arange(300) * 1e-5])
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    nodes = spark.createDataFrame([(bytes([i // 256, i % 256]), v.tobytes(), 1) for i, v in enumerate(x)], "node binary, unit binary, weight long")
+    vectors, cells, pairs = covertree._upper_tree(nodes, len(x), x[0].tobytes(), 2, 0.1**0.5)
+    assert vectors.count() == len(x) == cells.agg(F.sum("n")).first()[0] and cells.count() >= 20
+    meets = covertree._both_ways(pairs.where("NOT whole"), cells)
+    copies = vectors.join(meets, "cell").groupBy("node").count().agg(F.max("count")).first()[0]
+    assert (copies or 0) <= 10
+    assert pairs.where("whole AND i = j").join(cells, F.col("i") == F.col("cell")).agg(F.max("n")).first()[0] >= 300
+
+
 @pytest.mark.parametrize("scale", [0.001, 0.05, 0.2, 1.0])
 def test_dual_traversal(scale):
     from emberlog.llm.covertree import DualTraversal

@@ -36,6 +36,7 @@ from emberlog.llm.components import components
 SAMPLE = 4096
 #: Vectors of a cell that fits a task, children of a cell at most, levels of the upper tree at most.
 BLOCK, FAN, DEPTH = 8192, 256, 8
+ROOT = "r"
 #: Rounding that bounds on distances are kept away from.
 SLACK = 1e-7
 
@@ -341,11 +342,13 @@ def _descended(pairs: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
 
 
 def _upper_tree(nodes: DataFrame, n: int, first: bytes, width: int, reach: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The vectors (node, unit, weight, cell), the resting cells (cell, n, total weight, first member) and their pairs (i, j, whole)."""
-    spark = nodes.sparkSession
-    rows = nodes.withColumn("cell", F.lit("r"))
-    cells = spark.createDataFrame([("r", bytearray(first), n)], "cell string, unit binary, n long")
-    pairs = spark.createDataFrame([("r", "r")], "i string, j string")
+    """The vectors (node, unit, weight, cell), the resting cells (cell, n, total weight, first member) and their pairs (i, j, whole).
+
+    nodes names the root, ROOT, as the cell of each of its n vectors; first is the unit of one of them.
+    """
+    spark, rows = nodes.sparkSession, nodes
+    cells = spark.createDataFrame([(ROOT, bytearray(first), n)], "cell string, unit binary, n long")
+    pairs = spark.createDataFrame([(ROOT, ROOT)], "i string, j string")
     placed, resting = [], []
     for level in range(DEPTH):
         children = _children(rows, cells, level, width)
@@ -406,16 +409,18 @@ def link_vectors(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     named = materialize(_named(rows))
     # Equal vectors are one node, called by their digest: ids may be null or repeat.
     known = named.where("name IS NOT NULL").withColumnRenamed("name", "node")
-    nodes = materialize(known.groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("unit").alias("unit")))
+    grouped = known.groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    # The root is written with them: joins on it are by a column then, not by a constant that would make them products.
+    nodes = materialize(grouped.withColumn("cell", F.lit(ROOT)))
     size = nodes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes"), F.min_by("unit", "node").alias("unit")).first()
     if not size["n"]:
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = size["bytes"] // 8
-    vectors, cells, pairs = _upper_tree(nodes.select("node", "unit", "weight"), size["n"], size["unit"], width, (2 - 2 * cosine) ** 0.5)
+    vectors, cells, pairs = _upper_tree(nodes.select("node", "unit", "weight", "cell"), size["n"], size["unit"], width, (2 - 2 * cosine) ** 0.5)
     found = materialize(_compared(vectors, cells, pairs, cosine, width).union(_taken_whole(vectors, cells, pairs)))
     counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    grouped = nodes.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    grouped = nodes.drop("cell").join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = grouped.groupBy("group").agg(F.min("first_id").alias("component_id"))
     total = F.coalesce("n", F.lit(0)) + F.col("weight") - 1
     linked = grouped.join(least, "group").join(counts, "node", "left").select(F.col("node").alias("name"), "component_id", total.alias("n_links"))

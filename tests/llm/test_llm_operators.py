@@ -402,7 +402,7 @@ def test_cover_tree_copies_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(covertree, "FAN", 8)
     turn = np.concatenate([np.arange(1200) * 2 * np.pi / 1200, 1 + np.arange(300) * 1e-5])
     x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
-    nodes = spark.createDataFrame([(bytes([i // 256, i % 256]), v.tobytes(), 1) for i, v in enumerate(x)], "node binary, unit binary, weight long")
+    nodes = spark.createDataFrame([(bytes([i // 256, i % 256]), v.tobytes(), 1, covertree.ROOT) for i, v in enumerate(x)], "node binary, unit binary, weight long, cell string")
     vectors, cells, pairs = covertree._upper_tree(nodes, len(x), x[0].tobytes(), 2, 0.1**0.5)
     assert vectors.count() == len(x) == cells.agg(F.sum("n")).first()[0] and cells.count() >= 20
     meets = covertree._both_ways(pairs.where("NOT whole"), cells)

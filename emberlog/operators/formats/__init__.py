@@ -57,12 +57,15 @@ def classify(text: Column, rules: tuple[tuple[str, Callable[[Column], Column]],
 
 
 def canonical(records: DataFrame, fmt: Format, ingested: Column) -> DataFrame:
-    """Records as canonical events. Without a level of its own, WARNING records are WARN and all others INFO."""
+    """Records as canonical events. Without a level of its own, WARNING records are WARN and all others INFO.
+
+    Columns beside those of every record become attributes.
+    """
     level = F.when(F.col("log_level").isNotNull(), normalize_level(F.col("log_level"))).when(F.col("log_type") == "WARNING", "WARN").otherwise("INFO")
     rows = records.withColumn("_time", parse_time(F.col("ts_raw"), ingested))
     # Details are JSON already, so they are put in as they are.
-    head = F.to_json(F.struct("correlation_id"))
-    attributes = F.concat(F.left(head, F.length(head) - 1), F.when(F.col("correlation_id").isNotNull(), ",").otherwise(""), F.lit('"details":'), F.coalesce("details", F.lit("{}")), F.lit("}"))
+    head = F.to_json(F.struct("correlation_id", *[c for c in records.columns if c not in RECORD]))
+    attributes = F.concat(F.left(head, F.length(head) - 1), F.when(head != "{}", ",").otherwise(""), F.lit('"details":'), F.coalesce("details", F.lit("{}")), F.lit("}"))
     return rows.select(
         "file_name",
         F.col("ordinal").cast("int").alias("line_no"),
@@ -99,9 +102,9 @@ def score_on(lines: DataFrame) -> Callable[[Format], float]:
 
 
 def formats() -> tuple[Format, ...]:
-    from emberlog.operators.formats import payments, portals
+    from emberlog.operators.formats import older, payments, portals
 
-    return (*portals.FORMATS, *payments.FORMATS)
+    return (*portals.FORMATS, *payments.FORMATS, *older.FORMATS)
 
 
 def by_key(key: str) -> Format:

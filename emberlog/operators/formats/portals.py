@@ -12,14 +12,16 @@ from emberlog.operators.formats import US_TIME, Format, multiline, split_records
 ISO_TIME = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?\s+[+\-]\d{2}:\d{2}"
 
 
-def _xml(xml: Column, lenient: bool) -> Column:
-    """msg_type and a map of the fields; broken XML by its tags if lenient, else as it is."""
+def xml_details(xml: Column, lenient: bool, keep: bool = False) -> Column:
+    """msg_type and a map of the fields; broken XML by its tags if lenient, else as it is. The XML stays beside them if keep."""
     broken = F.from_xml(xml, "MsgType string, _bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
     inside = F.regexp_extract(xml, r"(?s)<Fields>(.*)</Fields>", 1)
-    message_type = F.nullif(F.regexp_extract(xml, r"<MsgType>(.*?)</MsgType>", 1), F.lit(""))
-    whole = F.to_json(F.struct(message_type.alias("msg_type"), pairs_of(inside, r"(?s)<([A-Za-z0-9_]+)>(.*?)</\1>", False).alias("fields")))
+    message_type = F.nullif(F.regexp_extract(xml, r"<MsgType>(.*?)</MsgType>", 1), F.lit("")).alias("msg_type")
+    source = [xml.alias("raw_xml")] if keep else []
+    whole = F.to_json(F.struct(message_type, pairs_of(inside, r"(?s)<([A-Za-z0-9_]+)>(.*?)</\1>", False).alias("fields"), *source))
     if lenient:
-        rest = F.to_json(F.struct(message_type.alias("msg_type"), pairs_of(xml, r"(?s)<([A-Za-z0-9_]+)>(.*?)</[A-Za-z0-9_]+>").alias("fields")))
+        by_tags = pairs_of(xml, r"(?s)<([A-Za-z0-9_]+)>(.*?)</[A-Za-z0-9_]+>")
+        rest = F.to_json(F.struct(message_type, by_tags.alias("fields"), *source))
     else:
         rest = F.to_json(F.struct(xml.alias("raw_xml")))
     return F.when(broken, rest).otherwise(whole)
@@ -44,7 +46,7 @@ def _records(lines: DataFrame, header: str, stamp: str, arrow: bool, correlate:
     name = clean(F.regexp_extract(c, inputs, 1))
     name = F.coalesce(F.nullif(name, F.lit("")), F.lit(default_action)) if default_action else name
     action = F.when(has_xml, F.trim(F.substring(c, F.lit(1), at - 1), F.lit(" :-"))).when(has_inputs, F.when(called, name).otherwise(F.lit(None) if arrow else c)).otherwise(c)
-    details = F.when(has_xml, _xml(F.substring(c, at, F.length(c)), lenient)).when(has_inputs & called, F.to_json(F.struct(parameters(F.regexp_extract(c, inputs, 2)).alias("parameters")))).otherwise("{}")
+    details = F.when(has_xml, xml_details(F.substring(c, at, F.length(c)), lenient)).when(has_inputs & called, F.to_json(F.struct(parameters(F.regexp_extract(c, inputs, 2)).alias("parameters")))).otherwise("{}")
     join = " -> " if arrow else " "
     raw = F.concat(clean(F.col("header")), F.lit(" "), "body") if level else F.concat("ts_raw", F.lit(join), "body")
     return rows.select("file_name", "ordinal", "ts_raw", (F.regexp_extract("header", r"\[([A-Z]+)\]", 1) if level else F.lit(None).cast("string")).alias("log_level"), "correlation_id", kind.otherwise("INFO").alias("log_type"), action.alias("action"), details.alias("details"), raw.alias("raw"))

@@ -595,6 +595,95 @@ query("custom_parsers_asbb_mw_credit", _portal_sql("CASE level WHEN 'CRITICAL' T
 )
 
 
+def _older(key: str, head: str, body: str):
+    """Records of an older form from rendered lines, one for each event, with what these forms tell beside the present ones."""
+
+    def run(s, d):
+        e = numbered(s, d)
+        fmt = by_key(key)
+        line = F.concat(F.expr(head), F.expr(body))
+        done = canonical(fmt.records(e.select("file_name", "line_no", line.alias("line"))), fmt, F.lit(EPOCH).cast("timestamp"))
+        told = F.parse_json("attributes")
+        paths = {"retries": "$.retry_count", "method": "$.calling_method", "owner": "$.details.parameters.CIF", "answer": "$.details.vp_response", "response": "$.details.response", "field": "$.details.fields.F2"}
+        values = [F.try_variant_get(told, path, "string").alias(name) for name, path in paths.items()]
+        return done.select("file_name", "line_no", time_text("ts_utc"), "level", "component", "message", "correlation_id", *values)
+
+    return run
+
+
+def _older_sql(level: str, kinds: dict[str, tuple[str, str]], correlation: str, **values: dict[str, str]) -> str:
+    """The same in SQL: for each class of event its class as a record, its action and its values."""
+
+    def case(of: dict[str, str]) -> str:
+        return "CASE component " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in of.items()) + " END" if of else "CAST(NULL AS VARCHAR)"
+
+    kind, action = (case({k: f"'{v[i]}'" for k, v in kinds.items()}) for i in (0, 1))
+    told = ", ".join(f"{case(values.get(name, {}))} AS {name}" for name in ("retries", "method", "owner", "answer", "response", "field"))
+    return f"WITH {EV} SELECT file_name, line_no, {text_time('ts_utc')} AS ts_utc, {level} AS level, {kind} AS component, {action} AS message, {correlation} AS correlation_id, {told} FROM ev"
+
+
+_US_HEAD = "date_format(ts_utc, 'M/d/yyyy h:mm:ss a') || "
+_ISO_HEAD = "date_format(ts_utc, 'yyyy-MM-dd HH:mm:ss.SSS') || ' +00:00 [INFO] Log Tracker No: M' || correlation_id || ' => ' || "
+_XML = "'text: <Iso8583PostXml><MsgType>0200</MsgType><Fields><F2>' || correlation_id || '</F2></Fields></Iso8583PostXml>'"
+
+query(
+    "custom_parsers_abce_credit_older",
+    _older_sql(
+        "CASE component WHEN 'error' THEN 'WARN' ELSE 'INFO' END",
+        {"click": ("FUNCTION_INPUT", "CC_Enquiry"), "view": ("FUNCTION_RESPONSE", "CC_Pay"), "purchase": ("XML_PAYLOAD", "text"), "error": ("WARNING", "a Warrning"), "signup": ("REQUEST_END", "CC_Pay")},
+        "'T' || correlation_id",
+        retries={"view": "CAST(seq % 5 AS VARCHAR)"},
+        method={"view": "'Send'"},
+        owner={"click": "'1234**' || right('000' || correlation_id, 4)"},
+        response={"view": "'00 fine'"},
+        field={"purchase": "correlation_id"},
+    ),
+)(
+    _older(
+        "abce_credit_older",
+        _US_HEAD + "' Log Tracker No: T' || correlation_id || ' => '",
+        "CASE component WHEN 'click' THEN 'Inputs CC_Enquiry(CIF=123456' || right('000' || correlation_id, 4) || ', Org=001)' WHEN 'view' THEN 'CC_Pay mqRetry: ' || (event_id % 5) || ' Calling Method : { Send } VP_Response: 00 fine' "
+        f"WHEN 'purchase' THEN {_XML} WHEN 'error' THEN 'a Warrning' ELSE 'CC_Pay End of Request' END",
+    )
+)
+query(
+    "custom_parsers_asbb_mw_credit_older",
+    _older_sql(
+        "'INFO'",
+        {"click": ("FUNCTION_INPUT", "Inputs"), "view": ("FUNCTION_RESPONSE", "CC_Pay"), "purchase": ("XML_PAYLOAD", "text"), "error": ("ERROR", "a Timeout came"), "signup": ("GENERIC", "plain")},
+        "'M' || correlation_id",
+        retries={"view": "CAST(seq % 5 AS VARCHAR)"},
+        owner={"click": "correlation_id"},
+        response={"view": "'CC_Pay Response: MQRETRY ' || (seq % 5)"},
+        field={"purchase": "correlation_id"},
+    ),
+)(
+    _older(
+        "asbb_mw_credit_older",
+        _ISO_HEAD + "''",
+        "CASE component WHEN 'click' THEN 'Inputs : (CIF=' || correlation_id || ', Org=001)' WHEN 'view' THEN 'CC_Pay Response: MQRETRY ' || (event_id % 5) "
+        f"WHEN 'purchase' THEN {_XML} WHEN 'error' THEN 'a Timeout came' ELSE 'plain text' END",
+    )
+)
+query(
+    "custom_parsers_unified_portal",
+    _older_sql(
+        "'INFO'",
+        {"click": ("FUNCTION_INPUT", "GetCards"), "view": ("RESPONSE_PAYLOAD", "CC_Pay"), "purchase": ("INFO", "plain text"), "error": ("WARNING", "a Warrning"), "signup": ("INFO", "plain text")},
+        "correlation_id",
+        owner={"click": "correlation_id"},
+        answer={"view": "CAST(seq % 7 AS VARCHAR)"},
+    ),
+)(
+    _older(
+        "unified_portal",
+        # One file of the three is written in the ISO form.
+        "CASE WHEN file_name = 'f0' THEN date_format(ts_utc, 'yyyy-MM-dd HH:mm:ss') || ' +00:00 [INFO] ' ELSE " + _US_HEAD + "' -> ' END || correlation_id || '---'",
+        "CASE component WHEN 'click' THEN 'Inputs-:Data in GetCards(CIF=' || correlation_id || ', Org=001)' WHEN 'view' THEN 'CC_Pay VP_Response:' || (event_id % 7) WHEN 'error' THEN 'a Warrning' ELSE 'plain text' END",
+    )
+)
+
+
 def payment_lines(s, d):
     """Payment messages, one for each event: a request with an issuer, a bank URL, a bank response, a success, an exception with a frame."""
     at = F.date_format("ts_utc", "M/d/yyyy h:mm:ss a")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators.formats import by_key, canonical, detect_format, score_on
+from emberlog.operators.formats import by_key, canonical, detect_format, formats, older, score_on
 
 US = "8/5/2026 8:17:33 PM"
 
@@ -152,6 +152,60 @@ def test_payloads_with_any_reference(lines):
     assert got[0][0]["log_type"] == "msg_received_sms_xml" and got[0][0]["correlation_id"] == "IA77" and got[0][1]["record"]["merchant"]["name"] == "Café & Co"
 
 
-@pytest.mark.parametrize("key", ["abce_credit", "abce_debit", "asbb_debit", "asbb_mw_credit", "afs_netcetera", "otp_processor", "debit_portal_log", "cardinal", "vflex"])
+@pytest.mark.parametrize("key", ["abce_credit", "abce_debit", "asbb_debit", "asbb_mw_credit", "afs_netcetera", "otp_processor", "debit_portal_log", "cardinal", "vflex", "abce_credit_older", "asbb_mw_credit_older", "unified_portal"])
 def test_empty_files(lines, key):
     assert by_key(key).records(lines("")).count() == 0
+
+
+OLDER_CREDIT = f"""{US} Log Tracker No: T1 => Inputs CC_Enquiry(PCINumber=1234567890, CIF=42, Org=001)
+{US} no tracker, so it belongs to the record before
+{US} Log Tracker No: T1 => CC_Enquiry mqRetry : 3 Calling Method : {{ Send }} VP_Response: 00 fine
+{US} Log Tracker No: T1 => CC_Enquiry End of Request
+{US} Log Tracker No: T2 => text: <Iso8583PostXml><MsgType>0200</MsgType><Fields><F2>4111</F2></Fields></Iso8583PostXml>
+{US} Log Tracker No: T2 => a Warrning
+{US} Log Tracker No: T3 => anything"""
+
+
+def test_older_credit(spark, lines):
+    got = rows("abce_credit_older", lines(OLDER_CREDIT))
+    assert [r["log_type"] for r, _ in got] == ["FUNCTION_INPUT", "FUNCTION_RESPONSE", "REQUEST_END", "XML_PAYLOAD", "WARNING", "GENERIC"]
+    assert [r["action"] for r, _ in got] == ["CC_Enquiry", "CC_Enquiry", "CC_Enquiry", "text", "a Warrning", "anything"]
+    parameters = got[0][1]["parameters"]
+    assert parameters["PCINumber"] == "1234**7890" and parameters["CIF"] == "42" and parameters["Org"] == "001"
+    assert (got[1][0]["retry_count"], got[1][0]["calling_method"], got[1][1]) == (3, "Send", {"response": "00 fine"})
+    assert got[3][1] == {"msg_type": "0200", "fields": {"F2": "4111"}} and got[0][0]["retry_count"] is None
+    fmt = by_key("abce_credit_older")
+    events = canonical(fmt.records(lines(OLDER_CREDIT)), fmt, F.lit("2026-01-01 00:00:00").cast("timestamp")).orderBy("line_no").collect()
+    told = [json.loads(r["attributes"]) for r in events]
+    assert told[1]["retry_count"] == 3 and told[1]["correlation_id"] == "T1" and "retry_count" not in told[0]
+    counted = older.by_transaction(fmt.records(lines(OLDER_CREDIT))).collect()
+    assert {(r["correlation_id"], r["event_count"]) for r in counted} == {("T1", 3), ("T2", 2), ("T3", 1)} and len(counted) == 6
+
+
+def test_older_middleware(lines):
+    head = "2026-08-05 20:17:33.123 +00:00 [INFO] "
+    broken = "<IsoPostXml><MsgType>0800</MsgType><A>1</A>"
+    bodies = ["Log Tracker No: M1 => Inputs : (A=1,B=2)", "Log Tracker No: M1 => Inputs CC_X without a colon (A=1)", "CC_X Response: MQRETRY 4", f"Log Tracker No: M2 => sent -: {broken}", "a Timeout came", "warning: timeout", "plain text", "PostXml> alone"]
+    got = rows("asbb_mw_credit_older", lines("".join(head + b for b in bodies)))
+    assert [r["log_type"] for r, _ in got] == ["FUNCTION_INPUT", "FUNCTION_INPUT", "FUNCTION_RESPONSE", "XML_PAYLOAD", "ERROR", "WARNING", "GENERIC", "XML_PAYLOAD"]
+    assert [r["action"] for r, _ in got] == ["Inputs", "Inputs CC_X without a colon (A=1)", "CC_X", "sent", "a Timeout came", "warning: timeout", "plain", "XML API Request"]
+    assert got[0][1]["parameters"] == {"A": "1", "B": "2"} and got[1][1] == {} and got[2][1] == {"response": "CC_X Response: MQRETRY 4"}
+    assert got[2][0]["retry_count"] == 4 and got[2][0]["log_level"] == "INFO" and got[2][0]["correlation_id"] is None
+    assert got[3][1]["msg_type"] == "0800" and got[3][1]["raw_xml"] == broken and got[3][1]["fields"]["A"] == "1"
+
+
+def test_unified(lines):
+    us = f"{US} -> 12—3---Inputs in GetCards(Id=7)\n{US} ->-----\n{US} => CC_Pay mqRetry:2 VP_Response:17\n{US} Log Tracker No: T-1 => hello"
+    iso = "2026-08-05 20:17:33.123 +00:00 [WARN] Log Tracker No: M1 => VP_Response:9\n" + f"{US} -> stays in the record above"
+    got = rows("unified_portal", lines(us, "us.log").unionByName(lines(iso, "iso.log")))
+    by_file = {name: [(r, d) for r, d in got if r["file_name"] == name] for name in ("us.log", "iso.log")}
+    assert [(r["log_type"], r["correlation_id"], r["action"], r["log_level"]) for r, _ in by_file["us.log"]] == [
+        ("FUNCTION_INPUT", "12", "GetCards", "INFO"), ("RESPONSE_PAYLOAD", None, "CC_Pay", "INFO"), ("INFO", "T1", "hello", "INFO")
+    ]
+    assert by_file["us.log"][1][1] == {"mq_retry": "2", "vp_response": "17"} and by_file["us.log"][0][1]["parameters"] == {"Id": "7"}
+    only = by_file["iso.log"]
+    assert len(only) == 1 and only[0][0]["log_level"] == "WARN" and only[0][1] == {"vp_response": "9"} and "stays" in only[0][0]["raw"]
+
+
+def test_older_forms_are_read_only_where_named():
+    assert not any(f.detect(OLDER_CREDIT) for f in older.FORMATS) and set(older.FORMATS) <= set(formats())

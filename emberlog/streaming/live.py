@@ -158,10 +158,13 @@ class _Tail(InputPartition):
 
 
 class _GrowingReader(DataSourceStreamReader):
-    """Offsets: for each file how many bytes and lines were read. What shrank starts anew; a line without an end waits."""
+    """Offsets: for each file how many bytes and lines were read, and where new ones can be cut into tasks.
 
-    def __init__(self, folder: str, extensions: tuple[str, ...]):
-        self.folder, self.extensions = folder, extensions
+    What shrank starts anew; a line without an end waits.
+    """
+
+    def __init__(self, folder: str, extensions: tuple[str, ...], task_bytes: int):
+        self.folder, self.extensions, self.task_bytes = folder, extensions, task_bytes
 
     def _files(self):
         from pyarrow import fs
@@ -171,17 +174,18 @@ class _GrowingReader(DataSourceStreamReader):
             if f.is_file and f.path.lower().endswith(self.extensions):
                 yield system, f.path, f.size
 
-    @staticmethod
-    def _ends(system, path: str, start: int, size: int) -> tuple[int, int]:
-        """Bytes up to the last complete line, and how many lines they hold; read in blocks."""
-        end, lines, at = start, 0, start
+    def _ends(self, system, path: str, start: int, first: int, size: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """Bytes up to the last complete line, how many lines they hold, and cuts between lines on the way; read in blocks."""
+        end, lines, at, cuts = start, first, start, [(start, first)]
         with system.open_input_file(path) as f:
             while at < size:
                 block = f.read_at(min(1 << 20, size - at), at)
                 if (last := block.rfind(b"\n")) >= 0:
                     end, lines = at + last + 1, lines + block.count(b"\n")
+                    if end - cuts[-1][0] >= self.task_bytes:
+                        cuts.append((end, lines))
                 at += len(block)
-        return end, lines
+        return end, lines, cuts[1:]
 
     def initialOffset(self) -> dict:
         return {}
@@ -190,22 +194,25 @@ class _GrowingReader(DataSourceStreamReader):
         known = getattr(self, "_known", {})
         out = {}
         for system, path, size in self._files():
-            start, first = known.get(path, (0, 0))
+            start, first, _ = known.get(path, (0, 0, []))
             if size < start:
                 start, first = 0, 0
-            end, lines = self._ends(system, path, start, size)
-            out[path] = [end, first + lines]
+            end, lines, cuts = self._ends(system, path, start, first, size)
+            # An offset that says the same in other words would start an empty batch.
+            out[path] = known[path] if path in known and end == known[path][0] else [end, lines, cuts]
         self._known = out
         return out
 
     def partitions(self, start: dict, end: dict) -> list[_Tail]:
         parts = []
-        for path, (stop, _) in end.items():
-            begin, first = start.get(path, (0, 0))
+        for path, (stop, _, cuts) in end.items():
+            begin, first, *_ = start.get(path, (0, 0))
             if stop < begin:
                 begin, first = 0, 0
             if stop > begin:
-                parts.append(_Tail(path, begin, stop, first + 1))
+                opened = [(begin, first), *[(at, lines) for at, lines in cuts if begin < at < stop]]
+                closed = [at for at, _ in opened[1:]] + [stop]
+                parts += [_Tail(path, at, until, lines + 1) for (at, lines), until in zip(opened, closed)]
         return parts
 
     def read(self, part: _Tail):
@@ -227,7 +234,10 @@ class _GrowingReader(DataSourceStreamReader):
 
 
 class GrowingFiles(DataSource):
-    """Stream source "growing_files": numbered lines of files below a folder, as they are written."""
+    """Stream source "growing_files": numbered lines of files below a folder, as they are written.
+
+    Options: path, extensions, and task_bytes, beyond which what is new in a file goes to several tasks.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -237,7 +247,8 @@ class GrowingFiles(DataSource):
         return "file_name string, line_no int, line string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _GrowingReader(self.options["path"], tuple(self.options.get("extensions", ".log,.txt,.jsonl,.csv,.tsv").split(",")))
+        extensions = tuple(self.options.get("extensions", ".log,.txt,.jsonl,.csv,.tsv").split(","))
+        return _GrowingReader(self.options["path"], extensions, int(self.options.get("task_bytes", 64 << 20)))
 
 
 def growing_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,6 +31,28 @@ def test_growing_files(spark, tmp_path):
     assert run() == [(1, "new"), (1, "one"), (2, "two"), (3, "partial"), (4, "four")]
 
 
+def test_growing_files_are_cut_into_tasks(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    told = [f"{i} " + "x" * 90 for i in range(40_000)]
+    (folder / "a.log").write_text("\n".join(told) + "\npart")
+    spark.dataSource.register(live.GrowingFiles)
+    df = spark.readStream.format("growing_files").option("path", f"file://{folder}").option("task_bytes", 1 << 19).load()
+    out = f"{tmp_path}/out"
+
+    def run():
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        return [(r["line_no"], r["line"]) for r in spark.read.parquet(out).orderBy("line_no").collect()]
+
+    assert run() == list(enumerate(told, 1))
+    reader = live.GrowingFiles({"path": f"file://{folder}", "task_bytes": str(1 << 19)}).streamReader(None)
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) > 2 and [p.start for p in parts[1:]] == [p.end for p in parts[:-1]] and reader.latestOffset() == reader.latestOffset()
+    with (folder / "a.log").open("a") as f:
+        f.write("ial\nlast\n")
+    assert run() == list(enumerate([*told, "partial", "last"], 1))
+
+
 def source(spark, tmp_path, name, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
     return spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import clean, pairs_of, parameters
+from emberlog.functions.text import clean, contains_any, pairs_of, parameters
 from emberlog.operators.formats import US_TIME, Format, multiline, split_records
 
 #: How records of these portals begin, what names them, and how inputs are written.
@@ -27,29 +27,65 @@ def xml_details(xml: Column, lenient: bool, keep: bool = False) -> Column:
     return F.when(broken, rest).otherwise(whole)
 
 
-def _records(lines: DataFrame, header: str, stamp: str, arrow: bool, correlate: str, inputs: str, lenient: bool, level: bool = False, dividers: bool = False, steps: bool = False, anywhere: bool = False, default_action: str | None = None) -> DataFrame:
-    rows = split_records(lines.where(~F.col("line").rlike(rf"^{header}\s*-+\s*$")) if dividers else lines, header, anywhere)
-    rows = rows.withColumn("ts_raw", F.regexp_extract("header", stamp, 0))
-    own = F.regexp_extract("body", correlate, 1)
-    fits = F.col("body").rlike(correlate)
+def _records(
+    lines: DataFrame,
+    header: str,
+    stamp: str,
+    arrow: bool,
+    correlate: str,
+    inputs: str,
+    lenient: bool,
+    level: bool = False,
+    dividers: bool = False,
+    steps: bool = False,
+    anywhere: bool = False,
+    default_action: str | None = None,
+) -> DataFrame:
+    """Records by class, with what a class tells: XML's fields, or a call's name and parameters."""
+    kept = lines.where(~F.col("line").rlike(rf"^{header}\s*-+\s*$")) if dividers else lines
+    rows = split_records(kept, header, anywhere).withColumn("ts_raw", F.regexp_extract("header", stamp, 0))
+    own, fits = F.regexp_extract("body", correlate, 1), F.col("body").rlike(correlate)
+    plain_id = F.regexp_replace(own, r"[—\s]" + ("|-" if arrow else ""), "")
     content = clean(F.when(fits, F.regexp_extract("body", correlate, 2)).otherwise(F.col("body")))
-    rows = rows.withColumn("correlation_id", F.nullif(F.when(fits, F.regexp_replace(own, r"[—\s]" + ("|-" if arrow else ""), "")), F.lit(""))).withColumn("c", content)
+    rows = rows.withColumn("correlation_id", F.nullif(F.when(fits, plain_id), F.lit(""))).withColumn("c", content)
+
     c = F.col("c")
-    has_xml = F.contains(c, F.lit("<?xml")) | F.contains(c, F.lit("PostXml>"))
-    at = F.coalesce(F.nullif(F.instr(c, "<?xml"), F.lit(0)), F.nullif(F.instr(c, "<Iso"), F.lit(0)), F.lit(1))
-    has_inputs = (F.contains(c, F.lit("Inputs in ")) if arrow else F.contains(c, F.lit("Inputs")) & F.contains(c, F.lit("(")) & F.contains(c, F.lit(")")))
+    has_xml = contains_any(c, "<?xml", "PostXml>")
+    if arrow:
+        has_inputs = F.contains(c, F.lit("Inputs in "))
+    else:
+        has_inputs = F.contains(c, F.lit("Inputs")) & F.contains(c, F.lit("(")) & F.contains(c, F.lit(")"))
     warns = F.contains(F.lower(c), F.lit("warning")) | F.contains(c, F.lit("Warrning"))
     kind = F.when(has_xml, "XML_PAYLOAD").when(has_inputs, "FUNCTION_INPUT").when(warns, "WARNING")
     if steps:
         kind = kind.when(F.contains(c, F.lit("New Request")), "STEP_EVENT")
+
+    at = F.coalesce(F.nullif(F.instr(c, "<?xml"), F.lit(0)), F.nullif(F.instr(c, "<Iso"), F.lit(0)), F.lit(1))
     called = c.rlike(inputs)
     name = clean(F.regexp_extract(c, inputs, 1))
-    name = F.coalesce(F.nullif(name, F.lit("")), F.lit(default_action)) if default_action else name
-    action = F.when(has_xml, F.trim(F.substring(c, F.lit(1), at - 1), F.lit(" :-"))).when(has_inputs, F.when(called, name).otherwise(F.lit(None) if arrow else c)).otherwise(c)
-    details = F.when(has_xml, xml_details(F.substring(c, at, F.length(c)), lenient)).when(has_inputs & called, F.to_json(F.struct(parameters(F.regexp_extract(c, inputs, 2)).alias("parameters")))).otherwise("{}")
-    join = " -> " if arrow else " "
-    raw = F.concat(clean(F.col("header")), F.lit(" "), "body") if level else F.concat("ts_raw", F.lit(join), "body")
-    return rows.select("file_name", "ordinal", "ts_raw", (F.regexp_extract("header", r"\[([A-Z]+)\]", 1) if level else F.lit(None).cast("string")).alias("log_level"), "correlation_id", kind.otherwise("INFO").alias("log_type"), action.alias("action"), details.alias("details"), raw.alias("raw"))
+    if default_action:
+        name = F.coalesce(F.nullif(name, F.lit("")), F.lit(default_action))
+    before_xml = F.trim(F.substring(c, F.lit(1), at - 1), F.lit(" :-"))
+    call = F.when(called, name).otherwise(F.lit(None) if arrow else c)
+    given = F.to_json(F.struct(parameters(F.regexp_extract(c, inputs, 2)).alias("parameters")))
+    from_xml = xml_details(F.substring(c, at, F.length(c)), lenient)
+    if level:
+        raw = F.concat(clean(F.col("header")), F.lit(" "), "body")
+        log_level = F.regexp_extract("header", r"\[([A-Z]+)\]", 1)
+    else:
+        raw = F.concat("ts_raw", F.lit(" -> " if arrow else " "), "body")
+        log_level = F.lit(None).cast("string")
+    return rows.select(
+        "file_name",
+        "ordinal",
+        "ts_raw",
+        log_level.alias("log_level"),
+        "correlation_id",
+        kind.otherwise("INFO").alias("log_type"),
+        F.when(has_xml, before_xml).when(has_inputs, call).otherwise(c).alias("action"),
+        F.when(has_xml, from_xml).when(has_inputs & called, given).otherwise("{}").alias("details"),
+        raw.alias("raw"),
+    )
 
 
 TRACKER = r"(?s)^Log Tracker No:\s*([^\s=>]+)\s*=>\s*(.*)"

@@ -219,3 +219,88 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.covertree import link_vectors
 
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_histogram_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.nnls import pack_by_histogram
+
+    return pack_by_histogram(table(spark, sf_dir, "documents"))
+
+
+#: The CRC-32 of the decimal `doc_id` or `conv_id`, byte by byte over the table t of the 256 remainders.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384 :: BIGINT) ELSE c >> 1 END, i)) AS t"
+
+
+def _crc(digits: str) -> str:
+    """The checksum of a string of ASCII characters, in SQL, where t is the table above."""
+    return f"xor(list_reduce(list_transform(string_split({digits}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INT) + 1], c >> 8), 4294967295 :: BIGINT), 4294967295 :: BIGINT)"
+
+
+def _trie_sql() -> str:
+    """Prefixes as lists of turns; a subtree by comparing lists."""
+    return rf"""
+    WITH k AS ({_CRC_TABLE}),
+    o AS (SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+    s AS (SELECT c, list(x ORDER BY p) AS own FROM o GROUP BY c),
+    h AS (SELECT s.c, own, coalesce(b.base, []) AS base, {_crc("CAST(s.c AS VARCHAR)")} % 4 AS h FROM k, s LEFT JOIN (SELECT c, own AS base FROM s) b ON b.c = s.c - s.c % 20),
+    r AS (SELECT c, list_concat(base[:h], own[h + 1:]) AS turns FROM h),
+    m AS (SELECT c, turns[:d] AS path, d, d = len(turns) AS last FROM r, unnest(range(0, len(turns) + 1)) AS u(d)),
+    n AS (SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ends,
+      CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM m GROUP BY path, d),
+    q AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n k WHERE k.depth = n.depth + 1 AND k.path[:n.depth] = n.path) AS n_children
+      FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.path = n.path[:n.depth - 1])
+    SELECT a.conv_id, a.depth, any_value(a.parent_conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs, any_value(a.n_children) AS n_children,
+      count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens, sha256(any_value(a.ends)) AS ends_sha256
+    FROM q a JOIN q b ON b.depth >= a.depth AND b.path[:a.depth] = a.path GROUP BY a.path, a.depth, a.conv_id
+    """
+
+
+@query("op12_prefix_trie", _trie_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.trie import graft, numbered_turns, prefix_trie
+
+    turns, members = graft(numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie(turns, members).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def _manifest_sql(fan: int = 8) -> str:
+    """Levels by recursion; a row's siblings by the place of its ancestor in each level."""
+
+    def leaf(text: str) -> str:
+        fields = [f"CAST({f} AS VARCHAR)" for f in ("doc_id", "source", "lang", "n_chars")] + [text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def levels(name: str, start: str) -> str:
+        return f"""{name} AS ({start}
+          UNION ALL SELECT level + 1, g, i // {fan}, (any_value(n) + {fan - 1}) // {fan}, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY level, g, i // {fan})"""
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    power = f"CAST({fan} ** level AS BIGINT)"
+    sides = f"string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < a.i // {power.replace('level', 's.level')}) AS lo, string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > a.i // {power.replace('level', 's.level')}) AS hi"
+    return f"""
+    WITH RECURSIVE k AS ({_CRC_TABLE}),
+    d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf("text")} AS leaf, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS shown FROM documents, k),
+    a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+    {levels("t", "SELECT 0 AS level, g, i, n, leaf AS h FROM a")},
+    b AS (SELECT g, h AS leaf, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+    {levels("u", "SELECT 0 AS level, '' AS g, i, n, leaf AS h FROM b")},
+    top AS (SELECT h AS root FROM u WHERE n = 1),
+    f AS (SELECT a.g, a.i, s.level, {sides} FROM a JOIN t s ON s.g = a.g AND s.n > 1 AND s.i // {fan} = a.i // ({fan} * {power.replace("level", "s.level")}) GROUP BY a.g, a.i, s.level),
+    e AS (SELECT a.g, s.level, {sides} FROM b a JOIN u s ON s.n > 1 AND s.i // {fan} = a.i // ({fan} * {power.replace("level", "s.level")}) GROUP BY a.g, a.i, s.level),
+    p AS (SELECT g, i, list({{'lo': coalesce(lo, ''), 'hi': coalesce(hi, '')}} ORDER BY level) AS steps FROM f GROUP BY g, i),
+    o AS (SELECT g, list({{'lo': coalesce(lo, ''), 'hi': coalesce(hi, '')}} ORDER BY level) AS steps FROM e GROUP BY g),
+    w AS (SELECT a.doc_id, a.leaf, a.shown, b.leaf AS subroot, root, list_concat(coalesce(p.steps, []), coalesce(o.steps, [])) AS steps
+      FROM a JOIN b ON b.g = a.g CROSS JOIN top LEFT JOIN p ON p.g = a.g AND p.i = a.i LEFT JOIN o ON o.g = a.g),
+    v AS (SELECT *, list_reduce(list_transform(steps, lambda x: x.lo || '|' || x.hi), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2)), shown) AS folded_root FROM w)
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x.lo || x.hi), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM v
+    """
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.merkle import lowered, manifest, verified
+
+    found = verified(manifest(table(spark, sf_dir, "documents"), lowered()))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

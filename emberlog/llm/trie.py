@@ -64,7 +64,7 @@ def graft(turns: DataFrame, every: int = 20, most: int = 4) -> tuple[DataFrame,
     heads = materialize(turns.where((F.col("conv_id") == base) & (F.col("place") < most - 1)).select(F.col("conv_id").alias("base"), "place", "digest", "words"))
     there = heads.groupBy("base").agg(F.count("*").alias("there"))
     plain = members_of(turns).select("*", base.alias("base"), own_head(most=most).alias("h"))
-    taken = F.coalesce(F.least("there", "h"), F.lit(0))
+    taken = F.least(F.coalesce("there", F.lit(0)), "h")
     members = materialize(plain.join(there, "base", "left").withColumn("taken", taken))
     given = members.join(heads, "base").where("place < h").select("conv_id", "place", "digest", "words")
     # Only those whose base has too few turns move; a row for each, looked up so that a long conversation stays dealt.

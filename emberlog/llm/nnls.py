@@ -210,9 +210,10 @@ def _greedy(rests: DataFrame, max_len: int, tasks: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        rows = pa.Table.from_batches(list(batches)) if batches else None
-        if rows is None or not rows.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
+        rows = pa.Table.from_batches(found)
         lengths = rows["length"].to_numpy()
         piece, begin, took, sequence, at = np.array(fill(lengths.tolist(), max_len), "int64").T
         first = TaskContext.get().partitionId() << 33

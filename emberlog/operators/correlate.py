@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.graphs import components
+
 from emberlog.functions.times import elapsed_ms
 
 
@@ -142,8 +144,9 @@ def resolve_aliases(records: DataFrame, within: str = "batch_id") -> DataFrame:
     """Flow of each record with aliases (array, in order of trust): within, ordinal, flow.
 
     Record by record: the first alias that is known names the flow, else the first alias does; all its aliases then
-    point there, and flows never merge. That is sequential within a batch, so each batch (one file) is a task that streams
-    over its rows in order and holds only its map of aliases.
+    point there, and flows never merge. That is sequential, but no alias of one connected component of aliases ever
+    decides about another's. So each component within a batch is walked by itself, in the order of its records; a task streams over its
+    components and holds the aliases of one. Records without aliases have no flow and are dealt by their place.
     """
 
     def walk(batches):
@@ -152,15 +155,25 @@ def resolve_aliases(records: DataFrame, within: str = "batch_id") -> DataFrame:
         now, known = object(), {}
         for b in batches:
             flows = []
-            for batch, aliases in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if batch != now:
-                    now, known = batch, {}
-                aliases = [a for a in aliases or [] if a]
+            for part, aliases in zip(zip(b.column(0).to_pylist(), b.column(3).to_pylist()), b.column(2).to_pylist()):
+                if part != now:
+                    now, known = part, {}
                 flow = next((known[a] for a in aliases if a in known), aliases[0] if aliases else None)
                 for a in aliases:
                     known[a] = flow
                 flows.append(flow)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flows, "string")], [within, "ordinal", "flow"])
 
-    rows = records.select(within, F.col("ordinal").cast("long").alias("ordinal"), "aliases")
-    return rows.repartition(within).sortWithinPartitions(within, "ordinal").mapInArrow(walk, f"{within} string, ordinal long, flow string")
+    named = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.coalesce(a, F.lit("")) != "")
+    rows = records.select(within, F.col("ordinal").cast("long").alias("ordinal"), named.alias("aliases"))
+
+    def node(alias: Column) -> Column:
+        return F.when(alias.isNotNull(), F.struct(F.col(within).alias("w"), alias.alias("a")))
+
+    first = node(F.get("aliases", F.lit(0)))
+    pairs = rows.where(F.size("aliases") > 1).select(first.alias("a"), F.explode(F.transform(F.slice("aliases", 2, F.size("aliases")), node)).alias("b"))
+    found = components(pairs).select(F.col("node").alias("_node"), F.col("component.a").alias("_part"))
+    met = rows.withColumn("_node", first).join(found, "_node", "left")
+    alone = F.coalesce(F.get("aliases", F.lit(0)), F.concat(F.lit("\0"), F.col("ordinal").cast("string")))
+    parts = met.select(within, "ordinal", "aliases", F.coalesce("_part", alone).alias("part"))
+    return parts.repartition(within, "part").sortWithinPartitions(within, "part", "ordinal").mapInArrow(walk, f"{within} string, ordinal long, flow string")

@@ -116,7 +116,7 @@ def _cells(profile: Profile, line: Column) -> Column:
     return F.transform(cells, bare)
 
 
-def parse(records: DataFrame, profile: Profile, ingested: Column, lenient: bool = False) -> DataFrame:
+def parse(records: DataFrame, profile: Profile, ingested: Column, lenient: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Canonical columns for each record, and parsed: whether the profile fits and the time is known. No record is dropped."""
     groups = list(java_pattern(profile.pattern)[1]) if profile.type == "regex" else None
     raw, none = F.col("raw"), F.lit(None).cast("string")
@@ -150,18 +150,24 @@ def parse(records: DataFrame, profile: Profile, ingested: Column, lenient: bool
         raw.alias("raw"),
         F.col("_f.attributes").alias("attributes"),
         (fits & (F.col("_time.confidence") != "unparseable")).alias("parsed"),
+        *keep,
     )
 
 
 def records_of(lines: DataFrame, profile: Profile | None, compat: bool = False) -> DataFrame:
     """Records by a profile's rules. A line that fits the profile itself opens a record too, unless compat asks for the narrow rules with records that end every 1000 lines."""
+    return group_lines(lines, start_of(profile, compat), 1000 if compat else None)
+
+
+def start_of(profile: Profile | None, compat: bool = False) -> Column:
+    """True where a line opens a record, an expression over `line`."""
     if profile is None:
-        return group_lines(lines, opens_record(F.col("line")), 1000 if compat else None)
+        return opens_record(F.col("line"))
     own = java_pattern(profile.pattern)[0] if profile.type == "regex" and not compat else (r"^\s*\{" if profile.type == "json" and not compat else None)
     start = opens_record(F.col("line"), profile.multiline_mode, profile.multiline_pattern, own)
     if profile.type == "delimited" and not compat:
         start = start | _read(profile, F.col("line"))["fits"]
-    return group_lines(lines, start, 1000 if compat else None)
+    return start
 
 
 def match_ratio(lines: DataFrame, profile: Profile, ingested: Column, sample: int = 200) -> float:

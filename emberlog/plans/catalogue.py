@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels, text
 from emberlog.functions.times import parse_time
-from emberlog.operators import alerts, browse, correlate, grouping, profiles, reports, summaries
+from emberlog.operators import alerts, browse, correlate, grouping, isolation, profiles, reports, summaries
 from emberlog.operators.formats import by_key, canonical
 from emberlog.operators.schema import bridge, number_lines
 from emberlog.plans import adhoc
@@ -827,3 +827,73 @@ def _(s, d):
     store.add(canon.where("seq % 2 = 0"), "even.log", 1, None, 1.0, "even")
     store.add(canon.where("seq % 2 <> 0"), "odd.log", 1, None, 1.0, "odd")
     return store.events().groupBy("batch_id").agg(F.count("*").alias("events"), F.max("line_no").alias("last_line"))
+
+
+def _forest_sql() -> str:
+    """The same forest, level by level, and each minute's way through it."""
+
+    def usual(n: str) -> str:
+        return f"CASE WHEN {n} < 2 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + {isolation.EULER}) - 2.0 * ({n} - 1) / {n} END"
+
+    def draw(what: str) -> str:
+        return f"(CAST('0x' || substr(md5('{isolation.SEED}:' || tree || ':' || node || ':{what}'), 1, 13) AS BIGINT) / 4503599627370496.0 :: DOUBLE)"
+
+    k, deepest = len(isolation.MINUTE), isolation.SAMPLE.bit_length() - 1
+    bounds = ", ".join(f"[{', '.join(f'{f}(x[{i}]) OVER w' for i in range(1, k + 1))}] AS {name}" for f, name in (("min", "lo"), ("max", "hi")))
+    grown = f"""SELECT *, fs[1 + CAST(floor({draw("feature")} * len(fs)) AS INT)] AS f, {draw("threshold")} AS u FROM (
+      SELECT *, list_filter(range(1, {k + 1}), lambda i: lo[i] < hi[i]) AS fs FROM (SELECT *, count(*) OVER w AS c, {bounds} FROM %s WINDOW w AS (PARTITION BY tree, node)))"""
+    cut = "lo[f] + u * (hi[f] - lo[f])"
+    return f"""WITH RECURSIVE {EV}, m AS (SELECT date_trunc('minute', ts_utc) AS minute, count(*) AS n, count(*) FILTER (level = 'WARN') AS warnings, count(DISTINCT correlation_id) AS correlations FROM ev GROUP BY 1),
+    a AS (SELECT unnest(generate_series(min(minute), max(minute), INTERVAL 1 MINUTE)) AS minute FROM m),
+    r AS (SELECT {text_time('minute')} AS minute, [coalesce(n, 0), coalesce(warnings, 0), coalesce(warnings / n, 0), coalesce(correlations, 0),
+      round(sin(hour(minute) * (2 * 3.141592653589793 / 24)), 6) + 0.0, round(cos(hour(minute) * (2 * 3.141592653589793 / 24)), 6) + 0.0] :: DOUBLE[] AS x FROM a LEFT JOIN m USING (minute)),
+    pool AS (SELECT minute, x FROM r ORDER BY md5('{isolation.SEED}:pool:' || minute), minute LIMIT {isolation.TREES * isolation.SAMPLE}),
+    s AS (SELECT tree, x FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY md5('{isolation.SEED}:' || tree || ':' || minute), minute) AS k FROM pool, range({isolation.TREES}) AS t(tree)) WHERE k <= {isolation.SAMPLE}),
+    g AS (SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS depth, x FROM s
+      UNION ALL SELECT tree, 2 * node + CASE WHEN x[f] > {cut} THEN 1 ELSE 0 END, depth + 1, x FROM ({grown % 'g'}) WHERE c > 1 AND depth < {deepest} AND len(fs) > 0),
+    nodes AS (SELECT DISTINCT tree, node, depth + {usual('c')} AS value, CASE WHEN c > 1 AND depth < {deepest} THEN f END AS f, {cut} AS threshold FROM ({grown % 'g'})),
+    w AS (SELECT minute, x, tree, CAST(1 AS BIGINT) AS node FROM r, range({isolation.TREES}) AS t(tree)
+      UNION ALL SELECT minute, x, w.tree, 2 * w.node + CASE WHEN x[f] > threshold THEN 1 ELSE 0 END FROM w JOIN nodes ON nodes.tree = w.tree AND nodes.node = w.node WHERE f IS NOT NULL),
+    e AS (SELECT minute, avg(value) AS depth FROM w JOIN nodes ON nodes.tree = w.tree AND nodes.node = w.node WHERE f IS NULL GROUP BY minute),
+    z AS (SELECT minute, round(pow(2.0, -depth / ({usual(f"(SELECT least({isolation.SAMPLE}, count(*)) FROM r)")})), {isolation.PLACES}) AS score FROM e)
+    SELECT minute, score, score > (SELECT quantile_cont(score, {1 - isolation.CONTAMINATION}) FROM z) AS anomaly FROM z"""
+
+
+@query("isolation_forest", _forest_sql())
+def _(s, d):
+    return isolation.anomalous_minutes(events(s, d)).select(time_text("minute"), "score", "anomaly")
+
+
+@query("stream_to_store", f"WITH {EV} SELECT source_system, strftime(ts_utc, '%Y-%m-%d') AS day, level, count(*) AS n, sum(line) AS lines FROM (SELECT *, CAST(seq % 1000000 AS BIGINT) AS line FROM ev) GROUP BY ALL")
+def _(s, d):
+    """Events through the two-phase sink, read back from the store."""
+    import uuid
+
+    from emberlog.sources.files import EventStore
+    from emberlog.sources.sink import to_store
+
+    base = f"{shared(s)}/stored_{uuid.uuid4().hex}"
+    source = s.readStream.schema(table(s, d, "events").schema).parquet(d if "://" in d else f"file://{d}", pathGlobFilter="events.parquet")
+    rows = bridge(source).withColumn("line_no", (F.col("seq") % 1_000_000).cast("int"))
+    to_store(rows, f"{base}/store", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    stored = EventStore(s, f"{base}/store").events()
+    return stored.groupBy("source_system", F.date_format("event_date", "yyyy-MM-dd").alias("day"), "level").agg(F.count("*").alias("n"), F.sum("line_no").alias("lines"))
+
+
+@query(
+    "alias_components",
+    f"""WITH RECURSIVE {EV}, p AS (SELECT DISTINCT file_name, 'u' || correlation_id AS u, 'v' || CAST(floor(value / 10) AS BIGINT) AS v FROM ev WHERE level = 'CRITICAL'),
+    e AS (SELECT file_name, u AS a, v AS b FROM p UNION SELECT file_name, v, u FROM p),
+    r(file_name, node, root) AS (SELECT file_name, a, a FROM e UNION SELECT r.file_name, e.b, r.root FROM r JOIN e ON e.file_name = r.file_name AND e.a = r.node)
+    SELECT file_name, node, min(root) AS component FROM r GROUP BY file_name, node""",
+)
+def _(s, d):
+    """Which names of transactions and of values occur together, directly or through others, by file."""
+    from emberlog.operators.graphs import components
+
+    def node(c):
+        return F.struct(F.col("file_name").alias("f"), c.alias("x"))
+
+    e = events(s, d).where("level = 'CRITICAL'")
+    pairs = e.select(node(F.concat(F.lit("u"), "correlation_id")).alias("a"), node(F.concat(F.lit("v"), F.floor(F.col("value") / 10).cast("string"))).alias("b"))
+    return components(pairs).select("node.f", "node.x", "component.x").toDF("file_name", "node", "component")

@@ -14,6 +14,8 @@ from emberlog.operators.schema import BATCH_SCHEMA, EVENT_COLUMNS, EVENT_SCHEMA
 #: Extensions that are read, in any case.
 EXTENSIONS = (".log", ".txt", ".jsonl", ".csv", ".tsv")
 MAX_BYTES = 500 << 20
+#: Attempts of a batch that a filter names; of more the join alone decides.
+FILTERED_ATTEMPTS = 256
 #: Lines of a block of blockwise() where the lines come from elsewhere than a file.
 BLOCK_LINES = 1 << 14
 
@@ -59,11 +61,12 @@ class EventStore:
     """Events and batches as Parquet; events by source and day, so that filters prune folders.
 
     Each attempt to store a batch has a name of its own, in its events and in the batch row, which is written after them and
-    is the commit: events of other attempts are never read. A batch that is stored already isn't stored again.
+    is the commit: events of other attempts are never read. A batch that is stored already isn't stored again. A batch of a stream
+    (sources.sink) has an attempt for each of its tasks.
     """
 
     STORED = f"{EVENT_SCHEMA}, attempt string, event_date date"
-    COMMITS = f"{BATCH_SCHEMA}, attempt string"
+    COMMITS = f"{BATCH_SCHEMA}, attempts array<string>"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.events_path, self.batches_path = spark, f"{path}/events", f"{path}/batches"
@@ -83,7 +86,7 @@ class EventStore:
         day = F.coalesce(F.to_date("ts_utc"), F.lit("1970-01-01").cast("date")).alias("event_date")
         rows.select(*EVENT_COLUMNS, F.lit(attempt).alias("attempt"), day).write.mode("append").partitionBy("source_system", "event_date").parquet(self.events_path)
         self.counts[batch_id] = seen.get
-        self._commit((batch_id, file_name, size, seen.get["events"], profile, round(ratio, 3), at or dt.datetime.now(dt.timezone.utc), attempt))
+        self._commit((batch_id, file_name, size, seen.get["events"], profile, round(ratio, 3), at or dt.datetime.now(dt.timezone.utc), [attempt]))
         return batch_id
 
     def _commit(self, row: tuple) -> None:
@@ -98,18 +101,23 @@ class EventStore:
                 raise
             return self.spark.createDataFrame([], self.COMMITS)
         names = [c for c in rows.columns if c != "batch_id"]
-        return rows.groupBy("batch_id").agg(F.min_by(F.struct(*names), F.struct("uploaded_at", "attempt")).alias("x")).select("batch_id", "x.*")
+        return rows.groupBy("batch_id").agg(F.min_by(F.struct(*names), F.struct("uploaded_at", "attempts")).alias("x")).select("batch_id", "x.*")
 
     def events(self, batch_id: str | None = None) -> DataFrame:
         """The events of all batches, or of one."""
         stored, commits = self.spark.read.schema(self.STORED).parquet(self.events_path), self._commits()
         if batch_id is not None:
-            stored, commits = stored.where(F.col("batch_id") == batch_id), commits.where(F.col("batch_id") == batch_id)
-        return stored.join(commits.select("batch_id", "attempt"), ["batch_id", "attempt"], "left_semi").drop("attempt")
+            commits = commits.where(F.col("batch_id") == batch_id)
+            attempts = [x for r in commits.select("attempts").collect() for x in r["attempts"]]
+            if len(attempts) <= FILTERED_ATTEMPTS:  # files are chosen by their statistics
+                stored = stored.where(F.col("attempt").isin(attempts))
+        named = commits.select(F.col("batch_id").alias("_batch"), F.explode("attempts").alias("attempt"))
+        found = stored.join(named, "attempt")
+        return found.select(*[F.col("_batch").alias(c) if c == "batch_id" else F.col(c) for c in stored.columns if c != "attempt"])
 
     def batches(self) -> DataFrame:
         """All batches, newest first."""
-        return self._commits().drop("attempt").orderBy(F.desc("uploaded_at"), "batch_id")
+        return self._commits().drop("attempts").orderBy(F.desc("uploaded_at"), "batch_id")
 
     def clear(self) -> None:
         """Leaves an empty store."""

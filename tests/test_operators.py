@@ -203,6 +203,39 @@ def test_aliases(spark):
     assert got == {("f", 1): "tx:1", ("f", 2): "s:9", ("f", 3): "s:9", ("f", 4): "s:9", ("f", 5): None, ("g", 1): "t:a"}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_aliases_by_components_equal_the_walk_over_a_file(spark, seed):
+    rng = random.Random(seed)
+    rows = [("f", k, rng.choices([f"a{x}" for x in range(120)] + [None, ""], k=rng.randrange(0, 4))) for k in range(150)]
+    known, want = {}, {}
+    for _, k, aliases in rows:
+        given = [a for a in aliases if a]
+        want[k] = next((known[a] for a in given if a in known), given[0] if given else None)
+        known |= dict.fromkeys(given, want[k])
+    df = spark.createDataFrame(rows, "batch_id string, ordinal int, aliases array<string>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be put together
+    try:
+        found = correlate.resolve_aliases(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["ordinal"]: r["flow"] for r in found} == want and len({r["task"] for r in found}) > 1
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
+def test_components(spark, shape):
+    from emberlog.operators.graphs import components
+
+    rng = random.Random(5)
+    edges = {"chain": [(k + 1, k) for k in range(40)], "star": [(7, k) for k in range(40)], "random": [(rng.randrange(60), rng.randrange(60)) for _ in range(45)], "none": [(1, 1), (None, 2)]}[shape]
+    root = {x: x for e in edges for x in e if x is not None and None not in e and e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a in root and b in root and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == root
+
+
 def test_alerts(spark):
     e = events(spark, *[(i, 60 * i, "core", "a", "ERROR") for i in range(5)]).withColumn("batch_id", F.lit("b")).withColumn("message", F.lit("same"))
     rules = alerts.rules_frame(spark, [alerts.Rule("now", dedup_window_minutes=2), alerts.Rule("off", component_filter="zzz"), alerts.Rule("sum", mode="digest")])

@@ -123,24 +123,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licenses_sql() -> str:
-    """Phrases by the words' places; templates by the overlap of sets for every line."""
-    from emberlog.llm.licenses import CONTAINMENT, LOWER, PHRASES, TEMPLATES, UPPER, WORD, needed, words_of
+    """Phrases by the words' places; templates by the overlap of sets for every line, or every window of a longer one."""
+    from emberlog.llm.licenses import CONTAINMENT, LOWER, NAMED, PHRASES, TEMPLATES, UPPER, WORD, needed, words_of
+
+    def listed(words) -> str:
+        return f"[{', '.join(repr(w) for w in words)}] :: VARCHAR[]"
 
     lists = "[" + ", ".join("[" + ", ".join(f"'{w}'" for w in p.split()) + "]" for p, _ in PHRASES) + "]"
     labels = "[" + ", ".join(f"'{x}'" for _, x in PHRASES) + "]"
     rows = []
     for label, text in TEMPLATES:
         words = sorted(set(words_of(text)))
-        rows.append(f"('{label}', [{', '.join(repr(w) for w in words)}], {needed(len(words), CONTAINMENT)})")
+        must, never = NAMED.get(label, ((), ()))
+        width = -(-len(words_of(text)) * 10 // round(CONTAINMENT * 10))
+        rows.append(f"('{label}', {listed(words)}, {needed(len(words), CONTAINMENT)}, {width}, {listed(must)}, {listed(never)})")
     return rf"""
     WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
     w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS words FROM d),
     p AS (SELECT unnest({lists}) AS phrase, unnest({labels}) AS label),
     h AS (SELECT doc_id, label, unnest(list_filter(range(1, len(words) + 1), lambda i: words[i:i + len(phrase) - 1] = phrase)) - 1 AS place FROM w, p),
     b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM h GROUP BY doc_id),
-    t(label, words, least) AS (VALUES {", ".join(rows)}),
-    l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-    m AS (SELECT doc_id, t.label, len(list_intersect(l.words, t.words)) AS overlap, len(t.words) AS n FROM l, t WHERE len(l.words) >= t.least AND len(list_intersect(l.words, t.words)) >= t.least),
+    t(label, words, least, width, must, never) AS (VALUES {", ".join(rows)}),
+    l AS (SELECT doc_id, regexp_extract_all(line, '{WORD}') AS raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+    c AS (SELECT doc_id, t.*, raw FROM l, t WHERE len(raw) >= t.least AND len(list_intersect(list_distinct(raw), t.words)) >= t.least),
+    k AS (SELECT doc_id, label, words, least, must, never, list_distinct(raw[i:i + width - 1]) AS own FROM (SELECT *, unnest(range(1, greatest(len(raw) - width, 0) + 2)) AS i FROM c)),
+    m AS (SELECT doc_id, label, len(list_intersect(own, words)) AS overlap, len(words) AS n FROM k WHERE len(list_intersect(own, words)) >= least AND list_has_all(own, must) AND NOT list_has_any(own, never)),
     g AS (SELECT doc_id, list(DISTINCT label) AS more, max(CAST(overlap AS DOUBLE) / n) AS share FROM m GROUP BY doc_id)
     SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
       array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
@@ -165,7 +172,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     q AS (SELECT *, stop - len(line) - 1 AS start FROM s),
     f AS (SELECT doc_id, min(p) OVER w AS first, max(p) OVER w AS last, list(line) OVER w AS run, max(stop) OVER w - min(start) OVER w AS chars FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 99 FOLLOWING)),
     b AS (SELECT doc_id, min(p) OVER w AS first, max(p) OVER w AS last, list(line) OVER w AS run, max(stop) OVER w - min(start) OVER w AS chars FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)),
-    w AS (SELECT DISTINCT doc_id, first, last, run FROM (FROM f UNION ALL FROM b) WHERE chars >= 100),
+    w AS (SELECT DISTINCT doc_id, first, last, run FROM (FROM f UNION ALL FROM b) WHERE chars >= 100 UNION SELECT doc_id, p, p, [line] FROM l WHERE len(line) >= 30),
     r AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS k FROM w) WHERE k > 1),
     g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS p FROM r),
     k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_deleted,
@@ -176,10 +183,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from emberlog.llm.linededup import dedup_lines
+    from emberlog.llm.linededup import LINE_CHARS, dedup_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = dedup_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")))
+    done = dedup_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")), line_chars=LINE_CHARS)
     deleted = F.aggregate(F.coalesce("_runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     return done.select("doc_id", "n_lines", deleted.alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -1,8 +1,10 @@
 """Operator 6: license texts, by an exact set-similarity join of text blocks with templates.
 
-A block is a line, or a window of consecutive words over several lines; it matches a template when it holds at least
-`containment` of the template's distinct words. Windows are for texts that are wrapped: they are as long as the
-template, and longer by the share that may be missing, so that as many words may stand between as may be left out.
+A block is a line, or a window of consecutive words; it matches a template when it holds at least `containment` of the
+template's distinct words, all words that tell the template from its siblings, and none that tell a sibling from it
+(NAMED): one license's name is a fifth of a short notice and so the word that could else be missing. Windows are as long as the
+template, and longer by the share that may be missing, so that as many words may stand between as may be left out. They are for texts that
+are wrapped, and for lines longer than a window, in which words of a template may stand far apart.
 Lines count first: a window counts where it doesn't touch a line that matches the template alone.
 The words of all templates are put into one global order by how many documents hold them, rarest first; those
 frequencies are counted over all documents and there are only as many as the templates have words. Then
@@ -42,7 +44,6 @@ TEMPLATES = (
     ("notice-apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("notice-gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("notice-cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("notice-reserved", "All rights reserved."),
     ("grant-mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     ("grant-apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("grant-gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -89,6 +90,17 @@ TEMPLATES = (
     ),
 )
 CONTAINMENT = 0.8
+_OTHER_GPL, _OTHER_CC = ("lesser", "affero", "library", "lgpl", "agpl"), ("noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd")
+#: The words that a block must hold for a template, and those that it must not.
+NAMED = {
+    "notice-mit": (("mit",), ()),
+    "notice-apache-2.0": (("apache", "2"), ()),
+    "notice-gpl-3.0": (("general", "3"), _OTHER_GPL),
+    "notice-cc-by-nc-4.0": (("by", "nc", "4"), ("sa", "nd")),
+    "grant-apache-2.0": (("apache", "2"), ()),
+    "grant-gpl": (("general",), _OTHER_GPL),
+    "grant-cc-by": (("attribution", "4"), _OTHER_CC),
+}
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -122,7 +134,9 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 class TemplateIndex:
     """Prefix index of the templates under a global order of words."""
 
-    def __init__(self, templates, frequency: dict[str, int], containment: float):
+    def __init__(self, templates, frequency: dict[str, int], containment: float, named: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = NAMED):
+        self.must = [frozenset(named.get(label, ((), ()))[0]) for label, _ in templates]
+        self.never = [frozenset(named.get(label, ((), ()))[1]) for label, _ in templates]
         self.sets, self.least, self.width, self.prefix = [], [], [], defaultdict(list)
         for t, (_, text) in enumerate(templates):
             ordered = sorted(set(words_of(text)), key=lambda w: (frequency.get(w, 0), w))
@@ -150,14 +164,32 @@ class TemplateIndex:
                     out.append((t, overlap))
         return sorted(out)
 
+    def line(self, own: list[str]) -> list[tuple[int, int]]:
+        """Template and overlap of each template that a line matches: as a whole, or by a window if it is longer than one."""
+        whole, out = set(own), []
+        for t, overlap in self.matches(whole):
+            if len(own) <= self.width[t]:
+                if self.must[t] <= whole and not self.never[t] & whole:
+                    out.append((t, overlap))
+            elif self.must[t] <= whole:
+                blocks = (set(own[k : k + self.width[t]]) for k in range(len(own) - self.width[t] + 1))
+                shares = [n for b in blocks if (n := len(self.sets[t] & b)) >= self.least[t] and self.must[t] <= b and not self.never[t] & b]
+                if shares:
+                    out.append((t, max(shares)))
+        return out
+
     def windows(self, words: list[str], ends: list[int], alone: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """Line, template and overlap of each window over several lines that matches; apart, the best of those that overlap.
 
         ends has the number of words up to the end of each line, alone the lines and templates that match already.
         """
         out = []
-        for t, _ in self.matches(set(words)):
+        whole = set(words)
+        for t, _ in self.matches(whole):
+            if not self.must[t] <= whole:
+                continue
             own, width = self.sets[t], self.width[t]
+            never = [i for i, w in enumerate(words) if w in self.never[t]] if self.never[t] & whole else []
             taken = sorted(line for line, other in alone if other == t)
             places = [(i, bisect_right(ends, i)) for i, w in enumerate(words) if w in own]
             places = [(i, line) for i, line in places if (line, t) not in alone]
@@ -174,7 +206,8 @@ class TemplateIndex:
                     if not inside[w]:
                         del inside[w]
                     low += 1
-                if len(inside) >= self.least[t]:
+                begin = places[low][0]
+                if len(inside) >= self.least[t] and all(w in inside for w in self.must[t]) and bisect_right(never, last) == bisect_right(never, begin - 1):
                     found.append((places[low][0], last, places[low][1], len(inside)))
             k = 0
             while k < len(found):
@@ -189,13 +222,13 @@ class TemplateIndex:
         return out
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT, named=NAMED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the matched blocks.
 
     blocks holds line (the first one), label and overlap as a share of the template's words; score is the best share, 1 where a phrase stands.
     """
     vocabulary = sorted({w for _, text in templates for w in words_of(text)})
-    index = TemplateIndex(templates, word_frequencies(docs, vocabulary), containment)
+    index = TemplateIndex(templates, word_frequencies(docs, vocabulary), containment, named)
     split_phrases = [(p.split(), label) for p, label in phrases]
     kind = dict(docs.dtypes)["doc_id"]
     block_type = "array<struct<line:int,label:string,share:double>>"
@@ -219,7 +252,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contain
                         own = words_of(line)
                         words += own
                         ends.append(len(words))
-                        for t, overlap in index.matches(set(own)):
+                        for t, overlap in index.line(own):
                             blocks.append({"line": number, "label": templates[t][0], "share": overlap / len(index.sets[t])})
                             alone.add((number, t))
                     wrapped = index.windows(words, ends, alone)

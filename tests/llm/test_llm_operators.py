@@ -156,6 +156,18 @@ def test_line_dedup_takes_whole_passages(spark):
     assert got == {1: rows[0][1], 2: "other", 3: "more", 4: "short line\nend"}
 
 
+def test_the_query_leaves_no_repeated_line(spark, tmp_path):
+    """The registered query takes lines of 30 characters or more by themselves, whatever stands beside them."""
+    from emberlog.llm.catalogue import QUERIES
+
+    told = "this one line of boilerplate stands everywhere"
+    rows = [(i, f"{i} {i}\n{told}\n{i * 7} {i}", "en", "s", 1) for i in range(12)] + [(50, "a\nb", "en", "s", 1)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_deleted"], r["kept_sha256"]) for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    kept = {i: t if i in (0, 50) else t.replace(f"{told}\n", "") for i, t, *_ in rows}
+    assert got == {i: (t.count("\n") + 1, int(i not in (0, 50)), hashlib.sha256(kept[i].encode()).hexdigest()) for i, t, *_ in rows}
+
+
 def test_line_dedup_takes_single_lines(spark):
     """Lines of 30 characters go whatever stands beside them; shorter ones stay."""
     import corpus_pipeline
@@ -461,7 +473,7 @@ int main;"""
 
 
 def test_wrapped_licenses(spark):
-    from emberlog.llm.licenses import CONTAINMENT, TEMPLATES, needed, scan_licenses, words_of
+    from emberlog.llm.licenses import CONTAINMENT, NAMED, TEMPLATES, needed, scan_licenses, words_of
 
     short = "x y\nReleased under\nthe MIT License.\nz"
     rows = [(1, MIT), (2, short), (3, MIT + "\n" + "filler words\n" * 30 + MIT), (4, MIT.replace(" free of charge, to any person obtaining", " " + "x " * 40)), (5, "Released under the MIT License.\n" + "filler words\n" * 9 + short), (6, "Released under the MIT License.\n" + short[4:] + "\nReleased under the MIT License.")]
@@ -475,7 +487,7 @@ def test_wrapped_licenses(spark):
     assert blocks[6] == [(0, "notice-mit"), (1, "notice-mit"), (4, "notice-mit")]
     for k, (label, _) in enumerate(TEMPLATES):
         assert label in got[100 + k]["labels"].split(",")
-    # Labels of scattered words, against each window of each template's width over two lines or more.
+    # Labels of scattered words, against each line that is no longer than a window, and each window of each template's width.
     rng = random.Random(3)
     pool = sorted({w for _, t in TEMPLATES for w in words_of(t)}) + ["filler"] * 20
     rows = []
@@ -484,17 +496,46 @@ def test_wrapped_licenses(spark):
         rows.append((i, "".join(w + rng.choice(" \n") for w in words)))
     for r in scan_licenses(docs(spark, rows)).collect():
         text, want = rows[r["doc_id"]][1], set()
-        words, lines = words_of(text), [set(words_of(x)) for x in text.split("\n")]
+        words, lines = words_of(text), [words_of(x) for x in text.split("\n")]
         for label, t in TEMPLATES:
             own, width = set(words_of(t)), -(-len(words_of(t)) * 10 // round(CONTAINMENT * 10))
-            if any(len(own & set(b)) >= needed(len(own), CONTAINMENT) for b in [*lines, *(words[k : k + width] for k in range(len(words)))]):
+            must, never = NAMED.get(label, ((), ()))
+            # A window begins and ends with words of the template.
+            spans = [words[a:b] for a in range(len(words)) for b in range(a + 1, min(a + width, len(words)) + 1) if words[a] in own and words[b - 1] in own]
+            if any(len(own & set(b)) >= needed(len(own), CONTAINMENT) and set(must) <= set(b) and not set(never) & set(b) for b in [*(x for x in lines if len(x) <= width), *spans]):
                 want.add(label)
         assert {b["label"] for b in r["blocks"]} == want
 
 
+def test_no_license_is_taken_for_its_sibling(spark):
+    from emberlog.llm.licenses import scan_licenses
+
+    others = ["Released under the GPL License.", "Released under the BSD License.", "Licensed under the Apache License, Version 1.0.", "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC-SA 4.0.", "He reserved all the rights to the car", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"]
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"
+    scattered = " ".join(f"{w} far apart from it" for w in grant.split())
+    right = {"Released under the MIT License.": "notice-mit", "Licensed under the Apache License, Version 2.0.": "notice-apache-2.0", "Licensed under CC BY-NC 4.0.": "notice-cc-by-nc-4.0", "words before it " * 9 + grant + " and words after it" * 9: "grant-mit", "This work is licensed under the GNU General Public License, version 3.": "notice-gpl-3.0"}
+    texts = [*others, *[x.replace(" ", "\n", 3) for x in others], scattered, *right, *[x.replace("License", "\nLicense") for x in right]]
+    got = {texts[r["doc_id"]]: {b["label"] for b in r["blocks"]} for r in scan_licenses(docs(spark, list(enumerate(texts)))).collect()}
+    for t in texts:
+        assert got[t] == ({right[t.replace("\nLicense", "License")]} if t.replace("\nLicense", "License") in right else set()), t
+
+
 # Secrets
 
 
+def test_a_blob_that_two_writers_have_added_counts_once(spark, tmp_path):
+    from emberlog.llm.secrets import find_secrets, update_ledger
+
+    ledger, text = f"file://{tmp_path}/ledger", "token = abcdefghijklmnop"
+    df = docs(spark, [(1, text), (2, text), (3, "none")])
+    blobs = df.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
+    update_ledger(blobs, ledger)
+    update_ledger(blobs, f"{ledger}-2")
+    spark.read.parquet(f"{ledger}-2").write.mode("append").partitionBy("rule_version").parquet(ledger)
+    got = find_secrets(df, ledger).collect()
+    assert sorted((r["doc_id"], len(r["spans"])) for r in got) == [(1, 1), (2, 1), (3, 0)]
+
+
 def test_secrets(spark, tmp_path):
     from emberlog.llm.secrets import digest, find_secrets, read_ledger
 

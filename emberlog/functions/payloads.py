@@ -35,7 +35,7 @@ def balanced(text: str) -> Iterator[tuple[str, bool]]:
 
 
 def leaves(value, found: dict[str, str]) -> None:
-    """Scalars by lower-cased key, at any depth; the first of a key counts."""
+    """Scalars by lower-cased key, at any depth; the first of a key counts. Credentials are told as their first and their last."""
     pairs = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
     for k, v in pairs:
         if isinstance(v, (dict, list)):
@@ -47,6 +47,7 @@ def leaves(value, found: dict[str, str]) -> None:
         for name, part in (("@mobile", "SMS"), ("@email", "EMAIL"), ("@oob", "OUTOFBAND")):
             if text and part in kind:
                 found.setdefault(name, str(text))
+                found[f"{name}:last"] = str(text)
 
 
 _PAIR = re.compile(r'"(\w+)"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?[\w.]+))')

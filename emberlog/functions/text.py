@@ -138,10 +138,21 @@ def exception(text: Column) -> Column:
     return F.when(found, F.struct(kind.alias("type"), said.alias("message"), frames.alias("frames"), others.alias("additional_lines")))
 
 
+#: Signs that exported logs escape.
+SIGNS = (("\\>", ">"), ("\\<", "<"), ("\\[", "["), ("\\]", "]"))
+
+
+def plain_signs(text: Column) -> Column:
+    """Escaped signs as themselves: arrows, tags and brackets. What JSON escapes stays."""
+    for escaped, char in SIGNS:
+        text = F.replace(text, F.lit(escaped), F.lit(char))
+    return text
+
+
 def plain_escapes(text: Column) -> Column:
-    """Escapes that loggers add: \\> and \\< as the signs, \\" as the quote, \\n, \\r and \\t as white space."""
-    out = text
-    for escaped, char in (("\\>", ">"), ("\\<", "<"), ('\\"', '"'), ("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", "\t")):
+    """Escapes that loggers add: signs as themselves, \\" as the quote, \\n, \\r and \\t as white space."""
+    out = plain_signs(text)
+    for escaped, char in (('\\"', '"'), ("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", "\t")):
         out = F.replace(out, F.lit(escaped), F.lit(char))
     return out
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.payloads import payload
-from emberlog.functions.text import base64_text, clean, contains_any, exception, observables, operation, otp_message, phase, unescape_all
+from emberlog.functions.text import base64_text, clean, contains_any, exception, observables, operation, otp_message, phase, plain_signs, unescape_all
 from emberlog.operators.correlate import carried, first_nonempty, last_nonempty, ordered_distinct, resolve_aliases, truthy
 from emberlog.operators.formats import US_TIME, Format, classify, split_records
 from emberlog.session import written
@@ -181,6 +181,26 @@ class Payment:
     last_status: bool
     entity: str
     warnings: Callable[[], list[tuple[Column, str]]]
+    #: Whether the last credential of a kind in a payload counts, not the first.
+    last_credential: bool = False
+
+
+#: What messages say outside of payloads, one group each.
+SAID = {
+    "msg_id": r"MsgId:\s*([A-Za-z0-9\-]+)",
+    "queue": r"(?i)(?:Message for Queue\s*=\s*|\()(AFS\.[A-Za-z0-9._\-]+|[^\s()]*mq[^\s()]*)",
+    "bank_org": r"(?i)\bBankOrg\s*[=:]\s*([A-Za-z0-9]+)",
+    "oob_status": r"(?i)\bstatusResponseEnum\s*[=:]\s*([A-Z_]+)",
+    "path_stepup_id": r"/(?:status|process/status)/([0-9a-fA-F\-]{36})",
+    "said_customer": r"(?i)\bCustomerId\s*[=:]\s*([A-Za-z0-9\-]+)",
+    "enable_oob": r"(?i)\bEnableOOB\s*[=:]\s*([YN])",
+    "card_blocked": r"(?i)\bcardBlocked\s*[=:]\s*(true|false)",
+    "response_code": r"(?i)\bResponseCode\s*[=:]\s*(\d+)",
+    "error_call": r"Error in (.+?) Call : ",
+    "error_url": r"Error in .+? Call : ([^\n]+)",
+}
+#: The address that a bank's call goes to.
+BANK_URL = r"(?i)(https?://[^\s<>\"']+)"
 
 
 def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
@@ -194,7 +214,8 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
     f = lambda key: F.try_element_at(F.col("p.fields"), F.lit(key))
     element = lambda name: F.try_element_at(F.col("p.tags"), F.lit(name.lower()))
     find = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
-    named = [F.coalesce(truthy(f(key)), *[truthy(element(t)) for t in tags]).alias(name) for name, key, tags in FIELDS]
+    key_of = lambda key: f"{key}:last" if kind.last_credential and key in ("@mobile", "@email") else key
+    named = [F.coalesce(truthy(f(key_of(key))), *[truthy(element(t)) for t in tags]).alias(name) for name, key, tags in FIELDS]
     broken = F.col("p.status").isin("invalid", "incomplete")
     warnings = F.array_compact(
         F.array(
@@ -220,16 +241,14 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
         warnings.alias("event_warnings"),
         exception(F.col("text")).alias("exception"),
         truthy(f("channel")).alias("channel"),
-        operation(F.when(F.col("event_type") == "bank_api_url", find(r"(?i)(https?://[^\s<>\"']+)"))).alias("bank_operation"),
+        operation(F.when(F.col("event_type") == "bank_api_url", find(BANK_URL))).alias("bank_operation"),
         truthy(f("transactionid")).alias("txid"),
         F.when(F.col("event_type").isin(*kind.responses), truthy(f("status"))).alias("status"),
         F.when(F.col("event_type").isin(*kind.responses), F.coalesce(truthy(f("description")), truthy(f("referencenumber")))).alias("error_text"),
         truthy(f("success")).alias("success"),
-        find(r"MsgId:\s*([A-Za-z0-9\-]+)").alias("msg_id"),
-        find(r"(?i)(?:Message for Queue\s*=\s*|\()(AFS\.[A-Za-z0-9._\-]+|[^\s()]*mq[^\s()]*)").alias("queue"),
-        find(r"(?i)\bBankOrg\s*[=:]\s*([A-Za-z0-9]+)").alias("bank_org"),
-        find(r"(?i)\bstatusResponseEnum\s*[=:]\s*([A-Z_]+)").alias("oob_status"),
-        find(r"/(?:status|process/status)/([0-9a-fA-F\-]{36})").alias("path_stepup_id"),
+        *[find(SAID[n]).alias(n) for n in ("msg_id", "queue", "bank_org", "oob_status", "path_stepup_id", "enable_oob", "response_code", "error_call", "error_url")],
+        F.coalesce(find(SAID["said_customer"]), truthy(f("customerid"))).alias("customer_id"),
+        F.lower(F.coalesce(find(SAID["card_blocked"]), truthy(f("cardblocked")))).alias("card_blocked"),
         otp_message(F.coalesce(base64_text(f("smsbody")), base64_text(f("message")))).alias("sms"),
         observables(F.col("text")).alias("observables"),
         *named,
@@ -260,6 +279,8 @@ def merge(events: DataFrame, kind: Payment, key: str = "key") -> DataFrame:
         F.max_by(F.lower("success"), F.when(name.isin("bank_api_success_response", "bank_api_error_response") & F.col("success").isNotNull(), at)).alias("bank_success"),
         ordered_distinct(F.col("tracker"), at).alias("trackers"),
         ordered_distinct(F.col("oob_status"), at).alias("oob_history"),
+        ordered_distinct(F.col("card_blocked"), at).alias("card_blocked_history"),
+        *[first_nonempty(F.col(n), at).alias(n) for n in ("customer_id", "enable_oob", "response_code", "error_call", "error_url")],
         F.bool_or(name.isin(*kind.errors)).alias("has_errors"),
         F.min("ts_raw").alias("first_time"),
         F.max("ts_raw").alias("last_time"),
@@ -282,10 +303,11 @@ def _snapshot() -> Column:
         "error",
         F.struct(F.col("merchant_name").alias("name"), F.col("merchant_id").alias("id"), F.col("merchant_url").alias("url"), F.col("merchant_country").alias("country_code"), F.col("merchant_category").alias("category_code")).alias("merchant"),
         F.struct(F.col("amount_raw").alias("amount_raw"), F.col("amount_raw").try_cast("double").alias("amount"), "currency", F.col("tran_time").alias("timestamp")).alias("transaction"),
-        F.struct("mobile", "email").alias("customer"),
+        F.struct("mobile", "email", "customer_id").alias("customer"),
         F.struct("card_number", "expiry_month", "expiry_year").alias("payment"),
         F.struct(F.col("auth_type").alias("type"), "status", "otp_processed", "sms_queued").alias("authentication"),
-        F.struct(F.col("oob_history").alias("status_history")).alias("oob"),
+        F.struct(F.col("oob_history").alias("status_history"), F.col("enable_oob").alias("enabled"), F.transform("card_blocked_history", lambda x: x == "true").alias("card_blocked_history")).alias("oob"),
+        F.struct("response_code").alias("vplus"),
         F.struct(F.col("bank_operation").alias("operation"), F.col("bank_success").cast("boolean").alias("success")).alias("bank_api"),
         F.struct(F.col("channel"), F.col("otp").alias("value"), F.col("otp_processed").alias("processed_successfully")).alias("otp"),
         F.struct(F.col("otp").alias("value"), F.col("otp_processed").alias("processed_successfully")).alias("otp_state"),
@@ -295,18 +317,31 @@ def _snapshot() -> Column:
         "msg_id",
         "otp_processed",
         "force_verify_by_mobile",
-        F.struct(F.col("mobile").isNotNull().alias("has_sms"), F.col("email").isNotNull().alias("has_email"), ((F.col("status") == "SUCCESS") | F.col("otp_processed")).alias("is_success")).alias("derived"),
+        _derived().alias("derived"),
         "trackers",
         "integrity_status",
         "warnings",
     )
 
 
+def _derived() -> Column:
+    """What an entity has; each flag is true or false, never null."""
+    of = lambda step: F.coalesce(F.exists("trackers", lambda t: phase(t) == step), F.lit(False))
+    success = F.coalesce(F.col("status") == "SUCCESS", F.lit(False)) | F.coalesce("otp_processed", F.lit(False))
+    return F.struct(
+        F.col("mobile").isNotNull().alias("has_sms"),
+        F.col("email").isNotNull().alias("has_email"),
+        of("STEP_UP").alias("has_stepup"),
+        of("INITIATE_ACTION").alias("has_initiate_action"),
+        success.alias("is_success"),
+    )
+
+
 def _emit(events: DataFrame, kind: Payment, correlation: Column, level: Column) -> DataFrame:
     """Records of keyed events with their entity joined back."""
     entities = merge(events, kind).select("file_name", "key", _snapshot().alias("entity"))
     joined = events.join(entities, ["file_name", "key"], "left")
-    details = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "parse_method", "document", "exception", F.col("event_warnings").alias("warnings"), "sms", "observables", F.col("entity").alias(kind.entity)))
+    details = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "parse_method", "document", "exception", "error_call", "error_url", "response_code", F.col("event_warnings").alias("warnings"), "sms", "observables", F.col("entity").alias(kind.entity)))
     return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), correlation.alias("correlation_id"), F.col("event_type").alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
 
 
@@ -319,7 +354,7 @@ def _tracked_lines(lines: DataFrame) -> DataFrame:
     return split_records(lines, TRACKED).select("file_name", "ordinal", F.regexp_extract("header", US_TIME, 0).alias("ts_raw"), F.upper(F.regexp_extract("header", r"(?i)Log Tracker No:\s*([A-Z]{2}\d+)", 1)).alias("tracker"), F.col("body").alias("message"), F.concat_ws(" ", clean(F.col("header")), "body").alias("raw"))
 
 
-AFS = Payment(AFS_CLASSES, "other", ("netcetera_response",), ("sms_queue",), ("error",), True, "transaction", list)
+AFS = Payment(AFS_CLASSES, "other", ("netcetera_response",), ("sms_queue",), ("error",), True, "transaction", list, last_credential=True)
 
 
 def afs_netcetera(lines: DataFrame) -> DataFrame:
@@ -436,7 +471,7 @@ VFLEX = Payment(VFLEX_CLASSES, "message", ("netcetera_stepup_response",), ("sms_
 
 def vflex(lines: DataFrame) -> DataFrame:
     """Events by their own tracker; events without one stay alone."""
-    rows = split_records(lines, US_TIME)
+    rows = split_records(lines.withColumn("line", plain_signs(F.col("line"))), US_TIME)
     own = F.nullif(F.upper(F.regexp_extract("body", r"(?i)\b((?:SU|IA|VL)\d+)\b", 1)), F.lit(""))
     message = clean(F.regexp_replace("body", r"(?i)^\s*(?::\s*)?(?:Log Tracker No:\s*[A-Z]{2}\d+\s*(?:=>|=\\>|=&gt;))?\s*", ""))
     events = read_events(rows.select("file_name", "ordinal", clean(F.col("header")).alias("ts_raw"), own.alias("tracker"), message.alias("message"), F.concat_ws(" ", "header", "body").alias("raw")), VFLEX)

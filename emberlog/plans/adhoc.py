@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS = 500
@@ -33,46 +34,67 @@ def parsed_plan(spark: SparkSession, text: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
 
 
-def _described(spark: SparkSession, plan) -> str:
-    """The whole plan as text, with the plans inside expressions and common tables, nothing cut off."""
-    setting = "spark.sql.debug.maxToStringFields"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "1000000")
-    try:
-        return plan.treeString()
-    finally:
-        spark.conf.set(setting, before)
+class _Guard:
+    """Walks a parsed plan with the names that each place of it can see: the given views, and common tables where SQL's scopes have them."""
+
+    def __init__(self, spark: SparkSession):
+        self.gateway = spark.sparkContext._gateway
+
+    def _is(self, x, kind: str) -> bool:
+        return is_instance_of(self.gateway, x, kind)
+
+    def _items(self, x) -> Iterator:
+        it = x.iterator() if self._is(x, "scala.collection.Iterable") else x.productIterator()
+        while it.hasNext():
+            yield it.next()
+
+    def walk(self, x, names: frozenset[str]) -> None:
+        """x: a node, an expression, or what they consist of. NotReadOnly at the first thing that isn't allowed."""
+        if not isinstance(x, JavaObject) or not (self._is(x, "scala.Product") or self._is(x, "scala.collection.Iterable")):
+            return
+        kind = x.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            inside = names
+            for pair in self._items(x.cteRelations()):
+                own = pair._1().lower()
+                # A table sees those before it, and itself only where recursion is asked for.
+                self.walk(pair._2(), inside | {own} if x.allowRecursion() else inside)
+                inside = inside | {own}
+            return self.walk(x.child(), inside)
+        if kind == "UnresolvedRelation":
+            parts = list(self._items(x.multipartIdentifier()))
+            if len(parts) != 1 or parts[0].lower() not in names:
+                raise NotReadOnly(f"no such view: {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            if (name := ".".join(self._items(x.name())).lower()) not in _GENERATORS:
+                raise NotReadOnly(f"not allowed: {name}")
+        elif kind == "UnresolvedFunction":
+            if (name := list(self._items(x.nameParts()))[-1].lower()) in _FORBIDDEN:
+                raise NotReadOnly(f"not allowed: {name}")
+        elif kind == "ScriptTransformation":
+            raise NotReadOnly("programs aren't run")
+        elif "UnresolvedIdentifier" in kind:
+            raise NotReadOnly("names must be written out")
+        for part in self._items(x):
+            self.walk(part, names)
 
 
 def read_only(spark: SparkSession, text: str, views: Iterable[str] = ()) -> str:
-    """The statement, if Spark parses it as one query over the given views. Keywords inside literals don't matter, as the plan decides.
+    """The statement, if Spark parses it as one query over the given views. What literals say doesn't matter, as the plan's nodes decide.
 
-    Refused: commands, other tables, files by path, functions that call methods of the JVM, and programs.
+    Refused: commands, other tables, files by path, names that are computed, functions that call methods of the JVM, and programs.
     """
     sql = strip_fences(text)
     if not re.match(r"(?i)\s*\(*\s*(select|with)\b", sql):
         raise NotReadOnly("only SELECT and WITH queries are run")
     try:
         plan = parsed_plan(spark, sql)
-        told = _described(spark, plan)
     except Exception as e:
         raise NotReadOnly(str(e).splitlines()[0]) from e
     root = plan.getClass().getSimpleName()
     if any(c in root for c in _COMMANDS):
         raise NotReadOnly(f"not a query: {root}")
-    for name in _FORBIDDEN:
-        # A function of the plan is told with a quote before its name. A literal that is told alike is refused as well.
-        if re.search(rf"(?i)'(?:[\w`]+\.)*{name}\(", told):
-            raise NotReadOnly(f"not allowed: {name}")
-    if "ScriptTransformation" in told:
-        raise NotReadOnly("programs aren't run")
-    own = {x.strip().lower() for found in re.findall(r"CTE \[([^\]]*)\]", told) for x in found.split(",")} | {v.lower() for v in views}
-    for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", told):
-        if found.strip().lower() not in own:
-            raise NotReadOnly(f"no such view: {found}")
-    for found in re.findall(r"UnresolvedTableValuedFunction \[([^\]]*)\]", told):
-        if found.strip().lower() not in _GENERATORS:
-            raise NotReadOnly(f"not allowed: {found}")
+    _Guard(spark).walk(plan, frozenset(v.lower() for v in views))
     return sql
 
 

@@ -140,6 +140,40 @@ def test_vflex(lines):
     assert tx["bank_api"]["success"] is True and tx["otp_state"]["processed_successfully"] and "OTP value was not extracted" in tx["warnings"]
 
 
+def test_vflex_with_escaped_signs(lines):
+    text = f'{US} Log Tracker No: IA5 =\\> Msg Received-- \\<Msg\\>\\<Body\\>\\<Mobile\\>+4179\\</Mobile\\>\\</Body\\>\\</Msg\\>\n{US} Log Tracker No: IA5 =\\> list \\[{{"TransactionId": "V\\"2"}}\\]'
+    got = rows("vflex", lines(text))
+    assert [r["correlation_id"] for r, _ in got] == ['V"2', 'V"2'] and got[0][1]["transaction"]["customer"]["mobile"] == "+4179"
+    assert got[0][0]["action"].startswith("Msg Received-- <Msg>")
+
+
+def test_credentials_flags_and_calls(lines):
+    """Of several credentials the last counts with AFS and the first elsewhere; five flags are never null; errors name call and address."""
+    body = '{"TransactionId": "T1", "Credentials": [{"Type": "SMS", "Text": "+111"}, {"Type": "SMS", "Text": "+222"}, {"Type": "EMAIL", "Text": "a@b"}]}'
+    for key, mobile in (("afs_netcetera", "+222"), ("vflex", "+111")):
+        entity = rows(key, lines(f"{US} Log Tracker No: SU1 => Request Body {body}"))[0][1]["transaction"]
+        assert entity["customer"]["mobile"] == mobile
+        assert entity["derived"] == {"has_sms": True, "has_email": True, "has_stepup": True, "has_initiate_action": False, "is_success": False}
+    text = f"{US} Log Tracker No: IA7 => Error in Bank Validate Call : https://bank/x?y=1\nSystem.TimeoutException: no answer\n   at A.B() in C.cs:line 3"
+    details = rows("debit_portal_log", lines(text))[0][1]
+    assert details["error_call"] == "Bank Validate" and details["error_url"] == "https://bank/x?y=1" and details["exception"]["type"] == "System.TimeoutException"
+
+
+def test_cardinal_fields_outside_of_payloads(lines):
+    text = "\n".join(
+        [
+            f'{US} Log Tracker No: SU1 => Request Body {{"TransactionId": "C1", "StepupRequestId": "S1", "StepupType": "OOB"}}',
+            f"{US} Log Tracker No: SU1 => ResponseCode=05 BankOrg=777 CustomerId=K-12 EnableOOB=Y cardBlocked=false",
+            f"{US} Log Tracker No: SU1 => ResponseCode=00 CustomerId: K-99 EnableOOB=N cardBlocked: true",
+            f"{US} Log Tracker No: SU1 => cardBlocked=false",
+        ]
+    )
+    got = rows("cardinal", lines(text))
+    flow = got[0][1]["flow"]
+    assert flow["customer"]["customer_id"] == "K-12" and flow["oob"] == {"status_history": [], "enabled": "Y", "card_blocked_history": [False, True]}
+    assert flow["vplus"]["response_code"] == "05" and [d.get("response_code") for _, d in got] == [None, "05", "00", None]
+
+
 def test_payloads_with_any_reference(lines):
     """Numeric references, and named ones beyond XML's, as html.unescape() reads them."""
     for key, quote in (("afs_netcetera", "&#34;"), ("vflex", "&#x22;"), ("debit_portal_log", "&#X22;")):

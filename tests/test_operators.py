@@ -300,7 +300,16 @@ def test_summaries_cap_merchants_alone(spark):
 
 @pytest.mark.parametrize(
     "sql",
-    ["SELECT * FROM text.`/etc/hostname`", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'nanoTime')", "SELECT * FROM other", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "WITH a AS (SELECT * FROM parquet.`/x`) SELECT * FROM a", "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM events"],
+    ["SELECT * FROM text.`/etc/hostname`", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'nanoTime')", "SELECT * FROM other", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "WITH a AS (SELECT * FROM parquet.`/x`) SELECT * FROM a", "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM events",
+        "SELECT 'CTE [secret]' AS x, pw FROM secret",
+        "SELECT * FROM (WITH secret AS (SELECT 1 AS pw) SELECT * FROM secret) JOIN (SELECT pw FROM secret)",
+        "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1) SELECT * FROM a",
+        "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT * FROM IDENTIFIER('secret')",
+        "SELECT id, sum(id) OVER w FROM events WINDOW w AS (ORDER BY (SELECT max(pw) FROM secret))",
+        "SELECT * FROM events, LATERAL (SELECT pw FROM secret)",
+        "SELECT * FROM events PIVOT (max(id) FOR id IN (1)) UNION SELECT pw FROM spark_catalog.default.secret",
+    ],
 )
 def test_guard_walks_the_whole_plan(spark, sql):
     with pytest.raises(adhoc.NotReadOnly):
@@ -308,6 +317,14 @@ def test_guard_walks_the_whole_plan(spark, sql):
 
 
 def test_guard_lets_queries_pass(spark):
+    for sql in (
+        "WITH a AS (SELECT id FROM events), b AS (SELECT id FROM A) SELECT * FROM b WHERE id IN (SELECT id FROM a)",
+        "SELECT * FROM (WITH a AS (SELECT id FROM events) SELECT * FROM a) JOIN (WITH a AS (SELECT 1 AS k) SELECT * FROM a)",
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r",
+        "SELECT id, sum(id) OVER w FROM events WINDOW w AS (ORDER BY id)",
+        "SELECT 'UnresolvedRelation [secret]' AS x FROM events, LATERAL explode(array(1, 2))",
+    ):
+        assert adhoc.read_only(spark, sql, ["events"]) == sql
     view = spark.range(5).withColumn("text", F.lit("reflect( java_method"))
     many = ", ".join(f"id + {k} AS c{k}" for k in range(60))
     assert adhoc.run(spark, f"SELECT {many} FROM events WHERE id IN (SELECT id FROM Events WHERE text LIKE '%reflect(%')", {"events": view}).count() == 5

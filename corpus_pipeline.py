@@ -52,7 +52,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, each as often as its source's target asks for.
 
-    A null source is a source of its own, a null id draws as "null", rows that repeat an id draw alike, and a text without words
+    A null source is a source of its own, a row without an id draws by its text, rows that repeat an id draw alike, and a text without words
     has size 0, so that it is taken at its source's rate all the same.
     """
     return mix(docs)

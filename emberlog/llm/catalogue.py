@@ -61,7 +61,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op3_mixing",
     r"""
-    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS draw, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0 * CAST(sum(size) AS DOUBLE) AS most,
       CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END :: DOUBLE AS weight FROM d GROUP BY source),
     f AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM s) - coalesce(sum(most) OVER b, 0)) / sum(weight) OVER o AS share FROM s
@@ -70,7 +70,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     l AS (SELECT arg_min(share, most / weight) AS level FROM f WHERE most >= share * weight),
     r AS (SELECT source, source_size, least(most, coalesce(level * weight, most)) AS target FROM f, l),
     j AS (SELECT d.doc_id, d.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate,
-      CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 :: DOUBLE AS u
+      CAST(('0x' || substr(md5('mix:' || draw), 1, 13)) AS BIGINT) / 4503599627370496.0 :: DOUBLE AS u
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
     SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM j
     """,

@@ -11,7 +11,7 @@ which is more than a mixture with weights by source can mean; nothing that grows
 broadcasts the sources' table only where its size is below the session's threshold, else it splits skewed sources.
 
 Defined cases: null and blank texts have size 0; a null source is a source, last in order; a source of size 0 has
-target 0; rows that repeat a doc_id draw alike; a null doc_id draws as the text "null"; an empty table gives no rows. Other columns
+target 0; rows that repeat a doc_id draw alike; a row without one draws by its text, so only equal texts do; an empty table gives no rows. Other columns
 are kept by mix(), whatever their names are, and ignored by plan_mix().
 """
 
@@ -49,24 +49,29 @@ def _size(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
+def _draw() -> Column:
+    """What a row draws by: its id, or where it has none a digest of its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def _rated(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], max_rate: int, seed: str) -> DataFrame:
-    """rows (doc_id, source and others) with source_size, target, rate and copies, from the sizes of `sized`."""
+    """rows (source, draw and others) with source_size, target, rate and copies, from the sizes of `sized`."""
     # Written, so that its true size decides whether the rows need a shuffle.
     rates = materialize(source_rates(sized, weights, max_rate)).select(F.struct("source").alias("of"), "source_size", "target", "rate")
     joined = rows.withColumn("of", F.struct("source")).join(rates, "of").drop("of")
-    return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed))
+    return joined.withColumn("copies", copies(F.col("rate"), F.col("draw"), seed))
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = 3, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies for each row."""
     # Without texts the rows are few bytes each, so they are written and the texts are read once.
-    rows = materialize(docs.select("doc_id", "source", _size(F.col("text")).alias("size")))
-    return _rated(rows, rows.select("source", "size"), weights, max_rate, seed)
+    rows = materialize(docs.select("doc_id", "source", _size(F.col("text")).alias("size"), _draw().alias("draw")))
+    return _rated(rows, rows.select("source", "size"), weights, max_rate, seed).drop("draw")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = 3, seed: str = "mix") -> DataFrame:
     """The documents, each as often as it is taken, in the columns of docs."""
-    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select("source", _draw().alias("draw"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     sized = docs.select("source", _size(F.col("text")).alias("size"))
     taken = _rated(rows, sized, weights, max_rate, seed).where("copies > 0")
     repeated = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))

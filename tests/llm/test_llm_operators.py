@@ -250,6 +250,18 @@ def test_mixing(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mixing_reaches_its_targets_without_ids(spark):
+    from emberlog.llm.mixing import mix, plan_mix
+
+    rows = [(None, f"some text {k} " + "w " * (k % 5), "en", "aabbbbbbbbbbbbccccccc"[k % 21], 1) for k in range(4000)]
+    df = spark.createDataFrame(rows, DOC)
+    plan = plan_mix(df).collect()
+    for s in "abc":
+        own = [r for r in plan if r["source"] == s]
+        assert sum(r["size"] * r["copies"] for r in own) == pytest.approx(own[0]["target"], rel=0.1)
+    assert mix(df).count() == sum(r["copies"] for r in plan)
+
+
 # Near-dedup
 
 

@@ -50,6 +50,54 @@ def leaves(value, found: dict[str, str]) -> None:
                 found[f"{name}:last"] = str(text)
 
 
+#: What can stand in JSON between values, and the scalars themselves; a string that isn't closed ends the text.
+_PART = re.compile(r'\s*(?:([{}\[\]:,])|"((?:[^"\\]|\\.)*)"|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)(?=[\s,}\]]))', re.S)
+
+
+def recovered(text: str) -> dict[str, object]:
+    """Complete scalars of a JSON document by path ($.a.b[2]), however early it is cut off.
+
+    Open strings, arrays and objects count as closed where the text ends; what was complete before stays at its place. A
+    number or word is complete once something follows it. Reading ends at the first thing that is no JSON.
+    """
+    found: dict[str, object] = {}
+    stack: list[list] = []  # [path, next index or None for an object, waiting key]
+    at = 0
+
+    def value_path() -> str:
+        if not stack:
+            return "$"
+        path, index, key = stack[-1]
+        return f"{path}[{index}]" if index is not None else f"{path}.{key}"
+
+    while (m := _PART.match(text, at)) is not None:
+        at = m.end()
+        sign, quoted, bare = m.groups()
+        if sign in ("{", "["):
+            stack.append([value_path(), 0 if sign == "[" else None, None])
+        elif sign in ("}", "]"):
+            if not stack:
+                break
+            stack.pop()
+        elif sign == ",":
+            if stack and stack[-1][1] is not None:
+                stack[-1][1] += 1
+            elif stack:
+                stack[-1][2] = None
+        elif sign is None:
+            try:
+                value = json.loads(f'"{quoted}"' if quoted is not None else bare, strict=False)
+            except ValueError:
+                break
+            if stack and stack[-1][1] is None and stack[-1][2] is None:
+                if quoted is None:
+                    break
+                stack[-1][2] = value
+            else:
+                found[value_path()] = value
+    return found
+
+
 _PAIR = re.compile(r'"(\w+)"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?[\w.]+))')
 
 
@@ -94,20 +142,21 @@ def read_xml(text: str) -> tuple[str | None, str | None, dict[str, str]]:
 
 def _scan(message: str | None) -> dict:
     text = html.unescape(message or "").replace("\u00a0", " ")
-    objects, fields, status = [], {}, None
+    objects, fields, paths, status = [], {}, {}, None
     for raw, closed in balanced(text):
         try:
             leaves(json.loads(raw), fields)
             kind = "parsed"
         except ValueError:
             kind = "invalid" if closed else "incomplete"
+            paths |= {p: v if isinstance(v, str) else json.dumps(v) for p, v in recovered(raw).items() if v is not None and p not in paths}
             for k, quoted, bare in _PAIR.findall(raw):
                 if (v := quoted or bare) and v != "null":
                     fields.setdefault(k.lower(), v)
         objects.append({"status": kind, "raw": raw})
         status = kind if status in (None, "parsed") else status
     method, document, tags = read_xml(text)
-    return {"text": None if message is None else text, "status": status, "objects": objects, "fields": fields, "method": method, "document": document, "tags": tags}
+    return {"text": None if message is None else text, "status": status, "objects": objects, "fields": fields, "paths": paths, "method": method, "document": document, "tags": tags}
 
 
 _TEXT, _MAP = T.StringType(), T.MapType(T.StringType(), T.StringType())
@@ -118,6 +167,7 @@ PAYLOAD = T.StructType(
         T.StructField("status", _TEXT),
         T.StructField("objects", T.ArrayType(_OBJECT)),
         T.StructField("fields", _MAP),
+        T.StructField("paths", _MAP),
         T.StructField("method", _TEXT),
         T.StructField("document", _TEXT),
         T.StructField("tags", _MAP),
@@ -129,10 +179,10 @@ PAYLOAD = T.StructType(
 def payload(text: pd.Series) -> pd.DataFrame:
     """A message without references of HTML, and all that is in it.
 
-    Its objects with their status, scalars by lower-cased key (of broken objects by pattern), and of its XML message how it
+    Its objects with their status, scalars by lower-cased key (of broken objects by pattern, and by path as far as they are whole), and of its XML message how it
     was read, the tree as JSON, and texts by lower-cased tag.
     """
-    return pd.DataFrame([_scan(t) for t in text], columns=["text", "status", "objects", "fields", "method", "document", "tags"])
+    return pd.DataFrame([_scan(t) for t in text], columns=["text", "status", "objects", "fields", "paths", "method", "document", "tags"])
 
 
 @F.pandas_udf(T.StringType())

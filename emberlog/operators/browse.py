@@ -48,6 +48,27 @@ def page(events: DataFrame, number: int = 1, size: int = 200) -> DataFrame:
     return events.orderBy(F.col("ts_utc").desc_nulls_last(), F.col("line_no").asc_nulls_last(), "event_id").offset((number - 1) * size).limit(size)
 
 
+def page_after(events: DataFrame, after: tuple[dt.datetime | None, int | None, str] | None = None, size: int = 200) -> DataFrame:
+    """The page that follows a row (its ts_utc, line_no, event_id) in the order of page(), or the first one.
+
+    A filter and a top-k: no row before is sorted or skipped, so a late page costs no more than the first.
+    """
+    if not 1 <= size <= 5000:
+        raise ValueError("a page has 1 to 5000 rows")
+    if after:
+        at, line, event = F.lit(after[0]).cast("timestamp"), F.lit(after[1]).cast("int"), F.lit(after[2])
+        ts, no = F.col("ts_utc"), F.col("line_no")
+        later = (ts < at) | (ts.isNull() & at.isNotNull())
+        lower = (no > line) | (no.isNull() & line.isNotNull())
+        events = events.where(later | (ts.eqNullSafe(at) & (lower | (no.eqNullSafe(line) & (F.col("event_id") > event)))))
+    return events.orderBy(F.col("ts_utc").desc_nulls_last(), F.col("line_no").asc_nulls_last(), "event_id").limit(size)
+
+
+def cursor(page: list) -> tuple | None:
+    """Where the page after these rows begins; None after an empty one."""
+    return (page[-1]["ts_utc"], page[-1]["line_no"], page[-1]["event_id"]) if page else None
+
+
 def page_count(total: int, size: int) -> int:
     return -(-total // size)
 

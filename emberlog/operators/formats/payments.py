@@ -235,6 +235,7 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
         "raw",
         "event_type",
         F.col("p.objects").alias("objects"),
+        F.when(F.size("p.paths") > 0, F.col("p.paths")).alias("recovered"),
         F.col("p.method").alias("parse_method"),
         F.col("p.document").alias("document"),
         F.when(broken, "partial").otherwise("parsed").alias("parse_status"),
@@ -341,7 +342,7 @@ def _emit(events: DataFrame, kind: Payment, correlation: Column, level: Column)
     """Records of keyed events with their entity joined back."""
     entities = merge(events, kind).select("file_name", "key", _snapshot().alias("entity"))
     joined = events.join(entities, ["file_name", "key"], "left")
-    details = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "parse_method", "document", "exception", "error_call", "error_url", "response_code", F.col("event_warnings").alias("warnings"), "sms", "observables", F.col("entity").alias(kind.entity)))
+    details = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "recovered", "parse_method", "document", "exception", "error_call", "error_url", "response_code", F.col("event_warnings").alias("warnings"), "sms", "observables", F.col("entity").alias(kind.entity)))
     return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), correlation.alias("correlation_id"), F.col("event_type").alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
 
 

@@ -897,3 +897,94 @@ def _(s, d):
     e = events(s, d).where("level = 'CRITICAL'")
     pairs = e.select(node(F.concat(F.lit("u"), "correlation_id")).alias("a"), node(F.concat(F.lit("v"), F.floor(F.col("value") / 10).cast("string"))).alias("b"))
     return components(pairs).select("node.f", "node.x", "component.x").toDF("file_name", "node", "component")
+
+
+def tracked_lines(s, d, body: str, prefix: str = "'SU'"):
+    """One line for each event, under its user's tracker."""
+    e = numbered(s, d).withColumn("user", F.col("correlation_id").cast("long"))
+    head = F.concat(F.date_format("ts_utc", "M/d/yyyy h:mm:ss a"), F.lit(" Log Tracker No: "), F.expr(prefix), F.lpad("correlation_id", 6, "0"), F.lit(" => "))
+    return e.select("file_name", "line_no", F.concat(head, F.expr(body)).alias("line"))
+
+
+def entity_fields(s, d, key: str, lines, name: str, paths: dict[str, str]):
+    """Fields of the entity of each correlation id, as text; lists as JSON."""
+    fmt = by_key(key)
+    doc = canonical(fmt.records(lines), fmt, F.lit(EPOCH).cast("timestamp"))
+    entity = F.try_variant_get(F.parse_json("attributes"), f"$.details.{name}", "variant")
+    rows = doc.select("file_name", "line_no", "correlation_id", entity.alias("e")).where("correlation_id IS NOT NULL AND e IS NOT NULL")
+    found = rows.select("file_name", "line_no", "correlation_id", *[F.try_variant_get("e", p, "string").alias(n) for n, p in paths.items()])
+    return found.groupBy("file_name", "correlation_id").agg(*[F.min_by(n, "line_no").alias(n) for n in paths])
+
+
+AFS_BODY = """CASE component
+  WHEN 'click' THEN concat('Request Body {"TransactionId": "X', correlation_id, '", "IssuerId": "', source_system, '", "Credentials": [{"Type": "SMS", "Text": "+1', seq % 5, '"}, {"Type": "SMS", "Text": "+2', seq % 7, '"}, {"Type": "EMAIL", "Text": "u', seq % 3, '@x"}]}')
+  WHEN 'signup' THEN 'OTP processed successfully' WHEN 'error' THEN 'an error' ELSE 'StepUpCall V+ input message' END"""
+
+
+@query(
+    "afs_entities",
+    f"""WITH {EV}, u AS (SELECT file_name, correlation_id AS c, CAST(correlation_id AS BIGINT) % 2 = 0 AS even, arg_min('+2' || (seq % 7), line_no) FILTER (component = 'click') AS mobile,
+      arg_min('u' || (seq % 3) || '@x', line_no) FILTER (component = 'click') AS email, arg_min(source_system, line_no) FILTER (component = 'click') AS issuer, bool_or(component = 'signup') AS otp FROM ev GROUP BY 1, 2)
+    SELECT file_name, 'X' || c AS correlation_id, issuer, mobile, email, 'true' AS has_sms, 'true' AS has_email, CAST(even AS VARCHAR) AS has_stepup, CAST(NOT even AS VARCHAR) AS has_initiate_action, CAST(otp AS VARCHAR) AS is_success
+    FROM u WHERE mobile IS NOT NULL""",
+)
+def _(s, d):
+    lines = tracked_lines(s, d, AFS_BODY, "CASE WHEN user % 2 = 0 THEN 'SU' ELSE 'IA' END")
+    paths = {"issuer": "$.issuer_id", "mobile": "$.customer.mobile", "email": "$.customer.email"} | {n: f"$.derived.{n}" for n in ("has_sms", "has_email", "has_stepup", "has_initiate_action", "is_success")}
+    return entity_fields(s, d, "afs_netcetera", lines, "transaction", paths).where("issuer IS NOT NULL")
+
+
+CARDINAL_BODY = """CASE component
+  WHEN 'click' THEN concat('Request Body {"TransactionId": "X', correlation_id, '", "StepupRequestId": "S', correlation_id, '", "StepupType": "', CASE WHEN user % 3 = 0 THEN 'OOB' ELSE 'OTP' END, '"}')
+  WHEN 'view' THEN concat('ResponseCode=0', seq % 4, ' BankOrg=', user % 9, ' CustomerId=K', seq % 5, ' EnableOOB=', CASE WHEN seq % 2 = 0 THEN 'Y' ELSE 'N' END, ' cardBlocked=', CASE WHEN seq % 3 = 0 THEN 'true' ELSE 'false' END)
+  WHEN 'purchase' THEN 'InitiateActionCallController placed in queue (AFS.OTP.Q)' WHEN 'signup' THEN 'OTP processed successfully' ELSE 'an error' END"""
+
+
+def _cardinal_entities_sql() -> str:
+    from emberlog.operators.formats.payments import WARNINGS
+
+    first = lambda x: f"arg_min({x}, line_no) FILTER (component = 'view')"
+    otp = "named AND CAST(u.c AS BIGINT) % 3 <> 0"
+    tests = [("NOT named", "flow without transaction"), (f"{otp} AND NOT queued", "otp without queue"), (f"{otp} AND NOT otp", "otp without success"), ("errors", "flow with errors")]
+    warnings = ", ".join(f"CASE WHEN {t} THEN '{WARNINGS[w]}' END" for t, w in tests)
+    return f"""WITH {EV}, b AS (SELECT file_name, correlation_id AS c, seq % 3 = 0 AS blocked, min(line_no) AS k FROM ev WHERE component = 'view' GROUP BY ALL),
+    h AS (SELECT file_name, c, '[' || string_agg(CAST(blocked AS VARCHAR), ',' ORDER BY k) || ']' AS history FROM b GROUP BY 1, 2),
+    u AS (SELECT file_name, correlation_id AS c, bool_or(component = 'click') AS named, bool_or(component = 'purchase') AS queued, bool_or(component = 'signup') AS otp, bool_or(component = 'error') AS errors,
+      {first("'0' || (seq % 4)")} AS response_code, {first("'K' || (seq % 5)")} AS customer_id, {first("CASE WHEN seq % 2 = 0 THEN 'Y' ELSE 'N' END")} AS oob_enabled, {first("CAST(CAST(correlation_id AS BIGINT) % 9 AS VARCHAR)")} AS bank_org FROM ev GROUP BY 1, 2)
+    SELECT u.file_name, CASE WHEN named THEN 'X' || u.c ELSE 'SU' || lpad(u.c, 6, '0') END AS correlation_id, customer_id, response_code, oob_enabled, bank_org, coalesce(history, '[]') AS card_blocked,
+      array_to_string(list_filter([{warnings}], lambda x: x IS NOT NULL), ';') AS warnings
+    FROM u LEFT JOIN h ON h.file_name = u.file_name AND h.c = u.c"""
+
+
+@query("cardinal_entities", _cardinal_entities_sql())
+def _(s, d):
+    paths = {"customer_id": "$.customer.customer_id", "response_code": "$.vplus.response_code", "oob_enabled": "$.oob.enabled", "bank_org": "$.bank_org", "card_blocked": "$.oob.card_blocked_history", "warnings": "$.warnings"}
+    found = entity_fields(s, d, "cardinal", tracked_lines(s, d, CARDINAL_BODY), "flow", paths)
+    return found.withColumn("warnings", F.array_join(F.from_json("warnings", "array<string>"), ";"))
+
+
+DEBIT_BODY = """CASE component
+  WHEN 'click' THEN concat('Request Body {"TransactionId": "X', correlation_id, '", "IssuerId": "', source_system, '", "MerchantInfo": {"MerchantName": "m', seq % 11, '"}}')
+  WHEN 'error' THEN concat('Error in Bank', seq % 3, ' Call : https://bank/', seq % 5) WHEN 'signup' THEN 'OTP processed successfully' ELSE 'a=b' END"""
+
+
+@query(
+    "debit_calls",
+    f"""WITH {EV}, u AS (SELECT file_name, correlation_id, arg_min(source_system, line_no) FILTER (component = 'click') AS issuer, arg_min('m' || (seq % 11), line_no) FILTER (component = 'click') AS merchant, bool_or(component = 'click') AS named FROM ev GROUP BY 1, 2)
+    SELECT ev.file_name, line_no, CASE WHEN named THEN 'X' || ev.correlation_id ELSE 'SU' || lpad(ev.correlation_id, 6, '0') END AS correlation_id, 'Bank' || (seq % 3) AS error_call, 'https://bank/' || (seq % 5) AS error_url, issuer, merchant
+    FROM ev JOIN u ON u.file_name = ev.file_name AND u.correlation_id = ev.correlation_id WHERE component = 'error'""",
+)
+def _(s, d):
+    fmt = by_key("debit_portal_log")
+    doc = canonical(fmt.records(tracked_lines(s, d, DEBIT_BODY)), fmt, F.lit(EPOCH).cast("timestamp"))
+    paths = {"error_call": "$.details.error_call", "error_url": "$.details.error_url", "issuer": "$.details.transaction.issuer_id", "merchant": "$.details.transaction.merchant.name"}
+    return browse.flat(doc.select("file_name", "line_no", "correlation_id", "attributes"), "attributes", paths).where("error_call IS NOT NULL").drop("attributes")
+
+
+@query("events_after", f"WITH {EV} SELECT event_id, {text_time('ts_utc')} AS ts_utc, file_name, line_no, level FROM ev ORDER BY ev.ts_utc DESC NULLS LAST, line_no, event_id LIMIT 200 OFFSET 400")
+def _(s, d):
+    """The third page, reached by the last rows of the two before."""
+    rows, after = numbered(s, d).select("event_id", "ts_utc", "file_name", "line_no", "level"), None
+    for _ in range(2):
+        after = browse.cursor(browse.page_after(rows, after).collect())
+    return browse.page_after(rows, after).withColumn("ts_utc", time_text("ts_utc"))

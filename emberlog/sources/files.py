@@ -14,6 +14,8 @@ from emberlog.operators.schema import BATCH_SCHEMA, EVENT_COLUMNS, EVENT_SCHEMA
 #: Extensions that are read, in any case.
 EXTENSIONS = (".log", ".txt", ".jsonl", ".csv", ".tsv")
 MAX_BYTES = 500 << 20
+#: Ids that the Bloom filter of a row group is made for.
+ROW_GROUP_IDS = 100_000
 #: Attempts of a batch that a filter names; of more the join alone decides.
 FILTERED_ATTEMPTS = 256
 #: Lines of a block of blockwise() where the lines come from elsewhere than a file.
@@ -84,7 +86,9 @@ class EventStore:
         rows = events.withColumn("batch_id", F.lit(batch_id)).withColumn("event_id", F.sha2(F.concat_ws(":", F.lit(batch_id), "file_name", "line_no"), 256))
         rows = rows.observe(seen, F.count(F.lit(1)).alias("events"), F.count_if(F.col("ts_confidence") != "unparseable").alias("timed"))
         day = F.coalesce(F.to_date("ts_utc"), F.lit("1970-01-01").cast("date")).alias("event_date")
-        rows.select(*EVENT_COLUMNS, F.lit(attempt).alias("attempt"), day).write.mode("append").partitionBy("source_system", "event_date").parquet(self.events_path)
+        # Ids are digests, so only a Bloom filter tells a look-up which row groups to read.
+        writer = rows.select(*EVENT_COLUMNS, F.lit(attempt).alias("attempt"), day).write.mode("append").option("parquet.bloom.filter.enabled#event_id", "true").option("parquet.bloom.filter.expected.ndv#event_id", str(ROW_GROUP_IDS))
+        writer.partitionBy("source_system", "event_date").parquet(self.events_path)
         self.counts[batch_id] = seen.get
         self._commit((batch_id, file_name, size, seen.get["events"], profile, round(ratio, 3), at or dt.datetime.now(dt.timezone.utc), [attempt]))
         return batch_id

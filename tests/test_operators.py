@@ -332,6 +332,55 @@ def test_guard_lets_queries_pass(spark):
         adhoc.read_only(spark, f"SELECT {many}, reflect('java.lang.System', 'nanoTime') FROM events", ["events"])
 
 
+def test_pages_by_their_last_row_equal_pages_by_number(spark):
+    rng = random.Random(2)
+    rows = [(f"e{k:03d}", rng.choice([None, T0, T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=2)]), rng.choice([None, 1, 2, 3])) for k in range(97)]
+    df = spark.createDataFrame(rows, "event_id string, ts_utc timestamp, line_no int")
+    after, number = None, 0
+    while True:
+        number += 1
+        found = browse.page_after(df, after, 13).collect()
+        assert found == browse.page(df, number, 13).collect()
+        if (after := browse.cursor(found)) is None:
+            break
+    assert number == 9
+
+
+def test_a_look_up_by_id_skips_row_groups(spark, tmp_path):
+    store = files.EventStore(spark, f"{tmp_path}/s")
+    e = events(spark, *[(k, k, "core", "a", "ERROR") for k in range(50)]).withColumns({c: F.lit(None).cast("string") for c in ("ts_raw", "ts_confidence", "raw")})
+    for b in ("one", "two"):
+        store.add(e, "f", 1, None, 1.0, b)
+    some = store.events("two").first()["event_id"]
+    for wanted, groups in ((some, 1), ("0" * 64, 0)):
+        df = browse.by_id(spark.read.schema(store.STORED).parquet(store.events_path), wanted)
+        assert len(df.collect()) == groups
+        plan = df._jdf.queryExecution().executedPlan()
+        leaf = (plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan).collectLeaves().apply(0)
+        assert leaf.metrics().get("numOutputRows").get().value() <= 50 * groups  # of a hundred that are stored
+
+
+def test_json_is_recovered_by_path_from_any_prefix():
+    doc = {"a": {"b": [1, {"c": "x\\y\"z é"}, [True, None, -2.5e3]], "d": ""}, "e": [], "f": {"g": {}}, "h": "end"}
+    for text in (json.dumps(doc), json.dumps(doc, indent=1, ensure_ascii=False), json.dumps([doc, 7])):
+
+        def leaves_of(x, path="$"):
+            for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+                yield from leaves_of(v, f"{path}.{k}" if isinstance(x, dict) else f"{path}[{k}]")
+            if not isinstance(x, (dict, list)):
+                yield path, x
+
+        whole = dict(leaves_of(json.loads(text)))
+        assert payloads.recovered(text) == whole
+        seen = {}
+        for cut in range(len(text) + 1):
+            got = payloads.recovered(text[:cut])
+            assert got.items() <= whole.items() and seen.keys() <= got.keys()  # never wrong, and nothing that was complete is lost
+            seen = got
+    assert payloads.recovered('{"a": 1, "b": {"c": "x", "d": "cut of') == {"$.a": 1, "$.b.c": "x"}
+    assert payloads.recovered("no json") == {} and payloads.recovered('{"a": 1} tail') == {"$.a": 1} and payloads.recovered("}{") == {}
+
+
 def test_rule_store(spark, tmp_path):
     store = alerts.RuleStore(spark, f"file://{tmp_path}/rules")
     seeds = [r["rule_id"] for r in store.frame().collect()]

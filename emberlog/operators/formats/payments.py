@@ -181,6 +181,8 @@ class Payment:
     last_status: bool
     entity: str
     warnings: Callable[[], list[tuple[Column, str]]]
+    #: What its messages say beside what all formats' do (names of SAID).
+    says: tuple[str, ...] = ()
     #: Whether the last credential of a kind in a payload counts, not the first.
     last_credential: bool = False
 
@@ -192,7 +194,7 @@ SAID = {
     "bank_org": r"(?i)\bBankOrg\s*[=:]\s*([A-Za-z0-9]+)",
     "oob_status": r"(?i)\bstatusResponseEnum\s*[=:]\s*([A-Z_]+)",
     "path_stepup_id": r"/(?:status|process/status)/([0-9a-fA-F\-]{36})",
-    "said_customer": r"(?i)\bCustomerId\s*[=:]\s*([A-Za-z0-9\-]+)",
+    "customer_id": r"(?i)\bCustomerId\s*[=:]\s*([A-Za-z0-9\-]+)",
     "enable_oob": r"(?i)\bEnableOOB\s*[=:]\s*([YN])",
     "card_blocked": r"(?i)\bcardBlocked\s*[=:]\s*(true|false)",
     "response_code": r"(?i)\bResponseCode\s*[=:]\s*(\d+)",
@@ -247,9 +249,9 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
         F.when(F.col("event_type").isin(*kind.responses), truthy(f("status"))).alias("status"),
         F.when(F.col("event_type").isin(*kind.responses), F.coalesce(truthy(f("description")), truthy(f("referencenumber")))).alias("error_text"),
         truthy(f("success")).alias("success"),
-        *[find(SAID[n]).alias(n) for n in ("msg_id", "queue", "bank_org", "oob_status", "path_stepup_id", "enable_oob", "response_code", "error_call", "error_url")],
-        F.coalesce(find(SAID["said_customer"]), truthy(f("customerid"))).alias("customer_id"),
-        F.lower(F.coalesce(find(SAID["card_blocked"]), truthy(f("cardblocked")))).alias("card_blocked"),
+        *[find(SAID[n]).alias(n) for n in ("msg_id", "queue", "bank_org", "oob_status", "path_stepup_id")],
+        *[(find(SAID[n]) if n in kind.says else F.lit(None).cast("string")).alias(n) for n in ("enable_oob", "response_code", "error_call", "error_url")],
+        *[(F.coalesce(find(SAID[n]), truthy(f(n.replace("_", "")))) if n in kind.says else F.lit(None).cast("string")).alias(n) for n in ("customer_id", "card_blocked")],
         otp_message(F.coalesce(base64_text(f("smsbody")), base64_text(f("message")))).alias("sms"),
         observables(F.col("text")).alias("observables"),
         *named,
@@ -280,7 +282,7 @@ def merge(events: DataFrame, kind: Payment, key: str = "key") -> DataFrame:
         F.max_by(F.lower("success"), F.when(name.isin("bank_api_success_response", "bank_api_error_response") & F.col("success").isNotNull(), at)).alias("bank_success"),
         ordered_distinct(F.col("tracker"), at).alias("trackers"),
         ordered_distinct(F.col("oob_status"), at).alias("oob_history"),
-        ordered_distinct(F.col("card_blocked"), at).alias("card_blocked_history"),
+        ordered_distinct(F.lower("card_blocked"), at).alias("card_blocked_history"),
         *[first_nonempty(F.col(n), at).alias(n) for n in ("customer_id", "enable_oob", "response_code", "error_call", "error_url")],
         F.bool_or(name.isin(*kind.errors)).alias("has_errors"),
         F.min("ts_raw").alias("first_time"),
@@ -406,7 +408,7 @@ def _debit_warnings() -> list[tuple[Column, str]]:
     return [(F.col("transaction_id").isNull(), "No TransactionId"), (F.size("trackers") == 0, "No tracker"), (F.col("status").isNull() & ~F.col("otp_processed"), "No final status or processed OTP"), (F.col("has_errors"), "One or more errors")]
 
 
-DEBIT = Payment(DEBIT_CLASSES, "message", ("netcetera_response_json", "debit_response_json", "debit_request_json"), ("queue", "queue_msg_id"), ("error",), False, "transaction", _debit_warnings)
+DEBIT = Payment(DEBIT_CLASSES, "message", ("netcetera_response_json", "debit_response_json", "debit_request_json"), ("queue", "queue_msg_id"), ("error",), False, "transaction", _debit_warnings, says=("error_call", "error_url"))
 
 
 def debit_portal(lines: DataFrame) -> DataFrame:
@@ -434,7 +436,7 @@ def _cardinal_warnings() -> list[tuple[Column, str]]:
 
 
 CARDINAL_ERRORS = ("vplus_mq_timeout", "oob_http_error", "web_exception", "oob_validate_exception", "oob_empty_status_response", "oob_status_api_error", "error")
-CARDINAL = Payment(CARDINAL_CLASSES, "message", ("cardinal_stepup_response", "cardinal_validate_response"), ("otp_queue",), CARDINAL_ERRORS, True, "flow", _cardinal_warnings)
+CARDINAL = Payment(CARDINAL_CLASSES, "message", ("cardinal_stepup_response", "cardinal_validate_response"), ("otp_queue",), CARDINAL_ERRORS, True, "flow", _cardinal_warnings, says=("customer_id", "enable_oob", "card_blocked", "response_code"))
 
 
 def cardinal(lines: DataFrame) -> DataFrame:

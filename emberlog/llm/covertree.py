@@ -1,7 +1,7 @@
 """Operator 5: all pairs of vectors above a cosine, by dual traversal of cover trees.
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c), so the threshold is a radius and the triangle inequality
-holds. The upper tree is built level by level over all vectors. A cell with more than BLOCK vectors gets up to FAN
+holds. The upper tree is built level by level over all vectors. A cell with more than BLOCK vectors (of WIDE components) gets up to FAN
 children: its own center and those that a farthest-first traversal of a bounded sample of the cell adds, whose prefixes are
 nested nets with halving radii. Every vector of the cell goes to the nearest of them, and a child's covering radius is
 measured on all its vectors, not on the sample, so bounds are exact. Both sides of the pairs of cells descend together: a
@@ -17,7 +17,7 @@ Where vectors have no structure at the threshold's scale no bound can prune, and
 BLOCK x BLOCK; that is so for any exact method. A cell that is still too large after DEPTH levels is dealt in parts by hash.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; of vectors
-of different length the shorter ends in zeros; repeated rows are vectors of their own; a null id counts as a link of
+of different length the shorter ends in zeros, and a task's memory follows what its vectors hold, not the longest of them; repeated rows are vectors of their own; a null id counts as a link of
 others and has none to name; an empty table gives no rows. Other columns of the input are ignored.
 """
 
@@ -36,6 +36,8 @@ from emberlog.llm.components import components
 SAMPLE = 4096
 #: Vectors of a cell that fits a task, children of a cell at most, levels of the upper tree at most.
 BLOCK, FAN, DEPTH = 8192, 256, 8
+#: Components that a vector may have to count as one; where vectors are longer, so many components count as one vector.
+WIDE = 1024
 ROOT = "r"
 #: Rounding that bounds on distances are kept away from.
 SLACK = 1e-7
@@ -66,26 +68,51 @@ def _named(rows: DataFrame) -> DataFrame:
     return own_columns(rows, "vec_id", "embedding").mapInArrow(name, "vec_id long, name binary, unit binary")
 
 
-def _matrix(raws: list[bytes], width: int):
-    """Unit vectors as rows."""
+def _matrix(raws: list[bytes]):
+    """Rows with the inner products of the unit vectors: their first WIDE components, and the others in bands of doubling width.
+
+    Of a band that few vectors reach only a triangular factor is kept, with as many columns as there are such vectors:
+    rotations leave inner products alone. So one long vector doesn't widen the rows of all others by its length.
+    """
     import numpy as np
 
-    out = np.zeros((len(raws), width))
-    for i, raw in enumerate(raws):
-        x = np.frombuffer(raw)
-        out[i, : len(x)] = x
-    return out
+    found = [np.frombuffer(raw) for raw in raws]
+    longest = max(map(len, found))
+
+    def band(rows: list[int], start: int, end: int):
+        out = np.zeros((len(rows), end - start))
+        for k, i in enumerate(rows):
+            x = found[i][start:end]
+            out[k, : len(x)] = x
+        return out
+
+    parts, at = [band(range(len(found)), 0, min(WIDE, longest))], WIDE
+    while at < longest:
+        rows = [i for i, x in enumerate(found) if len(x) > at]
+        reached = band(rows, at, min(2 * at, longest))
+        if 2 * len(rows) < reached.shape[1]:
+            reached = np.linalg.qr(reached.T, mode="r").T
+        part = np.zeros((len(found), reached.shape[1]))
+        part[rows] = reached
+        parts.append(part)
+        at *= 2
+    return np.hstack(parts) if len(parts) > 1 else parts[0]
 
 
-def fit_centers(sample, most: int):
-    """The start of a farthest-first traversal: each next one is furthest from those before."""
+def _size() -> Column:
+    """How many vectors of WIDE components a group's units take, at least one for each."""
+    return F.greatest(F.count("*"), F.ceil(F.sum(F.octet_length("unit")) / (8 * WIDE)))
+
+
+def fit_centers(sample, most: int) -> list[int]:
+    """The start of a farthest-first traversal, as places in the sample: each next one is furthest from those before."""
     import numpy as np
 
     chosen, far = [0], np.full(len(sample), np.inf)
     while True:
         far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * sample @ sample[chosen[-1]])))
         if len(chosen) >= most or far.max() <= SLACK:
-            return sample[chosen]
+            return chosen
         chosen.append(int(far.argmax()))
 
 
@@ -241,19 +268,23 @@ def _by_key(batches: Iterator, columns: int) -> Iterator:
     return groupby(rows, key=lambda row: row[:columns])
 
 
-def _compare(cosine: float, width: int):
+def _compare(cosine: float):
     """A stream over the vectors of pairs of cells, sorted by pair: counts by vector, and links."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for _, found in _by_key(batches, 4):
+        for (i, ci, j, cj), found in _by_key(batches, 4):
             rows = list(found)
             sides = [[r for r in rows if r[4] == s] for s in (0, 1)]
-            x = [_matrix([r[6] for r in s], width) for s in sides]
+            itself = (i, ci) == (j, cj)
+            if not itself and not all(sides):
+                continue  # no vector fell into a part of the other cell
+            both = _matrix([r[6] for s in sides for r in s])
+            x = [both[: len(sides[0])], both[len(sides[0]) :]]
             w = [np.array([r[7] for r in s], "int64") for s in sides]
-            pair = DualTraversal(cosine, x[0], w[0], *((x[1], w[1]) if sides[1] else ()))
+            pair = DualTraversal(cosine, x[0], w[0], *(() if itself else (x[1], w[1])))
             names = pa.array([r[5] for r in sides[0] + sides[1]], "binary")
             counts = np.concatenate(pair.counts)
             some = np.flatnonzero(counts)
@@ -267,21 +298,19 @@ def _compare(cosine: float, width: int):
     return run
 
 
-def _children(rows: DataFrame, cells: DataFrame, level: int, width: int) -> DataFrame:
+def _children(rows: DataFrame, cells: DataFrame, level: int) -> DataFrame:
     """parent, cell, unit, center (the unit's numbers): the cells below `cells`, from samples of their rows."""
 
     def fit(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for (parent,), found in _by_key(batches, 1):
             sample = list(found)
-            centers = fit_centers(_matrix([r[2] for r in sample], width), sample[0][3])
-            names = [f"{parent}.{k}" for k in range(len(centers))]
-            arrays = [[parent] * len(centers), names, [c.tobytes() for c in centers], centers.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2], "binary"), pa.array(arrays[3], pa.list_(pa.float64()))],
-                ["parent", "cell", "unit", "center"],
-            )
+            units = [sample[k][2] for k in fit_centers(_matrix([r[2] for r in sample]), sample[0][3])]
+            columns = [pa.array([parent] * len(units)), pa.array([f"{parent}.{k}" for k in range(len(units))]), pa.array(units, "binary")]
+            columns.append(pa.array([np.frombuffer(unit) for unit in units], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, ["parent", "cell", "unit", "center"])
 
     part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(cells.select("cell", "n"), "cell").where(part * F.col("n") < SAMPLE)
@@ -292,7 +321,7 @@ def _children(rows: DataFrame, cells: DataFrame, level: int, width: int) -> Data
     return materialize(dealt.mapInArrow(fit, "parent string, cell string, unit binary, center array<double>"))
 
 
-def _assigned(rows: DataFrame, cells: DataFrame, children: DataFrame, width: int) -> DataFrame:
+def _assigned(rows: DataFrame, cells: DataFrame, children: DataFrame) -> DataFrame:
     """node, unit, weight, cell (the nearest child), far (the distance from its center). A cell's rows are dealt by hash; its children go to each part."""
 
     def assign(batches: Iterator) -> Iterator:
@@ -304,7 +333,8 @@ def _assigned(rows: DataFrame, cells: DataFrame, children: DataFrame, width: int
             centers, members = [r for r in mixed if r[2] == 0], [r for r in mixed if r[2] == 1]
             if not members:
                 continue
-            dots = _matrix([r[5] for r in members], width) @ _matrix([r[5] for r in centers], width).T
+            both = _matrix([r[5] for r in centers + members])
+            dots = both[len(centers) :] @ both[: len(centers)].T
             near = dots.argmax(axis=1)
             far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(near)), near]))
             columns = [pa.array([r[4] for r in members], "binary"), pa.array([r[5] for r in members], "binary"), pa.array([r[6] for r in members], "int64")]
@@ -330,6 +360,8 @@ def _descended(pairs: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
         return cells.select(F.col("parent").alias(parent), F.struct("cell", "center", "radius").alias(name))
 
     def dot(a: Column, b: Column) -> Column:
+        shared = F.least(F.size(a), F.size(b))
+        a, b = [F.when(F.size(x) == shared, x).otherwise(F.slice(x, 1, shared)) for x in (a, b)]
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
     a, b = F.col("a"), F.col("b")
@@ -341,19 +373,21 @@ def _descended(pairs: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
     return materialize(near.select("i", "j", (F.col("apart") + F.col("radii") <= reach - 4 * SLACK).alias("whole")))
 
 
-def _upper_tree(nodes: DataFrame, n: int, first: bytes, width: int, reach: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The vectors (node, unit, weight, cell), the resting cells (cell, n, total weight, first member) and their pairs (i, j, whole).
+def _upper_tree(nodes: DataFrame, n: int, first: bytes, reach: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors (node, unit, weight, cell), the resting cells (cell, size n, parts, total weight, first member) and their pairs (i, j, whole).
 
-    nodes names the root, ROOT, as the cell of each of its n vectors; first is the unit of one of them.
+    nodes names the root, ROOT, as the cell of each of its vectors, whose size is n; first is the unit of one of them.
     """
     spark, rows = nodes.sparkSession, nodes
     cells = spark.createDataFrame([(ROOT, bytearray(first), n)], "cell string, unit binary, n long")
     pairs = spark.createDataFrame([(ROOT, ROOT)], "i string, j string")
     placed, resting = [], []
     for level in range(DEPTH):
-        children = _children(rows, cells, level, width)
-        below = _assigned(rows, cells, children, width)
-        stats = below.groupBy("cell").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("far").alias("radius"), F.min("node").alias("first"))
+        children = _children(rows, cells, level)
+        below = _assigned(rows, cells, children)
+        # A cell too large for a task is cut into parts, but not into more than it has vectors.
+        parts = F.least(F.ceil(_size() / BLOCK), F.count("*")).cast("int").alias("parts")
+        stats = below.groupBy("cell").agg(_size().alias("n"), parts, F.sum("weight").alias("total"), F.max("far").alias("radius"), F.min("node").alias("first"))
         below_cells = materialize(children.join(stats, "cell"))
         rests = F.lit(level == DEPTH - 1) | (F.col("n") <= BLOCK) | (2 * F.col("radius") <= reach - 4 * SLACK)
         known = below_cells.select("parent", "cell", "center", "radius")
@@ -366,17 +400,17 @@ def _upper_tree(nodes: DataFrame, n: int, first: bytes, width: int, reach: float
         if cells.isEmpty():
             break
         rows = below.join(cells.select("cell"), "cell", "left_semi").select("node", "unit", "weight", "cell")
-    vectors, found = placed[0], resting[0].select("cell", "n", "total", "first")
+    vectors, found = placed[0], resting[0].select("cell", "n", "parts", "total", "first")
     for more, others in zip(placed[1:], resting[1:]):
-        vectors, found = vectors.union(more), found.union(others.select("cell", "n", "total", "first"))
+        vectors, found = vectors.union(more), found.union(others.select("cell", "n", "parts", "total", "first"))
     return vectors, found, pairs
 
 
 def _both_ways(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """cell, n, other, other_n, total and first of the other: each pair from both its sides, a cell with itself once."""
+    """cell, parts, other, other_parts, total and first of the other: each pair from both its sides, a cell with itself once."""
     ways = pairs.select(F.col("i").alias("cell"), F.col("j").alias("other")).union(pairs.where("i != j").select("j", "i"))
-    other = cells.select(F.col("cell").alias("other"), F.col("n").alias("other_n"), "total", "first")
-    return ways.join(cells.select("cell", "n"), "cell").join(other, "other")
+    other = cells.select(F.col("cell").alias("other"), F.col("parts").alias("other_parts"), "total", "first")
+    return ways.join(cells.select("cell", "parts"), "cell").join(other, "other")
 
 
 def _taken_whole(vectors: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -389,10 +423,10 @@ def _taken_whole(vectors: DataFrame, cells: DataFrame, pairs: DataFrame) -> Data
     return members.union(firsts.select("node", F.col("first").alias("other"), F.lit(0).cast("long").alias("n")))
 
 
-def _compared(vectors: DataFrame, cells: DataFrame, pairs: DataFrame, cosine: float, width: int) -> DataFrame:
+def _compared(vectors: DataFrame, cells: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
     """node, other, n of the pairs that aren't whole, each in a task of its own; cells of more than BLOCK vectors in parts."""
     ways = _both_ways(pairs.where("NOT whole"), cells)
-    meets = ways.select("cell", "other", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(p) for c, p in (("n", "parts"), ("other_n", "other_parts"))])
+    meets = ways.select("cell", "other", "parts", "other_parts")
     part = vectors.join(meets, "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     each = part.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     own, other = F.struct(F.col("cell").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("other_part").alias("p"))
@@ -401,7 +435,7 @@ def _compared(vectors: DataFrame, cells: DataFrame, pairs: DataFrame, cosine: fl
     keyed = each.select(low["c"].alias("i"), low["p"].alias("ci"), high["c"].alias("j"), high["p"].alias("cj"), side, "node", "unit", "weight")
     pair = ["i", "ci", "j", "cj"]
     dealt = keyed.repartition(*pair).sortWithinPartitions(*pair, "side", "node")
-    return dealt.mapInArrow(_compare(cosine, width), "node binary, other binary, n long")
+    return dealt.mapInArrow(_compare(cosine), "node binary, other binary, n long")
 
 
 def link_vectors(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -412,12 +446,11 @@ def link_vectors(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     grouped = known.groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
     # The root is written with them: joins on it are by a column then, not by a constant that would make them products.
     nodes = materialize(grouped.withColumn("cell", F.lit(ROOT)))
-    size = nodes.agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes"), F.min_by("unit", "node").alias("unit")).first()
+    size = nodes.agg(_size().alias("n"), F.min_by("unit", "node").alias("unit")).first()
     if not size["n"]:
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = size["bytes"] // 8
-    vectors, cells, pairs = _upper_tree(nodes.select("node", "unit", "weight", "cell"), size["n"], size["unit"], width, (2 - 2 * cosine) ** 0.5)
-    found = materialize(_compared(vectors, cells, pairs, cosine, width).union(_taken_whole(vectors, cells, pairs)))
+    vectors, cells, pairs = _upper_tree(nodes.select("node", "unit", "weight", "cell"), size["n"], size["unit"], (2 - 2 * cosine) ** 0.5)
+    found = materialize(_compared(vectors, cells, pairs, cosine).union(_taken_whole(vectors, cells, pairs)))
     counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     grouped = nodes.drop("cell").join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))

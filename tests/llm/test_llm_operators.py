@@ -427,7 +427,7 @@ def test_cover_tree_copies_are_bounded(spark, monkeypatch):
     turn = np.concatenate([np.arange(1200) * 2 * np.pi / 1200, 1 + np.arange(300) * 1e-5])
     x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
     nodes = spark.createDataFrame([(bytes([i // 256, i % 256]), v.tobytes(), 1, covertree.ROOT) for i, v in enumerate(x)], "node binary, unit binary, weight long, cell string")
-    vectors, cells, pairs = covertree._upper_tree(nodes, len(x), x[0].tobytes(), 2, 0.1**0.5)
+    vectors, cells, pairs = covertree._upper_tree(nodes, len(x), x[0].tobytes(), 0.1**0.5)
     assert vectors.count() == len(x) == cells.agg(F.sum("n")).first()[0] and cells.count() >= 20
     meets = covertree._both_ways(pairs.where("NOT whole"), cells)
     copies = vectors.join(meets, "cell").groupBy("node").count().agg(F.max("count")).first()[0]
@@ -451,6 +451,56 @@ def test_dual_traversal(scale):
     assert got == want
 
 
+def test_matrix_of_mixed_lengths():
+    """Inner products are those of the whole vectors, and one long vector adds few columns."""
+    from emberlog.llm.covertree import WIDE, _matrix
+
+    rng = np.random.default_rng(8)
+    lengths = [4] * 1500 + [WIDE, WIDE + 1, 3000, 5000, 5001] + [1500] * 700 + [1_000_000] * 2
+    rows = [rng.normal(size=n) for n in lengths]
+    rows.append(np.concatenate([rows[-1][:900_000], rng.normal(size=100_000)]))
+    rows = [x / np.linalg.norm(x) for x in rows]
+    got = _matrix([x.tobytes() for x in rows])
+    assert got.shape == (len(rows), got.shape[1]) and got.shape[1] < 3 * WIDE
+    for i in (0, 1499, 1500, 1501, 1502, 1503, 1504, 1600, len(rows) - 3, len(rows) - 1):
+        want = [x[: len(rows[i])] @ rows[i][: len(x)] for x in rows]
+        assert np.allclose(got @ got[i], want, rtol=0, atol=1e-12)
+    short = [np.arange(1.0, n) for n in (3, 9, 5)]
+    assert (_matrix([x.tobytes() for x in short]) == np.array([np.pad(x, (0, 8 - len(x))) for x in short])).all()
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_cover_tree_mixed_lengths(spark, monkeypatch, block):
+    """Short vectors are the heads of long ones, one has a million components; ids are null or repeat; as brute force has it."""
+    from emberlog.llm import covertree
+
+    monkeypatch.setattr(covertree, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    base = [rng.normal(size=n) for n in (6, 6, 1500, 2500, 5000)]
+    x = [b + rng.normal(size=len(b)) * scale for b in base for scale in (0.01, 0.1, 0.4) for _ in range(6)]
+    x += [np.concatenate([b, rng.normal(size=3000) * scale]) for b in base for scale in (1e-3, 1e-2, 0.1)]
+    x += [np.concatenate([x[0], np.zeros(20), rng.normal(size=1_000_000) * 1e-4]), x[0], np.concatenate([x[1], np.zeros(4000)])]
+    ids = list(range(len(x)))
+    ids[3], ids[40], ids[41] = None, 39, None
+    width = max(map(len, x))
+    hit = np.zeros((len(x), len(x)), bool)
+    units = [v / np.linalg.norm(v) for v in x]
+    for i, u in enumerate(units):
+        for j, v in enumerate(units):
+            n = min(len(u), len(v))
+            hit[i, j] = i != j and u[:n] @ v[:n] >= 0.95
+    of = components_of(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(hit)))])
+    least = {}
+    for i in range(len(x)):
+        if ids[i] is not None:
+            least[of[i]] = min(least.get(of[i], ids[i]), ids[i])
+    want = Counter((ids[i], int(hit[i].sum()), least.get(of[i])) for i in range(len(x)))
+    assert width > 1_000_000 and hit.any()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.link_vectors(df).collect())
+    assert got == want
+
+
 # Licenses
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels, text
 from emberlog.functions.times import parse_time
-from emberlog.operators import alerts, browse, correlate, grouping, isolation, profiles, reports, summaries
+from emberlog.operators import alerts, browse, correlate, grouping, isolation, profiles, reports, summaries, templates
 from emberlog.operators.formats import by_key, canonical
 from emberlog.operators.schema import bridge, number_lines
 from emberlog.plans import adhoc
@@ -829,6 +829,37 @@ def _(s, d):
     return store.events().groupBy("batch_id").agg(F.count("*").alias("events"), F.max("line_no").alias("last_line"))
 
 
+@query("text_search_indexed", f"WITH {EV} SELECT file_name, line_no, message, component FROM ev WHERE message ILIKE '%\"K\": 7_%' OR component ILIKE '%\"K\": 7_%'")
+def _(s, d):
+    import uuid
+
+    from emberlog.sources.files import EventStore
+    from emberlog.sources.textindex import TextIndex
+
+    store, none = EventStore(s, f"{shared(s)}/store_{uuid.uuid4().hex}"), F.lit(None).cast("string")
+    store.add(numbered(s, d).withColumns({"ts_raw": none, "ts_confidence": F.lit("parsed"), "raw": F.col("message")}), "all.log", 1, None, 1.0, "all")
+    index = TextIndex(store)
+    index.update()
+    return index.search('"K": 7_').select("file_name", "line_no", "message", "component")
+
+
+BLANK = r"\x20\x09-\x0D"
+
+
+@query(
+    "log_templates",
+    rf"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT list_transform(string_split(trim(regexp_replace(line, '[{BLANK}]+', ' ', 'g')), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{templates.WILD}' ELSE x END) AS tokens
+      FROM l WHERE regexp_matches(line, '[^{BLANK}]')),
+    p AS (SELECT len(tokens) AS size, tokens[1:{templates.DEPTH}] AS path, unnest(range(1, len(tokens) + 1)) AS place, unnest(tokens) AS token FROM t),
+    b AS (SELECT size, path, place, count(*) AS n, CASE WHEN count(DISTINCT token) > 1 THEN '{templates.WILD}' ELSE min(token) END AS token FROM p GROUP BY size, path, place)
+    SELECT string_agg(token, ' ' ORDER BY place) AS template, max(n) AS n, count(*) FILTER (token = '{templates.WILD}') AS n_wild FROM b GROUP BY size, path""",
+)
+def _(s, d):
+    lines = table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("message"))
+    return templates.templates(lines)
+
+
 def _forest_sql() -> str:
     """The same forest, level by level, and each minute's way through it."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -107,9 +108,11 @@ class EventStore:
         names = [c for c in rows.columns if c != "batch_id"]
         return rows.groupBy("batch_id").agg(F.min_by(F.struct(*names), F.struct("uploaded_at", "attempts")).alias("x")).select("batch_id", "x.*")
 
-    def events(self, batch_id: str | None = None) -> DataFrame:
-        """The events of all batches, or of one."""
+    def events(self, batch_id: str | None = None, without: Sequence[str] = ()) -> DataFrame:
+        """The events of all batches, or of one; those of the files `without` aren't read (see sources.textindex)."""
         stored, commits = self.spark.read.schema(self.STORED).parquet(self.events_path), self._commits()
+        if without:
+            stored = stored.where(~F.col("_metadata.file_path").isin(list(without)))
         if batch_id is not None:
             commits = commits.where(F.col("batch_id") == batch_id)
             attempts = [x for r in commits.select("attempts").collect() for x in r["attempts"]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -63,7 +64,9 @@ def unanswered(events: DataFrame, grace_ms: int = 5000, late: str = "10 seconds"
                 for t, role in zip(rows["ts_utc"], rows["role"]):
                     (open_ms if role == "input" else seen).append(int(t.value // 1_000_000))
         now = state.getCurrentWatermarkMs()
-        open_ms = sorted(a for a in open_ms if not any(a <= b <= a + grace_ms for b in seen))
+        open_ms, seen = sorted(open_ms), sorted(seen)
+        first = [bisect_left(seen, a) for a in open_ms]
+        open_ms = [a for a, k in zip(open_ms, first) if k == len(seen) or seen[k] > a + grace_ms]
         lost = [a for a in open_ms if a + grace_ms < now]
         open_ms = [a for a in open_ms if a + grace_ms >= now]
         seen = [b for b in seen if b >= now - grace_ms]

@@ -360,6 +360,89 @@ def test_a_look_up_by_id_skips_row_groups(spark, tmp_path):
         assert leaf.metrics().get("numOutputRows").get().value() <= 50 * groups  # of a hundred that are stored
 
 
+def test_an_indexed_search_reads_few_files_and_finds_all(spark, tmp_path):
+    from emberlog.sources.textindex import TextIndex, literal_parts
+
+    assert literal_parts("%a\\\\b\\%c_d%") == ["a\\b%c", "d"]
+    store = files.EventStore(spark, f"{tmp_path}/s")
+    index = TextIndex(store)
+    assert index.update() == 0
+
+    def add(batch, *texts):
+        rows = [(i, i, "Core" if i % 2 else None, t, "ERROR") for i, t in enumerate(texts)]
+        e = events(spark, *rows).withColumns({c: F.lit(None).cast("string") for c in ("ts_raw", "ts_confidence", "raw")})
+        store.add(e.withColumn("message", F.col("correlation_id")).coalesce(1), "f", 1, None, 1.0, batch)
+
+    add("one", "Payment timeout at gate 7", "100% done", None, "")
+    add("two", "payment accepted", "ÄRGER über Straße 😀😀x", "ab", "ΑΣ ΑΣΑ")
+    add("three", "x" * 9000 + "needle" + "y" * 9000, "a\\b", "row_1", "rowX1")
+    assert index.update() >= 3 and index.update() == 0
+    add("later", "payment timeout again", "NEEDLE")
+    full = store.events()
+    few = {"timeout at": 2, "needle": 2, "ärger ÜBER": 2, "😀😀x": 2, "nothing like it": 1}
+    for term in ("timeout at", "PAYMENT", "pay%out", "row_1", "e_d%", "needle", "xneedley", "ärger ÜBER", "😀😀x", "ασα", "ας", "100%", "a\\b", "ab", "", "core", "nothing like it"):
+        for literal in (False, True):
+            want = sorted(r["event_id"] for r in browse.matching(full, search=term, literal=literal).collect())
+            df = index.search(term, literal)
+            assert sorted(r["event_id"] for r in df.collect()) == want, term
+            if term in few:
+                everything = {r[0] for r in spark.read.schema(store.STORED).parquet(store.events_path).select("_metadata.file_path").distinct().collect()}
+                assert len(everything) - len(index.without(term, literal)) == few[term], term
+                kept = spark.read.schema(store.STORED).parquet(store.events_path).where(~F.col("_metadata.file_path").isin(index.without(term, literal)))
+                kept.collect()
+                plan = kept._jdf.queryExecution().executedPlan()
+                leaf = (plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan).collectLeaves().apply(0)
+                assert leaf.metrics().get("numFiles").get().value() == few[term]
+
+
+def test_templates_of_messages(spark):
+    from emberlog.operators.templates import templates
+
+    texts = [f"user {u} logged in from 10.0.0.{i}" for i, u in enumerate(("ann", "bob", "cy"))] + ["disk sda1 full", "disk sda2 full", "disk is full", "disk is full", "job done", "  job\tdone ", None, "", " "]
+    got = {(r["template"], r["n"], r["n_wild"]) for r in templates(spark.createDataFrame([(t,) for t in texts], "message string")).collect()}
+    want = {("user ann logged in from <*>", 1, 1), ("user bob logged in from <*>", 1, 1), ("user cy logged in from <*>", 1, 1), ("disk <*> full", 2, 1), ("disk is full", 2, 0), ("job done", 2, 0)}
+    assert got == want
+    shallow = {(r["template"], r["n"]) for r in templates(spark.createDataFrame([(t,) for t in texts], "message string"), depth=1).collect()}
+    assert shallow == {("user <*> logged in from <*>", 3), ("disk <*> full", 4), ("job done", 2)}
+
+
+#: Lines of seven kinds of logs; each proposed profile must read times, levels and messages of all of them.
+def _kinds() -> dict[str, tuple[list[str], dict]]:
+    at = [dt.datetime(2024, 3, 1, 10, 0, 0) + dt.timedelta(seconds=37 * i) for i in range(50)]
+    level = ["INFO", "WARN", "ERROR", "DEBUG"]
+    return {
+        "access": ([f'10.0.0.{i} - - [{t:%d/%b/%Y:%H:%M:%S} +0000] "GET /a/{i} HTTP/1.1" 200 {i}12' for i, t in enumerate(at)], {"message": "GET /a/0 HTTP/1.1"}),
+        "syslog": ([f"{t:%b %d %H:%M:%S} host{i % 3} sshd[{100 + i}]: session {i} opened" for i, t in enumerate(at)], {"message": "session 0 opened", "component": "sshd"}),
+        "json": ([json.dumps({"timestamp": f"{t:%Y-%m-%dT%H:%M:%SZ}", "level": level[i % 4], "service": "pay", "message": f"paid order {i} in full"}) for i, t in enumerate(at)], {"message": "paid order 0 in full", "component": "pay", "level": "INFO"}),
+        "csv": ([f'{t:%Y-%m-%d %H:%M:%S},{level[i % 4]},core,"order {i}, paid in full"' for i, t in enumerate(at)], {"message": "order 0, paid in full", "component": "core", "level": "INFO"}),
+        "error": ([f"[{t:%Y-%m-%d %H:%M:%S}] [core:{level[i % 3].lower()}] [pid {i}:tid 7] [client 10.0.0.{i}] File {i} missing" for i, t in enumerate(at)], {"message": "File 0 missing", "level": "INFO"}),
+        "service": ([f"{t:%Y-%m-%d %H:%M:%S}.123  {level[i % 4]} {100 + i} --- [main-{i % 2}] com.acme.Pay : Started part {i}" for i, t in enumerate(at)], {"message": "Started part 0", "level": "INFO"}),
+        "bracket": ([f"[{t:%Y-%m-%d %H:%M:%S}] [{level[i % 4]}] [core{i % 2}] : took {i} ms" for i, t in enumerate(at)], {"message": "took 0 ms", "level": "INFO"}),
+    }
+
+
+@pytest.mark.parametrize("kind", ["access", "syslog", "json", "csv", "error", "service", "bracket"])
+def test_profiles_are_proposed_from_lines(spark, kind):
+    from emberlog.operators import ingest, profiles
+    from emberlog.operators.templates import propose
+
+    text, want = _kinds()[kind]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(text, 1)], "file_name string, line_no int, line string")
+    ingested = F.lit(dt.datetime(2024, 6, 1))
+    made = ingest.generate_profile(df, ingested, propose)
+    rows = profiles.parse(profiles.records_of(df, made), made, ingested).orderBy("line_no").collect()
+    assert len(rows) == 50 and all(r["parsed"] for r in rows)
+    assert {k: rows[0][k] for k in want} == want, made
+    assert str(rows[1]["ts_utc"])[5:] == "03-01 10:00:37"
+
+
+def test_no_profile_is_proposed_for_prose(spark):
+    from emberlog.operators.templates import propose
+
+    with pytest.raises(ValueError):
+        propose(["Once upon a time", "there was, as they say, nothing", ""], [])
+
+
 def test_json_is_recovered_by_path_from_any_prefix():
     doc = {"a": {"b": [1, {"c": "x\\y\"z é"}, [True, None, -2.5e3]], "d": ""}, "e": [], "f": {"g": {}}, "h": "end"}
     for text in (json.dumps(doc), json.dumps(doc, indent=1, ensure_ascii=False), json.dumps([doc, 7])):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import correlate
 from emberlog.operators.correlate import truthy
+from emberlog.session import Config
 
 
 def availability_counters(pairs: DataFrame) -> DataFrame:
@@ -118,3 +119,12 @@ def investigation(events: DataFrame, vplus: dict, times: dict, sms: dict, most:
     found += [(3, "low", f"Error seen {n} times: {m}") for m, n in ranked["message"][:5] if n > 1]
     total = events.agg(F.count("*").alias("n"), F.count_if(F.col("level") == "ERROR").alias("e")).first()
     return {"total_events": total["n"], "total_errors": total["e"], "findings": [{"severity": s, "finding": t} for _, s, t in sorted(found, key=lambda x: x[0])[:most]], **{f"{d}s": dict(v) for d, v in ranked.items()}}
+
+
+def health(events: DataFrame, config: Config = Config(), now=None) -> dict:
+    """availability, response_times, sms and investigation, by an installation's thresholds."""
+    vplus = config.of(availability, now=now)(events)
+    times = config.of(response_times)(events)
+    # Messages are late by the time that they wait in the queue.
+    sms = config.of(sms_flows, expected_ms=config.queue_ms)(events)
+    return {"availability": vplus, "response_times": times, "sms": sms, "investigation": investigation(events, vplus, times, sms)}

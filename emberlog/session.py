@@ -6,8 +6,10 @@ import json
 import os
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, replace
+from functools import partial
+from inspect import signature
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,11 @@ class Config:
         base = Path(path).parent if path else Path()
         return replace(made, **{n: str(base / getattr(made, n)) for n in ("store", "profiles") if "://" not in getattr(made, n)})
 
+    def of(self, f: Callable, **given) -> Callable:
+        """f with this installation's numbers for those of its parameters that are called as they are; `given` goes before them."""
+        known = signature(f).parameters
+        return partial(f, **{x.name: getattr(self, x.name) for x in fields(self) if isinstance(x.default, int) and x.name in known} | given)
+
 
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, one of this machine."""

@@ -540,3 +540,19 @@ def test_config(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"store": "s", "grace_ms": 7}))
     got = Config.load(f"{tmp_path}/c.json", {"EMBERLOG_GRACE_MS": "9", "EMBERLOG_PROFILES": "hdfs://p"})
     assert (got.store, got.grace_ms, got.profiles, got.poll_seconds) == (f"{tmp_path}/s", 9, "hdfs://p", 60)
+
+
+def test_thresholds_come_from_the_configuration(spark):
+    from emberlog.operators import ingest
+    from emberlog.session import Config
+
+    rows = events(spark, (1, 0, "vplus_input", "a"), (2, 2, "vplus_response", "a"), (3, 10, "vplus_input", "b"), (4, 30, "vplus_response", "b"), (5, 3590, "vplus_input", "c"))
+    now = T0 + dt.timedelta(hours=1)
+    usual = reports.health(rows, now=now)
+    assert usual["availability"] == reports.availability(rows, now=now) and usual["response_times"] == reports.response_times(rows)
+    assert usual["sms"] == reports.sms_flows(rows) and [usual["availability"][k] for k in ("responded", "unresponded", "delayed")] == [2, 1, 2]
+    patient = reports.health(rows, Config(expected_ms=3000, grace_ms=60000), now=now)
+    assert [patient["availability"][k] for k in ("responded", "unresponded", "delayed")] == [2, 0, 1]
+    assert patient["response_times"]["expected_response_ms"] == 3000
+    call = Config(max_bytes=7).of(ingest.ingest)
+    assert call.keywords == {"max_bytes": 7} and Config().of(ingest.ingest, max_bytes=1).keywords == {"max_bytes": 1}

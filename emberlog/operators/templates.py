@@ -1,8 +1,8 @@
 """Templates of log messages, and a proposer of profiles that reads a sample's structure.
 
 templates() is a parse tree of fixed depth as a grouping: messages with as many tokens and the same first tokens, numbers
-apart, are one leaf. In a leaf a position with one token keeps it, others become a wildcard. Counts are
-partial before the shuffle, and only leaves, positions and tokens are grouped, never a group's rows.
+apart, are one leaf. In a leaf a position with one token keeps it, others become a wildcard. A leaf's lines are merged in
+each task before the only shuffle, which moves a text for each leaf and task: never tokens, never a group's rows.
 
 propose() reads a sample of some dozen lines, which generate_profile() bounds and checks: it is a callable for it.
 """
@@ -22,6 +22,8 @@ from emberlog.operators.profiles import Profile
 WILD = "<*>"
 #: Tokens of the tree's path.
 DEPTH = 2
+#: Bytes of templates that a task holds before it passes them on, and what each of them counts beside its text.
+HELD, HELD_EACH = 1 << 24, 200
 
 
 def templates(events: DataFrame, text: str = "message", depth: int = DEPTH) -> DataFrame:
@@ -29,17 +31,61 @@ def templates(events: DataFrame, text: str = "message", depth: int = DEPTH) -> D
 
     Tokens stand between blanks; one with a digit is a wildcard. Texts of different length have different templates.
     """
-    tokens = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")), " ")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
-    rows = events.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(masked.alias("tokens"))
-    # Equal masked texts are one row from here on.
-    counted = rows.groupBy("tokens").agg(F.count("*").alias("n"))
-    leaf = [F.size("tokens").alias("size"), F.slice("tokens", 1, depth).alias("path")]
-    placed = counted.select(*leaf, "n", F.posexplode("tokens").alias("at", "token"))
-    kept = placed.groupBy("size", "path", "at", "token").agg(F.sum("n").alias("n"))
-    by_place = kept.groupBy("size", "path", "at").agg(F.sum("n").alias("n"), F.when(F.count("*") > 1, WILD).otherwise(F.min("token")).alias("token"))
-    whole = by_place.groupBy("size", "path").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("places"))
-    return whole.select(F.array_join(F.col("places.token"), " ").alias("template"), "n", F.size(F.filter("places.token", lambda t: t == WILD)).cast("long").alias("n_wild"))
+    digit, wild = re.compile(rb"[0-9]").search, WILD.encode()
+
+    def both(a: bytes, b: bytes) -> bytes:
+        return a if a == b else b" ".join([x if x == y else wild for x, y in zip(a.split(b" "), b.split(b" "))])
+
+    def table(rows):
+        import pyarrow as pa
+
+        sizes, counts, texts = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(sizes, "int32"), pa.array(counts, "int64"), pa.array(texts, "binary")], ["size", "n", "template"])
+
+    def within(batches):
+        """Leaves of a task's lines. bytes.split() knows the same blanks: 20 and 09 to 0D."""
+        held, size = {}, 0
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                tokens = line.split()
+                if not tokens:
+                    continue
+                if digit(line):
+                    tokens = [wild if digit(t) else t for t in tokens]
+                leaf, whole = (len(tokens), *tokens[:depth]), b" ".join(tokens)
+                if leaf in held:
+                    n, other = held[leaf]
+                    held[leaf] = n + 1, both(other, whole)
+                    continue
+                held[leaf] = 1, whole
+                size += len(whole) + HELD_EACH
+                if size > HELD:
+                    yield table([(k[0], *v) for k, v in held.items()])
+                    held, size = {}, 0
+        yield table([(k[0], *v) for k, v in held.items()])
+
+    def across(batches):
+        """Leaves in their order: what tasks found of each is merged as it comes."""
+        now = last = None
+        for batch in batches:
+            done = []
+            for size, head, n, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                if (size, head) == now:
+                    last = size, last[1] + n, both(last[2], whole)
+                    continue
+                if last:
+                    done.append(last)
+                now, last = (size, head), (size, n, whole)
+            yield table(done)
+        yield table([last] if last else [])
+
+    shape = "size int, n long, template binary"
+    found = events.where(F.col(text).isNotNull()).select(F.col(text).cast("binary")).mapInArrow(within, shape)
+    # A template begins with its path, as that is the same in all of its lines.
+    placed = found.select("size", F.substring_index(F.col("template").cast("string"), " ", depth).alias("head"), "n", "template")
+    whole = placed.repartition("size", "head").sortWithinPartitions("size", "head").mapInArrow(across, shape)
+    told = F.col("template").cast("string")
+    return whole.select(told.alias("template"), "n", F.size(F.filter(F.split(told, " "), lambda t: t == WILD)).cast("long").alias("n_wild"))
 
 
 #: Words that name a level.

@@ -395,6 +395,29 @@ def test_an_indexed_search_reads_few_files_and_finds_all(spark, tmp_path):
                 assert leaf.metrics().get("numFiles").get().value() == few[term]
 
 
+def test_templates_move_a_text_for_each_leaf(spark, monkeypatch):
+    """One shuffle, of merged lines and not of tokens, and the same templates however often a task passes on what it holds."""
+    import re
+    from collections import defaultdict
+
+    from emberlog.operators import templates as module
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(("a", "b", "c7", "<*>", "é", "x\u00a0y")) for _ in range(draw.randint(1, 5))) for _ in range(600)] + ["a b common"] * 400 + [None, "", " \t\x0b", "\ta  b \r"]
+    leaves = defaultdict(list)
+    for x in texts:
+        if tokens := [module.WILD if any(c.isdigit() for c in t) else t for t in re.split("[\x20\x09-\x0D]+", (x or "").strip(" \t\n\x0b\x0c\r")) if t]:
+            leaves[(len(tokens), *tokens[:2])].append(tokens)
+    merged = [(" ".join(p[0] if len(set(p)) == 1 else module.WILD for p in zip(*rows)), len(rows)) for rows in leaves.values()]
+    expected = sorted((t, n, t.split(" ").count(module.WILD)) for t, n in merged)
+    for held in (module.HELD, 500):
+        monkeypatch.setattr(module, "HELD", held)
+        found = module.templates(spark.createDataFrame([(t,) for t in texts], "message string").repartition(3))
+        assert sorted(map(tuple, found.collect())) == expected
+    plan = module.templates(spark.range(1).select(F.lit("a b").alias("message")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan
+
+
 def test_templates_of_messages(spark):
     from emberlog.operators.templates import templates
 

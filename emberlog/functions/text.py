@@ -24,9 +24,15 @@ OBSERVABLES = {
 MASKED_KEYS = ("cardno", "cardnumber", "pan", "otp", "mobile", "email", "password", "cvv")
 
 
+#: What a text holds, in lower case, where there is anything to find; patterns are tried on such texts alone.
+SIGNS_OF = {"urls": ("://",), "emails": ("@",), "mobiles": ("+",), "ips": (".",), "cards": ("xxxx", "****"), "uuids": ("-",), "http_statuses": ("http",), "error_codes": ("error code:",), "queues": ("afs.",), "message_ids": ("msgid:",)}
+
+
 def observables(text: Column) -> Column:
     """A struct of arrays of distinct finds, in order."""
-    return F.struct(*[F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias(name) for name, p in OBSERVABLES.items()])
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    finds = {name: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for name, p in OBSERVABLES.items()}
+    return F.struct(*[F.when(contains_any(F.lower(text), *SIGNS_OF[name]), x).otherwise(none).alias(name) for name, x in finds.items()])
 
 
 def mask(text: Column) -> Column:
@@ -134,7 +140,9 @@ def exception(text: Column) -> Column:
     kind = F.nullif(F.regexp_extract(text, _EXCEPTION, 1), F.lit(""))
     said = F.nullif(F.trim(F.regexp_extract(text, _EXCEPTION, 2)), F.lit(""))
     others = F.filter(F.slice(follows, 2, F.greatest(F.size(follows) - 1, F.lit(0))), lambda x: ~x.rlike(_FRAME))
-    found = text.rlike(_EXCEPTION) | F.exists(follows, lambda x: x.rlike(_FRAME))
+    # Most texts hold neither word nor frame, so their lines aren't looked at.
+    likely = contains_any(text, "Exception", "Error") | text.rlike(r"(?:^|\n)\s*at\s")
+    found = likely & (text.rlike(_EXCEPTION) | F.exists(follows, lambda x: x.rlike(_FRAME)))
     return F.when(found, F.struct(kind.alias("type"), said.alias("message"), frames.alias("frames"), others.alias("additional_lines")))
 
 

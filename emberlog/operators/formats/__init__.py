@@ -6,13 +6,14 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import normalize_level
 from emberlog.functions.text import clean
 from emberlog.functions.times import parse_time
-from emberlog.sources.files import BLOCK_LINES, blockwise
+from emberlog.session import written
+from emberlog.sources.files import BLOCK_LINES
 
 #: Fixed value: the timestamp of most of these formats.
 US_TIME = r"\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2}\s+[AP]M"
@@ -33,7 +34,8 @@ class Format:
 def split_records(lines: DataFrame, header: str, anywhere: bool = False) -> DataFrame:
     """file_name, ordinal, header, body: text from each match of header, at a line's start or anywhere, up to the next.
 
-    What comes before a file's first match is dropped. Files are counted by block, and a record is one row.
+    What comes before a file's first match is dropped. A record is one row. Each block is cut into its records by itself and
+    written, so lines are read and shuffled once; the last record of a block is joined with what the next ones begin with.
     """
     block = F.col("block") if "block" in lines.columns else F.floor(F.col("line_no") / BLOCK_LINES)
     rows = lines.select("file_name", block.alias("block"), "line_no", "line")
@@ -41,10 +43,20 @@ def split_records(lines: DataFrame, header: str, anywhere: bool = False) -> Data
         pieces = F.filter(F.split("line", f"(?={header})"), lambda x: x != "")
         rows = rows.select(*[c for c in rows.columns if c not in ("line_no", "line")], "line_no", F.posexplode_outer(pieces).alias("_k", "line"))
         rows = rows.withColumn("line_no", F.col("line_no").cast("long") * (1 << 24) + F.coalesce("_k", F.lit(0))).drop("_k")
-    counted = blockwise(rows, F.coalesce(F.col("line").rlike(f"^(?:{header})"), F.lit(False)), "ordinal").where("ordinal > 0")
-    grouped = counted.groupBy("file_name", "ordinal").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    text = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    whole = grouped.select("file_name", "ordinal", text.alias("text"))
+    inside = Window.partitionBy("file_name", "block").orderBy("line_no")
+    counted = rows.where("line IS NOT NULL").withColumn("_own", F.sum(F.col("line").rlike(f"^(?:{header})").cast("long")).over(inside))
+
+    def joined(parts: DataFrame, by: tuple[str, ...], order: str, text: str) -> DataFrame:
+        in_order = F.array_sort(F.collect_list(F.struct(order, text)))
+        return parts.groupBy(*by).agg(F.array_join(F.transform(in_order, lambda x: x[text]), "\n").alias("text"))
+
+    parts = written(joined(counted, ("file_name", "block", "_own"), "line_no", "line"))
+    sums = parts.groupBy("file_name", "block").agg(F.max("_own").alias("_sum"))
+    before = sums.select("file_name", "block", "_sum", F.coalesce(F.sum("_sum").over(Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # One row of three numbers for each block.
+    placed = parts.join(F.broadcast(before), ["file_name", "block"]).withColumn("ordinal", F.col("_before") + F.col("_own")).where("ordinal > 0")
+    edge = (F.col("_own") == 0) | (F.col("_own") == F.col("_sum"))
+    whole = placed.where(~edge).select("file_name", "ordinal", "text").unionByName(joined(placed.where(edge), ("file_name", "ordinal"), "block", "text"))
     return whole.select("file_name", "ordinal", F.regexp_extract("text", f"^(?:{header})", 0).alias("header"), clean(F.regexp_replace("text", f"^(?:{header})", "")).alias("body"))
 
 

@@ -201,6 +201,20 @@ SAID = {
     "error_call": r"Error in (.+?) Call : ",
     "error_url": r"Error in .+? Call : ([^\n]+)",
 }
+#: What a text holds, in lower case, where such a pattern can fit; it is tried on such texts alone.
+SAID_SIGNS = {
+    "msg_id": ("msgid:",),
+    "queue": ("message for queue", "("),
+    "bank_org": ("bankorg",),
+    "oob_status": ("statusresponseenum",),
+    "path_stepup_id": ("/status/",),
+    "customer_id": ("customerid",),
+    "enable_oob": ("enableoob",),
+    "card_blocked": ("cardblocked",),
+    "response_code": ("responsecode",),
+    "error_call": (" call : ",),
+    "error_url": (" call : ",),
+}
 #: The address that a bank's call goes to.
 BANK_URL = r"(?i)(https?://[^\s<>\"']+)"
 
@@ -216,6 +230,7 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
     f = lambda key: F.try_element_at(F.col("p.fields"), F.lit(key))
     element = lambda name: F.try_element_at(F.col("p.tags"), F.lit(name.lower()))
     find = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    said = lambda n: F.when(contains_any(F.lower("text"), *SAID_SIGNS[n]), find(SAID[n]))
     key_of = lambda key: f"{key}:last" if kind.last_credential and key in ("@mobile", "@email") else key
     named = [F.coalesce(truthy(f(key_of(key))), *[truthy(element(t)) for t in tags]).alias(name) for name, key, tags in FIELDS]
     broken = F.col("p.status").isin("invalid", "incomplete")
@@ -249,9 +264,9 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
         F.when(F.col("event_type").isin(*kind.responses), truthy(f("status"))).alias("status"),
         F.when(F.col("event_type").isin(*kind.responses), F.coalesce(truthy(f("description")), truthy(f("referencenumber")))).alias("error_text"),
         truthy(f("success")).alias("success"),
-        *[find(SAID[n]).alias(n) for n in ("msg_id", "queue", "bank_org", "oob_status", "path_stepup_id")],
-        *[(find(SAID[n]) if n in kind.says else F.lit(None).cast("string")).alias(n) for n in ("enable_oob", "response_code", "error_call", "error_url")],
-        *[(F.coalesce(find(SAID[n]), truthy(f(n.replace("_", "")))) if n in kind.says else F.lit(None).cast("string")).alias(n) for n in ("customer_id", "card_blocked")],
+        *[said(n).alias(n) for n in ("msg_id", "queue", "bank_org", "oob_status", "path_stepup_id")],
+        *[(said(n) if n in kind.says else F.lit(None).cast("string")).alias(n) for n in ("enable_oob", "response_code", "error_call", "error_url")],
+        *[(F.coalesce(said(n), truthy(f(n.replace("_", "")))) if n in kind.says else F.lit(None).cast("string")).alias(n) for n in ("customer_id", "card_blocked")],
         otp_message(F.coalesce(base64_text(f("smsbody")), base64_text(f("message")))).alias("sms"),
         observables(F.col("text")).alias("observables"),
         *named,
@@ -340,11 +355,18 @@ def _derived() -> Column:
     )
 
 
-def _emit(events: DataFrame, kind: Payment, correlation: Column, level: Column) -> DataFrame:
-    """Records of keyed events with their entity joined back."""
-    entities = merge(events, kind).select("file_name", "key", _snapshot().alias("entity"))
+def _with_entity(own: Column) -> Column:
+    """An event's own JSON, which is never empty, with the member that its entity is."""
+    return F.concat(F.left(own, F.length(own) - 1), F.coalesce(F.concat(F.lit(","), F.substring("entity", F.lit(2), F.length("entity"))), F.lit("}")))
+
+
+def _emit(events: DataFrame, kind: Payment, correlation: Column, level: Column, head: Column | None = None) -> DataFrame:
+    """Records of keyed events with their entity joined back, and what `head` says of it. Entities become JSON once, not for each of their events."""
+    named = [head.alias("head")] if head is not None else []
+    entities = merge(events, kind).select("file_name", "key", *named, F.to_json(F.struct(_snapshot().alias(kind.entity))).alias("entity"))
     joined = events.join(entities, ["file_name", "key"], "left")
-    details = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "recovered", "parse_method", "document", "exception", "error_call", "error_url", "response_code", F.col("event_warnings").alias("warnings"), "sms", "observables", F.col("entity").alias(kind.entity)))
+    own = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "recovered", "parse_method", "document", "exception", "error_call", "error_url", "response_code", F.col("event_warnings").alias("warnings"), "sms", "observables"))
+    details = _with_entity(own)
     return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), correlation.alias("correlation_id"), F.col("event_type").alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
 
 
@@ -396,10 +418,11 @@ def otp_processor(lines: DataFrame) -> DataFrame:
     keyed = events.join(begun, ["file_name", "tracker"], "left").withColumn("late", F.col("ordinal") < F.col("begun"))
     # An update that comes before its record's first XML reaches no record, but shows the finished one.
     reach = keyed.withColumn("key", F.when(F.col("begun").isNotNull() & ~F.col("late"), F.col("tracker")))
-    entities = merge(reach, OTP).select("file_name", F.col("key").alias("tracker"), _snapshot().alias("entity"))
+    entities = merge(reach, OTP).select("file_name", F.col("key").alias("tracker"), F.to_json(F.struct(_snapshot().alias(OTP.entity))).alias("entity"))
     joined = keyed.join(entities, ["file_name", "tracker"], "left")
     failed = sms & F.col("own").isNull()
-    details = F.to_json(F.struct("event_type", F.col("tracker").alias("tracker_no"), "queue", "msg_id", F.when(failed, WARNINGS["no tracker in xml"]).alias("parse_error"), "parse_method", "document", "exception", F.col("event_warnings").alias("warnings"), F.col("entity").alias("record")))
+    own_json = F.to_json(F.struct("event_type", F.col("tracker").alias("tracker_no"), "queue", "msg_id", F.when(failed, WARNINGS["no tracker in xml"]).alias("parse_error"), "parse_method", "document", "exception", F.col("event_warnings").alias("warnings")))
+    details = _with_entity(own_json)
     level = F.when((name == "other") | failed, "WARN").otherwise("INFO")
     return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), F.col("tracker").alias("correlation_id"), name.alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
 
@@ -416,9 +439,8 @@ def debit_portal(lines: DataFrame) -> DataFrame:
     rows = split_records(lines, US_TIME, anywhere=True).withColumn("message", clean(F.regexp_replace("body", r"^\s*(?:->|:)\s*", "")))
     own = F.nullif(F.upper(F.regexp_extract("message", r"(?i)Log Tracker No:\s*([A-Z]{2}\d+)", 1)), F.lit(""))
     events = read_events(rows.select("file_name", "ordinal", F.col("header").alias("ts_raw"), own.alias("tracker"), "message", F.concat_ws(" ", "header", "message").alias("raw")), DEBIT)
-    events = carried(events.join(_tx_of_tracker(events), ["file_name", "tracker"], "left"), "effective", F.col("tracker"), "ordinal", within=("file_name",))
     known = _tx_of_tracker(events).select("file_name", F.col("tracker").alias("effective"), F.col("tracker_tx").alias("effective_tx"))
-    keyed = events.join(known, ["file_name", "effective"], "left").withColumn("key", F.coalesce("txid", "effective_tx", F.concat(F.lit("tracker:"), "effective"), F.concat(F.lit("event_"), "ordinal")))
+    keyed = carried(events, "effective", F.col("tracker"), "ordinal", within=("file_name",)).join(known, ["file_name", "effective"], "left").withColumn("key", F.coalesce("txid", "effective_tx", F.concat(F.lit("tracker:"), "effective"), F.concat(F.lit("event_"), "ordinal")))
     level = F.when(F.col("parse_status") == "partial", "WARN").when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     return _emit(keyed, DEBIT, F.coalesce("txid", "effective_tx", "tracker"), level)
 
@@ -444,12 +466,13 @@ def cardinal(lines: DataFrame) -> DataFrame:
     events = read_events(_tracked_lines(lines), CARDINAL)
     alias = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{kind}:"), c))
     events = events.withColumn("aliases", F.array_compact(F.array(alias("tx", "txid"), alias("stepup", "stepup_request_id"), alias("stepup", "path_stepup_id"), alias("tracker", "tracker"))))
-    flows = resolve_aliases(events, "file_name").withColumnRenamed("flow", "key")
+    # Written, as entities and events both take their flow from it.
+    flows = written(resolve_aliases(events, "file_name").withColumnRenamed("flow", "key"))
     keyed = events.join(flows, ["file_name", "ordinal"], "left")
-    heads = merge(keyed, CARDINAL).select("file_name", "key", F.coalesce("transaction_id", "stepup_request_id", F.get("trackers", F.lit(0))).alias("head"))
+    head = F.coalesce("transaction_id", "stepup_request_id", F.get("trackers", F.lit(0)))
     lower = F.lower("message")
     level = F.when(F.col("event_type").isin(*CARDINAL_ERRORS) | lower.rlike(r'"?status"\s*:\s*"error"|mq timeout|host unreachable'), "ERROR").otherwise("INFO")
-    return _emit(keyed.join(heads, ["file_name", "key"], "left"), CARDINAL, F.coalesce("head", "tracker"), level)
+    return _emit(keyed, CARDINAL, F.coalesce("head", "tracker"), level, head)
 
 
 def _vflex_warnings() -> list[tuple[Column, str]]:
@@ -479,9 +502,8 @@ def vflex(lines: DataFrame) -> DataFrame:
     message = clean(F.regexp_replace("body", r"(?i)^\s*(?::\s*)?(?:Log Tracker No:\s*[A-Z]{2}\d+\s*(?:=>|=\\>|=&gt;))?\s*", ""))
     events = read_events(rows.select("file_name", "ordinal", clean(F.col("header")).alias("ts_raw"), own.alias("tracker"), message.alias("message"), F.concat_ws(" ", "header", "body").alias("raw")), VFLEX)
     keyed = events.withColumn("key", F.col("tracker"))
-    heads = keyed.where("key IS NOT NULL").groupBy("file_name", "key").agg(first_nonempty(F.col("txid"), F.col("ordinal")).alias("head"))
     level = F.when(F.col("event_type").isin("error", "bank_api_error_response") | F.col("message").rlike(ERROR_WORD), "ERROR").otherwise("INFO")
-    return _emit(keyed.join(heads, ["file_name", "key"], "left"), VFLEX, F.coalesce("head", "tracker"), level)
+    return _emit(keyed, VFLEX, F.coalesce("head", "tracker"), level, F.col("transaction_id"))
 
 
 def _says(*parts: str, header: str = US_TIME) -> Callable[[str], bool]:

@@ -243,3 +243,75 @@ def test_unified(lines):
 
 def test_older_forms_are_read_only_where_named():
     assert not any(f.detect(OLDER_CREDIT) for f in older.FORMATS) and set(older.FORMATS) <= set(formats())
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_read_once_for_their_records(spark):
+    """Records within a block, over the end of one and over several, from lines that are computed once."""
+    import random
+
+    from emberlog.operators.formats import split_records
+
+    draw, seen = random.Random(3), spark.sparkContext.accumulator(0)
+    texts = [draw.choice(("H one", "two", "", "H ", None)) if not 40 <= i < 90 else "in between" for i in range(200)]
+    rows = [(f, i, i // 20, x) for f in ("a", "b") for i, x in enumerate(texts if f == "a" else texts[7:])]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    shape = "file_name string, line_no int, block long, line string"
+    found = split_records(spark.createDataFrame(rows, shape).repartition(3).mapInArrow(counted, shape), "H ").collect()
+    expected, last = [], {}
+    for f, _, _, x in rows:
+        if x is not None and x.startswith("H "):
+            last[f] = last.get(f, 0) + 1
+            expected.append([f, last[f], x[2:]])
+        elif x is not None and f in last:
+            expected[-1][2] += "\n" + x
+    assert sorted((r["file_name"], r["ordinal"], r["header"], r["body"]) for r in found) == sorted((f, k, "H ", x.strip()) for f, k, x in expected)
+    assert seen.value == len(rows)
+
+
+def test_events_find_their_entity_by_one_join(spark, lines):
+    """Heads come with entities, flows are walked once, and an entity's document isn't parsed for a filter as well."""
+    from emberlog.plans import catalogue
+
+    text = "\n".join(f'1/2/2026 3:04:0{i} PM Log Tracker No: SU00{i % 3} => Request Body {{"TransactionId": "X{i % 3}", "StepupRequestId": "S"}}' for i in range(9))
+    assert _plan(by_key("vflex").records(lines(text))).count("Join") == 1
+    cardinal = by_key("cardinal").records(lines(text))
+    assert "MapInArrow" not in _plan(cardinal) and {r["correlation_id"] for r in cardinal.collect()} == {"X0"}
+    fields = catalogue.entity_fields(spark, None, "cardinal", lines(text), "flow", {"id": "$.transaction_id", "none": "$.no"})
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+    assert [tuple(r) for r in fields.collect()] == [("a.log", "X0", "X0", None)]
+
+
+def test_debit_events_carry_trackers_once_for_their_keys(lines):
+    """The carried trackers aren't carried once more to learn what transactions they name."""
+    text = '1/2/2026 3:04:05 PM -> Log Tracker No: SU001 => Request Body {"TransactionId": "X1"}\n1/2/2026 3:04:06 PM -> Error in Bank Call : https://b/1'
+    found = by_key("debit_portal_log").records(lines(text))
+    assert [r["correlation_id"] for r in found.orderBy("ordinal").collect()] == ["X1", "X1"]
+    assert _plan(found).count("Window [") <= 4
+
+
+def test_patterns_are_tried_where_their_signs_are(spark):
+    """Finds equal those of patterns that are tried on every text."""
+    from emberlog.functions import text as module
+
+    texts = ["see HTTP://x https://a/b?c=1 http://b", "A@B.co x@y", "+12345678 10.0.0.1", "XXXX1234 xxxx9876 ****1111", "0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f", "hTTp 500", "ERROR CODE: a-1", "AFS.q MsgID: k", "", "plain", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [F.array_distinct(F.regexp_extract_all("t", F.lit(p), F.lit(0))).alias(n) for n, p in module.OBSERVABLES.items()]
+    assert rows.select(module.observables(F.col("t")).alias("o")).select("o.*").collect() == rows.select(*plain).collect()
+
+
+def test_payment_lines_number_events_once(spark, tmp_path):
+    from emberlog.plans import catalogue
+
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts, id % 3 AS user_id, if(id % 2 = 0, 'error', 'view') AS event_type, 1.0D AS value, '{}' AS props FROM range(8)").write.parquet(f"{tmp_path}/events.parquet")
+    found = catalogue.payment_lines(spark, str(tmp_path))
+    assert _plan(found).count("row_number()") == 1 or _plan(found).count("Window [row_number()") == 1
+    assert found.count() == 12 and found.where("line LIKE '   at Bank.Call%'").count() == 4

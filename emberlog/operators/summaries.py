@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators import correlate, reports
+from emberlog.operators import reports
 from emberlog.operators.correlate import truthy
 from emberlog.session import written
 
@@ -22,9 +22,10 @@ def entities(events: DataFrame, kind: str, latest: bool = False) -> DataFrame:
     """One entity for each correlation id, from its first event that has one: correlation_id and the entity as JSON text."""
     name, _ = SHAPES[kind]
     entity = F.try_variant_get(F.parse_json("attributes"), f"$.details.{name}", "string").alias("entity")
-    # Written before it is filtered: the filter would read every document once more.
-    rows = written(events.select("correlation_id", "ts_utc", "line_no", "event_id", entity)).where("entity IS NOT NULL AND entity <> '{}'")
-    return correlate.first_of_each(rows, latest=latest).select("correlation_id", "entity")
+    rows = events.where("correlation_id IS NOT NULL").select("correlation_id", "ts_utc", "line_no", "event_id", entity)
+    # Events without one have no place; a filter would read every document once more.
+    place = F.when(F.col("entity") != "{}", F.struct("ts_utc", "line_no", "event_id"))
+    return rows.groupBy("correlation_id").agg((F.max_by if latest else F.min_by)("entity", place).alias("entity")).where("entity IS NOT NULL")
 
 
 def by_dimension(found: DataFrame, kind: str, most: int | None = None) -> DataFrame:
@@ -49,11 +50,12 @@ def record_summary(records: DataFrame, merchants: int = 30) -> DataFrame:
     """
     doc = F.try_parse_json(F.coalesce("details", F.lit("{}")))
     get = lambda c, path: truthy(F.try_variant_get(F.col(c), path, "string"))
-    whole = records.select("file_name", "ordinal", "log_type", "correlation_id", F.coalesce("log_level", F.lit("INFO")).alias("level"), "details")
-    rows = written(whole).withColumn("doc", doc)
-    events = reports.breakdown(rows, event_type=F.col("log_type"), level=F.col("level"), parse_status=get("doc", "$.parse_status"), phase=get("doc", "$.phase"))
     entity = F.coalesce(*[F.try_variant_get("doc", f"$.{name}", "string") for name in ("transaction", "flow", "record")])
-    first = rows.where("correlation_id IS NOT NULL").withColumn("entity", entity).where("entity IS NOT NULL").groupBy("file_name", "correlation_id").agg(F.min_by("entity", "ordinal").alias("entity"))
+    whole = records.select("file_name", "ordinal", "log_type", "correlation_id", F.coalesce("log_level", F.lit("INFO")).alias("level"), doc.alias("doc"))
+    # Documents are parsed once; what both counts need of them is written.
+    rows = written(whole.select("file_name", "ordinal", "log_type", "correlation_id", "level", get("doc", "$.parse_status").alias("parse_status"), get("doc", "$.phase").alias("phase"), entity.alias("entity")))
+    events = reports.breakdown(rows, event_type=F.col("log_type"), level=F.col("level"), parse_status=F.col("parse_status"), phase=F.col("phase"))
+    first = rows.where("correlation_id IS NOT NULL AND entity IS NOT NULL").groupBy("file_name", "correlation_id").agg(F.min_by("entity", "ordinal").alias("entity"))
     first = first.withColumn("doc", F.parse_json("entity"))
     parts = reports.breakdown(first, issuer=get("doc", "$.issuer_id"), currency=get("doc", "$.transaction.currency"), channel=get("doc", "$.otp.channel"), merchant=get("doc", "$.merchant.name"))
     return events.unionByName(reports.top_of_each(parts, merchants, of=("merchant",)).drop("place"))

@@ -315,3 +315,25 @@ def test_payment_lines_number_events_once(spark, tmp_path):
     found = catalogue.payment_lines(spark, str(tmp_path))
     assert _plan(found).count("row_number()") == 1 or _plan(found).count("Window [row_number()") == 1
     assert found.count() == 12 and found.where("line LIKE '   at Bank.Call%'").count() == 4
+
+
+def test_summary_of_records_writes_no_documents(spark, lines, monkeypatch):
+    """Documents are parsed before the write, which holds what the counts need."""
+    from emberlog.operators import summaries
+
+    kept = []
+    monkeypatch.setattr(summaries, "written", lambda df: kept.append(df.columns) or df)
+    rows = spark.createDataFrame([("a", 1, "INFO", "x", None, '{"phase": "P", "flow": {"issuer_id": "i"}}')], "file_name string, ordinal long, log_type string, correlation_id string, log_level string, details string")
+    found = {(r["dimension"], r["value"], r["n"]) for r in summaries.record_summary(rows).collect()}
+    assert found == {("event_type", "INFO", 1), ("level", "INFO", 1), ("phase", "P", 1), ("issuer", "i", 1)}
+    assert kept == [["file_name", "ordinal", "log_type", "correlation_id", "level", "parse_status", "phase", "entity"]]
+
+
+def test_first_entities_need_no_write(spark, monkeypatch):
+    from emberlog.operators import summaries
+
+    monkeypatch.setattr(summaries, "written", None)
+    rows = [("c", 2, '{"details": {"flow": {"b": 1}}}'), ("c", 1, '{"details": {"flow": {}}}'), ("c", 3, '{"details": {"flow": {"b": 2}}}'), ("d", 1, '{"details": {}}'), (None, 1, '{"details": {"flow": {"b": 3}}}')]
+    events = spark.createDataFrame(rows, "correlation_id string, line_no int, attributes string").withColumns({"ts_utc": F.lit(None).cast("timestamp"), "event_id": F.lit("e")})
+    assert [tuple(r) for r in summaries.entities(events, "cardinal").collect()] == [("c", '{"b":1}')]
+    assert [tuple(r) for r in summaries.entities(events, "cardinal", latest=True).collect()] == [("c", '{"b":2}')]

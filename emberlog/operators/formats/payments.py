@@ -220,9 +220,14 @@ BANK_URL = r"(?i)(https?://[^\s<>\"']+)"
 
 
 def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
+    """found_events(), written: messages are read once, and keys, merges and the join of entities go over what was found."""
+    return written(found_events(rows, kind))
+
+
+def found_events(rows: DataFrame, kind: Payment) -> DataFrame:
     """Classes, payloads and identifiers of events with file_name, ordinal, ts_raw, tracker, message, raw.
 
-    The result is written: messages are read once, and keys, merges and the join of entities go over what was found.
+    For a single use: what it doesn't take is not looked for.
     """
     # One Python function reads all of a message, references, objects and XML.
     rows = rows.withColumn("p", payload("message")).withColumn("text", F.col("p.text"))
@@ -243,7 +248,7 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
             F.when(F.col("p.method") == "regex", WARNINGS["broken xml"]),
         )
     )
-    found = rows.select(
+    return rows.select(
         "file_name",
         "ordinal",
         "ts_raw",
@@ -271,7 +276,6 @@ def read_events(rows: DataFrame, kind: Payment) -> DataFrame:
         observables(F.col("text")).alias("observables"),
         *named,
     )
-    return written(found)
 
 
 def merge(events: DataFrame, kind: Payment, key: str = "key") -> DataFrame:
@@ -360,6 +364,10 @@ def _with_entity(own: Column) -> Column:
     return F.concat(F.left(own, F.length(own) - 1), F.coalesce(F.concat(F.lit(","), F.substring("entity", F.lit(2), F.length("entity"))), F.lit("}")))
 
 
+def _action() -> Column:
+    return F.coalesce(truthy(F.col("message")), F.lit("(no message)"))
+
+
 def _emit(events: DataFrame, kind: Payment, correlation: Column, level: Column, head: Column | None = None) -> DataFrame:
     """Records of keyed events with their entity joined back, and what `head` says of it. Entities become JSON once, not for each of their events."""
     named = [head.alias("head")] if head is not None else []
@@ -367,7 +375,7 @@ def _emit(events: DataFrame, kind: Payment, correlation: Column, level: Column,
     joined = events.join(entities, ["file_name", "key"], "left")
     own = F.to_json(F.struct("event_type", "parse_status", F.col("tracker").alias("tracker_no"), phase(F.col("tracker")).alias("phase"), "msg_id", "queue", "objects", "recovered", "parse_method", "document", "exception", "error_call", "error_url", "response_code", F.col("event_warnings").alias("warnings"), "sms", "observables"))
     details = _with_entity(own)
-    return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), correlation.alias("correlation_id"), F.col("event_type").alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
+    return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), correlation.alias("correlation_id"), F.col("event_type").alias("log_type"), _action().alias("action"), details.alias("details"), "raw")
 
 
 def _tx_of_tracker(events: DataFrame) -> DataFrame:
@@ -424,7 +432,7 @@ def otp_processor(lines: DataFrame) -> DataFrame:
     own_json = F.to_json(F.struct("event_type", F.col("tracker").alias("tracker_no"), "queue", "msg_id", F.when(failed, WARNINGS["no tracker in xml"]).alias("parse_error"), "parse_method", "document", "exception", F.col("event_warnings").alias("warnings")))
     details = _with_entity(own_json)
     level = F.when((name == "other") | failed, "WARN").otherwise("INFO")
-    return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), F.col("tracker").alias("correlation_id"), name.alias("log_type"), F.coalesce(truthy(F.col("message")), F.lit("(no message)")).alias("action"), details.alias("details"), "raw")
+    return joined.select("file_name", "ordinal", "ts_raw", level.alias("log_level"), F.col("tracker").alias("correlation_id"), name.alias("log_type"), _action().alias("action"), details.alias("details"), "raw")
 
 
 def _debit_warnings() -> list[tuple[Column, str]]:
@@ -495,15 +503,26 @@ def _vflex_warnings() -> list[tuple[Column, str]]:
 VFLEX = Payment(VFLEX_CLASSES, "message", ("netcetera_stepup_response",), ("sms_queue",), ("error", "bank_api_error_response"), True, "transaction", _vflex_warnings)
 
 
-def vflex(lines: DataFrame) -> DataFrame:
-    """Events by their own tracker; events without one stay alone."""
+def _vflex_messages(lines: DataFrame) -> DataFrame:
     rows = split_records(lines.withColumn("line", plain_signs(F.col("line"))), US_TIME)
     own = F.nullif(F.upper(F.regexp_extract("body", r"(?i)\b((?:SU|IA|VL)\d+)\b", 1)), F.lit(""))
     message = clean(F.regexp_replace("body", r"(?i)^\s*(?::\s*)?(?:Log Tracker No:\s*[A-Z]{2}\d+\s*(?:=>|=\\>|=&gt;))?\s*", ""))
-    events = read_events(rows.select("file_name", "ordinal", clean(F.col("header")).alias("ts_raw"), own.alias("tracker"), message.alias("message"), F.concat_ws(" ", "header", "body").alias("raw")), VFLEX)
-    keyed = events.withColumn("key", F.col("tracker"))
-    level = F.when(F.col("event_type").isin("error", "bank_api_error_response") | F.col("message").rlike(ERROR_WORD), "ERROR").otherwise("INFO")
-    return _emit(keyed, VFLEX, F.coalesce("head", "tracker"), level, F.col("transaction_id"))
+    return rows.select("file_name", "ordinal", clean(F.col("header")).alias("ts_raw"), own.alias("tracker"), message.alias("message"), F.concat_ws(" ", "header", "body").alias("raw"))
+
+
+def _vflex_level() -> Column:
+    return F.when(F.col("event_type").isin("error", "bank_api_error_response") | F.col("message").rlike(ERROR_WORD), "ERROR").otherwise("INFO")
+
+
+def vflex(lines: DataFrame) -> DataFrame:
+    """Events by their own tracker; events without one stay alone."""
+    keyed = read_events(_vflex_messages(lines), VFLEX).withColumn("key", F.col("tracker"))
+    return _emit(keyed, VFLEX, F.coalesce("head", "tracker"), _vflex_level(), F.col("transaction_id"))
+
+
+def vflex_events(lines: DataFrame) -> DataFrame:
+    """The same events with log_level and action, but without entities and documents: for what an event says by itself."""
+    return found_events(_vflex_messages(lines), VFLEX).withColumns({"log_level": _vflex_level(), "action": _action()})
 
 
 def _says(*parts: str, header: str = US_TIME) -> Callable[[str], bool]:

@@ -67,11 +67,20 @@ def oob_statuses(found: DataFrame) -> DataFrame:
     return found.select(F.explode(history).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _is_failed(level: Column, parse_status: Column) -> Column:
+    return (level == "ERROR") | F.coalesce(parse_status == "partial", F.lit(False))
+
+
+def failed_as_read(events: DataFrame) -> DataFrame:
+    """failed() for events as a parser finds them, with log_level and action: what it asks for are columns yet, so no entity is merged and no document written and parsed."""
+    return events.where(_is_failed(F.col("log_level"), F.col("parse_status"))).withColumns({"message": F.col("action"), "warnings": F.col("event_warnings")})
+
+
 def failed(events: DataFrame, kind: str) -> DataFrame:
     """Events that count as failures, with their first warning: ERROR level or a partial parse; for otp a parse error."""
     doc = F.parse_json("attributes")
     get = lambda path, t="string": F.try_variant_get(doc, path, t)
-    bad = get("$.details.parse_error").isNotNull() if kind == "otp" else (F.col("level") == "ERROR") | F.coalesce(get("$.details.parse_status") == "partial", F.lit(False))
+    bad = get("$.details.parse_error").isNotNull() if kind == "otp" else _is_failed(F.col("level"), get("$.details.parse_status"))
     warnings = F.from_json(get("$.details.warnings"), "array<string>")
     return events.where(bad).withColumn("warnings", F.array(get("$.details.parse_error")) if kind == "otp" else warnings)
 

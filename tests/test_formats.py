@@ -337,3 +337,40 @@ def test_first_entities_need_no_write(spark, monkeypatch):
     events = spark.createDataFrame(rows, "correlation_id string, line_no int, attributes string").withColumns({"ts_utc": F.lit(None).cast("timestamp"), "event_id": F.lit("e")})
     assert [tuple(r) for r in summaries.entities(events, "cardinal").collect()] == [("c", '{"b":1}')]
     assert [tuple(r) for r in summaries.entities(events, "cardinal", latest=True).collect()] == [("c", '{"b":2}')]
+
+
+def test_failures_are_told_without_entities(spark, lines, tmp_path, monkeypatch):
+    """Failures of events as they are read equal those of canonical ones; no entity is merged for them and no document written."""
+    from emberlog.operators import summaries
+    from emberlog.operators.formats import payments
+    from emberlog.plans import catalogue
+
+    said = ['Request Body {"TransactionId": "X1"}', 'Request Body {"TransactionId": "X1", "Sta', "an error came", "an &#101;rror came", "no&nbsp;failure", "", "Bank API URL https://b/setup-request", "Error response from bank api call {}", "<Msg><a>1</b></Msg>"]
+    text = "\n".join(f"{US} Log Tracker No: SU00{i % 3} => {x}" for i, x in enumerate(said)) + f"\n{US} without a tracker {{\n   at A.B() in c.cs:line 1"
+    fmt, shape = by_key("vflex"), ("message", "warnings")
+    whole = summaries.failed(canonical(fmt.records(lines(text)), fmt, F.lit("2026-01-01").cast("timestamp")), "vflex")
+    found = summaries.failed_as_read(payments.vflex_events(lines(text)))
+    assert sorted(map(tuple, found.select(*shape).collect())) == sorted(map(tuple, whole.select(*shape).collect()))
+    assert found.count() == 6 and "to_json" not in _plan(found).lower()
+
+    monkeypatch.setattr(payments, "merge", None)
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts, id % 3 AS user_id, if(id % 2 = 0, 'error', 'view') AS event_type, 1.0D AS value, '{}' AS props FROM range(8)").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["n"] for r in catalogue.QUERIES["failed_events"](spark, str(tmp_path)).collect()] == [4]
+
+
+def test_texts_without_signs_are_not_scanned(spark, monkeypatch):
+    """A message that can hold no payload is its own text; rare characters are searched for, not looked up one by one."""
+    from emberlog.functions import payloads, text as module
+
+    plain = ["", "plain", "a > b; c = }", None]
+    expected = [{"text": t, "status": None, "objects": [], "fields": {}, "paths": {}, "method": None, "document": None, "tags": {}} for t in plain]
+    with monkeypatch.context() as m:
+        m.setattr(payloads, "balanced", None)
+        assert [payloads._scan(t) for t in plain] == expected
+    marked = ["&amp;", "a\u00a0b", '{"a": 1}', "<Msg><a>1</a></Msg>"]
+    assert [payloads._scan(t)["text"] for t in marked] == ["&", "a b", '{"a": 1}', "<Msg><a>1</a></Msg>"]
+    assert payloads._scan(marked[2])["fields"] == {"a": "1"} and payloads._scan(marked[3])["tags"] == {"a": "1"}
+    odd = ["\ufeff x\x00y\ufeff\r\n", "\x00\ufeff\x00", " \x0b\f", "é\x00𝄞 ", "", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(module.clean(F.col("t")).alias("c"))
+    assert [r["c"] for r in rows.collect()] == [None if t is None else t.replace("\x00", "").replace("\ufeff", "").strip(" \t\r\n\x0b\f") for t in odd]
+    assert "translate(" not in _plan(rows)
